@@ -22,6 +22,7 @@ TYPE_KEYS = r"^(clip\s*)?type$|^media\s*type$"
 FPS_KEYS = r"fps|frame\s*rate"
 DURATION_KEYS = r"^duration"
 START_TC_KEYS = r"start\s*(tc|timecode)"
+SCREENED_KEYS = "|".join((SPEED_KEYS, REVERSE_KEYS, ELASTIC_KEYS, TYPE_KEYS))
 
 
 def _col(value) -> Column:
@@ -57,21 +58,34 @@ def property_value(dump, key: str) -> Column:
     return F.element_at(F.concat(F.array(F.lit(None)), F.transform(hits, lambda e: e["value"])), -1)
 
 
-def merge_dumps(*dumps) -> Column:
-    """Merge in order: a key keeps its first position and takes its last value."""
-    combined = F.concat(
-        *[F.coalesce(_col(d), F.array().cast(DUMP_TYPE)) for d in dumps]
-    )
-    keys = F.array_distinct(F.transform(combined, lambda e: e["key"]))
+def combine_dumps(*dumps) -> Column:
+    """Dumps one after another; read it with the ``merged_*`` functions, which
+    give a repeated key its first position and its last value."""
+    empty = F.array().cast(DUMP_TYPE)
+    return F.concat(*[F.coalesce(_col(d), empty) for d in dumps])
+
+
+def _last_values(combined: Column, entries: Column) -> Column:
     return F.transform(
-        keys,
-        lambda k: F.struct(
-            k.alias("key"),
-            F.element_at(F.filter(combined, lambda e: e["key"] == k), -1)["value"].alias(
-                "value"
-            ),
-        ),
+        entries,
+        lambda e: F.element_at(F.filter(combined, lambda o: o["key"] == e["key"]), -1),
+    )
+
+
+def merged_property(combined, pattern: str, exclude: str | None = None) -> Column:
+    """:func:`probe_property` on combined dumps."""
+    c = _col(combined)
+    return F.get(_last_values(c, F.slice(matching_entries(c, pattern, exclude), 1, 1)), F.lit(0))
+
+
+def merged_parsed(combined, pattern: str, parse, exclude: str | None = None) -> Column:
+    """:func:`first_parsed` on combined dumps."""
+    c = _col(combined)
+    parsed = F.transform(
+        _last_values(c, matching_entries(c, pattern, exclude)),
+        lambda e: F.struct(e["key"].alias("key"), parse(e["value"]).alias("parsed")),
     )
+    return F.get(F.filter(parsed, lambda e: e["parsed"].isNotNull()), F.lit(0))
 
 
 def enabled_flag(value) -> Column:
@@ -127,4 +141,4 @@ def is_unity_speed(value) -> Column:
 
 
 def speed_property(dump) -> Column:
-    return first_parsed(dump, SPEED_KEYS, speed_value, exclude=NOT_SPEED_KEYS)
+    return merged_parsed(dump, SPEED_KEYS, speed_value, exclude=NOT_SPEED_KEYS)

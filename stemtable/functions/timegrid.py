@@ -56,18 +56,51 @@ def reduce_fps(fps) -> Column:
 
 
 def best_rational(value) -> Column:
-    """Closest fraction with a denominator up to 1001, smallest denominator first."""
+    """Closest fraction with a denominator up to 1001, smallest denominator first.
+
+    Walks the continued fraction of the value.  The last convergent below the
+    limit and the last intermediate fraction before it are the two candidates.
+    """
     x = _col(value).cast("double")
-    candidates = F.transform(
-        F.sequence(F.lit(1), F.lit(MAX_RATE_DENOMINATOR)),
-        lambda d: F.struct(
-            F.abs(x - F.floor(x * d + 0.5) / d).alias("error"),
-            d.alias("den"),
-            F.floor(x * d + 0.5).alias("num"),
+
+    def state(p0, q0, p1, q1, rest):
+        return F.struct(
+            p0.alias("p0"), q0.alias("q0"), p1.alias("p1"), q1.alias("q1"), rest.alias("rest")
+        )
+
+    def step(s, _):
+        term = F.floor(s["rest"]).cast("double")
+        q2 = s["q0"] + term * s["q1"]
+        fraction = s["rest"] - term
+        # What is left of a fraction below 1e-9 is rounding noise.
+        rest = F.when(fraction > 1e-9, 1.0 / fraction)
+        further = state(s["p1"], s["q1"], s["p0"] + term * s["p1"], q2, rest)
+        return F.when(s["rest"].isNotNull() & (q2 <= MAX_RATE_DENOMINATOR), further).otherwise(s)
+
+    zero, one = F.lit(0.0), F.lit(1.0)
+    # Denominators grow at least like Fibonacci numbers: 17 steps pass 1001.
+    end = F.aggregate(
+        F.sequence(F.lit(1), F.lit(17)),
+        state(zero, one, one, zero, x),
+        step,
+        lambda s: F.struct(
+            s["p0"].alias("p0"),
+            s["q0"].alias("q0"),
+            s["p1"].alias("p1"),
+            s["q1"].alias("q1"),
+            F.floor((MAX_RATE_DENOMINATOR - s["q0"]) / s["q1"]).alias("k"),
         ),
     )
-    best = F.array_min(candidates)
-    return _rational(best.num, best.den)
+    # One pass over one element, so that the walk is not repeated per field.
+    pair = F.transform(
+        F.array(end),
+        lambda s: F.when(
+            F.abs(s["p1"] / s["q1"] - x)
+            <= F.abs((s["p0"] + s["k"] * s["p1"]) / (s["q0"] + s["k"] * s["q1"]) - x),
+            _rational(s["p1"], s["q1"]),
+        ).otherwise(_rational(s["p0"] + s["k"] * s["p1"], s["q0"] + s["k"] * s["q1"])),
+    )
+    return F.get(pair, F.lit(0))
 
 
 def parse_frame_rate(value) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemtable.functions import mapping, properties as pr, timegrid as tg
+from stemtable.functions.once import once
 
 # Codes are fixed values; the wording is ours.
 REASONS = {
@@ -52,21 +53,31 @@ def _number_text(value: Column) -> Column:
     )
 
 
-def speed_check(df: DataFrame, fps: str = "out_fps", dump: str = "_dump") -> DataFrame:
-    """Add ``_speed`` (struct property hit), ``_ratio`` and ``_off_speed``.
-
-    ``_ratio`` compares the timeline length with the source length; it is null
-    when either is unknown.
-    """
+def _speed_columns(fps: str, dump: str) -> dict[str, Column]:
     expected = (F.col("t1") - F.col("t0")) * tg.fps_value(fps)
     usable = (F.col("t1") > F.col("t0")) & (expected > 0)
     ratio = F.when(usable, F.col("duration_frames") / expected)
     off = (F.abs(ratio - 1) > 0.03) & (F.abs(F.col("duration_frames") - expected) > 1.5)
-    return (
-        df.withColumn("_speed", pr.speed_property(dump))
-        .withColumn("_ratio", ratio)
-        .withColumn("_off_speed", F.coalesce(off, F.lit(False)))
-    )
+    return {
+        "_speed": pr.speed_property(dump),
+        "_ratio": ratio,
+        "_off_speed": F.coalesce(off, F.lit(False)),
+    }
+
+
+def speed_check(df: DataFrame, fps: str = "out_fps", dump: str = "item_dump") -> DataFrame:
+    """Add ``speed_hit`` (property key and value), ``speed_ratio`` and ``off_speed``.
+
+    A speed property wins; otherwise the timeline length is compared with the
+    source length (``speed_ratio``, null when either is unknown).
+    """
+    rows = once(df, _speed_columns(fps, dump))
+    return rows.withColumnsRenamed({"_speed": "speed_hit", "_ratio": "speed_ratio"}).withColumn(
+        "off_speed",
+        F.when(F.col("speed_hit").isNotNull() & ~pr.is_unity_speed("speed_hit.parsed"), True).otherwise(
+            F.col("_off_speed")
+        ),
+    ).drop("_off_speed")
 
 
 def slip_check(offset: Column) -> Column:
@@ -81,26 +92,41 @@ def screen_clips(df: DataFrame) -> DataFrame:
     t0, t1, duration_frames, out_fps, clip_dump, item_dump, suppressed, and, if
     present, shifted, file_dur_assumed.  One projection, no shuffle.
     """
-    rows = df.withColumn("_dump", pr.merge_dumps("clip_dump", "item_dump"))
-    rows = speed_check(rows.withColumn("_map", mapping.parse_mapping("audio_mapping")))
-    rows = (
-        rows.withColumn("_type", pr.probe_property("_dump", pr.TYPE_KEYS))
-        .withColumn("_rev", pr.probe_property("_dump", pr.REVERSE_KEYS, pr.NOT_REVERSE_KEYS))
-        .withColumn("_elastic", pr.probe_property("_dump", pr.ELASTIC_KEYS))
-        .withColumn("_many", mapping.multichannel_reason("_map"))
-        .withColumn("_offset", mapping.largest_offset("_map"))
-        .withColumn("_rate", pr.property_value("clip_dump", "Sample Rate"))
+    # One look at all keys; the four searches then see only the few that matter.
+    both = pr.combine_dumps("clip_dump", "item_dump")
+    rows = once(
+        df,
+        {
+            "_dump": pr.matching_entries(both, pr.SCREENED_KEYS),
+            "_map": mapping.parse_mapping("audio_mapping"),
+            "_rate": pr.property_value("clip_dump", "Sample Rate"),
+        },
+    )
+    rows = once(
+        rows,
+        {
+            **_speed_columns("out_fps", "_dump"),
+            "_type": pr.merged_property("_dump", pr.TYPE_KEYS),
+            "_rev": pr.merged_property("_dump", pr.REVERSE_KEYS, pr.NOT_REVERSE_KEYS),
+            "_elastic": pr.merged_property("_dump", pr.ELASTIC_KEYS),
+            "_many": mapping.multichannel_reason("_map"),
+            "_offset": mapping.largest_offset("_map"),
+            "_isolated": pr.enabled_flag("voice_isolation")
+            | pr.enabled_flag("track_voice_isolation"),
+        },
     )
     c = F.col
     fused = F.coalesce(c("fusion_count") > 0, F.lit(False))
     nested = ~fused & F.coalesce(c("_type.value").rlike(NESTED_TYPES), F.lit(False))
-    isolated = pr.enabled_flag("voice_isolation") | pr.enabled_flag("track_voice_isolation")
+    isolated = c("_isolated")
     hit_speed = c("_speed").isNotNull() & ~pr.is_unity_speed(c("_speed.parsed"))
     negative = F.coalesce(c("_rev.value").try_cast("double") < 0, F.lit(False))
     reverse = c("_rev").isNotNull() & (pr.enabled_flag("_rev.value") | negative)
     elastic = c("_elastic").isNotNull() & pr.enabled_flag("_elastic.value")
     offline = F.coalesce(c("file_path") == "", F.lit(True))
 
+    many, slipped = c("_many").isNotNull(), slip_check(c("_offset"))
+
     def pair(hit, value):
         return F.concat(c(f"{hit}.key"), F.lit("="), value)
 
@@ -112,15 +138,18 @@ def screen_clips(df: DataFrame) -> DataFrame:
         F.when(fused, _issue("fusion", REASONS)),
         F.when(nested, _issue("nested", REASONS, pair("_type", c("_type.value")))),
         F.when(isolated, _issue("voice_isolation", REASONS)),
-        F.when(c("_many").isNotNull(), _issue("multichannel", REASONS, c("_many"))),
+        F.when(many, _issue("multichannel", REASONS, c("_many"))),
         F.when(
             hit_speed, _issue("speed", REASONS, pair("_speed", _number_text(c("_speed.parsed"))))
         ).when(c("_off_speed"), _issue("speed", REASONS, ratio_text)),
         F.when(reverse, _issue("reverse", REASONS, c("_rev.key"))),
         F.when(elastic, _issue("elastic_wave", REASONS, c("_elastic.key"))),
-        F.when(
-            slip_check(c("_offset")), _issue("slip", REASONS, mapping.offset_text(c("_offset")))
-        ),
+        F.when(slipped, _issue("slip", REASONS, mapping.offset_text(c("_offset")))),
+    )
+    # The same flags again, so that a filter on the verdict builds no reasons.
+    any_reason = (
+        offline | fused | nested | isolated | many | hit_speed | c("_off_speed")
+        | reverse | elastic | slipped
     )
     unavailable = c("voice_isolation").isNull() & ~F.coalesce(
         c("voice_isolation_available"), F.lit(True)
@@ -149,7 +178,7 @@ def screen_clips(df: DataFrame) -> DataFrame:
                 _kept(*warnings)
             ),
         )
-        .withColumn("rejected", F.size("reasons") > 0)
+        .withColumn("rejected", ~suppressed & any_reason)
         .drop(*[x for x in rows.columns if x.startswith("_")])
     )
 
