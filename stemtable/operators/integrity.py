@@ -47,14 +47,14 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         finished = []
-        lines = batch["filename"] + "\0" + batch["sha256"] + "\n"
-        for name, part in lines.groupby(batch["model"], sort=False):
+        for name, part in batch.groupby("model", sort=False):
             if state is None or name != model:
                 if state is not None:
                     finished.append(done())
                 model, count, state = name, 0, hashlib.sha256()
-                only = batch["sha256"].loc[part.index[0]]
-            state.update("".join(part).encode())
+                only = part["sha256"].iloc[0]
+            lines = [f"{n}\0{d}\n" for n, d in zip(part["filename"], part["sha256"])]
+            state.update("".join(lines).encode())
             count += len(part)
         if finished:
             yield pd.concat(finished, ignore_index=True)

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from stemtable.plans import catalog, views
+from stemtable.plans import catalog, tables
 
 
 def all_queries() -> dict:
     merged: dict = {}
-    for module in (catalog,):
+    for module in (catalog, tables):
         for name, entry in module.QUERIES.items():
             if name in merged:
                 raise ValueError(f"query {name} is registered twice")
