@@ -67,7 +67,9 @@ def plan_windows(df: DataFrame, window, overlap, n_samples: str = "n_samples") -
     return (
         rows.withColumn("win_no", F.explode_outer(numbers))
         .withColumn("start", F.col("win_no") * F.col("_hop"))
-        .withColumn("end", F.least(F.col("start") + F.col("_w"), n))
+        .withColumn(
+            "end", F.when(F.col("win_no").isNotNull(), F.least(F.col("start") + F.col("_w"), n))
+        )
         .drop("_w", "_hop")
     )
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemtable.plans import catalog, tables
+from stemtable.plans import audio, catalog, events, tables
 
 
 def all_queries() -> dict:
     merged: dict = {}
-    for module in (catalog, tables):
+    for module in (catalog, tables, audio, events):
         for name, entry in module.QUERIES.items():
             if name in merged:
                 raise ValueError(f"query {name} is registered twice")
