@@ -232,7 +232,7 @@ def log_mel(blocks: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame
     means = raw.groupBy("clip_id").agg(
         F.array(*[F.avg(F.col("mel")[i]) for i in range(MEL_BANDS)]).alias("_mean")
     )
-    features = skew_join(raw, means, ["clip_id"], "inner", ["frame_no"]).select(
+    features = skew_join(raw, means, ["clip_id"], "inner").select(
         "clip_id", "frame_no", F.zip_with("mel", "_mean", lambda m, a: m - a).alias("mel")
     )
     refused = signal_shape(blocks).filter(F.col("n_samples") <= half)

@@ -73,7 +73,7 @@ def cancel_conflicts(events: DataFrame) -> DataFrame:
         F.min(F.struct("seq", "event")).alias("_end")
     )
     cancels = events.filter("event = 'cancel'").select("job_id", "seq")
-    joined = skew_join(cancels, ends, ["job_id"], "inner", ["seq"])
+    joined = skew_join(cancels, ends, ["job_id"], "inner")
     names = F.create_map(*[F.lit(x) for item in TERMINAL_EVENTS.items() for x in item])
     return joined.filter(F.col("seq") > F.col("_end.seq")).select(
         "job_id", "seq", F.element_at(names, F.col("_end.event")).alias("status")
@@ -194,7 +194,7 @@ def eta(events: DataFrame) -> DataFrame:
     job starts at its first event."""
     starts = events.groupBy("job_id").agg(F.min("ts").alias("_start"))
     progress = events.filter("event = 'progress'")
-    joined = skew_join(progress, starts, ["job_id"], "inner", ["seq"])
+    joined = skew_join(progress, starts, ["job_id"], "inner")
     timed = joined.withColumn("elapsed_s", seconds_between(F.col("_start"), F.col("ts")))
     return eta_columns(timed, F.col("elapsed_s")).drop("_start")
 

@@ -21,7 +21,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
     )
     larger = both.filter("v > u")
-    hung = skew_join(larger, _smallest_neighbour(both), ["u"], "inner", ["v"])
+    hung = skew_join(larger, _smallest_neighbour(both), ["u"], "inner")
     return hung.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
@@ -31,7 +31,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     ).filter("u != v")
     smallest = _smallest_neighbour(down)
-    hung = skew_join(down, smallest, ["u"], "inner", ["v"])
+    hung = skew_join(down, smallest, ["u"], "inner")
     return (
         hung.select(F.col("v").alias("u"), F.col("m").alias("v"))
         .unionByName(smallest.select("u", F.col("m").alias("v")))
@@ -120,12 +120,12 @@ def dedupe_linked(
         .agg(F.min("_order").alias("_first"))
     )
     has_audio = F.col("_chosen.kind") == 0
-    kept = skew_join(rows, groups, [group], "inner", [item]).filter(
+    kept = skew_join(rows, groups, [group], "inner").filter(
         F.when(has_audio, F.col("_order.kind") == 0).otherwise(
             F.col("_order") == F.col("_chosen")
         )
     )
-    joined = skew_join(kept, firsts, [group, "file_path"], "left", [item])
+    joined = skew_join(kept, firsts, [group, "file_path"], "left")
     suppressed = (
         has_audio & F.col("_first").isNotNull() & (F.col("_order") > F.col("_first"))
     )

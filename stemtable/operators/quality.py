@@ -68,7 +68,7 @@ def sync_quality(a: DataFrame, b: DataFrame, lags: DataFrame, block: int = BLOCK
     """
     mono_a, mono_b = fold_mono_mid(a), fold_mono_mid(b)
     shifted = (
-        skew_join(mono_a, lags, ["clip_id"], "inner", ["block_no"])
+        skew_join(mono_a, lags, ["clip_id"], "inner")
         .withColumn("_from", F.col("start_sample") - F.col("lag"))
         .withColumn("_cut", F.greatest(-F.col("_from"), F.lit(0)).cast("int"))
         .filter(F.size("samples") > F.col("_cut"))

@@ -93,7 +93,7 @@ def split_layout(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
         blocks.filter("ch > 1 or ch < 0").select("clip_id").distinct()
     )
     return (
-        skew_join(blocks, many, ["clip_id"], "left_anti", ["ch", "block_no"]),
+        skew_join(blocks, many, ["clip_id"], "left_anti"),
         many.withColumn("error_code", F.lit("unsupported_channels")),
     )
 
@@ -145,7 +145,7 @@ def to_stereo(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(stereo, refused)``: mono is duplicated, more than two channels refused."""
     usable, refused = split_layout(blocks)
     shape = usable.groupBy("clip_id").agg(F.max("ch").alias("_last"))
-    shaped = skew_join(usable, shape, ["clip_id"], "inner", ["ch", "block_no"])
+    shaped = skew_join(usable, shape, ["clip_id"], "inner")
     targets = F.when(F.col("_last") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array("ch"))
     stereo = shaped.withColumn("_to", F.explode(targets)).select(
         "clip_id",
@@ -175,7 +175,7 @@ def apply_channel_map(blocks: DataFrame, maps: DataFrame) -> tuple[DataFrame, Da
         .distinct()
     )
     usable = wanted.join(missing, "clip_id", "left_anti")
-    mapped = skew_join(blocks, usable, ["clip_id", "ch"], "inner", ["block_no"])
+    mapped = skew_join(blocks, usable, ["clip_id", "ch"], "inner")
     return (
         mapped.select(
             "clip_id", F.col("_new").alias("ch"), "block_no", "start_sample", "samples"
@@ -214,13 +214,11 @@ def wet_dry_mix(
     """
     w_name = wet if isinstance(wet, str) else None
     extra = [w_name] if w_name else []
-    a = signal_shape(dry).withColumnsRenamed({"n_samples": "_na", "channels": "_ca"})
-    b = signal_shape(vocals).withColumnsRenamed({"n_samples": "_nb", "channels": "_cb"})
-    if w_name:
-        weights = dry.groupBy("clip_id").agg(F.max(w_name).alias("_w"))
-        a = a.join(weights, "clip_id")
-    else:
-        a = a.withColumn("_w", F.lit(float(wet)))
+    w = F.col(w_name) if w_name else F.lit(float(wet))
+    end = F.max(F.col("start_sample") + F.size("samples"))
+    channels = F.max("ch") + 1
+    a = dry.groupBy("clip_id").agg(end.alias("_na"), channels.alias("_ca"), F.max(w).alias("_w"))
+    b = vocals.groupBy("clip_id").agg(end.alias("_nb"), channels.alias("_cb"))
     problem = (
         F.when(F.col("_na").isNull() | F.col("_nb").isNull(), "missing_side")
         .when(~F.coalesce(F.col("_w").between(0, 1), F.lit(False)), "wet_out_of_range")
@@ -228,26 +226,21 @@ def wet_dry_mix(
         .when(F.abs(F.col("_na") - F.col("_nb")) > LENGTH_TOLERANCE, "length_mismatch")
     )
     plan = a.join(b, "clip_id", "full_outer").withColumn("error_code", problem)
-    good = plan.filter("error_code is null").select(
-        "clip_id", F.greatest("_ca", "_cb").alias("_channels")
-    )
+    good = plan.filter("error_code is null").select("clip_id", "_ca", "_cb")
 
-    def expand(side: DataFrame, keep: list[str]) -> DataFrame:
-        mono = skew_join(side, good, ["clip_id"], "inner", ["ch", "block_no"])
-        own = signal_shape(side).select("clip_id", F.col("channels").alias("_own"))
-        mono = skew_join(mono, own, ["clip_id"], "inner", ["ch", "block_no"])
+    def expand(side: DataFrame, own: str, keep: list[str]) -> DataFrame:
+        joined = skew_join(side, good, ["clip_id"], "inner")
         to = F.when(
-            (F.col("_own") == 1) & (F.col("_channels") == 2), F.array(F.lit(0), F.lit(1))
+            (F.col(own) == 1) & (F.greatest("_ca", "_cb") == 2), F.array(F.lit(0), F.lit(1))
         ).otherwise(F.array(F.col("ch")))
-        return mono.withColumn("_to", F.explode(to)).select(
+        return joined.withColumn("_to", F.explode(to)).select(
             "clip_id", F.col("_to").cast("int").alias("ch"), "block_no", "start_sample", "samples", *keep
         )
 
-    x = expand(dry, extra)
-    v = expand(vocals, []).select(
+    x = expand(dry, "_ca", extra)
+    v = expand(vocals, "_cb", []).select(
         "clip_id", "ch", "block_no", F.col("samples").alias("_v")
     )
-    w = F.col(w_name) if w_name else F.lit(float(wet))
     n = F.least(F.size("samples"), F.size("_v"))
     xs, vs = F.slice("samples", F.lit(1), n), F.slice("_v", F.lit(1), n)
     mixed = (

@@ -15,73 +15,29 @@ from pyspark.sql import functions as F
 
 from stemtable.session import ensure_checkpoint_dir
 
-# A key with more rows than this is split.  The number of such keys is at most
-# (row count / HOT_ROWS), which bounds the broadcast of the hot-key list.
-HOT_ROWS = 1_000_000
-HOT_ROWS_CONF = "stemtable.hot.rows"
-# Slices a hot key is split into on the row side / copies on the lookup side.
-HOT_SLICES = 256
-HOT_SLICES_CONF = "stemtable.hot.slices"
 # Largest table that bounded_broadcast() will send to every executor.
 BROADCAST_ROWS = 100_000
 
 
-def _setting(df: DataFrame, name: str, default: int) -> int:
-    return int(df.sparkSession.conf.get(name, str(default)))
-
-
 def skew_join(
-    rows: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    spread_by: Sequence[str] | None = None,
+    rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left"
 ) -> DataFrame:
-    """Join ``rows`` with ``lookup`` (few rows per key) without a hot task.
-
-    Keys with more than ``HOT_ROWS`` rows are salted on the row side and copied
-    per salt on the lookup side; all other keys join as usual and are copied
-    once.  ``how`` may be inner, left, left_semi or left_anti.  ``spread_by``
-    names columns that differ within a key (default: all other columns).
+    """Join ``rows`` with ``lookup`` (few rows per key) so that a hot key splits.
+
+    Adaptive execution cuts an oversized shuffle partition of ``rows`` into many
+    tasks, but only where both inputs of the join are shuffled for the join
+    itself.  A lookup that was just grouped by the same key is not: its
+    partitioning would be reused, and with it the one huge task.  A second join
+    key, a function of the first that is always 0, makes both sides shuffle
+    afresh (a lookup below the broadcast threshold is still broadcast).  Rows
+    with a null key are spread the same way.
     """
     if how not in {"inner", "left", "left_semi", "left_anti"}:
         raise ValueError(f"skew_join does not support how={how!r}")
-    on = list(on)
-    hot_rows = _setting(rows, HOT_ROWS_CONF, HOT_ROWS)
-    slices = _setting(rows, HOT_SLICES_CONF, HOT_SLICES)
-    others = [c for c in rows.columns if c not in on]
-    spread = list(spread_by) if spread_by else others or on
-    hot = (
-        rows.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_rows)
-        .select(*on, F.lit(True).alias("_hot"))
-    )
-    # Bounded: at most row count / HOT_ROWS keys.
-    hot = F.broadcast(hot)
-    # Null keys match nothing, so they can go anywhere: spread them as well.
-    no_key = F.lit(False)
-    for key in on:
-        no_key = no_key | F.col(key).isNull()
-    salted = rows.join(hot, on, "left").withColumn(
-        "_salt",
-        F.when(
-            F.col("_hot") | no_key, F.pmod(F.xxhash64(*spread), F.lit(slices)).cast("int")
-        ).otherwise(F.lit(0)),
-    )
-    copies = (
-        lookup.join(hot, on, "left")
-        .withColumn(
-            "_salt",
-            F.explode(
-                F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(slices - 1))).otherwise(
-                    F.array(F.lit(0))
-                )
-            ),
-        )
-        .drop("_hot")
-    )
-    return salted.drop("_hot").join(copies, [*on, "_salt"], how).drop("_salt")
+    zero = F.pmod(F.xxhash64(*on), F.lit(1))
+    left = rows.withColumn("_zero", zero)
+    right = lookup.withColumn("_zero", zero)
+    return left.join(right, [*on, "_zero"], how).drop("_zero")
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -92,6 +48,13 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return df
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: an expensive result that several later steps read is
+    computed once, and lost executors do not recompute what lies before it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def ordered_chunks(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Range-partition by ``order`` and pin the chunk number in ``_chunk``.
 
@@ -99,11 +62,10 @@ def ordered_chunks(df: DataFrame, order: Sequence[str]) -> DataFrame:
     chunks.  The result is checkpointed: range bounds come from a sample, so
     the chunk of a row must not be computed twice.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     chunked = df.repartitionByRange(*[F.col(c) for c in order]).withColumn(
         "_chunk", F.spark_partition_id()
     )
-    return chunked.checkpoint()
+    return settle(chunked)
 
 
 def _chunk_window(keys: Sequence[str], order: Sequence[str]):

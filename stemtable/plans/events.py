@@ -69,7 +69,7 @@ def job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(STATE_SQL)
 def job_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = state_streams.job_state_stream(job_event_stream(spark, sf_dir))
-    return _state_columns(latest_rows(run_available(stream, "update"), ["job_id"]))
+    return _state_columns(latest_rows(run_available(stream, "update", empty_batches=False), ["job_id"]))
 
 
 @query(
@@ -215,7 +215,7 @@ def eta(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ETA_SQL)
 def eta_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = job_event_stream(spark, sf_dir).withColumn("audio_dur_s", F.col("value") * 1e6)
-    return _eta_columns(run_available(state_streams.eta_stream(events)))
+    return _eta_columns(run_available(state_streams.eta_stream(events), empty_batches=False))
 
 
 def _sessions_sql(closed_only: str) -> str:

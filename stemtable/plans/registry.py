@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemtable.plans import audio, catalog, events, tables
+from stemtable.plans import audio, catalog, entries, events, tables
 
 
 def all_queries() -> dict:
     merged: dict = {}
-    for module in (catalog, tables, audio, events):
+    for module in (entries, catalog, tables, audio, events):
         for name, entry in module.QUERIES.items():
             if name in merged:
                 raise ValueError(f"query {name} is registered twice")
@@ -18,4 +18,4 @@ def all_queries() -> dict:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.QUERIES["extract_window"][0](spark, sf_dir)
+    return entries.extractable_clips(spark, sf_dir)

@@ -35,7 +35,7 @@ def job_documents(
     fields.  Every clip is in exactly one document of its job.
     """
     sizes = results.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"))
-    rows = skew_join(results, sizes, ["job_id"], "inner", ["clip_id"])
+    rows = skew_join(results, sizes, ["job_id"], "inner")
     documents = F.ceil(F.col("_n") / clips_per_document)
     rows = rows.withColumn("_doc", F.pmod(F.xxhash64("clip_id"), documents))
     ordered = F.array_sort(

@@ -6,10 +6,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from stemtable.session import ROCKSDB_PROVIDER, ensure_checkpoint_dir
 
 PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
+EMPTY_BATCH_CONF = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -18,21 +20,28 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_available(
+    stream: DataFrame, mode: str = "append", empty_batches: bool = True
+) -> DataFrame:
     """Process what is available now, then return the sink's rows with ``batch``.
 
+    ``empty_batches=False`` is for state with a processing-time TTL, which would
+    otherwise keep asking for one more batch without data.
+
     Each micro-batch overwrites its own folder, so a repeated batch after a
     failure leaves no duplicates.
     """
     spark = stream.sparkSession
     folder = shared_folder(spark, "stream")
-    schema = stream.schema
+    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
-    previous = spark.conf.get(PROVIDER_CONF)
-    spark.conf.set(PROVIDER_CONF, ROCKSDB_PROVIDER)
+    wanted = {PROVIDER_CONF: ROCKSDB_PROVIDER, EMPTY_BATCH_CONF: str(empty_batches).lower()}
+    previous = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         query = (
             stream.writeStream.outputMode(mode)
@@ -43,8 +52,9 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER_CONF, previous)
-    return spark.read.schema(schema.add("batch", "bigint")).parquet(f"{folder}/rows")
+        for name, value in previous.items():
+            spark.conf.set(name, value)
+    return spark.read.schema(schema).parquet(f"{folder}/rows")
 
 
 def latest_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
