@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stemtable.functions.once import once
+
 # Domain tag of our own key space.  To read keys written by another tool, pass
 # the tag it used.
 DOMAIN = "stemtable.cache.v1"
@@ -163,12 +165,15 @@ def canonical_identity(df: DataFrame, version: str = "v2") -> DataFrame:
         F.when(canonical_format(raw_format).isNull(), "unknown sample_format"),
         F.when(~digest.rlike("^[0-9a-f]{64}$"), "weights_sha256 must be 64 hex chars"),
     ]
-    out = out.withColumn("identity_error", F.coalesce(*problems))
-    return (
-        out.withColumn("wet_dry_sample_rate", wet_dry_rate(raw_enhancer))
-        .withColumn("enhancer_id", canonical_enhancer(raw_enhancer))
-        .withColumn("sample_format", canonical_format(raw_format))
-        .withColumn("weights_sha256", digest)
+    return once(
+        out,
+        {
+            "identity_error": F.coalesce(*problems),
+            "wet_dry_sample_rate": wet_dry_rate(raw_enhancer),
+            "enhancer_id": canonical_enhancer(raw_enhancer),
+            "sample_format": canonical_format(raw_format),
+            "weights_sha256": digest,
+        },
     )
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemtable import schemas
-from stemtable.functions import paths, timegrid as tg
-from stemtable.operators.spread import bounded_broadcast
+from stemtable.functions import paths
+from stemtable.functions.once import once
+from stemtable.operators.spread import bounded_broadcast, skew_join
 
 # Text formats of the contracts.
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
@@ -252,7 +253,7 @@ def contract_errors(
                 F.array().cast("array<struct<path:string,message:string>>"),
             ),
         )
-    return df.withColumn("errors", found)
+    return once(df, {"errors": found})
 
 
 def validate_contract(
@@ -338,8 +339,6 @@ def _split_by_prefix(df: DataFrame, allowed: DataFrame, text: Column, usable: Co
         .distinct()
         .withColumn("_inside", F.lit(True))
     )
-    from stemtable.operators.spread import skew_join
-
     flagged = skew_join(keyed, inside, ["_text"], "left")
     good = F.col("_ok") & F.coalesce(F.col("_inside"), F.lit(False))
     drop = ["_text", "_ok", "_inside"]

@@ -36,7 +36,7 @@ def job_state(events: DataFrame) -> DataFrame:
         F.min(F.when(F.col("event") == "running", F.col("seq"))).alias("_run"),
     )
     joined = skew_join(
-        events.select("job_id", "seq", "event", "pct"), marks, ["job_id"], "inner", ["seq"]
+        events.select("job_id", "seq", "event", "pct"), marks, ["job_id"], "inner"
     )
     after = F.coalesce(F.col("seq") > F.col("_end"), F.lit(False))
     progress = F.col("event") == "progress"

@@ -48,6 +48,15 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return df
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer tasks than cores, say one small file, over all
+    cores before heavy per-row work.  A scan of many splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: an expensive result that several later steps read is
     computed once, and lost executors do not recompute what lies before it."""

@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,6 +149,8 @@ PIECE_TYPE = (
     "n_windows bigint, overlap bigint, offset bigint, samples array<double>"
 )
 
+PIECE_COLUMNS = [field.split()[0] for field in PIECE_TYPE.split(", ")]
+
 
 def map_windows(
     blocks: DataFrame,
@@ -165,34 +167,32 @@ def map_windows(
     id_type = dict(blocks.dtypes)["clip_id"]
     pieces = slice_windows(blocks, windows, block, carry=("n_windows", "overlap"))
 
-    def one_window(part: pd.DataFrame) -> pd.DataFrame:
-        head = part.iloc[0]
-        n = int(head["end"] - head["start"])
-        channels = int(part["ch"].max()) + 1
-        audio = np.zeros((channels, n))
-        for ch, offset, samples in zip(part["ch"], part["offset"], part["samples"]):
-            audio[ch, offset : offset + len(samples)] = samples
+    def one_window(part: pa.Table) -> pa.Table:
+        head = part.slice(0, 1).to_pylist()[0]
+        n = head["end"] - head["start"]
+        channels = part["ch"].to_numpy()
+        audio = np.zeros((int(channels.max()) + 1, n))
+        lists = part["samples"].combine_chunks()
+        values, bounds = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        for ch, offset, low, high in zip(channels, part["offset"].to_numpy(), bounds, bounds[1:]):
+            audio[ch, offset : offset + high - low] = values[low:high]
         result = np.asarray(fn(audio), dtype=np.float64)
         fitted = np.zeros((result.shape[0], n))
         usable = min(n, result.shape[1])
         fitted[:, :usable] = result[:, :usable]
-        offsets = range(0, n, block)
-        rows = [(ch, at, fitted[ch, at : at + block]) for ch in range(len(fitted)) for at in offsets]
-        return pd.DataFrame(
-            {
-                "clip_id": head["clip_id"],
-                "ch": [r[0] for r in rows],
-                "win_no": head["win_no"],
-                "start": head["start"],
-                "end": head["end"],
-                "n_windows": head["n_windows"],
-                "overlap": head["overlap"],
-                "offset": [r[1] for r in rows],
-                "samples": [r[2] for r in rows],
-            }
-        )
-
-    return pieces.groupBy("clip_id", "win_no").applyInPandas(
+        offsets = np.arange(0, n, block)
+        rows = len(fitted) * len(offsets)
+        sizes = np.minimum(block, n - offsets)
+        ends = np.concatenate([[0], np.cumsum(np.tile(sizes, len(fitted)))])
+        repeated = ("clip_id", "win_no", "start", "end", "n_windows", "overlap")
+        columns = {c: pa.array([head[c]] * rows, part.schema.field(c).type) for c in repeated}
+        columns["ch"] = pa.array(np.repeat(np.arange(len(fitted)), len(offsets)), pa.int32())
+        columns["offset"] = pa.array(np.tile(offsets, len(fitted)), pa.int64())
+        columns["samples"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(fitted.ravel()))
+        return pa.table({name: columns[name] for name in PIECE_COLUMNS})
+
+    pieces = pieces.select(*PIECE_COLUMNS)
+    return pieces.groupBy("clip_id", "win_no").applyInArrow(
         one_window, PIECE_TYPE.format(id=id_type)
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stemtable.functions.properties import DUMP_TYPE
 from stemtable.operators import signals
+from stemtable.operators.spread import spread_scan
 
 # Small sizes so that test signals span several blocks and windows.
 BLOCK = 64
@@ -63,7 +64,7 @@ FPS_SQL = "(fps_num / CAST(fps_den AS DOUBLE))"
 
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = CLIPS_SELECT.replace("FROM lineitem", "FROM {lineitem}")
-    rows = spark.sql(source, lineitem=table(spark, sf_dir, "lineitem"))
+    rows = spark.sql(source, lineitem=spread_scan(table(spark, sf_dir, "lineitem")))
     return rows.withColumn("output_media_fps", fps_struct())
 
 
