@@ -355,7 +355,7 @@ H = "least(0.5E0, greatest(0E0, t0))"
 @query(
     _with(
         v.CLIPS_SQL,
-        f""", r AS (SELECT *, CASE WHEN l_linenumber = 6 THEN concat(clip_id, 'x') ELSE clip_id END AS rid,
+        f""", r AS (SELECT *, concat(clip_id, '-', source_out_sample, '-', source_sample_rate, CASE WHEN l_linenumber = 6 THEN 'x' ELSE '' END) AS rid,
    CASE WHEN l_linenumber = 5 THEN NULL ELSE {H} END AS h FROM clips_d)
 SELECT rid AS clip_id,
   CASE WHEN l_linenumber = 6 THEN concat('No inspect clip for job clip_id ', rid)
@@ -369,8 +369,10 @@ FROM r""",
 )
 def place_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    clips = v.inspected(spark, sf_dir)
-    known = clips.select("clip_id", "t0", "t1", "file_dur", "handle_s", "record_frame", "output_media_fps")
+    # The four-part key alone may repeat.
+    key = F.concat_ws("-", "clip_id", "source_out_sample", "source_sample_rate")
+    clips = v.inspected(spark, sf_dir).withColumn("clip_id", key)
+    known = clips.dropDuplicates(["clip_id"]).select("clip_id", "t0", "t1", "file_dur", "handle_s", "record_frame", "output_media_fps")
     results = clips.select(
         F.when(c("l_linenumber") == 6, F.concat("clip_id", F.lit("x"))).otherwise(c("clip_id")).alias("clip_id"),
         F.when(c("l_linenumber") != 4, "/out/a.wav").alias("output_path"),
