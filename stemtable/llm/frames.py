@@ -29,24 +29,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
-    """``id, text`` without nulls, and other columns as they are."""
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
-        *more,
-    )
+    """``id, text``, and other columns as they are; rows without id come last."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), "text", *more)
 
 
-def packed(docs: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
-    """``id, text, row``: all columns of ``docs`` (or ``keep``) in one struct, whatever they are called."""
-    columns = docs.columns if keep is None else list(keep)
-    return texts(docs, F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+def packed(docs: DataFrame) -> DataFrame:
+    """``id, text, row``: the other columns of ``docs`` in one struct, whatever they are called."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return texts(docs, F.struct(*others, F.lit(True).alias("_")).alias("row"))
 
 
-def unpacked(df: DataFrame, row: str = "row", **more: Column) -> DataFrame:
-    """The columns that ``packed`` put away, then ``more``; a new column replaces one of its name."""
-    names = [f.name for f in df.schema[row].dataType.fields if f.name not in more]
-    return df.select(*[F.col(row)[n].alias(n) for n in names], *[c.alias(n) for n, c in more.items()])
+def unpacked(df: DataFrame, columns: Sequence[str], **more: Column) -> DataFrame:
+    """``columns`` of the documents that were ``packed``, then ``more``; a new one replaces one of its name."""
+    kept = [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in columns if c not in more]
+    return df.select(*kept, *[c.alias(n) for n, c in more.items()])
 
 
 def code_point_words(text: Column) -> Column:

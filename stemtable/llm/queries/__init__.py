@@ -3,21 +3,72 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stemtable.llm import substring_dedup, suffix_array_dedup
+from stemtable.llm import (
+    decontaminate,
+    language_id,
+    license_scan,
+    mixing,
+    quality_rules,
+    substring_dedup,
+    suffix_array_dedup,
+    url_filter,
+)
 from stemtable.llm.frames import table
+from stemtable.llm.queries import sql
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    held_out = F.coalesce(held_out, F.lit(False))
+    model = language_id.train(docs.filter(~held_out))
+    named = language_id.identify(docs.select("doc_id", "text"), model)
+    return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.quality_rules(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.digested(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), window=10))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_array_dedup.suffix_array_dedup(table(spark, sf_dir, "documents"), window=400, keep_first=False)
-    return suffix_array_dedup.digested(found)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_array_dedup.digested(suffix_array_dedup.suffix_array_dedup(docs, window=400, keep_first=False))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "copies", "taken"
+    )
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.digested(substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), window=20))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.digested(substring_dedup.substring_dedup(docs, window=20))
 
 
 QUERIES = {
+    "op1_language_id": (op1_language_id, None),
+    "op3_quality_rules": (op3_quality_rules, None),
+    "op4_decontaminate": (op4_decontaminate, None),
+    "op5_url_filter": (op5_url_filter, url_filter.oracle_sql()),
     "op6_suffix_array_dedup": (op6_suffix_array_dedup, None),
+    "op8_mixing": (op8_mixing, sql.MIXING),
+    "op9_license_scan": (op9_license_scan, None),
     "op10_substring_dedup": (op10_substring_dedup, None),
 }

@@ -20,16 +20,15 @@ text.  Further columns are carried along whatever their names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from stemtable.llm.anchored import WINDOW_BASE, Scheme, covered, repeated_spans, text_mark, with_spans
 from stemtable.llm.frames import packed, texts, unpacked
-from stemtable.llm.symbols import Hasher, WordHasher, chunks, not_space
+from stemtable.llm.symbols import Hasher, WordHasher, chunks, cut_words, mask_of, not_space, rebuilt
 
 WINDOW = 20
 ANCHOR = 6
@@ -124,8 +123,8 @@ def _masks(batch: pa.RecordBatch, symbols_of, hasher):
         yield part, first, starts, ends, covered(part, first, mark, batch.column("spans"))
 
 
-def stripped(found: DataFrame) -> DataFrame:
-    """The columns of the documents, removed words cut out of ``text``.
+def stripped(found: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``columns`` of the documents, removed words cut out of ``text``.
 
     A cut goes from the first removed word to the next kept one.  A text without
     removed words stays as it is, byte by byte; a null text stays null.
@@ -139,25 +138,15 @@ def stripped(found: DataFrame) -> DataFrame:
                 for i in range(len(part)):
                     a, b = int(first[i]), int(first[i + 1])
                     data = part.data[part.offsets[i] : part.offsets[i + 1]]
-                    if gone[a:b].any():
-                        steps = np.zeros(len(data) + 1, dtype=np.int32)
-                        begin = starts[a:b] - part.offsets[i]
-                        stop = np.append(begin[1:], len(data))
-                        lost = gone[a:b]
-                        np.add.at(steps, begin[lost], 1)
-                        np.add.at(steps, stop[lost], -1)
-                        data = data[np.cumsum(steps)[:-1] == 0]
+                    data = cut_words(data, starts[a:b] - part.offsets[i], len(data), gone[a:b])
                     out.append(data.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out, pa.binary()).cast(pa.string()), batch.column("row")], names=["text", "row"]
+                [rebuilt(out, batch.column("text")), batch.column("row")], names=["text", "row"]
             )
 
-    kind = found.schema["row"].dataType.simpleString()
-    cleaned = found.mapInArrow(cut, f"text string, row {kind}")
-    if "text" not in [f.name for f in found.schema["row"].dataType.fields]:
-        return unpacked(cleaned)
-    text = cleaned["row"]["text"]
-    return unpacked(cleaned, text=F.when(text.isNotNull(), F.col("text"))).select(*found.select("row.*").columns)
+    kind = found.schema["row"].dataType
+    cleaned = found.mapInArrow(cut, f"text string, row {kind.simpleString()}")
+    return unpacked(cleaned, columns)
 
 
 def digested(found: DataFrame) -> DataFrame:
@@ -172,11 +161,8 @@ def digested(found: DataFrame) -> DataFrame:
                 data = np.append(part.data, np.uint8(0x20))
                 inner = ends < part.offsets[np.searchsorted(part.offsets, starts, "right")]
                 data[ends[inner]] = 0x20
-                steps = np.zeros(len(data) + 1, dtype=np.int32)
                 kept = ~gone
-                np.add.at(steps, starts[kept], 1)
-                np.add.at(steps, (ends + inner)[kept], -1)
-                keep = np.cumsum(steps)[:-1] > 0
+                keep = mask_of(len(data), starts[kept], (ends + inner)[kept])
                 for i in range(len(part)):
                     low, high = part.offsets[i], part.offsets[i + 1]
                     own = data[low:high][keep[low:high]].tobytes()

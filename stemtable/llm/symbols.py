@@ -193,3 +193,27 @@ def union_length(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
     new[1:] = starts[1:] > ends[:-1]
     firsts = np.flatnonzero(new)
     return starts[firsts], ends[np.append(firsts[1:], len(ends)) - 1]
+
+
+def mask_of(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of ``size`` places lie in one of the spans."""
+    steps = np.bincount(starts, minlength=size + 1).astype(np.int64)
+    steps -= np.bincount(ends, minlength=size + 1)
+    return np.cumsum(steps)[:size] > 0
+
+
+def cut_words(data: np.ndarray, starts: np.ndarray, ends_at: int, gone: np.ndarray) -> np.ndarray:
+    """The bytes of one text without its removed words, each cut up to the next word's start.
+
+    ``starts`` are word starts relative to the text, ``ends_at`` is its size.
+    """
+    if not gone.any():
+        return data
+    stops = np.append(starts[1:], ends_at)
+    return data[~mask_of(len(data), starts[gone], stops[gone])]
+
+
+def rebuilt(parts: list[bytes], before: pa.Array) -> pa.Array:
+    """A column of new texts, null where the text before was null."""
+    nulls = before.is_null().to_numpy(zero_copy_only=False)
+    return pa.array(parts, pa.binary(), mask=nulls).cast(pa.string())
