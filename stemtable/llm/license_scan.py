@@ -109,14 +109,22 @@ def shingle_hashes(words: Column) -> Column:
 
 def bands(shingles: Column) -> Column:
     """``(band, value)`` of the BANDS MinHashes of a set of shingles."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(j).alias("band"),
-                F.array_min(F.transform(shingles, lambda h, j=j: F.xxhash64(h, F.lit(j)))).alias("value"),
-            )
-            for j in range(BANDS)
-        ]
+
+    def band(j: int) -> Column:
+        values = F.transform(shingles, lambda h: F.xxhash64(h, F.lit(j)))
+        return F.struct(F.lit(j).alias("band"), F.array_min(values).alias("value"))
+
+    return F.array(*[band(j) for j in range(BANDS)])
+
+
+def windows(hashes: Column, size: int) -> Column:
+    """Windows of ``size`` shingles at steps of half a window; the last ones may be shorter."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(hashes) - 1, F.lit(0)), F.lit(size // 2))
+    return F.transform(
+        starts,
+        lambda at: F.struct(
+            F.lit(size).alias("length"), at.alias("first_word"), F.slice(hashes, at + 1, size).alias("part")
+        ),
     )
 
 
@@ -141,22 +149,8 @@ def license_scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLAT
     words = F.filter(F.split(F.lower("text"), WORD), lambda w: w != "")
     cut = gated.select("doc_id", F.inline(F.array(F.struct(words.alias("words")))))
     hashed = cut.select("doc_id", F.inline(F.array(F.struct(shingle_hashes(F.col("words")).alias("hashes")))))
-    windows = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.sequence(F.lit(0), F.greatest(F.size("hashes") - 1, F.lit(0)), F.lit(size // 2)),
-                    lambda at, size=size: F.struct(
-                        F.lit(size).alias("length"),
-                        at.alias("first_word"),
-                        F.slice(F.col("hashes"), at + 1, size).alias("part"),
-                    ),
-                )
-                for size in lengths
-            ]
-        )
-    )
-    cut = hashed.filter(F.size("hashes") > 0).select("doc_id", F.inline(windows))
+    found = F.flatten(F.array(*[windows(F.col("hashes"), size) for size in lengths]))
+    cut = hashed.filter(F.size("hashes") > 0).select("doc_id", F.inline(found))
     banded = cut.select("doc_id", "length", "first_word", "part", F.inline(bands(F.col("part"))))
     index = table.select("template", "license", "length", "own", F.inline(bands(F.col("own"))))
     # The templates are a fixed list: their bands have BANDS rows each.

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from stemtable.llm import (
     decontaminate,
+    html_extract,
     language_id,
     license_scan,
     mixing,
+    ngram_join,
     quality_rules,
     substring_dedup,
     suffix_array_dedup,
@@ -28,6 +30,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.quality_rules(docs, table(spark, sf_dir, "labels")).drop("text")
@@ -47,6 +53,11 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup.digested(suffix_array_dedup.suffix_array_dedup(docs, window=400, keep_first=False))
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.html_extract(pages, html_extract.train(pages))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "copies", "taken"
@@ -64,10 +75,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": (op1_language_id, None),
+    "op2_ngram_join": (op2_ngram_join, None),
     "op3_quality_rules": (op3_quality_rules, None),
     "op4_decontaminate": (op4_decontaminate, None),
     "op5_url_filter": (op5_url_filter, url_filter.oracle_sql()),
     "op6_suffix_array_dedup": (op6_suffix_array_dedup, None),
+    "op7_html_extract": (op7_html_extract, None),
     "op8_mixing": (op8_mixing, sql.MIXING),
     "op9_license_scan": (op9_license_scan, None),
     "op10_substring_dedup": (op10_substring_dedup, None),

@@ -137,7 +137,7 @@ WITH rest AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
     regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM rest
 ), judged AS (
-  SELECT page_id, host, path, list_max(list_filter([{', '.join(choices)}], x -> x IS NOT NULL)) AS best FROM parts
+  SELECT page_id, host, path, list_max(list_filter([{', '.join(choices)}], lambda x: x IS NOT NULL)) AS best FROM parts
 )
 SELECT page_id, host, path, CASE WHEN best.p > 0 THEN best.rule END AS rule,
   coalesce(best.v, 'allow') AS verdict FROM judged"""
