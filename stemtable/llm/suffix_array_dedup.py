@@ -5,7 +5,7 @@ in the corpus; matches never cross documents.  ``keep_first=True`` leaves the
 first occurrence of each string; ``False`` removes all of them.
 
 ``anchored`` routes the passages that can repeat to shards.  In a shard the
-suffix array comes from prefix doubling; among suffixes that share ``window``
+suffix array comes from prefix doubling over pieces; among suffixes that share ``window``
 bytes with a neighbour, the previous and next smaller positions in suffix order
 give the longest previous factor, and the same with larger positions the longest
 factor that follows.  A window repeats if one of them reaches ``window``.
@@ -27,42 +27,59 @@ from pyspark.sql import DataFrame
 
 from stemtable.llm.anchored import WINDOW_BASE, Scheme, covered, repeated_spans, symboliser, text_mark, with_spans
 from stemtable.llm.frames import packed, texts
-from stemtable.llm.symbols import Hasher, chunks
+from stemtable.llm.symbols import Hasher, byte_values, chunks
 
 WINDOW = 400
-ANCHOR = 48
 SHARD_BYTES = 1 << 20
+PIECE_BASE = 0xD6E8FEB86659FD93
 
 
-def suffix_ranks(data: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, list]:
-    """Suffix order of a byte string by its first ``depth`` bytes at least, and the ranks of each doubling.
+def steps(window: int) -> int:
+    """The first width of the doubling: a part of the window by a power of two, 16 at most."""
+    width = window
+    while width % 2 == 0 and window // width < 16:
+        width //= 2
+    return width
 
-    ``ends[i]`` is where the text of position i ends; a suffix stops there.
+
+def suffix_ranks(data: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, list]:
+    """Suffix order of a byte string as far as ``window`` bytes, and the ranks of each doubling.
+
+    ``ends[i]`` is where the text of position i ends; a suffix stops there.  The
+    order compares pieces of ``steps(window)`` bytes by a 64-bit hash instead of
+    the alphabet: any fixed order of pieces makes equal beginnings neighbours.
     """
-    n = len(data)
-    # The first eight bytes at once; a byte counts 1 to 256, and 0 behind the end, in 9 bits for seven of them.
+    n, width = len(data), steps(window)
     place = np.arange(n)
-    first = np.zeros(n, dtype=np.uint64)
-    padded = np.concatenate([data.astype(np.uint64) + 1, np.zeros(8, dtype=np.uint64)])
-    step = 4
-    for j in range(step):
-        inside = place + j < ends
-        first = (first << np.uint64(9)) | np.where(inside, padded[j : j + n], 0)
-    levels = []
-    rank = np.unique(first, return_inverse=True)[1].astype(np.int64)
-    width = step
-    levels.append((width, rank))
-    while width < depth:
+    pieces = np.zeros(n, dtype=np.uint64)
+    hasher = Hasher(PIECE_BASE)
+    own = hasher.windows(hasher.prefix(byte_values()[data]), width)
+    pieces[: len(own)] = own
+    pieces[place + width > ends] = 0  # no match of a whole window begins here
+    rank = dense_rank(pieces)
+    levels = [(width, rank)]
+    while width < window:
         beyond = place + width
         second = np.where(beyond < ends, rank[np.minimum(beyond, n - 1)] + 1, 0)
-        rank = np.unique((rank << 32) | second, return_inverse=True)[1].astype(np.int64)
+        rank = dense_rank((rank << 32) | second)
         width *= 2
         levels.append((width, rank))
     return np.argsort(rank, kind="stable"), levels
 
 
+def dense_rank(keys: np.ndarray) -> np.ndarray:
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.empty(len(keys), dtype=np.int64)
+    new[0] = 0
+    np.cumsum(ordered[1:] != ordered[:-1], out=new[1:])
+    out = np.empty(len(keys), dtype=np.int64)
+    out[order] = new
+    return out
+
+
 def common_prefix(levels: list, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Bytes that the suffixes at ``a`` and ``b`` share, up to the depth of the ranks."""
+    """Bytes that the suffixes at ``a`` and ``b`` share, in whole pieces and up to the depth of the ranks."""
     total = np.zeros(len(a), dtype=np.int64)
     n = len(ends)
     for width, rank in reversed(levels):
@@ -70,7 +87,6 @@ def common_prefix(levels: list, ends: np.ndarray, a: np.ndarray, b: np.ndarray)
         inside = (x + width <= ends[a]) & (y + width <= ends[b])
         same = inside & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)])
         total += np.where(same, width, 0)
-    # What is left is shorter than the first level; its bytes are compared by the caller's data if it matters.
     return total
 
 
@@ -89,10 +105,12 @@ def previous_and_next(positions: list[int]) -> tuple[list[int], list[int]]:
 def longest_factors(data: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Longest previous and longest following factor of each position.
 
-    Lengths are right up to multiples of four bytes where they reach ``window``
-    and 0 where they do not.
+    Lengths count whole pieces, twice the window at most, where they reach
+    ``window``, and are 0 where they do not.
     """
     n = len(data)
+    if not n:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     previous, following = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     order, levels = suffix_ranks(data, ends, window)
     if n < 2:
@@ -141,9 +159,7 @@ def repeated_windows(passages: list[np.ndarray], window: int) -> Iterator[np.nda
 def suffix_array_dedup(docs: DataFrame, window: int = WINDOW, keep_first: bool = True) -> DataFrame:
     """``id, text, row, spans``: ``row`` holds the columns of ``docs``, ``spans`` the packed byte
     ranges to remove, null if there are none."""
-    if window % 4:
-        raise ValueError("window must be a multiple of 4 bytes")
-    scheme = Scheme(window, min(ANCHOR, window), "byte", SHARD_BYTES)
+    scheme = Scheme(window, max(1, window // 2), "byte", SHARD_BYTES)
     match = earlier_windows if keep_first else repeated_windows
     return with_spans(packed(docs), repeated_spans(texts(docs), scheme, match, keep_first))
 
