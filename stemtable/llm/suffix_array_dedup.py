@@ -4,11 +4,11 @@ Finds bytes that a string of ``window`` bytes covers which also starts elsewhere
 in the corpus; matches never cross documents.  ``keep_first=True`` leaves the
 first occurrence of each string; ``False`` removes all of them.
 
-``anchored`` routes the passages that can repeat to shards.  In a shard the
-suffix array comes from prefix doubling over pieces; among suffixes that share ``window``
-bytes with a neighbour, the previous and next smaller positions in suffix order
-give the longest previous factor, and the same with larger positions the longest
-factor that follows.  A window repeats if one of them reaches ``window``.
+``anchored`` routes the passages that can repeat to shards.  In a shard a suffix
+array over the window starts, sorted as far as the window, gives the longest
+previous factor of each start from the previous and next smaller places in suffix
+order, and from the larger places the longest factor that follows.  A window
+repeats if one of them reaches ``window``.
 
 Nulls and empty texts have no bytes.  Repeated rows are copies of each other
 (``keep_first=True``: rows of equal id and text count as one document given
@@ -34,126 +34,58 @@ SHARD_BYTES = 1 << 20
 PIECE_BASE = 0xD6E8FEB86659FD93
 
 
-def steps(window: int) -> int:
-    """The first width of the doubling: a part of the window by a power of two, 16 at most."""
-    width = window
-    while width % 2 == 0 and window // width < 16:
-        width //= 2
-    return width
+def longest_factors(data: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Longest previous and longest following factor of each of ``starts``, truncated at ``window``.
 
-
-def suffix_ranks(data: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, list]:
-    """Suffix order of a byte string as far as ``window`` bytes, and the ranks of each doubling.
-
-    ``ends[i]`` is where the text of position i ends; a suffix stops there.  The
-    order compares pieces of ``steps(window)`` bytes by a 64-bit hash instead of
-    the alphabet: any fixed order of pieces makes equal beginnings neighbours.
-    """
-    n, width = len(data), steps(window)
-    place = np.arange(n)
-    pieces = np.zeros(n, dtype=np.uint64)
-    hasher = Hasher(PIECE_BASE)
-    own = hasher.windows(hasher.prefix(byte_values()[data]), width)
-    pieces[: len(own)] = own
-    pieces[place + width > ends] = 0  # no match of a whole window begins here
-    rank = dense_rank(pieces)
-    levels = [(width, rank)]
-    while width < window:
-        beyond = place + width
-        second = np.where(beyond < ends, rank[np.minimum(beyond, n - 1)] + 1, 0)
-        rank = dense_rank((rank << 32) | second)
-        width *= 2
-        levels.append((width, rank))
-    return np.argsort(rank, kind="stable"), levels
-
-
-def dense_rank(keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys)
-    ordered = keys[order]
-    new = np.empty(len(keys), dtype=np.int64)
-    new[0] = 0
-    np.cumsum(ordered[1:] != ordered[:-1], out=new[1:])
-    out = np.empty(len(keys), dtype=np.int64)
-    out[order] = new
-    return out
-
-
-def common_prefix(levels: list, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Bytes that the suffixes at ``a`` and ``b`` share, in whole pieces and up to the depth of the ranks."""
-    total = np.zeros(len(a), dtype=np.int64)
-    n = len(ends)
-    for width, rank in reversed(levels):
-        x, y = a + total, b + total
-        inside = (x + width <= ends[a]) & (y + width <= ends[b])
-        same = inside & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)])
-        total += np.where(same, width, 0)
-    return total
-
-
-def previous_and_next(positions: list[int]) -> tuple[list[int], list[int]]:
-    """For each entry the nearest smaller one before and behind it in the list, or -1."""
-    before, behind, stack = [-1] * len(positions), [-1] * len(positions), []
-    for i, p in enumerate(positions):
-        while stack and positions[stack[-1]] > p:
-            behind[stack.pop()] = i
-        if stack:
-            before[i] = stack[-1]
-        stack.append(i)
-    return before, behind
-
-
-def longest_factors(data: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Longest previous and longest following factor of each position.
-
-    Lengths count whole pieces, twice the window at most, where they reach
-    ``window``, and are 0 where they do not.
+    ``starts`` are places in ascending order at which a whole window fits.  The
+    suffixes there are sorted as far as the window, by pieces of half a window;
+    pieces are compared by a 64-bit hash, since any fixed order makes equal
+    beginnings neighbours.  Equal ones stay in order of place, so within a run of
+    them the previous smaller place is the left neighbour and the next smaller
+    place lies outside the run, where nothing shares the window; likewise the
+    next larger place is the right neighbour.  Shorter factors count as 0.
     """
-    n = len(data)
-    if not n:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    previous, following = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-    order, levels = suffix_ranks(data, ends, window)
-    if n < 2:
-        return previous, following
-    near = common_prefix(levels, ends, order[:-1], order[1:]) >= window
-    # Runs of suffixes that share the window with their neighbours; no match leads out of a run.
-    member = np.zeros(n, dtype=bool)
-    member[:-1] |= near
-    member[1:] |= near
-    breaks = np.flatnonzero(member)
-    if not len(breaks):
+    previous, following = np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
+    if len(starts) < 2:
         return previous, following
-    run = np.cumsum(np.concatenate([[True], ~near]))[breaks]
-    place = order[breaks]
-    for target, sign in ((previous, 1), (following, -1)):
-        # A run ends every chain: runs are set apart by offsets that grow in reverse.
-        keyed = (sign * place - run * (2 * n)).tolist()
-        for found in previous_and_next(keyed):
-            found = np.array(found)
-            ok = (found >= 0) & (run[np.maximum(found, 0)] == run)
-            a, b = place[ok], place[found[ok]]
-            target[a] = np.maximum(target[a], common_prefix(levels, ends, a, b))
+    width = window // 2 if window % 2 == 0 else window
+    hasher = Hasher(PIECE_BASE)
+    pieces = hasher.windows(hasher.prefix(byte_values()[data]), width)
+    keys = [pieces[starts + offset] for offset in range(0, window, width)]
+    order = np.lexsort(keys[::-1])
+    shared = np.zeros(len(order) - 1, dtype=np.int64)
+    equal = np.ones(len(shared), dtype=bool)
+    for key in keys:
+        equal &= key[order[1:]] == key[order[:-1]]
+        shared += np.where(equal, width, 0)
+    shared[shared < window] = 0
+    previous[order[1:]] = shared
+    following[order[:-1]] = shared
     return previous, following
 
 
-def _flat(passages: list[np.ndarray]):
+def _windows(passages: list[np.ndarray], window: int):
+    """All bytes in a row, the places of all windows, and how many each passage has."""
     sizes = np.array([len(p) for p in passages])
-    stops = np.cumsum(sizes)
-    return np.concatenate(passages), np.repeat(stops, sizes), stops - sizes, stops
+    counts = sizes - window + 1
+    begin = np.cumsum(sizes) - sizes
+    first = np.cumsum(counts) - counts
+    starts = np.arange(counts.sum()) + np.repeat(begin - first, counts)
+    return np.concatenate(passages), starts, np.append(first, counts.sum())
 
 
 def earlier_windows(passages: list[np.ndarray], window: int) -> Iterator[np.ndarray]:
-    data, ends, starts, stops = _flat(passages)
-    previous, _ = longest_factors(data, ends, window)
-    for a, b in zip(starts, stops, strict=True):
-        yield previous[a : b - window + 1] >= window
+    data, starts, first = _windows(passages, window)
+    previous, _ = longest_factors(data, starts, window)
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        yield previous[a:b] >= window
 
 
 def repeated_windows(passages: list[np.ndarray], window: int) -> Iterator[np.ndarray]:
-    data, ends, starts, stops = _flat(passages)
-    previous, following = longest_factors(data, ends, window)
-    for a, b in zip(starts, stops, strict=True):
-        yield np.maximum(previous, following)[a : b - window + 1] >= window
+    data, starts, first = _windows(passages, window)
+    previous, following = longest_factors(data, starts, window)
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        yield np.maximum(previous, following)[a:b] >= window
 
 
 def suffix_array_dedup(docs: DataFrame, window: int = WINDOW, keep_first: bool = True) -> DataFrame:

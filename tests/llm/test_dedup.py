@@ -100,7 +100,11 @@ def brute_components(rows, size, percent):
             if a < b and both and 100 * both >= percent * len(sets[a] | sets[b]):
                 x, y = root(a), root(b)
                 label[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), root(i)) for i in sets}
+    different = {}
+    for i in sets:
+        near = {sets[j] for j in sets if sets[j] != sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+        different[i] = len(near) if sets[i] else 0
+    return {i: (len(sets[i]), root(i), different[i]) for i in sets}
 
 
 @pytest.mark.parametrize("hot", [512, 2])
@@ -180,24 +184,27 @@ def test_longest_factors_against_brute_force():
     data = rng.integers(0, 2, 400).astype(np.uint8)
     data[200:260] = data[20:80]
     data[300:330] = data[30:60]
-    ends = np.repeat([150, 290, 400], [150, 140, 110])
-    window = 16
-    previous, following = suffix_array_dedup.longest_factors(data, ends, window)
-    for i in range(400):
-        own = [data[i : i + window].tobytes()] if i + window <= ends[i] else []
-        where = [j for j in range(400) if own and j + window <= ends[j] and data[j : j + window].tobytes() == own[0]]
-        assert (previous[i] >= window) == any(j < i for j in where)
-        assert (following[i] >= window) == any(j > i for j in where)
-
-
-@pytest.mark.parametrize("hot", [32, 2])
+    ends = [150, 290, 400]
+    for window in (16, 15):
+        texts = np.split(data, ends[:-1])
+        got, starts, first = suffix_array_dedup._windows(texts, window)
+        assert (got == data).all() and len(first) == 4
+        previous, following = suffix_array_dedup.longest_factors(data, starts, window)
+        own = [data[i : i + window].tobytes() for i in starts]
+        for k, piece in enumerate(own):
+            assert (previous[k] >= window) == (piece in own[:k])
+            assert (following[k] >= window) == (piece in own[k + 1 :])
+
+
+@pytest.mark.parametrize(("hot", "pairs"), [(32, 2000), (2, 0)])
 @pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80), (2, 60)])
-def test_ngram_join(spark, monkeypatch, size, percent, hot):
+def test_ngram_join(spark, monkeypatch, size, percent, hot, pairs):
+    monkeypatch.setattr(ngram_join, "MATRIX_PAIRS", pairs)
     monkeypatch.setattr(ngram_join, "HOT", hot)
     monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 5_000)
     rows = corpus(5)
     found = ngram_join.ngram_join(frame(spark, rows), size, percent).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows, size, percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in found} == brute_components(rows, size, percent)
     assert any(r.n_links for r in found)
 
 
