@@ -28,6 +28,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A small fixed table of literals, without Python on the executors."""
+    if not rows:
+        return spark.createDataFrame([], schema)
+    names = [field.split()[0] for field in schema.split(", ")]
+
+    def value(x) -> Column:
+        return F.array(*[F.lit(y) for y in x]) if isinstance(x, list) else F.lit(x)
+
+    structs = [F.struct(*[value(x).alias(n) for n, x in zip(names, row, strict=True)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """``id, text``, and other columns as they are; rows without id come last."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), "text", *more)
@@ -36,17 +49,10 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 def packed(docs: DataFrame) -> DataFrame:
     """``id, text, row``: the other columns of ``docs`` in one struct, whatever they are called."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    return texts(docs, F.struct(*others, F.lit(True).alias("_")).alias("row"))
+    return texts(docs, F.struct(*others, F.lit(True).alias("_packed")).alias("row"))
 
 
 def unpacked(df: DataFrame, columns: Sequence[str], **more: Column) -> DataFrame:
     """``columns`` of the documents that were ``packed``, then ``more``; a new one replaces one of its name."""
     kept = [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in columns if c not in more]
     return df.select(*kept, *[c.alias(n) for n, c in more.items()])
-
-
-def code_point_words(text: Column) -> Column:
-    """Number of words [^\\x20\\x09-\\x0D]+ of a text, in generated code."""
-    gaps = F.translate(text, "\t\n\u000b\f\r", "     ")
-    # A word begins at each character that is no space and follows a space.
-    return F.size(F.filter(F.split(gaps, " "), lambda w: w != ""))

@@ -49,7 +49,7 @@ BLOCK_TAGS = frozenset(
     " section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
 # Elements whose content is never text of the page.
-HIDDEN_TAGS = frozenset("script style template head svg math object".split())
+HIDDEN_TAGS = frozenset("script style template head title svg math object".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # An opening tag of the first kind closes an open one of the second.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -424,7 +424,7 @@ def html_extract(pages: DataFrame, labeller: Labeller) -> DataFrame:
             )
 
     others = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
-    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in others], F.lit(True).alias("_")).alias("row"), "html")
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in others], F.lit(True).alias("_packed")).alias("row"), "html")
     kind = rows.schema["row"].dataType.simpleString()
     done = rows.mapInArrow(extract, f"row {kind}, text string, n_chars long")
     return unpacked(done, others, text=F.col("text"), n_chars=F.col("n_chars"))

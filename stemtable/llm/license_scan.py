@@ -26,6 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stemtable.llm.frames import literal_table
+
 SHINGLE = 5
 CONTAINMENT = 0.8
 BANDS = 24
@@ -133,9 +135,8 @@ def template_table(docs: DataFrame, templates: Sequence[tuple[str, str]]) -> Dat
         (i, name, template_words(text), window_size(len(template_shingles(template_words(text)))))
         for i, (name, text) in enumerate(templates)
     ]
-    table = docs.sparkSession.createDataFrame(
-        rows, "template int, license string, words array<string>, length int"
-    )
+    schema = "template int, license string, words array<string>, length int"
+    table = literal_table(docs.sparkSession, rows, schema)
     return table.select("template", "license", "length", F.array_distinct(shingle_hashes(F.col("words"))).alias("own"))
 
 

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stemtable.llm.frames import literal_table
 from stemtable.operators.spread import skew_join
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,9 +79,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def rule_table(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     rows = [(r.name, r.pattern, list(r.tokens) or [""], r.verdict, r.priority, r.length) for r in rules]
-    return docs.sparkSession.createDataFrame(
-        rows, "rule string, pattern string, tokens array<string>, verdict string, priority int, length int"
-    )
+    schema = "rule string, pattern string, tokens array<string>, verdict string, priority int, length int"
+    return literal_table(docs.sparkSession, rows, schema)
 
 
 def url_filter(pages: DataFrame, rules: Sequence[Rule] | None = None, url: str = "url") -> DataFrame:
