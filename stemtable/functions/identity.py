@@ -149,21 +149,21 @@ def canonical_identity(df: DataFrame, version: str = "v2") -> DataFrame:
     problems = []
     for name, tag in FIELDS_V1.items():
         column = F.col(name)
-        problems.append(F.when(column.isNull(), f"missing identity field: {name}"))
+        problems.append(F.when(column.isNull(), f"missing:{name}"))
         if tag == "I":
-            problems.append(F.when(~_in_uint64(column), f"{name} out of uint64 range"))
+            problems.append(F.when(~_in_uint64(column), f"range:{name}"))
         elif tag == "S":
-            problems.append(F.when(column == "", f"{name} must be a non-empty str"))
+            problems.append(F.when(column == "", f"empty:{name}"))
         elif tag == "T":
             bad = F.exists(column, lambda x: x.isNull() | ~_in_uint64(x))
-            problems.append(F.when(bad, f"{name}[] out of uint64 range"))
+            problems.append(F.when(bad, f"range:{name}[]"))
     digest = F.lower(F.trim(F.col("weights_sha256")))
     problems += [
-        F.when(F.size("file_id") != 4, "file_id must have 4 numbers"),
-        F.when(~F.size("channel_map").between(1, 2), "channel_map must have 1 or 2 channels"),
-        F.when(canonical_enhancer(raw_enhancer).isNull(), "unknown enhancer_id"),
-        F.when(canonical_format(raw_format).isNull(), "unknown sample_format"),
-        F.when(~digest.rlike("^[0-9a-f]{64}$"), "weights_sha256 must be 64 hex chars"),
+        F.when(F.size("file_id") != 4, "file_id_size"),
+        F.when(~F.size("channel_map").between(1, 2), "channel_map_size"),
+        F.when(canonical_enhancer(raw_enhancer).isNull(), "unknown_enhancer"),
+        F.when(canonical_format(raw_format).isNull(), "unknown_format"),
+        F.when(~digest.rlike("^[0-9a-f]{64}$"), "bad_weights_digest"),
     ]
     return once(
         out,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stemtable import schemas
 from stemtable.functions import paths
 from stemtable.functions.once import once
-from stemtable.operators.spread import bounded_broadcast, skew_join
+from stemtable.operators.spread import skew_join
 
 # Text formats of the contracts.
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
@@ -293,11 +293,11 @@ def check_job_consistency(
         F.coalesce(
             F.when(
                 ~canonical(roots).eqNullSafe(canonical(params_roots)),
-                "allowed_roots does not match params.allowed_roots",
+                "roots_differ",
             ),
             F.when(
                 ~F.coalesce(same_dir, F.lit(False)),
-                "output_dir does not match params.output_dir",
+                "output_dir_differs",
             ),
         ),
     )
@@ -314,9 +314,9 @@ def paths_under_roots(
     return df.withColumn(
         "path_error",
         F.coalesce(
-            F.when(root_error, "bad allowed root"),
+            F.when(root_error, "bad_root"),
             paths.path_error(path),
-            F.when(~paths.under_any(path, roots), "path is outside allowed_roots"),
+            F.when(~paths.under_any(path, roots), "outside_roots"),
         ),
     )
 
@@ -339,9 +339,8 @@ def _split_by_prefix(df: DataFrame, allowed: DataFrame, text: Column, usable: Co
     keyed = df.withColumn("_text", text).withColumn("_ok", F.coalesce(usable, F.lit(False)))
     distinct = keyed.filter("_ok").select("_text").distinct()
     prefixes = distinct.select("_text", F.explode(paths.ancestors("_text")).alias("_prefix"))
-    # The allow-list is small in practice; its size is checked before a broadcast.
     inside = (
-        prefixes.join(bounded_broadcast(allowed), "_prefix", "left_semi")
+        skew_join(prefixes, allowed, ["_prefix"], "left_semi")
         .select("_text")
         .distinct()
         .withColumn("_inside", F.lit(True))

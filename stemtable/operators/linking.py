@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemtable.operators.spread import skew_join
 from stemtable.session import ensure_checkpoint_dir
 
-MAX_ROUNDS = 50
-
 
 def _smallest_neighbour(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -47,6 +47,7 @@ def linked_groups(
     src: str = "src",
     dst: str = "dst",
     group: str = "group_id",
+    max_rounds: int | None = None,
 ) -> DataFrame:
     """Add ``group``: the smallest item id of the item's connected component.
 
@@ -71,14 +72,14 @@ def linked_groups(
         ).first()
 
     before = signature(edges)
-    for _ in range(MAX_ROUNDS):
+    for done in itertools.count(1):
         edges = _small_star(_large_star(edges)).checkpoint()
         after = signature(edges)
         if after == before:
             break
+        if done == max_rounds:
+            raise RuntimeError(f"linked_groups did not settle in {max_rounds} rounds")
         before = after
-    else:
-        raise RuntimeError(f"linked_groups did not settle in {MAX_ROUNDS} rounds")
     # At the fixed point every edge leads from a node straight to its minimum,
     # so there is one row per node.
     labels = edges.select(F.col("u").alias(item), F.col("v").alias("_label"))

@@ -28,14 +28,11 @@ def place_results(results: DataFrame, clips: DataFrame) -> DataFrame:
         joined.withColumn("output_media_fps", fps), left="handles_left_actual"
     )
     error = F.coalesce(
-        F.when(
-            F.col("_known").isNull(),
-            F.concat(F.lit("No inspect clip for job clip_id "), F.coalesce("clip_id", F.lit("null"))),
-        ),
-        F.when(F.coalesce(F.col("output_path") == "", F.lit(True)), "job result is missing output_path"),
-        F.when(F.col("handles_left_actual").isNull(), "job result is missing handles_left_actual"),
-        F.when(F.col("record_frame").isNull(), "recordFrame is required"),
-        F.when(F.coalesce(F.col("t1") <= F.col("t0"), F.lit(True)), "place requires t0 < t1"),
+        F.when(F.col("_known").isNull(), "no_clip"),
+        F.when(F.coalesce(F.col("output_path") == "", F.lit(True)), "no_output_path"),
+        F.when(F.col("handles_left_actual").isNull(), "no_left_handle"),
+        F.when(F.col("record_frame").isNull(), "no_record_frame"),
+        F.when(F.coalesce(F.col("t1") <= F.col("t0"), F.lit(True)), "empty_range"),
         F.when(F.col("error_code").isNotNull(), F.col("error_code")),
     )
     return placed.withColumn("place_error", error).drop("_known", "error_code").withColumn(

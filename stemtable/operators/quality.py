@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from stemtable.operators.spread import skew_join
 from stemtable.operators.signals import BLOCK, fold_mono_mid, halo, merge_parts, regrid, signal_shape
 
-MAX_LAG = 64
 # Acceptance limits.
 LAG_LIMIT = 1
 PEARSON_LIMIT = 0.99
@@ -22,10 +21,11 @@ SEAM_FLOOR = 1e-20
 RESAMPLE_TOLERANCE = 1
 
 
-def sync_lag(a: DataFrame, b: DataFrame, max_lag: int = MAX_LAG, block: int = BLOCK) -> DataFrame:
+def sync_lag(a: DataFrame, b: DataFrame, max_lag: int, block: int = BLOCK) -> DataFrame:
     """Per clip the integer ``lag`` in [-max_lag, max_lag] that maximises the sum
     of ``a[i + lag] * b[i]`` on the mono mix; positive means ``a`` is late, the
-    smallest lag wins a tie.
+    smallest lag wins a tie.  The caller names the range; ``lag_out_of_range``
+    tells that the best score lies at its edge, so the true lag may lie beyond.
 
     Each block of ``b`` meets the same block of ``a`` widened by max_lag, gives
     2 * max_lag + 1 partial sums, and those are added per clip.
@@ -56,15 +56,17 @@ def sync_lag(a: DataFrame, b: DataFrame, max_lag: int = MAX_LAG, block: int = BL
         .groupBy("clip_id", (F.col("_i") - max_lag).alias("lag"))
         .agg(F.sum("_s").alias("score"))
     )
-    return per_lag.groupBy("clip_id").agg(
+    best = per_lag.groupBy("clip_id").agg(
         F.max_by("lag", F.struct("score", -F.col("lag"))).alias("lag")
     )
+    return best.withColumn("lag_out_of_range", F.abs("lag") == max_lag)
 
 
 def sync_quality(a: DataFrame, b: DataFrame, lags: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pearson r, RMS ratio and length difference after shifting ``a`` by its lag.
 
-    ``passed``: |lag| <= 1, r > 0.99 and the ratio within 1 +- 0.05.
+    ``passed``: |lag| <= 1, not at the edge of the range that was searched, r >
+    0.99 and the ratio within 1 +- 0.05.
     """
     mono_a, mono_b = fold_mono_mid(a), fold_mono_mid(b)
     shifted = (
@@ -129,6 +131,7 @@ def sync_quality(a: DataFrame, b: DataFrame, lags: DataFrame, block: int = BLOCK
     result = lengths.join(lags, "clip_id").join(sums, "clip_id", "left")
     passed = (
         (F.abs("lag") <= LAG_LIMIT)
+        & ~c("lag_out_of_range")
         & (c("pearson") > PEARSON_LIMIT)
         & (F.abs(c("rms_ratio") - 1) <= RMS_TOLERANCE)
     )

@@ -20,9 +20,7 @@ SIMILARITY_HIGH = 0.45
 GATE_POWER = 1.5
 MIN_GAIN_DB = -60.0
 
-# A speaker table up to this size travels to the tasks as one matrix (25 MB at
-# 192 dimensions); beyond it frames and speakers meet slab by slab.
-BOOK_ROWS = 16_384
+# Speakers of one slab (25 MB at 192 dimensions).
 SLAB_ROWS = 16_384
 FRAMES_PER_GROUP = 65_536
 # Similarities held at once by one task.
@@ -30,9 +28,9 @@ SCORES_AT_ONCE = 4_000_000
 
 
 def latest_profiles(profiles: DataFrame) -> DataFrame:
-    """Last write per speaker id."""
+    """Last write per speaker id; of equal times the one of the greatest hash."""
     others = [c for c in profiles.columns if c != "speaker_id"]
-    newest = F.max_by(F.struct(*others), F.col("created_at")).alias("_row")
+    newest = F.max_by(F.struct(*others), F.struct("created_at", F.xxhash64(*others))).alias("_row")
     return profiles.groupBy("speaker_id").agg(newest).select("speaker_id", "_row.*").select(
         *profiles.columns
     )
@@ -190,14 +188,13 @@ def top_speakers(
     speakers: DataFrame,
     k: int = 1,
     keys: tuple[str, ...] = ("clip_id", "frame_no"),
-    book_rows: int = BOOK_ROWS,
+    slab_rows: int = SLAB_ROWS,
 ) -> DataFrame:
     """The ``k`` best cosine matches per frame: keys, speaker_id, similarity, rank.
 
-    Exact.  A speaker table of checked size is broadcast as a matrix and frames
-    are scored in Arrow batches without a shuffle.  A larger table is cut into
-    slabs; a group holds a slice of the frames and one slab, and only k rows per
-    frame and slab leave it to be merged.
+    Exact.  The speaker table is cut into slabs of about ``slab_rows``; a group
+    holds a slice of the frames and one slab, and only k rows per frame and slab
+    leave it to be merged.
     """
     keys = list(keys)
     types = dict(frames.dtypes)
@@ -206,41 +203,26 @@ def top_speakers(
     schema += f", speaker_id {id_type}, similarity double"
     wanted = frames.select(*keys, "embedding")
     book = speakers.select("speaker_id", "embedding")
-    # Reads at most book_rows + 1 rows.
-    head = book.limit(book_rows + 1).toPandas()
-    if len(head) <= book_rows:
-        if head.empty:
-            return frames.sparkSession.createDataFrame([], schema + ", rank int")
-        shared = frames.sparkSession.sparkContext.broadcast(_book(head))
-
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, matrix = shared.value
-            for batch in batches:
-                if len(batch):
-                    yield _best(batch, ids, matrix, k, keys)
-
-        best = wanted.mapInPandas(score, schema)
-    else:
-        slabs = -(-speakers.count() // SLAB_ROWS)
-        groups = max(1, -(-frames.count() // FRAMES_PER_GROUP))
-        slab = F.pmod(F.xxhash64("speaker_id"), F.lit(slabs)).alias("_slab")
-        left = wanted.withColumn(
-            "_group", F.pmod(F.xxhash64(*keys), F.lit(groups))
-        ).withColumn("_slab", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1)).cast("array<bigint>")))
-        right = book.select("*", slab).withColumn(
-            "_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>"))
-        )
+    slabs = max(1, -(-speakers.count() // slab_rows))
+    groups = max(1, -(-frames.count() // FRAMES_PER_GROUP))
+    slab = F.pmod(F.xxhash64("speaker_id"), F.lit(slabs)).alias("_slab")
+    left = wanted.withColumn(
+        "_group", F.pmod(F.xxhash64(*keys), F.lit(groups))
+    ).withColumn("_slab", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1)).cast("array<bigint>")))
+    right = book.select("*", slab).withColumn(
+        "_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>"))
+    )
 
-        def score_slab(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if a.empty or b.empty:
-                return pd.DataFrame(columns=[*keys, "speaker_id", "similarity"])
-            return _best(a, *_book(b), k, keys)
+    def score_slab(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame(columns=[*keys, "speaker_id", "similarity"])
+        return _best(a, *_book(b), k, keys)
 
-        best = (
-            left.groupBy("_slab", "_group")
-            .cogroup(right.groupBy("_slab", "_group"))
-            .applyInPandas(score_slab, schema)
-        )
+    best = (
+        left.groupBy("_slab", "_group")
+        .cogroup(right.groupBy("_slab", "_group"))
+        .applyInPandas(score_slab, schema)
+    )
     # At most k rows per frame and slab reach the merge.
     ranked = F.slice(
         F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "speaker_id"))),

@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 
 from stemtable.session import ensure_checkpoint_dir
 
-# Largest table that bounded_broadcast() will send to every executor.
-BROADCAST_ROWS = 100_000
-
 
 def skew_join(
     rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left"
@@ -40,23 +37,6 @@ def skew_join(
     return left.join(right, [*on, "_zero"], how).drop("_zero")
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``max_rows`` rows, else leave the
-    choice of join to the optimizer.  Costs one count of ``max_rows + 1`` rows."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
-def spread_scan(df: DataFrame) -> DataFrame:
-    """Spread a scan with fewer tasks than cores, say one small file, over all
-    cores before heavy per-row work.  A scan of many splits is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
 def settle(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: an expensive result that several later steps read is
     computed once, and lost executors do not recompute what lies before it."""

@@ -396,7 +396,7 @@ def delayed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return signals.to_blocks(late, B), signals.to_blocks(long, B)
 
 
-@query(_with(v.SIGNAL_SQL + "," + DELAY_SQL, "SELECT clip_id, lag FROM lag_d"))
+@query(_with(v.SIGNAL_SQL + "," + DELAY_SQL, f"SELECT clip_id, lag, abs(lag) = {MAX_LAG} AS lag_out_of_range FROM lag_d"))
 def sync_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.sync_lag(*delayed(spark, sf_dir), MAX_LAG, B)
 
@@ -411,7 +411,7 @@ pair_d AS (SELECT l.clip_id, a.v AS x, b.v AS y FROM lag_d l JOIN mono_a a ON a.
 q_d AS (SELECT clip_id, count(*) AS n, coalesce(CASE WHEN count(*) < 2 OR min(x) = max(x) OR min(y) = max(y) THEN 0 ELSE corr(x, y) END, 0) AS r,
    CASE WHEN sum(y * y) = 0 THEN 0 ELSE sqrt(sum(x * x) / sum(y * y)) END AS ratio FROM pair_d GROUP BY 1)
 SELECT n_d.clip_id, lag, {v.micro_sql('coalesce(r, 0)', 'pearson_micro')}, {v.micro_sql('coalesce(ratio, 0)', 'ratio_micro')},
-  na - nb AS length_difference, abs(lag) <= 1 AND coalesce(r, 0) > 0.99 AND abs(coalesce(ratio, 0) - 1) <= 0.05 AS passed
+  na - nb AS length_difference, abs(lag) <= 1 AND abs(lag) < {MAX_LAG} AND coalesce(r, 0) > 0.99 AND abs(coalesce(ratio, 0) - 1) <= 0.05 AS passed
 FROM n_d JOIN lag_d USING (clip_id) LEFT JOIN q_d USING (clip_id)""",
     )
 )

@@ -10,6 +10,7 @@ from stemtable.functions import mapping, paths, properties, timegrid as tg
 from stemtable.operators import contracts, screening, timing
 from stemtable.plans import views as v
 from stemtable.sources import readers, writers
+from stemtable.streaming.sinks import shared_folder
 
 QUERIES: dict = {}
 
@@ -97,7 +98,9 @@ SELECT path, message, count(*) AS n FROM errors_d GROUP BY path, message""",
 )
 def read_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Malformed and off-contract manifest texts, by error."""
-    parsed = readers.parse_records(manifest_texts(spark, sf_dir), schemas.CLIP_TYPE)
+    folder = shared_folder(spark, "manifests")
+    manifest_texts(spark, sf_dir).select("value").write.text(folder)
+    parsed = readers.read_clips(spark, folder)
     checked = contracts.contract_errors(parsed, "clip", raw="raw")
     root = F.coalesce(F.get("errors", F.lit(0))["path"] == "(root)", F.lit(False))
     # A text that is no object has no fields to report.
@@ -194,37 +197,36 @@ FROM results_d GROUP BY job_id""",
     )
 )
 def write_job_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested job documents, summarised."""
-    documents = writers.job_documents(job_results(spark, sf_dir))
-    total = F.aggregate("clips", F.lit(0).cast("bigint"), lambda acc, r: acc + r["output_samples"])
-    return documents.groupBy(F.col("id").alias("job_id")).agg(
-        F.sum(F.size("clips")).alias("n_clips"),
-        F.min(F.array_min(F.col("clips.clip_id"))).alias("first_clip"),
-        F.sum(total).alias("n_samples"),
+    """Job results written as lines; their headers and lines summarised by job."""
+    folder = shared_folder(spark, "jobs")
+    writers.write_job_results(job_results(spark, sf_dir), folder)
+    headers = spark.read.schema("id string, n_clips bigint").json(f"{folder}/jobs")
+    clips = readers.read_job_results(spark, folder, pos_type="string")
+    sums = clips.groupBy("job_id").agg(
+        F.min("clip_id").alias("first_clip"), F.sum("output_samples").alias("n_samples")
     )
+    return headers.withColumnRenamed("id", "job_id").join(sums, "job_id")
 
 
 @query(
     _with(
         v.CLIPS_SQL + "," + RESULTS_SQL,
-        """SELECT job_id, result_id AS clip_id, source_out_sample - source_in_sample AS output_samples,
+        """SELECT job_id, clip_id AS pos, result_id AS clip_id, source_out_sample - source_in_sample AS output_samples,
        l_linenumber = 1 AS cache_hit FROM results_d""",
     )
 )
 def read_job_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Job documents as JSON text and back to one row per clip result."""
-    documents = writers.job_documents(job_results(spark, sf_dir))
-    texts = documents.select(F.to_json(F.struct(*documents.columns)).alias("value"))
-    jobs = readers.parse_records(texts, schemas.JOB_TYPE)
-    return jobs.select(F.col("id").alias("job_id"), F.explode("clips").alias("c")).select(
-        "job_id", "c.clip_id", "c.output_samples", "c.cache_hit"
-    )
+    """Job results written as lines and read back, each clip with its place in its job."""
+    folder = shared_folder(spark, "jobs")
+    writers.write_job_results(job_results(spark, sf_dir), folder)
+    results = readers.read_job_results(spark, folder, pos_type="string")
+    return results.select("job_id", "pos", "clip_id", "output_samples", "cache_hit")
 
 
 @query(
     """
 SELECT concat('m', doc_id) AS model, concat('f', doc_id, '.th') AS filename,
-       CASE WHEN doc_id % 5 = 0 THEN 'not a sha256' WHEN doc_id % 7 = 0 THEN 'manifest must not contain URLs'
+       CASE WHEN doc_id % 5 = 0 THEN 'bad_sha256' WHEN doc_id % 7 = 0 THEN 'url'
             ELSE 'ok' END AS status
 FROM documents"""
 )
@@ -243,7 +245,9 @@ def read_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).otherwise(F.create_map(name, digest))
     model = F.concat(F.lit("m"), "doc_id")
     texts = docs.select(F.to_json(F.create_map(model, entry)).alias("value"))
-    rows, problems = readers.parse_manifest(texts)
+    folder = shared_folder(spark, "weights")
+    texts.write.text(folder)
+    rows, problems = readers.read_manifest(spark, folder, whole_files=False)
     return rows.select("model", "filename", F.lit("ok").alias("status")).unionByName(
         problems.select("model", "filename", F.col("problem").alias("status"))
     )
@@ -567,10 +571,10 @@ def place_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     _with(
         v.CLIPS_SQL,
         """SELECT clip_id,
-  CASE WHEN l_linenumber = 2 THEN 'source sample rate is unknown'
-       WHEN l_partkey % 23 = 0 THEN 'no File Path'
-       WHEN l_partkey % 37 = 0 THEN 'missing recordFrame'
-       WHEN l_linenumber IN (5, 6, 7) THEN 'source has more than 2 channels' END AS reason,
+  CASE WHEN l_linenumber = 2 THEN 'no_source_rate'
+       WHEN l_partkey % 23 = 0 THEN 'no_file_path'
+       WHEN l_partkey % 37 = 0 THEN 'no_record_frame'
+       WHEN l_linenumber IN (5, 6, 7) THEN 'too_many_channels' END AS reason,
   CASE WHEN l_partkey % 5 <> 0 THEN concat('clip ', l_partkey) WHEN l_partkey % 23 = 0 THEN 'clip'
        ELSE concat(l_partkey, '.wav') END AS label,
   CASE WHEN l_linenumber = 2 OR l_partkey % 23 = 0 OR l_partkey % 37 = 0 OR l_linenumber IN (5, 6, 7) THEN NULL
@@ -709,8 +713,8 @@ def output_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'allowed_roots does not match params.allowed_roots'
-       WHEN o_orderkey % 7 = 0 THEN 'output_dir does not match params.output_dir' END AS consistency_error FROM orders"""
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'roots_differ'
+       WHEN o_orderkey % 7 = 0 THEN 'output_dir_differs' END AS consistency_error FROM orders"""
 )
 def check_job_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
@@ -731,9 +735,9 @@ def check_job_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     _with(
         v.CLIPS_SQL,
-        """SELECT clip_id, CASE WHEN l_linenumber = 3 THEN 'bad allowed root' WHEN l_linenumber = 1 THEN 'path contains ''..'''
-  WHEN l_linenumber = 2 THEN 'empty or NUL path'
-  WHEN l_suppkey NOT IN (1, 12, 13) THEN 'path is outside allowed_roots' END AS path_error FROM clips_d""",
+        """SELECT clip_id, CASE WHEN l_linenumber = 3 THEN 'bad_root' WHEN l_linenumber = 1 THEN 'dotdot'
+  WHEN l_linenumber = 2 THEN 'empty_path'
+  WHEN l_suppkey NOT IN (1, 12, 13) THEN 'outside_roots' END AS path_error FROM clips_d""",
     )
 )
 def paths_under_roots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,14 +161,6 @@ def cache_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.cache_gc(entries, now, 900, budget).select("input_hash", "kept")
 
 
-IDENTITY_SQL = ", ".join(
-    [
-        "l_orderkey",
-        "l_linenumber",
-    ]
-)
-
-
 def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     clips = v.clips(spark, sf_dir)
@@ -209,8 +201,8 @@ def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     _with(
         v.CLIPS_SQL,
-        """SELECT clip_id, CASE WHEN l_partkey % 61 = 0 THEN 'channel_map must have 1 or 2 channels'
-   WHEN l_suppkey % 71 = 0 THEN 'unknown enhancer_id' WHEN l_partkey % 67 = 0 THEN 'weights_sha256 must be 64 hex chars' END AS identity_error,
+        """SELECT clip_id, CASE WHEN l_partkey % 61 = 0 THEN 'channel_map_size'
+   WHEN l_suppkey % 71 = 0 THEN 'unknown_enhancer' WHEN l_partkey % 67 = 0 THEN 'bad_weights_digest' END AS identity_error,
   CASE WHEN l_suppkey % 71 = 0 THEN NULL WHEN l_suppkey % 2 = 0 THEN 'none' ELSE 'deepfilternet3' END AS enhancer_id,
   CASE WHEN l_suppkey % 3 = 0 THEN 'float32' ELSE 'pcm24' END AS sample_format,
   CASE WHEN l_suppkey % 71 = 0 THEN NULL WHEN l_suppkey % 2 = 0 THEN 44100 ELSE 48000 END AS wet_dry_sample_rate
@@ -358,10 +350,10 @@ H = "least(0.5E0, greatest(0E0, t0))"
         f""", r AS (SELECT *, concat(clip_id, '-', source_out_sample, '-', source_sample_rate, CASE WHEN l_linenumber = 6 THEN 'x' ELSE '' END) AS rid,
    CASE WHEN l_linenumber = 5 THEN NULL ELSE {H} END AS h FROM clips_d)
 SELECT rid AS clip_id,
-  CASE WHEN l_linenumber = 6 THEN concat('No inspect clip for job clip_id ', rid)
-       WHEN l_linenumber = 4 THEN 'job result is missing output_path'
-       WHEN l_linenumber = 5 THEN 'job result is missing handles_left_actual'
-       WHEN l_partkey % 37 = 0 THEN 'recordFrame is required' END AS place_error,
+  CASE WHEN l_linenumber = 6 THEN 'no_clip'
+       WHEN l_linenumber = 4 THEN 'no_output_path'
+       WHEN l_linenumber = 5 THEN 'no_left_handle'
+       WHEN l_partkey % 37 = 0 THEN 'no_record_frame' END AS place_error,
   CASE WHEN l_linenumber IN (4, 5, 6) OR l_partkey % 37 = 0 THEN NULL
        ELSE {_half_up(f'h * {v.FPS_SQL}')} END AS place_start
 FROM r""",
@@ -417,7 +409,7 @@ def replace_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH pool AS (SELECT p_partkey, p_size % 5 AS bin, concat('/media/', p_partkey, '.wav') AS path,
     CASE WHEN p_partkey % 2 = 0 THEN concat('clip', p_size, '.wav') ELSE concat('clip', p_size) END AS name FROM part),
 outs AS (SELECT DISTINCT l_suppkey % 5 AS bin, CASE WHEN l_partkey % 3 = 0 THEN concat('/media/', l_partkey, '.wav')
-    ELSE concat('/out/clip', l_partkey % 90, '.wav') END AS op FROM lineitem WHERE l_linenumber = 2)
+    ELSE concat('/out/clip', l_partkey % 90, '.wav') END AS op FROM lineitem)
 SELECT p_partkey, EXISTS (SELECT 1 FROM outs o WHERE o.bin = p.bin AND (o.op = p.path
    OR regexp_extract(o.op, '[^/]*$') = p.name OR regexp_replace(regexp_extract(o.op, '[^/]*$'), '[.]wav$', '') = p.name)) AS replaced
 FROM pool p"""
@@ -431,7 +423,7 @@ def replace_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("/media//"), "p_partkey", F.lit(".wav")).alias("path"),
         F.when(c("p_partkey") % 2 == 0, F.concat(name, F.lit(".wav"))).otherwise(name).alias("name"),
     )
-    outputs = v.table(spark, sf_dir, "lineitem").filter("l_linenumber = 2").select(
+    outputs = v.table(spark, sf_dir, "lineitem").select(
         (c("l_suppkey") % 5).cast("int").alias("bin"),
         F.when(c("l_partkey") % 3 == 0, F.concat(F.lit("/media/"), "l_partkey", F.lit(".wav")))
         .otherwise(F.concat(F.lit("/out/clip"), c("l_partkey") % 90, F.lit(".wav")))
@@ -445,7 +437,7 @@ def replace_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN concat('u', o_orderkey) END AS uid, concat('/m/', o_custkey % 400) AS path,
     CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 10 END AS rf, o_orderkey % 9 = 0 AS sup FROM orders),
 t AS (SELECT concat('u', l_orderkey) AS uid, CASE WHEN l_partkey % 2 = 0 THEN concat('/m/', l_partkey) END AS path,
-    CASE WHEN l_suppkey % 6 <> 0 THEN l_suppkey % 10 END AS rf FROM lineitem WHERE l_linenumber = 3 AND l_quantity < 20 AND l_partkey < 800),
+    CASE WHEN l_suppkey % 6 <> 0 THEN l_suppkey % 10 END AS rf FROM lineitem WHERE l_quantity < 20),
 hit AS (SELECT o_orderkey, uid, path, rf FROM r WHERE NOT sup AND (EXISTS (SELECT 1 FROM t WHERE t.uid = r.uid)
     OR EXISTS (SELECT 1 FROM t WHERE t.path = r.path AND (t.rf IS NULL OR r.rf IS NULL OR t.rf = r.rf))))
 SELECT coalesce(uid, concat(path, ':', coalesce(CAST(rf AS VARCHAR), 'null'))) AS mute_key, min(o_orderkey) AS o_orderkey FROM hit GROUP BY 1"""
@@ -459,7 +451,7 @@ def mute_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(c("o_orderkey") % 4 != 0, c("o_orderkey") % 10).alias("record_frame"),
         (c("o_orderkey") % 9 == 0).alias("suppressed"),
     )
-    targets = v.table(spark, sf_dir, "lineitem").filter("l_linenumber = 3 and l_partkey < 800").select(
+    targets = v.table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("u"), "l_orderkey").alias("unique_id"),
         F.when(c("l_partkey") % 2 == 0, F.concat(F.lit("/m/"), "l_partkey")).alias("file_path"),
         F.when(c("l_suppkey") % 6 != 0, c("l_suppkey") % 10).alias("record_frame"),

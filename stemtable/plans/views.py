@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from stemtable.functions.properties import DUMP_TYPE
 from stemtable.operators import signals
-from stemtable.operators.spread import spread_scan
 
 # Small sizes so that test signals span several blocks and windows.
 BLOCK = 64
@@ -64,7 +63,7 @@ FPS_SQL = "(fps_num / CAST(fps_den AS DOUBLE))"
 
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = CLIPS_SELECT.replace("FROM lineitem", "FROM {lineitem}")
-    rows = spark.sql(source, lineitem=spread_scan(table(spark, sf_dir, "lineitem")))
+    rows = spark.sql(source, lineitem=table(spark, sf_dir, "lineitem"))
     return rows.withColumn("output_media_fps", fps_struct())
 
 
@@ -182,10 +181,6 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.to_blocks(signal_long(spark, sf_dir), BLOCK)
 
 
-def scaled(blocks: DataFrame, factor: float) -> DataFrame:
-    return blocks.withColumn("samples", F.transform("samples", lambda x: x * factor))
-
-
 def samples(blocks: DataFrame) -> DataFrame:
     """Long form with values in millionths, for comparison."""
     return signals.to_long(blocks).select("clip_id", "ch", "idx", micro("v", "v_micro"))
@@ -197,10 +192,10 @@ SELECT user_id AS job_id, ts, event_id AS seq,
          WHEN 'signup' THEN 'running'
          WHEN 'purchase' THEN CASE WHEN event_id % 41 = 0 THEN 'done' ELSE 'progress' END
          WHEN 'error' THEN CASE WHEN event_id % 43 = 0 THEN 'error' ELSE 'progress' END
-         WHEN 'click' THEN CASE WHEN event_id % 3 = 0 THEN 'cancel' ELSE 'progress' END
+         WHEN 'click' THEN CASE WHEN event_id % 21 = 0 THEN 'cancel' ELSE 'progress' END
          ELSE 'progress' END AS event,
        least(value, 100E0) AS pct, value, event_type
-FROM events WHERE event_id % 3 <> 0 OR event_type <> 'click' OR event_id % 7 = 0
+FROM events
 """
 JOB_EVENTS_SQL = f"job_events_d AS ({JOB_EVENTS_SELECT})"
 
@@ -248,7 +243,7 @@ NEW_SELECT = f"""
 SELECT {CLIP_KEY} AS clip_id, l_suppkey % 50 AS timeline, l_partkey % 2 AS track,
        CAST({day_number('l_shipdate')} * 24 AS BIGINT) AS start_f,
        CAST({day_number('l_shipdate')} * 24 + l_quantity AS BIGINT) AS end_f
-FROM lineitem WHERE l_linenumber = 1
+FROM lineitem
 """
 INTERVALS_SQL = f"existing_d AS ({EXISTING_SELECT}), new_d AS ({NEW_SELECT})"
 

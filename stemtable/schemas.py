@@ -28,10 +28,15 @@ handles_left_actual double, handles_right_actual double,
 wet_dry_sample_rate bigint, peak double, cache_hit boolean
 """
 
+
+def struct_type(fields: str) -> str:
+    """A list of columns as the type of a struct column."""
+    return f"struct<{', '.join(f.strip().replace(' ', ':', 1) for f in fields.split(','))}>"
+
+
 JOB_TYPE = f"""
 schema string, id string, created_at string, engine_version string,
-params struct<{', '.join(f.strip().replace(' ', ':', 1) for f in PARAMS_TYPE.split(','))}>,
-clips array<struct<{', '.join(f.strip().replace(' ', ':', 1) for f in CLIP_RESULT_TYPE.split(','))}>>
+params {struct_type(PARAMS_TYPE)}, clips array<{struct_type(CLIP_RESULT_TYPE)}>
 """
 
 SIGNAL_TYPE = (

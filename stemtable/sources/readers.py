@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from stemtable import schemas
 from stemtable.operators.signals import BLOCK, split_layout
+from stemtable.operators.spread import skew_join
 
 
 def parse_records(texts: DataFrame, schema: str, text: str = "value") -> DataFrame:
@@ -35,12 +36,25 @@ def read_job_documents(spark: SparkSession, path: str, multi_line: bool = False)
     )
 
 
-def read_job_results(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """One row per clip result, with the job's id, time, version and params."""
+def read_job_results(spark: SparkSession, path: str, pos_type: str = "bigint") -> DataFrame:
+    """What ``write_job_results`` wrote: one row per clip result with the job's id, time, version and
+    params, and the place ``pos`` of the clip in its job."""
+    params = schemas.struct_type(schemas.PARAMS_TYPE)
+    header_type = f"id string, created_at string, engine_version string, params {params}"
+    headers = spark.read.schema(header_type).json(f"{path}/jobs").withColumnRenamed("id", "job_id")
+    clip_type = f"job_id string, pos {pos_type}, {schemas.CLIP_RESULT_TYPE}"
+    clips = spark.read.schema(clip_type).json(f"{path}/clips")
+    joined = skew_join(clips, headers, ["job_id"], "left")
+    results = [c for c in clips.columns if c not in ("job_id", "pos")]
+    return joined.select("job_id", "created_at", "engine_version", "params", "pos", *results)
+
+
+def read_nested_results(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """One row per clip of nested job documents, with the job's id, time, version and params."""
     jobs = read_job_documents(spark, path, multi_line)
     header = [F.col("id").alias("job_id"), "created_at", "engine_version", "params"]
-    return jobs.select(*header, F.explode("clips").alias("_clip")).select(
-        "job_id", "created_at", "engine_version", "params", "_clip.*"
+    return jobs.select(*header, F.posexplode("clips").alias("pos", "_clip")).select(
+        "job_id", "created_at", "engine_version", "params", "pos", "_clip.*"
     )
 
 
@@ -93,14 +107,14 @@ def parse_manifest(texts: DataFrame, text: str = "value") -> tuple[DataFrame, Da
     url = r"(?i)^[a-z][a-z0-9+.\-]*://"
     problem = F.when(
         F.col("filename").rlike(url) | F.coalesce(F.col("sha256").rlike(url), F.lit(False)),
-        "manifest must not contain URLs",
-    ).when(F.coalesce(F.length("sha256") != 64, F.lit(True)), "not a sha256")
+        "url",
+    ).when(F.coalesce(F.length("sha256") != 64, F.lit(True)), "bad_sha256")
     checked = rows.withColumn("sha256", F.lower("sha256")).withColumn("problem", problem)
     empty = entries.filter(F.coalesce(F.size("_files"), F.lit(0)) == 0).select(
         "model",
         F.lit(None).cast("string").alias("filename"),
         F.lit(None).cast("string").alias("sha256"),
-        F.lit("must be filename to sha256").alias("problem"),
+        F.lit("not_a_map").alias("problem"),
     )
     return (
         checked.filter("problem is null").drop("problem"),
@@ -108,5 +122,8 @@ def parse_manifest(texts: DataFrame, text: str = "value") -> tuple[DataFrame, Da
     )
 
 
-def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return parse_manifest(spark.read.text(path, wholetext=True))
+def read_manifest(
+    spark: SparkSession, path: str, whole_files: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Weight manifests, one JSON object per file (or per line)."""
+    return parse_manifest(spark.read.text(path, wholetext=whole_files))

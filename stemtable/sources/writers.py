@@ -1,4 +1,4 @@
-"""Sinks: job documents."""
+"""Sinks: job results."""
 
 from __future__ import annotations
 
@@ -6,58 +6,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemtable import schemas
-from stemtable.operators.spread import skew_join
-
-# A job document holds at most this many clips; a larger job is written as
-# several documents with the same header, which a reader unions again.
-CLIPS_PER_DOCUMENT = 10_000
-RESULT_FIELDS = (
-    "clip_id",
-    "input_hash",
-    "output_path",
-    "output_samples",
-    "handles_left_actual",
-    "handles_right_actual",
-    "wet_dry_sample_rate",
-    "peak",
-    "cache_hit",
-)
-
-
-def job_documents(
-    results: DataFrame,
-    tag: str = schemas.JOB_TAG,
-    clips_per_document: int = CLIPS_PER_DOCUMENT,
-) -> DataFrame:
-    """Clip results to nested job documents, clips in the order of ``pos``.
-
-    Reads job_id, created_at, engine_version, params, pos and the result
-    fields.  Every clip is in exactly one document of its job.
+from stemtable.operators.spread import running_total, skew_join
+
+RESULT_FIELDS = tuple(field.split()[0] for field in schemas.CLIP_RESULT_TYPE.split(","))
+HEADER_FIELDS = ("created_at", "engine_version", "params")
+
+
+def job_headers(results: DataFrame, tag: str = schemas.JOB_TAG) -> DataFrame:
+    """One row per job: ``schema, id, created_at, engine_version, params, n_clips``.
+
+    If the rows of a job disagree on the header, the least one is taken as a whole.
     """
-    sizes = results.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"))
-    rows = skew_join(results, sizes, ["job_id"], "inner")
-    documents = F.ceil(F.col("_n") / clips_per_document)
-    rows = rows.withColumn("_doc", F.pmod(F.xxhash64("clip_id"), documents))
-    ordered = F.array_sort(
-        F.collect_list(F.struct("pos", F.struct(*RESULT_FIELDS).alias("clip")))
-    )
-    return (
-        rows.groupBy("job_id", "_doc")
-        .agg(
-            # About clips_per_document rows by construction.
-            F.transform(ordered, lambda x: x["clip"]).alias("clips"),
-            *[F.first(c).alias(c) for c in ("created_at", "engine_version", "params")],
-        )
-        .select(
-            F.lit(tag).alias("schema"),
-            F.col("job_id").alias("id"),
-            "created_at",
-            "engine_version",
-            "params",
-            "clips",
-        )
+    header = F.min(F.struct(*HEADER_FIELDS)).alias("_header")
+    return results.groupBy("job_id").agg(header, F.count(F.lit(1)).alias("n_clips")).select(
+        F.lit(tag).alias("schema"), F.col("job_id").alias("id"), "_header.*", "n_clips"
     )
 
 
 def write_job_results(results: DataFrame, path: str, tag: str = schemas.JOB_TAG) -> None:
-    job_documents(results, tag).write.mode("overwrite").json(path)
+    """Jobs of any size as lines: ``jobs/`` holds a header per job, ``clips/`` a line per clip result
+    with its job and its ``pos``, near each other and in order."""
+    job_headers(results, tag).write.mode("overwrite").json(f"{path}/jobs")
+    (
+        results.select("job_id", "pos", *RESULT_FIELDS)
+        .repartitionByRange("job_id", "pos")
+        .sortWithinPartitions("job_id", "pos")
+        .write.mode("overwrite")
+        .json(f"{path}/clips")
+    )
+
+
+def job_documents(results: DataFrame, clips_per_document: int, tag: str = schemas.JOB_TAG) -> DataFrame:
+    """Export to nested documents: each holds ``clips_per_document`` consecutive clips of a job by
+    ``pos`` (ties by clip), as ``part`` of ``parts`` with the job's header."""
+    numbered = running_total(results, ["job_id"], ["pos", "clip_id"], {"_rank": F.lit(1)})
+    numbered = numbered.withColumn("part", F.floor((F.col("_rank") - 1) / clips_per_document))
+    clips = F.array_sort(F.collect_list(F.struct("pos", F.struct(*RESULT_FIELDS).alias("clip"))))
+    nested = numbered.groupBy("job_id", "part").agg(F.transform(clips, lambda x: x["clip"]).alias("clips"))
+    headers = job_headers(results, tag).withColumn("parts", F.ceil(F.col("n_clips") / clips_per_document))
+    joined = skew_join(nested, headers.withColumnRenamed("id", "job_id"), ["job_id"], "inner")
+    return joined.select("schema", F.col("job_id").alias("id"), *HEADER_FIELDS, "part", "parts", "clips")

@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from stemtable.operators.jobs import TERMINAL_EVENTS
 
-STATE_TTL_MS = 24 * 3600 * 1000
+# How long the state of a job is kept after its end.
+ENDED_MS = 24 * 3600 * 1000
 
 STATE_TYPE = (
     "status string, last_pct double, n_progress bigint, n_ignored bigint, "
@@ -20,10 +21,11 @@ OUTPUT_TYPE = "job_id {id}, " + STATE_TYPE
 
 
 class JobStateProcessor(StatefulProcessor):
-    """One state row per job; expires a day after the job's last event."""
+    """One state row per job, kept while the job runs and for a day after it ended."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("job", STATE_TYPE, STATE_TTL_MS)
+        self._handle = handle
+        self._state = handle.getValueState("job", STATE_TYPE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = self._state.get()
@@ -58,9 +60,17 @@ class JobStateProcessor(StatefulProcessor):
         late += len(after) - cancels
         row = (status, last_pct, accepted, ignored, conflicts, late)
         self._state.update(row)
+        if known is None or known[0] not in TERMINAL_EVENTS.values():
+            if status in TERMINAL_EVENTS.values():
+                now = timerValues.getCurrentProcessingTimeInMs()
+                self._handle.registerTimer(now + ENDED_MS)
         names = [f.split()[0] for f in STATE_TYPE.split(", ")]
         yield pd.DataFrame([(key[0], *row)], columns=["job_id", *names])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._state.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
@@ -84,16 +94,19 @@ def job_state_stream(events: DataFrame) -> DataFrame:
 
 
 class EtaProcessor(StatefulProcessor):
-    """Keeps the first event time of a job and emits its progress rows."""
+    """Keeps the first event time of a job until a day after its end and emits its progress rows."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._start = handle.getValueState("start", "start_us bigint", STATE_TTL_MS)
+        self._handle = handle
+        self._start = handle.getValueState("start", "start_us bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = self._start.get()
         batch = pd.concat(list(rows)).sort_values("seq", ignore_index=True)
         start = known[0] if known else int(batch["ts_us"].min())
         self._start.update((start,))
+        if batch["event"].isin(list(TERMINAL_EVENTS)).any():
+            self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + ENDED_MS)
         progress = batch[batch["event"] == "progress"]
         elapsed = (progress["ts_us"] - start) / 1e6
         share = progress["pct"] / 100.0
@@ -113,6 +126,10 @@ class EtaProcessor(StatefulProcessor):
             }
         )
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._start.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 

@@ -169,3 +169,13 @@ def test_sync(spark):
     assert got[1].pearson == pytest.approx(1.0) and not got[1].passed
     assert got[2].length_difference == -3
     assert got[3].rms_ratio == pytest.approx(0.8) and not got[3].passed
+
+
+def test_sync_lag_tells_when_its_range_is_too_small(spark):
+    voice = np.random.default_rng(9).normal(size=700)
+    late = np.concatenate([np.zeros(100), voice])[:700]
+    ramp = np.arange(700, dtype=float)
+    a, b = blocks_of(spark, {1: late, 2: ramp}, 128), blocks_of(spark, {1: voice, 2: ramp[::-1].copy()}, 128)
+    wide = {r.clip_id: r for r in quality.sync_lag(a, b, 200, 128).collect()}
+    assert wide[1].lag == 100 and not wide[1].lag_out_of_range
+    assert quality.sync_lag(a, b, 64, 128).filter("clip_id = 2").first().lag_out_of_range

@@ -19,8 +19,8 @@ def test_top_speakers_both_ways(spark):
     vectors += [("s99", vectors[0][1])]
     book = spark.createDataFrame(vectors, "speaker_id string, embedding array<float>")
     ways = []
-    for rows in (speakers.BOOK_ROWS, 3):
-        best = speakers.top_speakers(frames, book, 3, ("frame_no",), book_rows=rows)
+    for rows in (speakers.SLAB_ROWS, 3):
+        best = speakers.top_speakers(frames, book, 3, ("frame_no",), slab_rows=rows)
         ways.append(sorted((r.frame_no, r["rank"], r.speaker_id, round(r.similarity, 9)) for r in best.collect()))
     assert ways[0] == ways[1] and len(ways[0]) == 41 * 3
     assert [w[2] for w in ways[0] if w[0] == 40] == ["s00", "s01", "s02"]
@@ -137,12 +137,15 @@ def test_job_documents_split_and_round_trip(spark):
     columns = "job_id string, created_at string, engine_version string, pos int, clip_id string, input_hash string, output_path string, output_samples bigint, handles_left_actual double, handles_right_actual double, wet_dry_sample_rate bigint, peak double, cache_hit boolean"
     rows = [("j" if i else "k", "t", "1.0.0", i, f"c{i}", "h", "/o", i, 0.0, 0.0, 44100, 0.5, False) for i in range(50)]
     df = spark.createDataFrame(rows, columns).withColumn("params", F.struct(F.lit("htdemucs").alias("model")))
-    documents = writers.job_documents(df, clips_per_document=10)
-    assert documents.filter("id = 'j'").count() > 1
+    documents = writers.job_documents(df, clips_per_document=10).filter("id = 'j'").orderBy("part").collect()
+    assert [(d.part, d.parts, len(d.clips)) for d in documents] == [(0, 5, 10), (1, 5, 10), (2, 5, 10), (3, 5, 10), (4, 5, 9)]
+    assert [c.clip_id for d in documents for c in d.clips] == [f"c{i}" for i in range(1, 50)]
     folder = tempfile.mkdtemp(prefix="stemtable-test-")
     writers.write_job_results(df, f"{folder}/jobs")
     back = readers.read_job_results(spark, f"{folder}/jobs")
-    assert sorted((r.job_id, r.clip_id, r.output_samples) for r in back.collect()) == sorted((r[0], r[4], r[7]) for r in rows)
+    assert back.columns[:5] == ["job_id", "created_at", "engine_version", "params", "pos"]
+    got = sorted((r.job_id, r.pos, r.clip_id, r.output_samples, r.params.model) for r in back.collect())
+    assert got == sorted((r[0], r[3], r[4], r[7], "htdemucs") for r in rows)
 
 
 def test_read_clips_files(spark):
