@@ -42,6 +42,7 @@ from stemtable.llm.symbols import (
     WordHasher,
     byte_values,
     chunks,
+    mix,
     not_space,
     sliding_first_min,
 )
@@ -96,10 +97,11 @@ def passages(symbols, first, scheme: Scheme, hasher: Hasher):
 
 
 def occurrences(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """``key, ph, id, pos, runs`` of each passage of ``id, text``.
+    """``key, ph, id, pos, runs, more`` of each passage of ``id, text``.
 
     ``pos`` is the first symbol; its upper bits tell apart different texts that
-    share an id.
+    share an id.  A passage that its text repeats, say of one word pair over and
+    over, is one row; ``more`` has the places of the repeats.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,19 +113,32 @@ def occurrences(docs: DataFrame, scheme: Scheme) -> DataFrame:
                 text, start, runs, key, ph, prefix = passages(symbols, first, scheme, hasher)
                 if not len(text):
                     continue
-                mark = text_mark(prefix, first, hasher)
+                pos = text_mark(prefix, first, hasher)[text] + start - first[text]
+                whose = mix(key ^ mix(ph + text.astype(np.uint64)))
+                _, at, group = np.unique(whose, return_index=True, return_inverse=True)
+                again = np.ones(len(text), dtype=bool)
+                again[at] = False
+                again = np.flatnonzero(again)
+                again = again[np.argsort(group[again], kind="stable")]
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(group[again], minlength=len(at)))])
+                places = pa.StructArray.from_arrays(
+                    [pa.array(pos[again]), pa.array(runs[again].astype(np.int32))], names=["pos", "runs"]
+                )
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(key.view(np.int64)),
-                        pa.array(ph.view(np.int64)),
-                        pa.array(ids[part.first + text]),
-                        pa.array(mark[text] + start - first[text]),
-                        pa.array(runs.astype(np.int32)),
+                        pa.array(key[at].view(np.int64)),
+                        pa.array(ph[at].view(np.int64)),
+                        pa.array(ids[part.first + text[at]]),
+                        pa.array(pos[at]),
+                        pa.array(runs[at].astype(np.int32)),
+                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), places),
                     ],
-                    names=["key", "ph", "id", "pos", "runs"],
+                    names=["key", "ph", "id", "pos", "runs", "more"],
                 )
 
-    return docs.select("id", "text").mapInArrow(scan, "key long, ph long, id long, pos long, runs int")
+    return docs.select("id", "text").mapInArrow(
+        scan, "key long, ph long, id long, pos long, runs int, more array<struct<pos:long,runs:int>>"
+    )
 
 
 def text_mark(prefix, first, hasher: Hasher) -> np.ndarray:
@@ -252,17 +267,19 @@ def repeated_spans(
     """
     size = scheme.window
     found = occurrences(docs, scheme)
-    keys = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    times = F.sum(F.lit(1) + F.size("more")).alias("n")
+    keys = found.groupBy("key").agg(times).filter("n > 1").select("key")
     seen = written(skew_join(found, keys, ["key"], "left_semi"), "passages")
     place = F.struct("id", "pos", "runs")
     classes = written(
-        seen.groupBy("key", "ph").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")), "classes"
+        seen.groupBy("key", "ph").agg(times, F.min(place).alias("first")), "classes"
     )
     members = skew_join(seen, classes, ["key", "ph"], "inner")
-    if keep_first:
-        members = members.filter(F.struct("id", "pos") != F.struct("first.id", "first.pos"))
-    else:
-        members = members.filter("n > 1")
+    # Repeats within a text always count; the row's own place does unless it is the one that stays.
+    counts = F.struct("id", "pos") != F.struct("first.id", "first.pos") if keep_first else F.col("n") > 1
+    none = F.array().cast("array<struct<pos:long,runs:int>>")
+    own = F.when(counts, F.array(F.struct("pos", "runs"))).otherwise(none)
+    members = members.select("id", F.inline(F.concat(own, "more")))
     spans = [_spans(members, size)]
 
     def undecided(classes: DataFrame, *columns: str) -> DataFrame:

@@ -18,8 +18,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-# Bytes of text that are worked on at a time; a longer text goes alone.
-CHUNK_BYTES = 1 << 20
+# Bytes of text that are worked on at a time, so that its arrays stay in the cache; a longer text goes alone.
+CHUNK_BYTES = 1 << 17
 
 _U = np.uint64
 
