@@ -145,7 +145,8 @@ def job_rules(tag: str = schemas.JOB_TAG, params_tag: str = schemas.PARAMS_TAG)
         def good(result):
             ok = F.lit(True)
             for rule in result_rules():
-                ok = ok & F.coalesce(rule.check(result[rule.path]), F.lit(False))
+                value = result[rule.path]
+                ok = ok & value.isNotNull() & F.coalesce(rule.check(value), F.lit(False))
             return ok
 
         return (F.size(clips) >= 1) & F.forall(clips, good)
@@ -153,9 +154,9 @@ def job_rules(tag: str = schemas.JOB_TAG, params_tag: str = schemas.PARAMS_TAG)
     def good_params(params: Column) -> Column:
         ok = F.lit(True)
         for rule in params_rules(params_tag):
-            passed = rule.check(params[rule.path])
-            missing = F.lit(not rule.required)
-            ok = ok & F.coalesce(passed, params[rule.path].isNull() & missing)
+            value = params[rule.path]
+            passed = value.isNotNull() & F.coalesce(rule.check(value), F.lit(False))
+            ok = ok & (passed if rule.required else passed | value.isNull())
         return ok
 
     return [

@@ -30,6 +30,7 @@ WARNINGS = {
     "file_dur_unconfirmed": "File duration is unknown; the right handle is not clamped.",
     "sample_rate_unconfirmed": "No sample rate property.",
 }
+# Fixed value: types of items that have no media file of their own.
 NESTED_TYPES = r"(?i)compound|nested|generator|fusion|solid|title|adjustment"
 
 ISSUE_TYPE = "array<struct<code:string,message:string,detail:string>>"

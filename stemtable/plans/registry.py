@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemtable.plans import audio, catalog, entries, events, tables
+from stemtable.plans import audio, catalog, entries, events, records, tables
 
 
 def _in_utc(fn):
@@ -22,7 +22,7 @@ def _in_utc(fn):
 
 def all_queries() -> dict:
     merged: dict = {}
-    for module in (entries, catalog, tables, audio, events):
+    for module in (entries, catalog, records, tables, audio, events):
         for name, entry in module.QUERIES.items():
             if name in merged:
                 raise ValueError(f"query {name} is registered twice")

@@ -34,6 +34,8 @@ def run_available(
     spark = stream.sparkSession
     folder = shared_folder(spark, "stream")
     schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    # So that a source without data gives an empty table.
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows/batch=-1")
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
