@@ -387,8 +387,11 @@ def composed(rng: np.random.Generator, texts: list[str]) -> tuple[list, np.ndarr
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
     """Train on at most ``sample`` pages and the pages composed from their texts."""
-    rows = pages.filter("html is not null").select("page_id", "html")
-    rows = rows.orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(sample).collect()
+    known = pages.filter("html is not null").select("page_id", F.xxhash64("html").alias("mark"), "html")
+    order = [F.xxhash64("page_id"), "page_id", "mark"]
+    # Only ids travel to pick the sample: at most `sample` rows of two numbers.
+    chosen = known.select("page_id", "mark").distinct().orderBy(*order).limit(sample)
+    rows = known.join(F.broadcast(chosen), ["page_id", "mark"], "left_semi").orderBy(*order).limit(sample).collect()
     features, examples, texts = Features(), [], []
     for row in rows:
         page = blocks(row.html)
