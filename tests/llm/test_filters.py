@@ -390,3 +390,22 @@ def test_pipeline(spark, tmp_path):
     assert all(fourth[i] == clean[i] for i in range(30))
     mixed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in mixed} <= set(fourth) and all(r.copies > 0 for r in mixed)
+
+
+def test_stages_on_empty_documents_and_nulls(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    text = " ".join(f"w{i}" for i in range(80))
+    for name, rows, first in (("none", [], 0), ("nulls", [(None, None, None, None, None), (None, text, None, None, None)] * 2, 2)):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}.parquet")
+        counts = []
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            assert k == len(corpus_pipeline.STAGES) - 1 or out.columns == docs.columns
+            out.write.parquet(f"{tmp_path}/{name}{k}.parquet")
+            docs = spark.read.parquet(f"{tmp_path}/{name}{k}.parquet")
+            counts.append(docs.count())
+        # The two rows with a text are one document; the rows without one fail the base rules.
+        assert counts == [first, first // 2, first // 2, first // 2, first // 2]
