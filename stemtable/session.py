@@ -10,6 +10,8 @@ ROCKSDB_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 )
 
+_LOCAL: list[tempfile.TemporaryDirectory] = []
+
 # Settings that change results or plans; sizes stay with the cluster's own conf.
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -40,4 +42,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError(
             "spark.checkpoint.dir must name a folder that all executors share"
         )
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="stemtable-checkpoint-"))
+    # Goes with the process.
+    _LOCAL.append(tempfile.TemporaryDirectory(prefix="stemtable-checkpoint-", ignore_cleanup_errors=True))
+    context.setCheckpointDir(_LOCAL[-1].name)
