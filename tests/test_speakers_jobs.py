@@ -5,8 +5,8 @@ import tempfile
 import numpy as np
 from pyspark.sql import functions as F
 
-from stemtable.operators import cache, integrity, jobs, speakers
-from stemtable.plans import events as event_queries
+from stemtable.operators import cache, contracts, integrity, jobs, speakers
+from stemtable.plans import events as event_queries, records
 from stemtable.sources import readers, writers
 from stemtable.streaming.job_state import eta_stream, job_state_stream
 from stemtable.streaming.sinks import latest_rows, run_available
@@ -155,3 +155,30 @@ def test_read_clips_files(spark):
     rows = readers.read_clips(spark, folder).collect()
     assert len(rows) == 2 and {r.source_in_sample for r in rows} == {5, None}
     assert event_queries.QUERIES
+
+
+def test_stream_without_data_gives_an_empty_table(spark, tmp_path):
+    out = run_available(readers.read_job_events(spark, str(tmp_path)).select("job_id", "seq"))
+    assert out.count() == 0 and out.columns == ["job_id", "seq", "batch"]
+
+
+def test_nested_results_must_be_complete(spark):
+    def job(**broken):
+        key = F.lit(1)
+        result = F.struct(*[(broken.get(n, c)).alias(n) for n, c in records.result_fields(key).items()])
+        params = F.struct(*[(broken.get(n, c)).alias(n) for n, c in records.params_fields(key).items()])
+        row = spark.range(1).select(
+            F.lit("stemtable.job.v1").alias("schema"),
+            F.lit("0" * 8 + "-0000-0000-0000-" + "0" * 12).alias("id"),
+            F.lit("2024-01-01T00:00:00Z").alias("created_at"),
+            F.lit("1.0.0").alias("engine_version"),
+            params.alias("params"),
+            F.array(result).alias("clips"),
+        )
+        return [e.path for e in contracts.contract_errors(row, "job").first().errors]
+
+    assert job() == []
+    assert job(cache_hit=F.lit(None).cast("boolean")) == ["clips"]
+    assert job(mono=F.lit(None).cast("boolean")) == ["params"]
+    assert job(handles_left_actual=F.lit(None).cast("double")) == ["clips"]
+    assert job(text_query=F.lit(None).cast("string")) == []
