@@ -191,41 +191,66 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
 
     # The sample has at most 2 * SAMPLE rows of an id and a bit: its size is bounded.
     joined = texts(docs).join(F.broadcast(chosen), "id").filter(F.col("id") != LAST_ID).select("id", "good", "text")
-    table = joined.mapInArrow(extract, "id long, good int, places array<int>, shares array<float>").toArrow()
-    order = np.argsort(table["id"].to_numpy(), kind="stable")
-    table = table.take(pa.array(order)).combine_chunks()
-    good = table["good"].to_numpy().astype(np.float64)
-    if min((good == 0).sum(), (good == 1).sum()) < LEAST:
+    table = joined.mapInArrow(extract, "id long, good int, places array<int>, shares array<float>")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
+        model = fit(pa.Table.from_batches(rows), sizes) if rows else None
+        if model is not None:
+            weights = pa.array([model.weights.tobytes()], pa.binary())
+            numbers = [pa.array([x], pa.float64()) for x in (model.bias, model.slope, model.shift)]
+            yield pa.RecordBatch.from_arrays([weights, *numbers], names=["weights", "bias", "slope", "shift"])
+
+    # One task sees the bounded sample; only the weights come to the driver.
+    learned = table.repartition(1).mapInArrow(learn, "weights binary, bias double, slope double, shift double").first()
+    if learned is None:
         return None
-    places, shares = (table[c].combine_chunks() for c in ("places", "shares"))
-    return fit(places, shares, good, sizes)
+    return Model(np.frombuffer(bytes(learned.weights), np.float32), learned.bias, learned.slope, learned.shift)
 
 
-def fit(places: pa.ListArray, shares: pa.ListArray, good: np.ndarray, sizes: dict) -> Model:
-    """Full-batch Adam with a small ridge, then Platt scaling on every fourth row."""
-    held = np.arange(len(good)) % 4 == 3
+def fit(table: pa.Table, sizes: dict) -> Model | None:
+    """Full-batch Adam with a small ridge, then Platt scaling on every fourth row; None if there is too little."""
+    table = table.take(pa.array(np.argsort(table["id"].to_numpy(), kind="stable"))).combine_chunks()
+    good = table["good"].to_numpy().astype(np.float32)
+    if min((good == 0).sum(), (good == 1).sum()) < LEAST:
+        return None
+    places, shares = (pa.concat_arrays(table[c].chunks) for c in ("places", "shares"))
     offsets = places.offsets.to_numpy()
-    row = np.repeat(np.arange(len(good)), np.diff(offsets))
     place, share = places.flatten().to_numpy(), shares.flatten().to_numpy()
-    used = ~held[row]
-    weights, bias = np.zeros(2 << BITS), 0.0
+    held = np.arange(len(good)) % 4 == 3
+    weights, bias = np.zeros(2 << BITS, dtype=np.float32), 0.0
     first, second = np.zeros_like(weights), np.zeros_like(weights)
     n = (~held).sum()
     scale = 2.0
+    # Some rows at a time, which keeps what is worked out in between small.
+    cuts = [*range(0, len(good), 250), len(good)]
+
+    def logits() -> np.ndarray:
+        out = np.empty(len(good))
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            a, b = offsets[low], offsets[high]
+            row = np.repeat(np.arange(high - low), np.diff(offsets[low : high + 1]))
+            out[low:high] = np.bincount(row, share[a:b] * weights[place[a:b]], high - low) + bias
+        return out
+
     for step in range(1, EPOCHS + 1):
-        logit = np.bincount(row, share * weights[place], len(good)) + bias
-        error = np.where(held, 0, 1 / (1 + np.exp(-logit)) - good)
-        gradient = np.bincount(place[used], (share * error[row])[used], 2 << BITS) / n + 1e-7 * weights
+        error = np.where(held, 0, 1 / (1 + np.exp(-np.clip(logits(), -30, 30))) - good)
+        gradient = 1e-7 * weights.astype(np.float64)
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            a, b = offsets[low], offsets[high]
+            row = np.repeat(error[low:high], np.diff(offsets[low : high + 1]))
+            gradient += np.bincount(place[a:b], share[a:b] * row, 2 << BITS) / n
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
-        weights -= scale * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
+        rate = scale * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
+        weights = (weights - rate).astype(np.float32)
         bias -= 0.1 * error.sum() / n
-    logit = np.bincount(row, share * weights[place], len(good)) + bias
+    logit = logits()
     slope, shift = _platt(logit[held], good[held])
     # The sample has the classes in other shares than the labels do.
     true = np.log(sizes.get(1, 1) / sizes.get(0, 1))
     shift += true - np.log(max(good.sum(), 1) / max((1 - good).sum(), 1))
-    return Model(weights.astype(np.float32), bias, slope, shift)
+    return Model(weights, float(bias), slope, float(shift))
 
 
 def _platt(logit: np.ndarray, good: np.ndarray) -> tuple[float, float]:
