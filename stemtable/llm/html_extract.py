@@ -15,8 +15,10 @@ the labeller also knows structures that the sample does not show.
 Null and empty pages have an empty text.  Character references are decoded, white
 space in a block becomes one space, nothing else is dropped or capped.  Broken
 markup is read as browsers do in the common cases: a block-level start tag closes
-an open paragraph, an end tag without a start is ignored.  Repeated rows get equal
-results; the new columns replace columns of their names.
+an open paragraph, an end tag without a start is ignored, an open head ends at the
+first tag or text that cannot stand in it.  Text of formulas, drawings and embedded
+objects belongs to the block around it.  Repeated rows get equal results; the new
+columns replace columns of their names.
 """
 
 from __future__ import annotations
@@ -49,7 +51,9 @@ BLOCK_TAGS = frozenset(
     " section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
 # Elements whose content is never text of the page.
-HIDDEN_TAGS = frozenset("script style template head title svg math object".split())
+HIDDEN_TAGS = frozenset("script style template head title".split())
+# Tags that leave an open head open.
+HEAD_TAGS = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # An opening tag of the first kind closes an open one of the second.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -84,7 +88,15 @@ class BlockParser(HTMLParser):
             self.parts.clear()
         self.linked = 0
 
+    def leave_head(self) -> None:
+        """End an open head, unless a template or title in it is open; its end tag is optional."""
+        if self.hidden and all(t == "head" for t, _ in self.stack if t in HIDDEN_TAGS):
+            self.stack = [x for x in self.stack if x[0] != "head"]
+            self.hidden = 0
+
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD_TAGS:
+            self.leave_head()
         if tag in HIDDEN_TAGS:
             self.flush()
             self.stack.append((tag, ()))
@@ -118,6 +130,7 @@ class BlockParser(HTMLParser):
         if tag == "br" or tag in VOID_TAGS:
             self.handle_starttag(tag, attrs)
         elif tag in BLOCK_TAGS:
+            self.leave_head()
             self.flush()
 
     def handle_endtag(self, tag):
@@ -132,6 +145,8 @@ class BlockParser(HTMLParser):
             self.hidden = sum(1 for t, _ in self.stack if t in HIDDEN_TAGS)
 
     def handle_data(self, data):
+        if self.hidden and data.strip(" \t\n\f\r"):
+            self.leave_head()
         if not self.hidden:
             self.parts.append(data)
             if self.links:

@@ -307,6 +307,26 @@ def test_blocks_of_broken_markup():
     assert [b[1] for b in html_extract.blocks("just text")] == ["just text"]
 
 
+def test_blocks_behind_an_open_head():
+    def found(page):
+        return [b[1] for b in html_extract.blocks(page)]
+
+    page = "<html><head><title>T</title><meta charset=utf-8><article><p>Text</article>"
+    assert html_extract.blocks(page) == [((("html", ()), ("article", ()), ("p", ())), "Text", 0)]
+    assert found("<head><head><style>s</style><span>a</span> b<p>c") == ["a b", "c"]
+    assert found("<head>\n<title>T</title>\nplain <b>text</b>") == ["plain text"]
+    # What may stand in a head leaves it open; a template keeps its content.
+    assert found("<head><template><p>x</p></template><script>y</script><link href=z></head><p>a") == ["a"]
+
+
+def test_blocks_of_embedded_content():
+    page = (
+        "<article><p>From <math><mi>x</mi><mo>=</mo><mn>1</mn></math> follows</p><svg><title>t</title><text>Axis</text></svg>"
+        "<object data=d><p>Fallback</p></object></article>"
+    )
+    assert [b[1] for b in html_extract.blocks(page)] == ["From x=1 follows", "Axis", "Fallback"]
+
+
 def test_gradients_against_differences():
     rng = np.random.default_rng(0)
     model = html_extract.Labeller()
