@@ -21,6 +21,9 @@ consecutive symbols of one text.  Which windows occur more than once?
    two.  That repeats until no anchor is hot; an anchor as long as the window
    has one class.  Nothing is dropped or capped on the way.
 
+A text is known by its id and a 64-bit hash of it (``mark``): rows without id, and
+different texts of one id, are never gathered.  Equal rows bring what they share once.
+
 No step gathers the occurrences of a key: they are counted and joined with
 adaptive skew handling, and a shard holds ``SHARD_SYMBOLS`` plus at most one
 anchor's classes.
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemtable.llm.frames import written
+from stemtable.llm.frames import text_mark, written
 from stemtable.llm.symbols import (
     Hasher,
     WordHasher,
@@ -49,8 +52,8 @@ from stemtable.llm.symbols import (
 from stemtable.operators.spread import skew_join
 
 HOT_CLASSES = 512
-START_BITS = 40
-PART_MASK = (1 << 23) - 1
+# Texts that a task remembers to skip equal rows.
+REMEMBERED = 100_000
 WINDOW_BASE = 0x2545F4914F6CDD1D
 
 
@@ -97,23 +100,23 @@ def passages(symbols, first, scheme: Scheme, hasher: Hasher):
 
 
 def occurrences(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """``key, ph, id, pos, runs, more`` of each passage of ``id, text``.
+    """``key, ph, id, mark, pos, runs, more`` of each passage of ``id, text``.
 
-    ``pos`` is the first symbol; its upper bits tell apart different texts that
-    share an id.  A passage that its text repeats, say of one word pair over and
-    over, is one row; ``more`` has the places of the repeats.
+    ``pos`` is the first symbol in the text.  A passage that its text repeats, say
+    of one word pair over and over, is one row; ``more`` has the places of the
+    repeats.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols_of, hasher = symboliser(scheme.unit), Hasher(WINDOW_BASE)
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, marks = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for part in chunks(batch.column(1)):
                 symbols, first, _, _ = symbols_of(part)
-                text, start, runs, key, ph, prefix = passages(symbols, first, scheme, hasher)
+                text, start, runs, key, ph, _ = passages(symbols, first, scheme, hasher)
                 if not len(text):
                     continue
-                pos = text_mark(prefix, first, hasher)[text] + start - first[text]
+                pos = start - first[text]
                 whose = mix(key ^ mix(ph + text.astype(np.uint64)))
                 _, at, group = np.unique(whose, return_index=True, return_inverse=True)
                 again = np.ones(len(text), dtype=bool)
@@ -129,69 +132,73 @@ def occurrences(docs: DataFrame, scheme: Scheme) -> DataFrame:
                         pa.array(key[at].view(np.int64)),
                         pa.array(ph[at].view(np.int64)),
                         pa.array(ids[part.first + text[at]]),
+                        pa.array(marks[part.first + text[at]]),
                         pa.array(pos[at]),
                         pa.array(runs[at].astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), places),
                     ],
-                    names=["key", "ph", "id", "pos", "runs", "more"],
+                    names=["key", "ph", "id", "mark", "pos", "runs", "more"],
                 )
 
-    return docs.select("id", "text").mapInArrow(
-        scan, "key long, ph long, id long, pos long, runs int, more array<struct<pos:long,runs:int>>"
+    return marked(docs).select("id", "text", "mark").mapInArrow(
+        scan, "key long, ph long, id long, mark long, pos long, runs int, more array<struct<pos:long,runs:int>>"
     )
 
 
-def text_mark(prefix, first, hasher: Hasher) -> np.ndarray:
-    whole = hasher.spans(prefix, first[:-1], first[1:])
-    return (whole & np.uint64(PART_MASK)).astype(np.int64) << START_BITS
+def marked(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("mark", text_mark(F.col("text")))
 
 
 def contents(docs: DataFrame, wanted: DataFrame, scheme: Scheme) -> DataFrame:
     """Bring the symbols of ``wanted`` passages: adds ``at`` (place of the anchor in it) and ``content``."""
-    lists = wanted.groupBy("id").agg(F.collect_list(F.struct("key", "ph", "pos", "runs", "hot")).alias("wanted"))
-    joined = docs.select("id", "text").join(lists, "id", "inner")
+    lists = wanted.groupBy("id", "mark").agg(F.collect_list(F.struct("key", "ph", "pos", "runs", "hot")).alias("wanted"))
+    joined = skew_join(marked(docs).select("id", "mark", "text"), lists, ["id", "mark"], "inner")
+    joined = joined.select("id", "text", "wanted", "mark")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols_of, hasher = symboliser(scheme.unit), Hasher(WINDOW_BASE)
+        symbols_of, hasher, seen = symboliser(scheme.unit), Hasher(WINDOW_BASE), set()
         for batch in batches:
-            ids, lists = batch.column(0).to_numpy(), batch.column(2)
+            ids, lists, marks = batch.column(0).to_numpy(), batch.column(2), batch.column(3).to_numpy()
             for part in chunks(batch.column(1)):
                 symbols, first, _, _ = symbols_of(part)
-                prefix = hasher.prefix(symbols)
-                mark = text_mark(prefix, first, hasher)
                 rows = []
                 for i in range(len(part)):
+                    whose = (int(ids[part.first + i]), int(marks[part.first + i]))
+                    if whose in seen:
+                        continue
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(whose)
                     items = lists[part.first + i].values
-                    pos = items.field("pos").to_numpy()
+                    starts = first[i] + items.field("pos").to_numpy()
                     runs = items.field("runs").to_numpy()
-                    mine = (pos >> START_BITS) << START_BITS == mark[i]
-                    starts = first[i] + (pos & ((1 << START_BITS) - 1))
-                    for j in np.flatnonzero(mine):
+                    for j in range(len(items)):
                         begin = int(starts[j])
                         end = begin + int(runs[j]) + scheme.window - 1
                         own = symbols[begin:end]
                         anchors = hasher.windows(hasher.prefix(own[: scheme.window]), scheme.key)
                         at = int(sliding_first_min(anchors, len(anchors))[0])
                         data = part.data[begin:end] if scheme.unit == "byte" else own
-                        rows.append((items[j].as_py(), int(ids[part.first + i]), at, data.tobytes()))
+                        rows.append((items[j].as_py(), *whose, at, data.tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([r[0]["key"] for r in rows], pa.int64()),
                             pa.array([r[0]["ph"] for r in rows], pa.int64()),
                             pa.array([r[1] for r in rows], pa.int64()),
+                            pa.array([r[2] for r in rows], pa.int64()),
                             pa.array([r[0]["pos"] for r in rows], pa.int64()),
                             pa.array([r[0]["runs"] for r in rows], pa.int32()),
                             pa.array([r[0]["hot"] for r in rows], pa.bool_()),
-                            pa.array([r[2] for r in rows], pa.int32()),
-                            pa.array([r[2] + scheme.key for r in rows], pa.int32()),
-                            pa.array([r[3] for r in rows], pa.binary()),
+                            pa.array([r[3] for r in rows], pa.int32()),
+                            pa.array([r[3] + scheme.key for r in rows], pa.int32()),
+                            pa.array([r[4] for r in rows], pa.binary()),
                         ],
-                        names=["key", "ph", "id", "pos", "runs", "hot", "at", "upto", "content"],
+                        names=["key", "ph", "id", "mark", "pos", "runs", "hot", "at", "upto", "content"],
                     )
 
     return joined.mapInArrow(
-        fetch, "key long, ph long, id long, pos long, runs int, hot boolean, at int, upto int, content binary"
+        fetch, "key long, ph long, id long, mark long, pos long, runs int, hot boolean, at int, upto int, content binary"
     )
 
 
@@ -224,6 +231,7 @@ def halves(rows: DataFrame, scheme: Scheme) -> DataFrame:
                             "key": _hash(hasher, prefix, a, b),
                             "ph": _hash(hasher, prefix, low, end),
                             "id": r["id"],
+                            "mark": r["mark"],
                             "pos": r["pos"] + low,
                             "runs": high - low + 1,
                             "at": a - low,
@@ -235,12 +243,12 @@ def halves(rows: DataFrame, scheme: Scheme) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     schema = pa.schema(
-        [(n, pa.int64()) for n in ("key", "ph", "id", "pos")]
+        [(n, pa.int64()) for n in ("key", "ph", "id", "mark", "pos")]
         + [(n, pa.int32()) for n in ("runs", "at", "upto")]
         + [("content", pa.binary())]
     )
-    return rows.select("id", "pos", "runs", "at", "upto", "content").mapInArrow(
-        divide, "key long, ph long, id long, pos long, runs int, at int, upto int, content binary"
+    return rows.select("id", "mark", "pos", "runs", "at", "upto", "content").mapInArrow(
+        divide, "key long, ph long, id long, mark long, pos long, runs int, at int, upto int, content binary"
     )
 
 
@@ -249,16 +257,16 @@ def _hash(hasher, prefix, start, end) -> int:
 
 
 def _spans(rows: DataFrame, window: int) -> DataFrame:
-    return rows.select("id", "pos", (F.col("pos") + F.col("runs") + window - 1).alias("upto"))
+    return rows.select("id", "mark", "pos", (F.col("pos") + F.col("runs") + window - 1).alias("upto"))
 
 
 def repeated_spans(
     docs: DataFrame, scheme: Scheme, match: Callable, keep_first: bool
 ) -> DataFrame:
-    """``id, pos, upto``: spans of symbols that repeated windows cover, as packed places.
+    """``id, mark, pos, upto``: spans of symbols that repeated windows cover.
 
     ``keep_first``: leave the first occurrence of each window (least id, then
-    place) out.  ``match(passages)`` gets the passages of a shard in order of
+    mark, then place) out.  ``match(passages)`` gets the passages of a shard in order of
     place as (symbols, class size) and yields for each a mask of its windows that
     occur in an earlier passage (``keep_first``) or in any other one.
 
@@ -270,16 +278,16 @@ def repeated_spans(
     times = F.sum(F.lit(1) + F.size("more")).alias("n")
     keys = found.groupBy("key").agg(times).filter("n > 1").select("key")
     seen = written(skew_join(found, keys, ["key"], "left_semi"), "passages")
-    place = F.struct("id", "pos", "runs")
+    place = F.struct("id", "mark", "pos", "runs")
     classes = written(
         seen.groupBy("key", "ph").agg(times, F.min(place).alias("first")), "classes"
     )
     members = skew_join(seen, classes, ["key", "ph"], "inner")
     # Repeats within a text always count; the row's own place does unless it is the one that stays.
-    counts = F.struct("id", "pos") != F.struct("first.id", "first.pos") if keep_first else F.col("n") > 1
+    counts = F.struct("id", "mark", "pos") != F.struct("first.id", "first.mark", "first.pos") if keep_first else F.col("n") > 1
     none = F.array().cast("array<struct<pos:long,runs:int>>")
     own = F.when(counts, F.array(F.struct("pos", "runs"))).otherwise(none)
-    members = members.select("id", F.inline(F.concat(own, "more")))
+    members = members.select("id", "mark", F.inline(F.concat(own, "more")))
     spans = [_spans(members, size)]
 
     def undecided(classes: DataFrame, *columns: str) -> DataFrame:
@@ -288,21 +296,21 @@ def repeated_spans(
         # A class of several occurrences has all its spans already, unless the first is to be told.
         return joined.select("key", "ph", "n", *columns, (F.col("m") > HOT_CLASSES).alias("hot"))
 
-    open_ = undecided(classes, "first.id", "first.pos", "first.runs")
+    open_ = undecided(classes, "first.id", "first.mark", "first.pos", "first.runs")
     rows = written(contents(docs, open_, scheme), "content")
     shards = [rows.filter("not hot")]
     while not (hot := rows.filter("hot")).isEmpty():
         pieces = written(halves(hot, scheme), "halves")
-        full = F.struct("id", "pos", "runs", "at", "upto", "content")
+        full = F.struct("id", "mark", "pos", "runs", "at", "upto", "content")
         classes = pieces.groupBy("key", "ph").agg(F.count(F.lit(1)).alias("n"), F.min(full).alias("first"))
-        members = skew_join(pieces, classes.select("key", "ph", "n", "first.id", "first.pos").toDF("key", "ph", "n", "fid", "fpos"), ["key", "ph"], "inner")
-        members = members.filter("id != fid or pos != fpos" if keep_first else "n > 1")
+        members = skew_join(pieces, classes.select("key", "ph", "n", "first.id", "first.mark", "first.pos").toDF("key", "ph", "n", "fid", "fmark", "fpos"), ["key", "ph"], "inner")
+        members = members.filter("id != fid or mark != fmark or pos != fpos" if keep_first else "n > 1")
         spans.append(_spans(members, size))
         rows = written(
-            undecided(classes, *[f"first.{c}" for c in ("id", "pos", "runs", "at", "upto", "content")]), "content"
+            undecided(classes, *[f"first.{c}" for c in ("id", "mark", "pos", "runs", "at", "upto", "content")]), "content"
         )
         shards.append(rows.filter("not hot"))
-    columns = ["key", "id", "pos", "runs", "content"]
+    columns = ["key", "id", "mark", "pos", "runs", "content"]
     unsettled = shards[0].select(*columns)
     for more in shards[1:]:
         unsettled = unsettled.unionByName(more.select(*columns))
@@ -322,58 +330,59 @@ def _matched(rows: DataFrame, scheme: Scheme, match: Callable) -> DataFrame:
     size, kind = scheme.window, (np.uint8 if width == 1 else np.uint64)
 
     def settle(shard: list) -> pa.RecordBatch | None:
-        ids, places, ends = [], [], []
-        masks = match([np.frombuffer(content, kind) for _, _, content in shard], size)
-        for (id_, pos, _), mask in zip(shard, masks, strict=True):
+        ids, marks, places, ends = [], [], [], []
+        masks = match([np.frombuffer(content, kind) for *_, content in shard], size)
+        for (id_, mark, pos, _, _), mask in zip(shard, masks, strict=True):
             edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
             for low, high in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
                 ids.append(id_)
+                marks.append(mark)
                 places.append(pos + low)
                 ends.append(pos + high + size - 1)
         if not ids:
             return None
-        arrays = [pa.array(x, pa.int64()) for x in (ids, places, ends)]
-        return pa.RecordBatch.from_arrays(arrays, names=["id", "pos", "upto"])
+        arrays = [pa.array(x, pa.int64()) for x in (ids, marks, places, ends)]
+        return pa.RecordBatch.from_arrays(arrays, names=["id", "mark", "pos", "upto"])
 
     def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, shard = None, []
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(4)]
-            for number, id_, pos, content in zip(*columns, strict=True):
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            for number, *passage in zip(*columns, strict=True):
                 if number != current and shard:
                     if (done := settle(shard)) is not None:
                         yield done
                     shard = []
                 current = number
-                shard.append((id_, pos, content))
+                # Equal rows may bring a passage again.
+                if not shard or shard[-1] != passage:
+                    shard.append(passage)
         if shard and (done := settle(shard)) is not None:
             yield done
 
-    dealt = rows.select(F.pmod(F.col("key"), F.lit(n)).alias("shard"), "id", "pos", "content")
+    dealt = rows.select(F.pmod(F.col("key"), F.lit(n)).alias("shard"), "id", "mark", "pos", "key", "content")
     tasks = min(max(n, cores), 20_000)
     return (
         dealt.repartition(tasks, "shard")
-        .sortWithinPartitions("shard", "id", "pos")
-        .mapInArrow(by_shard, "id long, pos long, upto long")
+        .sortWithinPartitions("shard", "id", "mark", "pos", "key", F.length("content"))
+        .mapInArrow(by_shard, "id long, mark long, pos long, upto long")
     )
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """Join ``id, text, ...`` with a list ``spans`` of (pos, upto); null where there is none."""
-    lists = spans.groupBy("id").agg(F.collect_list(F.struct("pos", "upto")).alias("spans"))
-    return docs.join(lists, "id", "left")
+    # Equal rows bring equal spans; a list holds those of one text.
+    lists = spans.groupBy("id", "mark").agg(F.collect_set(F.struct("pos", "upto")).alias("spans"))
+    return skew_join(marked(docs), lists, ["id", "mark"], "left").drop("mark")
 
 
-def covered(part, first, mark, lists) -> np.ndarray:
-    """A mask over the symbols of a chunk, from each text's packed spans."""
+def covered(part, first, lists) -> np.ndarray:
+    """A mask over the symbols of a chunk, from each text's spans."""
     steps = np.zeros(int(first[-1]) + 1, dtype=np.int64)
-    low = (1 << START_BITS) - 1
     for i in range(len(part)):
         items = lists[part.first + i].values
         if items is None or not len(items):
             continue
-        pos, upto = items.field("pos").to_numpy(), items.field("upto").to_numpy()
-        mine = (pos >> START_BITS) << START_BITS == mark[i]
-        np.add.at(steps, first[i] + (pos[mine] & low), 1)
-        np.add.at(steps, first[i] + (upto[mine] & low), -1)
+        np.add.at(steps, first[i] + items.field("pos").to_numpy(), 1)
+        np.add.at(steps, first[i] + items.field("upto").to_numpy(), -1)
     return np.cumsum(steps)[:-1] > 0

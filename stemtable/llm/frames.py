@@ -46,6 +46,11 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), "text", *more)
 
 
+def text_mark(text: Column) -> Column:
+    """A 64-bit hash of a text; with the id it is the key of a document."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), F.lit(1))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """``id, text, row``: the other columns of ``docs`` in one struct, whatever they are called."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]

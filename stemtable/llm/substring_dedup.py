@@ -26,9 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stemtable.llm.anchored import WINDOW_BASE, Scheme, covered, repeated_spans, text_mark, with_spans
+from stemtable.llm.anchored import Scheme, covered, repeated_spans, with_spans
 from stemtable.llm.frames import packed, texts, unpacked
-from stemtable.llm.symbols import Hasher, WordHasher, chunks, cut_words, mask_of, not_space, rebuilt
+from stemtable.llm.symbols import WordHasher, chunks, cut_words, mask_of, not_space, rebuilt
 
 WINDOW = 20
 ANCHOR = 6
@@ -109,18 +109,17 @@ def earlier_windows(passages: list[np.ndarray], window: int) -> Iterator[np.ndar
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``id, text, row, spans``: ``row`` holds the columns of ``docs``, ``spans`` the packed
+    """``id, text, row, spans``: ``row`` holds the columns of ``docs``, ``spans`` the
     word ranges to remove (see ``stripped`` and ``digested``), null if there are none."""
     scheme = Scheme(window, min(ANCHOR, window), "word", SHARD_WORDS)
     spans = repeated_spans(texts(docs), scheme, earlier_windows, keep_first=True)
     return with_spans(packed(docs), spans)
 
 
-def _masks(batch: pa.RecordBatch, symbols_of, hasher):
+def _masks(batch: pa.RecordBatch, symbols_of):
     for part in chunks(batch.column("text")):
         symbols, first, starts, ends = symbols_of(part)
-        mark = text_mark(hasher.prefix(symbols), first, hasher)
-        yield part, first, starts, ends, covered(part, first, mark, batch.column("spans"))
+        yield part, first, starts, ends, covered(part, first, batch.column("spans"))
 
 
 def stripped(found: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -131,10 +130,10 @@ def stripped(found: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols_of, hasher = WordHasher(not_space()), Hasher(WINDOW_BASE)
+        symbols_of = WordHasher(not_space())
         for batch in batches:
             out = []
-            for part, first, starts, ends, gone in _masks(batch, symbols_of, hasher):
+            for part, first, starts, ends, gone in _masks(batch, symbols_of):
                 for i in range(len(part)):
                     a, b = int(first[i]), int(first[i + 1])
                     data = part.data[part.offsets[i] : part.offsets[i + 1]]
@@ -153,10 +152,10 @@ def digested(found: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of each document."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols_of, hasher = WordHasher(not_space()), Hasher(WINDOW_BASE)
+        symbols_of = WordHasher(not_space())
         for batch in batches:
             n_words, n_removed, shas = [], [], []
-            for part, first, starts, ends, gone in _masks(batch, symbols_of, hasher):
+            for part, first, starts, ends, gone in _masks(batch, symbols_of):
                 # Each kept word with one space behind it: the byte that ends it, if it is not its text's last.
                 data = np.append(part.data, np.uint8(0x20))
                 inner = ends < part.offsets[np.searchsorted(part.offsets, starts, "right")]

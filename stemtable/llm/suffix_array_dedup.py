@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stemtable.llm.anchored import WINDOW_BASE, Scheme, covered, repeated_spans, symboliser, text_mark, with_spans
+from stemtable.llm.anchored import Scheme, covered, repeated_spans, symboliser, with_spans
 from stemtable.llm.frames import packed, texts
 from stemtable.llm.symbols import Hasher, byte_values, chunks
 
@@ -89,7 +89,7 @@ def repeated_windows(passages: list[np.ndarray], window: int) -> Iterator[np.nda
 
 
 def suffix_array_dedup(docs: DataFrame, window: int = WINDOW, keep_first: bool = True) -> DataFrame:
-    """``id, text, row, spans``: ``row`` holds the columns of ``docs``, ``spans`` the packed byte
+    """``id, text, row, spans``: ``row`` holds the columns of ``docs``, ``spans`` the byte
     ranges to remove, null if there are none."""
     scheme = Scheme(window, max(1, window // 2), "byte", SHARD_BYTES)
     match = earlier_windows if keep_first else repeated_windows
@@ -100,13 +100,12 @@ def digested(found: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each document."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols_of, hasher = symboliser("byte"), Hasher(WINDOW_BASE)
+        symbols_of = symboliser("byte")
         for batch in batches:
             rows = []
             for part in chunks(batch.column("text")):
-                symbols, first, _, _ = symbols_of(part)
-                mark = text_mark(hasher.prefix(symbols), first, hasher)
-                gone = covered(part, first, mark, batch.column("spans"))
+                _, first, _, _ = symbols_of(part)
+                gone = covered(part, first, batch.column("spans"))
                 for i in range(len(part)):
                     lost = gone[first[i] : first[i + 1]]
                     own = part.data[first[i] : first[i + 1]]

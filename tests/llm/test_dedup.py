@@ -6,9 +6,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stemtable.llm import anchored, ngram_join, substring_dedup, suffix_array_dedup
+from stemtable.llm.symbols import Hasher, chunks
+from stemtable.operators.spread import skew_join
 
 SCHEMA = "doc_id long, text string, source string, id long, row string, spans string"
 
@@ -155,6 +158,47 @@ def test_repeated_rows_and_missing_ids(spark):
     assert sorted(g[2] for g in got[1:]) in ([0, 0, 30], [0, 30, 30])
 
 
+def test_texts_without_id_are_told_apart(spark):
+    """Two texts whose hashes agree in their lowest 23 bits, and equal rows, all without id."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    seen, pair, k = {}, None, 0
+    hasher, bytes_of = Hasher(anchored.WINDOW_BASE), anchored.symboliser("byte")
+    while pair is None:
+        short = k % 2 == 0
+        text = f"short {k}" if short else f"head {k} {passage}"
+        symbols, first, _, _ = bytes_of(next(chunks(pa.array([text]))))
+        whole = hasher.spans(hasher.prefix(symbols), first[:-1], first[1:])
+        other = seen.setdefault(int(whole[0]) & ((1 << 23) - 1), (short, text))
+        pair = (other[1], text) if other[0] != short else None
+        k += 1
+    rows = [(1, passage), *[(None, text) for text in pair], (None, pair[0]), (None, pair[1]), (None, "another text")]
+    got = suffix_array_dedup.digested(suffix_array_dedup.suffix_array_dedup(frame(spark, rows), 64, keep_first=False))
+    want = {}
+    for _, text in rows[1:]:
+        want[text] = (len(text), len(text) if len(text) > 64 else 0)
+    kept = sorted((r.n_bytes, r.n_removed) for r in got.collect() if r.doc_id is None)
+    assert kept == sorted(want[text] for _, text in rows[1:])
+
+
+def test_each_text_is_compared_once(spark, monkeypatch):
+    """Rows without id are joined with their own set only, not with those of all others."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(None, " ".join([*base[:at], f"x{at}", *base[at + 1 :]])) for at in rng.sample(range(100), 30)] * 2
+    brought = []
+
+    def counted(left, right, on, how="left"):
+        out = skew_join(left, right, on, how)
+        if "text" in left.columns:
+            brought.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "skew_join", counted)
+    found = ngram_join.ngram_join(frame(spark, rows), 3, 80).collect()
+    assert {(r.component_id, r.n_links) for r in found} == {(None, 29)}
+    assert brought == [len(rows)]
+
+
 def test_empty_tables(spark):
     docs = frame(spark, [])
     assert substring_dedup.digested(substring_dedup.substring_dedup(docs, 20)).count() == 0
