@@ -23,9 +23,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: what several later steps read is computed once, and a lost
     executor only repeats reading it.
     """
+    return stored(df, name)[0]
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``written``, and the folder, for tables that are ``removed`` before the session ends."""
     folder = shared_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that ``stored`` made, once no plan reads it any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
@@ -61,3 +72,13 @@ def unpacked(df: DataFrame, columns: Sequence[str], **more: Column) -> DataFrame
     """``columns`` of the documents that were ``packed``, then ``more``; a new one replaces one of its name."""
     kept = [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in columns if c not in more]
     return df.select(*kept, *[c.alias(n) for n, c in more.items()])
+
+
+def boxed(columns: Sequence[str]) -> Column:
+    """The columns as one struct whose fields are numbered, so that no name can clash."""
+    return F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.lit(True).alias("box"))
+
+
+def unboxed(box: str, columns: Sequence[str], without: Sequence[str] = ()) -> list[Column]:
+    """The columns that were ``boxed``, but for those that new ones replace."""
+    return [F.col(box)[f"c{i}"].alias(c) for i, c in enumerate(columns) if c not in without]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemtable.llm import (
+    chat_format,
     decontaminate,
     html_extract,
     language_id,
@@ -16,8 +17,9 @@ from stemtable.llm import (
     substring_dedup,
     suffix_array_dedup,
     url_filter,
+    vector_codes,
 )
-from stemtable.llm.frames import table
+from stemtable.llm.frames import literal_table, table
 from stemtable.llm.queries import sql
 
 
@@ -73,6 +75,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digested(substring_dedup.substring_dedup(docs, window=20))
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = literal_table(spark, sql.PROBE, "conv_id long, turn long, role string, text string")
+    return chat_format.digested(chat_format.windows(rows.unionByName(probe)))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    coded, book, _ = vector_codes.compress(vectors)
+    return vector_codes.digested(coded, book)
+
+
 QUERIES = {
     "op1_language_id": (op1_language_id, None),
     "op2_ngram_join": (op2_ngram_join, None),
@@ -84,4 +98,6 @@ QUERIES = {
     "op8_mixing": (op8_mixing, sql.MIXING),
     "op9_license_scan": (op9_license_scan, None),
     "op10_substring_dedup": (op10_substring_dedup, None),
+    "op12_chat_format": (op12_chat_format, sql.chat_format()),
+    "op13_vector_codes": (op13_vector_codes, sql.vector_codes()),
 }

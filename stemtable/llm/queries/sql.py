@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from stemtable.llm.chat_format import BUDGET, CONTROL, END, HISTORY, MARKS, START, TOKEN
 from stemtable.llm.mixing import MOST, WEIGHTS
+from stemtable.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
 
 # The sample is a running sum over the whole source here; the operator reaches it by bins.
 MIXING = f"""
@@ -39,3 +41,84 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
   CAST(whole AS BIGINT) + CASE WHEN p > 0 AND rest > 0 AND total - size / 2.0 <= rest THEN 1 ELSE 0 END AS copies,
   (CAST(whole AS BIGINT) + CASE WHEN p > 0 AND rest > 0 AND total - size / 2.0 <= rest THEN 1 ELSE 0 END) * CAST(size AS BIGINT) AS taken
 FROM summed"""
+
+
+def vector_codes() -> str:
+    """Every distance of every round, from dot products of whole numbers in doubles."""
+
+    def nearest(t: int) -> str:
+        return f"""near{t} AS MATERIALIZED (
+  SELECT rid, p, x, near % {ENTRIES} AS e, near // {ENTRIES} AS d FROM (
+    SELECT c.rid, c.p, any_value(c.x) AS x, min(CAST(
+      list_dot_product(c.x, c.x) - 2 * list_dot_product(c.x, b.x) + list_dot_product(b.x, b.x) AS BIGINT) * {ENTRIES} + b.e) AS near
+    FROM cut c JOIN book{t} b USING (p) GROUP BY c.rid, c.p)
+)"""
+
+    def moved(t: int) -> str:
+        return f"""book{t + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM book{t} b LEFT JOIN (
+    SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS x FROM (
+      SELECT p, e, i, CAST(sum(CAST(v AS BIGINT)) AS BIGINT) AS s, count(*) AS n
+      FROM (SELECT p, e, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM near{t}) GROUP BY p, e, i)
+    GROUP BY p, e) m ON b.p = m.p AND b.e = m.e
+)"""
+
+    steps = [step for t in range(ROUNDS) for step in (nearest(t), moved(t))] + [nearest(ROUNDS)]
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor({SCALE} * CAST(x AS DOUBLE))) AS v,
+    row_number() OVER (ORDER BY vec_id ASC NULLS LAST) AS rid
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), cut AS MATERIALIZED (
+  SELECT rid, p, v[p * (len(v) // {PARTS}) + 1:(p + 1) * (len(v) // {PARTS})] AS x FROM kept, range({PARTS}) t(p)
+), book0 AS MATERIALIZED (
+  SELECT p, rid - 1 AS e, x FROM cut WHERE rid <= {ENTRIES}
+), {", ".join(steps)}, coded AS (
+  SELECT rid, string_agg(lpad(to_hex(e), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM near{ROUNDS} GROUP BY rid
+), digest AS (
+  SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256
+  FROM (SELECT p, e, CAST(unnest(x) AS BIGINT) AS v, generate_subscripts(x, 1) AS i FROM book{ROUNDS})
+)
+SELECT k.vec_id, lower(c.code) AS code, c.error,
+  CAST(sum(c.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, g.codebooks_sha256
+FROM kept k JOIN coded c USING (rid), digest g"""
+
+
+# Conversation -7 of the formatting query: control strings as texts.
+PROBE = ((-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]"))
+
+
+def chat_format() -> str:
+    """What goes in is what must be read back; the windows only count for ``formatted_chars``."""
+    size = f"""{len(START) + len(END) + 2} + length(replace(replace(role, '~', '~~'), chr(10), '~n'))
+    + len(regexp_extract_all(role, '[<\\[]\\\\*(?:{CONTROL})')) + length(text) + len(regexp_extract_all(text, '[<\\[]\\\\*(?:{CONTROL})'))"""
+    probe = ", ".join(map(str, PROBE))
+    return f"""
+WITH every AS (
+  SELECT conv_id, coalesce(turn, 9223372036854775807) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES {probe})
+), sized AS (
+  SELECT *, len(regexp_extract_all(text, '{TOKEN}')) + len(regexp_extract_all(role, '{TOKEN}')) + {MARKS} AS tokens, {size} AS size,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k
+  FROM every
+), placed AS (
+  SELECT *, CAST(sum(tokens) OVER (PARTITION BY conv_id ORDER BY k) AS BIGINT) AS ends,
+    max(CASE WHEN k = 1 AND role = 'system' THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) AS kept
+  FROM sized
+), strided AS (
+  SELECT *, greatest(CAST(floor(({BUDGET - HISTORY} - kept) / 2) AS BIGINT), {HISTORY}) AS stride FROM placed
+), windows AS (
+  SELECT conv_id, min(ends - tokens) AS starts FROM strided GROUP BY conv_id, (ends - 1) // stride, tokens <= stride
+), repeated AS (
+  SELECT s.conv_id, sum(s.size) AS chars FROM strided s JOIN windows w
+  ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND w.starts >= s.ends AND (CASE WHEN s.k = 1 AND s.kept > 0 THEN true ELSE w.starts <= s.ends - s.tokens + {HISTORY} END)
+  GROUP BY s.conv_id
+)
+SELECT p.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY k), '')) AS loss_sha256,
+  CAST(sum(p.size) + coalesce(any_value(r.chars), 0) AS BIGINT) AS formatted_chars
+FROM placed p LEFT JOIN repeated r ON p.conv_id IS NOT DISTINCT FROM r.conv_id
+GROUP BY p.conv_id"""
