@@ -23,7 +23,7 @@ Tokens are counted without a vocabulary: runs of at most ``PIECE`` letters or
 digits, and every other character but white space, count one, and a turn's marks
 ``MARKS`` tokens.
 
-Rows of a conversation go by turn, then role and text; a null turn is last.  Null
+Rows of a conversation go by turn, then role and a hash of the text; a null turn is last.  Null
 text and null role are empty.  Rows without conversation are one conversation.
 Repeated rows are turns of their own.  An empty table gives no windows.  Texts
 are whole whatever their length.  Further columns of the rows are left out.
@@ -37,6 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stemtable.llm.frames import written
 from stemtable.operators.spread import running_total, skew_join
 
 BUDGET = 1024
@@ -80,71 +81,78 @@ def n_tokens(text: Column) -> Column:
 
 
 def turns(rows: DataFrame) -> DataFrame:
-    """``key, conv_id, turn, role, text, tokens`` of each row."""
-    clean = rows.select(
+    """``key, conv_id, turn, role, text`` of each row and ``mark``, a hash of its text."""
+    return rows.select(
         F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null")).alias("key"),
         "conv_id",
         F.coalesce(F.col("turn").cast("long"), F.lit(2**63 - 1)).alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
-    return clean.withColumn("tokens", n_tokens(F.col("text")) + n_tokens(F.col("role")) + MARKS)
+    ).withColumn("mark", F.md5(F.col("text").cast("binary")))
 
 
-def spans(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> tuple[DataFrame, DataFrame]:
-    """(turns, system turns by ``key``).
+def spans(listed: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """The turns without their texts, placed.
 
-    The turns have ``ends`` (tokens up to and with the turn), ``is_system``,
+    They have ``ends`` (tokens up to and with the turn), ``tokens``, ``is_system``,
     ``stride``, and ``span``, a key that rises along the conversation.
     """
-    listed = turns(rows)
-    first = listed.groupBy("key").agg(F.min(F.struct("turn", "role", "text", "tokens")).alias("system"))
-    system = first.filter(F.col("system.role") == "system")
-    placed = running_total(listed, ["key"], ["turn", "role", "text"], {"ends": F.col("tokens")})
-    placed = skew_join(placed, system.select("key", F.col("system.tokens").alias("kept")), ["key"])
+    order = ["turn", "role", "mark"]
+    tokens = n_tokens(F.col("text")) + n_tokens(F.col("role")) + MARKS
+    narrow = listed.select("key", *order, tokens.alias("tokens"))
+    placed = running_total(narrow, ["key"], order, {"ends": F.col("tokens")})
+    placed = placed.withColumn("is_system", (F.col("role") == "system") & (F.col("ends") == F.col("tokens")))
+    system = placed.filter("is_system").select("key", F.col("tokens").alias("kept"))
+    placed = skew_join(placed, system, ["key"])
     left = F.lit(budget - history) - F.coalesce("kept", F.lit(0))
     placed = placed.withColumn("stride", F.greatest(F.floor(left / 2), F.lit(max(history, 1))).cast("long"))
     stretch = F.floor((F.col("ends") - 1) / F.col("stride")).alias("stretch")
-    return (
-        placed.withColumn("is_system", F.col("kept").isNotNull() & (F.col("ends") == F.col("tokens")))
-        .withColumn("span", F.struct(stretch, (F.col("tokens") <= F.col("stride")).alias("short")))
-        .drop("kept"),
-        system,
-    )
+    span = F.struct(stretch, (F.col("tokens") <= F.col("stride")).alias("short"))
+    return placed.withColumn("span", span).drop("kept")
 
 
-def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """One row per window.
+def memberships(placed: DataFrame, history: int = HISTORY) -> DataFrame:
+    """``key, turn, role, mark``, ``span``, ``kind``, ``ends``, ``tokens``: which turns each window holds.
 
-    ``conv_id``; ``starts``, the tokens of the conversation before the span, by
-    which the windows of a conversation are in order; ``text``; ``tokens``;
-    ``over_budget``; ``n_context``, the number of repeated turns in front;
-    ``n_new``, that of the others; ``loss``, the spans (start, size) of learned
-    text in code points of ``text``.
+    ``kind`` is 0 for the system turn again, 1 for history, 2 for the turns of the span.
     """
-    placed, system = spans(rows, budget, history)
     begin = F.col("ends") - F.col("tokens")
-    body = F.struct("ends", "role", "text", "tokens").alias("body")
+    body = ["turn", "role", "mark", "ends", "tokens"]
     extent = placed.groupBy("key", "span").agg(F.min(begin).alias("starts"), F.first("stride").alias("stride"))
     # A turn is history of the spans that begin behind it, but no further than ``history`` from its own start.
     slot = F.explode(F.sequence(F.floor(F.col("ends") / F.col("stride")), F.floor(F.col("reach") / F.col("stride"))))
-    before = (
-        placed.withColumn("reach", begin + history)
-        .filter("reach >= ends and not is_system")
-        .select("key", body, "reach", "ends", slot.alias("slot"))
-    )
+    before = placed.withColumn("reach", begin + history).filter("reach >= ends and not is_system")
+    before = before.select("key", *body, "reach", slot.alias("slot"))
     slots = extent.select("key", "span", "starts", F.floor(F.col("starts") / F.col("stride")).alias("slot"))
     repeated = before.join(slots, ["key", "slot"]).filter("starts >= ends and starts <= reach")
     # The first window holds the system turn as its own.
-    head = F.struct(F.lit(0).cast("long").alias("ends"), *[F.col(f"system.{c}") for c in ("role", "text", "tokens")])
-    kept = skew_join(extent.filter("starts > 0"), system.select("key", head.alias("body")), ["key"], "inner")
-    members = placed.select("key", "span", F.lit(2).alias("kind"), body, "conv_id")
+    kept = skew_join(extent.filter("starts > 0"), placed.filter("is_system").select("key", *body), ["key"], "inner")
+    out = placed.select("key", "span", F.lit(2).alias("kind"), *body)
     for kind, more in ((1, repeated), (0, kept)):
-        members = members.unionByName(more.select("key", "span", F.lit(kind).alias("kind"), "body"), allowMissingColumns=True)
+        out = out.unionByName(more.select("key", "span", F.lit(kind).alias("kind"), *body))
+    return out
+
+
+def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """One row per window.
+
+    ``conv_id``; ``starts``, the tokens of the conversation before the span, by
+    which the windows of a conversation are in order; ``text``; ``tokens``;
+    ``over_budget``; ``n_context``, the number of repeated turns in front;
+    ``n_new``, that of the others; ``loss``, the spans (start, size) of learned
+    text in code points of ``text``.
+    """
+    listed = turns(rows)
+    placed = written(spans(listed, budget, history), "turns")
+    # Texts are moved twice: to the windows that want them, and into these.
+    place = ["key", "turn", "role", "mark"]
+    texts = listed.groupBy(*place).agg(F.first("text").alias("text"), F.first("conv_id").alias("conv_id"))
+    members = memberships(placed, history).join(texts, place)
+    body = F.struct("ends", "role", "text", "tokens").alias("body")
     grouped = members.groupBy("key", "span").agg(
-        F.sort_array(F.collect_list(F.struct("kind", "body"))).alias("list"),
-        F.first("conv_id", ignorenulls=True).alias("conv_id"),
-        F.min(F.when(F.col("kind") == 2, F.col("body.ends") - F.col("body.tokens"))).alias("starts"),
+        F.sort_array(F.collect_list(F.struct("kind", body))).alias("list"),
+        F.first("conv_id").alias("conv_id"),
+        F.min(F.when(F.col("kind") == 2, F.col("ends") - F.col("tokens"))).alias("starts"),
     )
     marked = F.transform(
         "list",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stemtable.llm import (
     chat_format,
+    collocations,
     decontaminate,
     html_extract,
     language_id,
@@ -75,6 +76,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digested(substring_dedup.substring_dedup(docs, window=20))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = literal_table(spark, sql.PROBE, "conv_id long, turn long, role string, text string")
@@ -98,6 +103,7 @@ QUERIES = {
     "op8_mixing": (op8_mixing, sql.MIXING),
     "op9_license_scan": (op9_license_scan, None),
     "op10_substring_dedup": (op10_substring_dedup, None),
+    "op11_collocations": (op11_collocations, sql.collocations()),
     "op12_chat_format": (op12_chat_format, sql.chat_format()),
     "op13_vector_codes": (op13_vector_codes, sql.vector_codes()),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from stemtable.llm.chat_format import BUDGET, CONTROL, END, HISTORY, MARKS, START, TOKEN
+from stemtable.llm.collocations import LEAST, LONGEST, PERCENT, TOP
 from stemtable.llm.mixing import MOST, WEIGHTS
 from stemtable.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
 
@@ -101,7 +102,7 @@ WITH every AS (
   FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES {probe})
 ), sized AS (
   SELECT *, len(regexp_extract_all(text, '{TOKEN}')) + len(regexp_extract_all(role, '{TOKEN}')) + {MARKS} AS tokens, {size} AS size,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, md5(text)) AS k
   FROM every
 ), placed AS (
   SELECT *, CAST(sum(tokens) OVER (PARTITION BY conv_id ORDER BY k) AS BIGINT) AS ends,
@@ -122,3 +123,53 @@ SELECT p.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text
   CAST(sum(p.size) + coalesce(any_value(r.chars), 0) AS BIGINT) AS formatted_chars
 FROM placed p LEFT JOIN repeated r ON p.conv_id IS NOT DISTINCT FROM r.conv_id
 GROUP BY p.conv_id"""
+
+
+def collocations() -> str:
+    """Every phrase of every piece is written out and counted."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    cut = " UNION ALL ".join(
+        f"SELECT g.lang, g.phrase, g.m, {k} AS k, g.a, array_to_string(g.w[1:{k}], ' ') AS lw, array_to_string(g.w[{k + 1}:], ' ') AS rw "
+        f"FROM candidates g WHERE g.m > {k}"
+        for k in range(1, LONGEST)
+    )
+    inside = " UNION ALL ".join(
+        f"SELECT lang, array_to_string(w[i:i + {size - 1}], ' ') AS phrase, a FROM candidates, range(1, {LONGEST + 1}) t(i) WHERE m > {size} AND i + {size - 1} <= m"
+        for size in range(2, LONGEST)
+    )
+    ahead = ", ".join(f"lead(w1, {k}) OVER p AS w{k + 1}" for k in range(1, LONGEST))
+    grams = " UNION ALL ".join(
+        f"SELECT lang, {m} AS m, {" || ' ' || ".join(f'w{k}' for k in range(1, m + 1))} AS phrase FROM ahead WHERE w{m} IS NOT NULL"
+        for m in range(1, LONGEST + 1)
+    )
+    return f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(
+    translate(coalesce(text, ''), '{upper}', '{lower}'), '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w
+  FROM documents
+), placed AS (
+  SELECT lang, piece, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM (SELECT lang, w, row_number() OVER () AS piece FROM pieces)
+), ahead AS (
+  SELECT lang, w1, {ahead} FROM placed WINDOW p AS (PARTITION BY piece ORDER BY i)
+), counts AS MATERIALIZED (
+  SELECT lang, m, phrase, string_split(phrase, ' ') AS w, count(*) AS a FROM ({grams}) GROUP BY lang, m, phrase
+), totals AS (
+  SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM counts WHERE m = 1 GROUP BY lang
+), candidates AS MATERIALIZED (
+  SELECT * FROM counts WHERE m > 1 AND a >= {LEAST}
+), parts AS MATERIALIZED (
+  SELECT concat(lang, chr(10), phrase) AS name, a FROM counts WHERE a >= {LEAST}
+), inside AS (
+  SELECT lang, phrase, max(a) AS longer FROM ({inside}) GROUP BY lang, phrase
+), cuts AS (
+  SELECT c.*, l.a AS l, r.a AS r, t.n, (1000::HUGEINT * c.a * t.n) // (l.a::HUGEINT * r.a) AS score
+  FROM ({cut}) c JOIN parts l ON concat(c.lang, chr(10), c.lw) = l.name JOIN parts r ON concat(c.lang, chr(10), c.rw) = r.name
+  JOIN totals t ON c.lang = t.lang
+), worst AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) AS rank, w.phrase, a, l, r, n,
+  CAST(score AS BIGINT) AS score
+FROM worst w LEFT JOIN inside i ON w.lang = i.lang AND w.phrase = i.phrase
+WHERE i.longer IS NULL OR 100 * i.longer < {PERCENT} * w.a
+QUALIFY rank <= {TOP}"""
