@@ -56,7 +56,9 @@ TOP = 2000
 SHARD = 500_000
 #: Bytes of text whose words are numbered at a time, and numbers whose phrases are counted at a time.
 TEXT_BYTES = 1 << 20
-NUMBERS = 1 << 22
+NUMBERS = 1 << 20
+#: Phrases that are handed to Spark at a time.
+ROWS = 1 << 16
 #: Phrases of a language that are ranked in one task before the last ranking.
 RANKED = 100_000
 
@@ -263,19 +265,24 @@ def _packed_words(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
 
 
-def _phrases(text: np.ndarray, known: np.ndarray, m: int, top: int) -> pa.RecordBatch:
+def _handed_over(rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), ROWS):
+        part = [_packed_words(rows[i : i + ROWS]), pa.array(counts[i : i + ROWS], pa.int64())]
+        yield pa.RecordBatch.from_arrays(part, ["words", "n"])
+
+
+def _phrases(text: np.ndarray, known: np.ndarray, m: int, top: int) -> Iterator[pa.RecordBatch]:
     """(words, n) of m words whose first and last m - 1 are known: ``known`` numbers the phrase that begins at a place."""
-    n = len(text) - m + 1
-    at = np.flatnonzero((known[: max(n, 0)] > 0) & (known[1 : max(n, 0) + 1] > 0))
+    n = max(len(text) - m + 1, 0)
+    at = np.flatnonzero((known[:n] > 0) & (known[1 : n + 1] > 0))
     _, first, counts = np.unique(known[at] * (top + 1) + text[at + m - 1], return_index=True, return_counts=True)
-    rows = text[at[first][:, None] + np.arange(m)]
-    return pa.RecordBatch.from_arrays([_packed_words(rows), pa.array(counts, pa.int64())], ["words", "n"])
+    yield from _handed_over(text[at[first][:, None] + np.arange(m)], counts)
 
 
 def _pairs(top: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, _ in _stretches(batches):
-            yield _phrases(text, text.astype(np.int64), 2, top)
+            yield from _phrases(text, text.astype(np.int64), 2, top)
 
     return run
 
@@ -291,7 +298,7 @@ def _longer(trie, m: int, top: int, j: int, n_shards: int, last: bool):
                 pass
             known[at[accepted >= 0]] = accepted[accepted >= 0].astype(np.int64) * n_shards + j + 1
             if last:
-                yield _phrases(text, known, m, top)
+                yield from _phrases(text, known, m, top)
             else:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([text.tobytes()], pa.binary()), pa.array([known.astype("<i8").tobytes()], pa.binary())],
@@ -314,7 +321,7 @@ def _count(trie, longest: int):
         sizes = (phrases[found] > 0).sum(1)
         for m in np.unique(sizes).tolist():
             rows = found[sizes == m]
-            yield pa.RecordBatch.from_arrays([_packed_words(phrases[rows, :m]), pa.array(total[rows], pa.int64())], ["words", "n"])
+            yield from _handed_over(phrases[rows, :m], total[rows])
 
     return run
 
