@@ -55,10 +55,10 @@ TOP = 2000
 #: Words or phrases of a broadcast shard.
 SHARD = 500_000
 #: Bytes of text whose words are numbered at a time, and numbers whose phrases are counted at a time.
-TEXT_BYTES = 1 << 20
-NUMBERS = 1 << 20
+TEXT_BYTES = 1 << 19
+NUMBERS = 1 << 18
 #: Phrases that are handed to Spark at a time.
-ROWS = 1 << 16
+ROWS = 1 << 15
 #: Phrases of a language that are ranked in one task before the last ranking.
 RANKED = 100_000
 
@@ -246,11 +246,10 @@ def _stretches(batches: Iterator[pa.RecordBatch], more: str | None = None):
     texts, others, size = [], [], 0
     gap, none = np.zeros(1, dtype="<i4"), np.zeros(1, dtype="<i8")
     for batch in batches:
-        extra = batch.column(more).to_pylist() if more else [b""] * batch.num_rows
-        for text, other in zip(batch.column("text").to_pylist(), extra):
-            texts += [np.frombuffer(text, dtype="<i4"), gap]
-            others += [np.frombuffer(other, dtype="<i8"), none]
-            size += len(text) // 4
+        for i in range(batch.num_rows):
+            texts += [np.frombuffer(batch.column("text")[i].as_buffer(), dtype="<i4"), gap]
+            others += [np.frombuffer(batch.column(more)[i].as_buffer(), dtype="<i8") if more else none[:0], none]
+            size += len(texts[-2])
             if size > NUMBERS:
                 yield np.concatenate(texts), np.concatenate(others)
                 texts, others, size = [], [], 0
