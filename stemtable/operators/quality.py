@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemtable.operators.spread import skew_join
-from stemtable.operators.signals import BLOCK, fold_mono_mid, halo, merge_parts, regrid, signal_shape
+from stemtable.operators.correlate import best_lags
+from stemtable.operators.signals import BLOCK, by_block, fold_mono_mid, merge_parts, regrid, signal_shape
 
 # Acceptance limits.
 LAG_LIMIT = 1
@@ -21,56 +17,27 @@ SEAM_FLOOR = 1e-20
 RESAMPLE_TOLERANCE = 1
 
 
-def sync_lag(a: DataFrame, b: DataFrame, max_lag: int, block: int = BLOCK) -> DataFrame:
-    """Per clip the integer ``lag`` in [-max_lag, max_lag] that maximises the sum
-    of ``a[i + lag] * b[i]`` on the mono mix; positive means ``a`` is late, the
-    smallest lag wins a tie.  The caller names the range; ``lag_out_of_range``
-    tells that the best score lies at its edge, so the true lag may lie beyond.
+def sync_lag(a: DataFrame, b: DataFrame, max_lag: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Per clip the integer ``lag`` that maximises the sum of ``a[i + lag] * b[i]``
+    on the mono mix; positive means ``a`` is late, the smallest lag wins a tie.
 
-    Each block of ``b`` meets the same block of ``a`` widened by max_lag, gives
-    2 * max_lag + 1 partial sums, and those are added per clip.
+    All lags below the length of the longer side are searched.  ``lag`` is the
+    best in [-max_lag, max_lag] if that is given; ``lag_out_of_range`` tells that
+    a lag beyond it is better.  Clips without samples have no lag.
     """
-    wide = halo(fold_mono_mid(a), max_lag, max_lag, block, centred=False)
-    pairs = wide.select("clip_id", "block_no", "wide_start", "wide").join(
-        fold_mono_mid(b).select("clip_id", "block_no", "start_sample", "samples"),
-        ["clip_id", "block_no"],
-    )
-
-    def correlate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sums = []
-            for at, wide_a, start, own_b in zip(
-                batch["wide_start"], batch["wide"], batch["start_sample"], batch["samples"]
-            ):
-                base = np.zeros(len(own_b) + 2 * max_lag)
-                offset = at - (start - max_lag)
-                usable = min(len(wide_a), len(base) - offset)
-                base[offset : offset + usable] = wide_a[:usable]
-                sums.append(np.correlate(base, own_b, "valid"))
-            yield batch[["clip_id"]].assign(sums=sums)
-
-    id_type = dict(a.dtypes)["clip_id"]
-    partial = pairs.mapInPandas(correlate, f"clip_id {id_type}, sums array<double>")
-    per_lag = (
-        partial.select("clip_id", F.posexplode("sums").alias("_i", "_s"))
-        .groupBy("clip_id", (F.col("_i") - max_lag).alias("lag"))
-        .agg(F.sum("_s").alias("score"))
-    )
-    best = per_lag.groupBy("clip_id").agg(
-        F.max_by("lag", F.struct("score", -F.col("lag"))).alias("lag")
-    )
-    return best.withColumn("lag_out_of_range", F.abs("lag") == max_lag)
+    best = best_lags(a, b, max_lag, block)
+    return best.select("clip_id", "lag", (F.col("lag") != F.col("best_lag")).alias("lag_out_of_range"))
 
 
 def sync_quality(a: DataFrame, b: DataFrame, lags: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pearson r, RMS ratio and length difference after shifting ``a`` by its lag.
 
-    ``passed``: |lag| <= 1, not at the edge of the range that was searched, r >
-    0.99 and the ratio within 1 +- 0.05.
+    ``passed``: |lag| <= 1, no better lag outside the range, r > 0.99 and the
+    ratio within 1 +- 0.05.
     """
     mono_a, mono_b = fold_mono_mid(a), fold_mono_mid(b)
     shifted = (
-        skew_join(mono_a, lags, ["clip_id"], "inner")
+        by_block(mono_a, lags, ("clip_id", "block_no", "start_sample"))
         .withColumn("_from", F.col("start_sample") - F.col("lag"))
         .withColumn("_cut", F.greatest(-F.col("_from"), F.lit(0)).cast("int"))
         .filter(F.size("samples") > F.col("_cut"))

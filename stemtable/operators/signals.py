@@ -4,10 +4,17 @@ Block form is the working layout: ``clip_id, ch, block_no, start_sample,
 samples array<double>`` on a fixed grid, block ``b`` of size B holding samples
 ``[b*B, (b+1)*B)``.  All joins use (clip, block), so one huge clip spreads over
 many tasks.  Long form (``clip_id, ch, idx, v``) is for small data and tests.
+
+Stored blocks also carry ``n``, the number of samples, and ``channels``, that of
+their clip.  What is asked of a whole clip is then read without the samples, and
+reaches them by way of their block keys: samples are never moved by clip, and not
+at all where they are stored by (clip, block).
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +27,33 @@ RMS_FLOOR = 1e-12
 LENGTH_TOLERANCE = 1
 
 
+def block_size(blocks: DataFrame) -> Column:
+    """Samples of a block, from ``n`` where the blocks carry it."""
+    return F.col("n") if "n" in blocks.columns else F.size("samples")
+
+
+def last_channel(blocks: DataFrame) -> Column:
+    """The highest channel that a row knows of its clip."""
+    return F.col("channels") - 1 if "channels" in blocks.columns else F.col("ch")
+
+
+def by_block(blocks: DataFrame, clips: DataFrame, keys: Sequence[str] = ("clip_id", "block_no")) -> DataFrame:
+    """Blocks of the clips in ``clips`` (a row per clip) with its columns.
+
+    The columns first go to the clip's block keys, a narrow table in which a long
+    clip is spread, and from there to the blocks.  Blocks that are stored or
+    grouped by their keys stay where they are; others move once, by block.
+    """
+    narrow = blocks.select(*keys).distinct()
+    return blocks.join(skew_join(narrow, clips, ["clip_id"], "inner"), list(keys))
+
+
+def same_channel(left: str, right: str) -> Column:
+    """A condition beside a join by block: an equality of columns would become a
+    key of the join, and blocks stored by (clip, block) would move."""
+    return F.col(left) - F.col(right) == 0
+
+
 def to_blocks(long: DataFrame, block: int = BLOCK) -> DataFrame:
     """Long form to block form; idx must be dense from 0 per (clip, ch)."""
     ordered = F.array_sort(F.collect_list(F.struct("idx", F.col("v").cast("double").alias("v"))))
@@ -82,20 +116,20 @@ def merge_parts(parts: DataFrame) -> DataFrame:
 def signal_shape(blocks: DataFrame) -> DataFrame:
     """Per clip: ``n_samples`` (longest channel) and ``channels``."""
     return blocks.groupBy("clip_id").agg(
-        F.max(F.col("start_sample") + F.size("samples")).alias("n_samples"),
-        (F.max("ch") + 1).alias("channels"),
+        F.max(F.col("start_sample") + block_size(blocks)).alias("n_samples"),
+        (F.max(last_channel(blocks)) + 1).alias("channels"),
     )
 
 
 def split_layout(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(usable, refused)``: only mono and stereo clips are usable."""
-    many = (
-        blocks.filter("ch > 1 or ch < 0").select("clip_id").distinct()
-    )
-    return (
-        skew_join(blocks, many, ["clip_id"], "left_anti"),
-        many.withColumn("error_code", F.lit("unsupported_channels")),
-    )
+    if "channels" in blocks.columns:
+        many = blocks.filter("channels > 2").select("clip_id").distinct()
+        usable = blocks.filter("channels <= 2")
+    else:
+        many = blocks.filter("ch > 1 or ch < 0").select("clip_id").distinct()
+        usable = skew_join(blocks, many, ["clip_id"], "left_anti")
+    return usable, many.withColumn("error_code", F.lit("unsupported_channels"))
 
 
 def _sum_squares(samples="samples") -> Column:
@@ -144,12 +178,14 @@ def fold_mono_mid(blocks: DataFrame) -> DataFrame:
 def to_stereo(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(stereo, refused)``: mono is duplicated, more than two channels refused."""
     usable, refused = split_layout(blocks)
-    shape = usable.groupBy("clip_id").agg(F.max("ch").alias("_last"))
-    shaped = skew_join(usable, shape, ["clip_id"], "inner")
-    targets = F.when(F.col("_last") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array("ch"))
+    if "channels" in blocks.columns:
+        shaped = usable.withColumn("_last", F.col("channels") - 1)
+    else:
+        shaped = by_block(usable, usable.groupBy("clip_id").agg(F.max("ch").alias("_last")))
+    targets = F.when(F.col("_last") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.col("ch").cast("int")))
     stereo = shaped.withColumn("_to", F.explode(targets)).select(
         "clip_id",
-        F.col("_to").cast("int").alias("ch"),
+        F.col("_to").alias("ch"),
         "block_no",
         "start_sample",
         "samples",
@@ -163,23 +199,25 @@ def apply_channel_map(blocks: DataFrame, maps: DataFrame) -> tuple[DataFrame, Da
     Returns ``(mapped, refused)``; a clip whose map is empty or names a channel
     it does not have is refused whole.
     """
-    wanted = maps.select(
-        "clip_id", F.posexplode_outer("channel_map").alias("_new", "ch")
-    ).withColumn("ch", F.col("ch").cast("int"))
-    present = blocks.select("clip_id", "ch").distinct()
+    wanted = maps.select("clip_id", F.posexplode_outer("channel_map").alias("_new", "_old")).withColumn(
+        "_old", F.col("_old").cast("int")
+    )
+    present = blocks.select("clip_id", F.col("ch").cast("int").alias("_old")).distinct()
     clips = present.select("clip_id").distinct()
     missing = (
         wanted.join(clips, "clip_id", "left_semi")
-        .join(present, ["clip_id", "ch"], "left_anti")
+        .join(present, ["clip_id", "_old"], "left_anti")
         .select("clip_id")
         .distinct()
     )
-    usable = wanted.join(missing, "clip_id", "left_anti")
-    mapped = skew_join(blocks, usable, ["clip_id", "ch"], "inner")
+    # One row per clip, so that the map travels with the block keys.
+    steps = wanted.join(missing, "clip_id", "left_anti").groupBy("clip_id").agg(
+        F.collect_list(F.struct("_new", "_old")).alias("_steps")
+    )
+    mapped = by_block(blocks, steps)
+    mapped = mapped.withColumn("_step", F.explode(F.filter("_steps", lambda step: step["_old"] == F.col("ch"))))
     return (
-        mapped.select(
-            "clip_id", F.col("_new").alias("ch"), "block_no", "start_sample", "samples"
-        ),
+        mapped.select("clip_id", F.col("_step._new").alias("ch"), "block_no", "start_sample", "samples"),
         missing.withColumn("error_code", F.lit("channel_out_of_range")),
     )
 
@@ -208,39 +246,32 @@ def wet_dry_mix(
 ) -> tuple[DataFrame, DataFrame]:
     """``(1 - w) * dry + w * vocals`` per sample; returns ``(mixed, refused)``.
 
+    Lengths and channels are settled per clip without the samples; these meet by block.
+
     ``wet`` is a number or a column of ``dry``.  0 and 1 are exact copies.  Mono
     meets stereo by repetition.  Lengths may differ by one sample, which is cut;
     a larger gap refuses the clip.  Clips on one side only are refused.
     """
     w_name = wet if isinstance(wet, str) else None
-    extra = [w_name] if w_name else []
     w = F.col(w_name) if w_name else F.lit(float(wet))
-    end = F.max(F.col("start_sample") + F.size("samples"))
-    channels = F.max("ch") + 1
-    a = dry.groupBy("clip_id").agg(end.alias("_na"), channels.alias("_ca"), F.max(w).alias("_w"))
-    b = vocals.groupBy("clip_id").agg(end.alias("_nb"), channels.alias("_cb"))
+    sides = []
+    for side, own, extra in ((dry, "a", [F.max(w).alias("_w")]), (vocals, "b", [])):
+        end = F.max(F.col("start_sample") + block_size(side)).alias(f"_n{own}")
+        sides.append(side.groupBy("clip_id").agg(end, (F.max(last_channel(side)) + 1).alias(f"_c{own}"), *extra))
     problem = (
         F.when(F.col("_na").isNull() | F.col("_nb").isNull(), "missing_side")
         .when(~F.coalesce(F.col("_w").between(0, 1), F.lit(False)), "wet_out_of_range")
         .when((F.col("_ca") > 2) | (F.col("_cb") > 2), "unsupported_channels")
         .when(F.abs(F.col("_na") - F.col("_nb")) > LENGTH_TOLERANCE, "length_mismatch")
     )
-    plan = a.join(b, "clip_id", "full_outer").withColumn("error_code", problem)
+    plan = sides[0].join(sides[1], "clip_id", "full_outer").withColumn("error_code", problem)
     good = plan.filter("error_code is null").select("clip_id", "_ca", "_cb")
-
-    def expand(side: DataFrame, own: str, keep: list[str]) -> DataFrame:
-        joined = skew_join(side, good, ["clip_id"], "inner")
-        to = F.when(
-            (F.col(own) == 1) & (F.greatest("_ca", "_cb") == 2), F.array(F.lit(0), F.lit(1))
-        ).otherwise(F.array(F.col("ch")))
-        return joined.withColumn("_to", F.explode(to)).select(
-            "clip_id", F.col("_to").cast("int").alias("ch"), "block_no", "start_sample", "samples", *keep
-        )
-
-    x = expand(dry, "_ca", extra)
-    v = expand(vocals, "_cb", []).select(
-        "clip_id", "ch", "block_no", F.col("samples").alias("_v")
-    )
+    columns = ["clip_id", "ch", "block_no", "start_sample", "samples"]
+    x = by_block(dry.select(*columns, *([w_name] if w_name else [])), good)
+    y = vocals.select(F.col("clip_id").alias("_clip"), F.col("block_no").alias("_block"), F.col("ch").alias("_ch"), F.col("samples").alias("_v"))
+    # A mono side meets both channels of the other.
+    same = (F.col("_ca") < 2) | (F.col("_cb") < 2) | same_channel("ch", "_ch")
+    joined = x.join(y, (F.col("clip_id") == F.col("_clip")) & (F.col("block_no") == F.col("_block")) & same)
     n = F.least(F.size("samples"), F.size("_v"))
     xs, vs = F.slice("samples", F.lit(1), n), F.slice("_v", F.lit(1), n)
     mixed = (
@@ -248,9 +279,8 @@ def wet_dry_mix(
         .when(w == 1, vs)
         .otherwise(F.zip_with(xs, vs, lambda p, q: (1.0 - w) * p + w * q))
     )
-    joined = x.join(v, ["clip_id", "ch", "block_no"])
     return (
-        joined.select("clip_id", "ch", "block_no", "start_sample", mixed.alias("samples")),
+        joined.select("clip_id", F.greatest("ch", "_ch").alias("ch"), "block_no", "start_sample", mixed.alias("samples")),
         plan.filter("error_code is not null").select("clip_id", "error_code"),
     )
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemtable.operators import envelopes, quality, signals, speakers, timing, windows
+from stemtable.operators import correlate, envelopes, quality, signals, speakers, timing, windows
 from stemtable.plans import views as v
 from stemtable.plans.catalog import _half_up, _with
 from stemtable.sources import readers
@@ -150,6 +151,48 @@ def wet_dry_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.samples(signals.wet_dry_mix(dry, vocals, "wet")[0])
 
 
+def stored(spark: SparkSession, blocks: DataFrame) -> DataFrame:
+    """Blocks written to a bucketed table and opened again."""
+    name = f"signal_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    readers.save_signal(blocks, name, RATE, buckets, path=shared_folder(spark, name))
+    return readers.open_signal(spark, name)[0]
+
+
+FLOAT_SQL = "float_d AS (SELECT clip_id, ch, idx, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM signal_d)"
+
+
+@query(
+    _with(
+        v.SIGNAL_SQL + "," + FLOAT_SQL,
+        f"""SELECT clip_id, greatest(d.ch, w.ch) AS ch, idx,
+  {v.micro_sql('0.25E0 * d.v + 0.75E0 * CAST(CAST(w.v * 0.5E0 AS FLOAT) AS DOUBLE)', 'v_micro')}
+FROM float_d d JOIN float_d w USING (clip_id, idx) WHERE d.ch = w.ch AND clip_id % 4 <> 3 OR w.ch = 0 AND clip_id % 4 = 3""",
+    )
+)
+def stored_wet_dry_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stored signals meet where they lie; the stem of every other stereo clip is mono."""
+    blocks = v.signal(spark, sf_dir)
+    stem = blocks.filter("ch = 0 or clip_id % 4 != 3")
+    halved = stem.withColumn("samples", F.transform("samples", lambda x: x.cast("float").cast("double") * 0.5))
+    return v.samples(signals.wet_dry_mix(stored(spark, blocks), stored(spark, halved), 0.75)[0])
+
+
+@query(
+    _with(
+        v.SIGNAL_SQL + "," + FLOAT_SQL,
+        f"""SELECT clip_id, 1 - ch AS ch, idx, {v.micro_sql('v', 'v_micro')} FROM float_d WHERE clip_id % 2 = 1
+UNION ALL SELECT clip_id, c.ch, idx, {v.micro_sql('v', 'v_micro')} FROM float_d, (VALUES (0), (1)) c(ch) WHERE clip_id % 2 = 0""",
+    )
+)
+def stored_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored clips made stereo, odd ones with their channels swapped."""
+    blocks = stored(spark, v.signal(spark, sf_dir))
+    swap = F.when(F.col("clip_id") % 2 == 1, F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(0)))
+    maps = blocks.select("clip_id").distinct().select("clip_id", swap.alias("channel_map"))
+    return v.samples(signals.to_stereo(signals.apply_channel_map(blocks, maps)[0])[0])
+
+
 def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.plan_windows(signals.signal_shape(v.signal(spark, sf_dir)), W, O)
 
@@ -372,33 +415,52 @@ def apply_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.samples(envelopes.apply_envelope(v.signal(spark, sf_dir), env))
 
 
-MAX_LAG = 6
-DELAY_SQL = """delay_d AS (
-  SELECT clip_id, ch, idx + clip_id % 7 - 3 AS idx, v * 1.01E0 AS v FROM signal_d WHERE idx + clip_id % 7 - 3 >= 0
-  UNION ALL SELECT clip_id, ch, idx, 0E0 FROM signal_d WHERE idx < clip_id % 7 - 3),
+NEAR_LAG = 6
+# Up to half a clip early or late, far more than a block.
+SHIFT_SQL = "(clip_id % 5 - 2) * CAST(floor(clip_id / 2E0) AS BIGINT)"
+DELAY_SQL = f"""delay_d AS (
+  SELECT clip_id, ch, idx + {SHIFT_SQL} AS idx, v * 1.01E0 AS v FROM signal_d WHERE idx + {SHIFT_SQL} >= 0
+  UNION ALL SELECT clip_id, ch, idx, 0E0 FROM (
+    SELECT clip_id, ch, unnest(generate_series(0, {SHIFT_SQL} - 1)) AS idx FROM (SELECT DISTINCT clip_id, ch FROM signal_d) t) u),
 mono_a AS (SELECT clip_id, idx, avg(v) AS v FROM delay_d GROUP BY 1, 2),
 mono_b AS (SELECT clip_id, idx, avg(v) AS v FROM signal_d GROUP BY 1, 2),
 score_d AS (
-  SELECT b.clip_id, l.lag, sum(coalesce(a.v, 0) * b.v) AS score
-  FROM mono_b b CROSS JOIN (SELECT unnest(generate_series(-6, 6)) AS lag) l
-  LEFT JOIN mono_a a ON a.clip_id = b.clip_id AND a.idx = b.idx + l.lag
-  WHERE b.clip_id IN (SELECT clip_id FROM mono_a) GROUP BY 1, 2),
-lag_d AS (SELECT clip_id, lag FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY score DESC, lag) AS rn FROM score_d) t WHERE rn = 1)"""
+  SELECT b.clip_id, a.idx - b.idx AS lag, sum(a.v * b.v) AS score
+  FROM mono_b b JOIN mono_a a ON a.clip_id = b.clip_id GROUP BY 1, 2),
+slack_d AS (SELECT a.clip_id, {correlate.TIE!r} * sqrt(a.e * b.e) AS slack FROM (SELECT clip_id, sum(v * v) AS e FROM mono_a GROUP BY 1) a
+  JOIN (SELECT clip_id, sum(v * v) AS e FROM mono_b GROUP BY 1) b USING (clip_id)),
+lag_d AS (SELECT clip_id, min(lag) AS lag FROM score_d JOIN slack_d USING (clip_id)
+  JOIN (SELECT clip_id, max(score) AS top FROM score_d GROUP BY 1) t USING (clip_id) WHERE score >= top - slack GROUP BY 1),
+near_d AS (SELECT clip_id, min(lag) AS lag FROM score_d JOIN slack_d USING (clip_id)
+  JOIN (SELECT clip_id, max(score) AS top FROM score_d WHERE abs(lag) <= {NEAR_LAG} GROUP BY 1) t USING (clip_id)
+  WHERE score >= top - slack AND abs(lag) <= {NEAR_LAG} GROUP BY 1)"""
 
 
 def delayed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A result that is a bit louder and up to three samples early or late."""
+    """A result that is a bit louder and up to half a clip early or late."""
     long = v.signal_long(spark, sf_dir)
-    shift = F.col("clip_id") % 7 - 3
+    shift = (F.col("clip_id") % 5 - 2) * F.floor(F.col("clip_id") / 2)
     moved = long.select("clip_id", "ch", (F.col("idx") + shift).alias("idx"), (F.col("v") * 1.01).alias("v"))
-    lead = long.filter(F.col("idx") < shift).withColumn("v", F.lit(0.0))
+    lead = long.select("clip_id", "ch").distinct().filter(shift > 0)
+    lead = lead.select("clip_id", "ch", F.explode(F.sequence(F.lit(0), shift - 1)).alias("idx"), F.lit(0.0).alias("v"))
     late = moved.filter("idx >= 0").unionByName(lead)
     return signals.to_blocks(late, B), signals.to_blocks(long, B)
 
 
-@query(_with(v.SIGNAL_SQL + "," + DELAY_SQL, f"SELECT clip_id, lag, abs(lag) = {MAX_LAG} AS lag_out_of_range FROM lag_d"))
+@query(_with(v.SIGNAL_SQL + "," + DELAY_SQL, "SELECT clip_id, lag, false AS lag_out_of_range FROM lag_d"))
 def sync_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.sync_lag(*delayed(spark, sf_dir), MAX_LAG, B)
+    return quality.sync_lag(*delayed(spark, sf_dir), block=B)
+
+
+@query(
+    _with(
+        v.SIGNAL_SQL + "," + DELAY_SQL,
+        "SELECT clip_id, n.lag, n.lag <> l.lag AS lag_out_of_range FROM near_d n JOIN lag_d l USING (clip_id)",
+    )
+)
+def sync_lag_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of a small range, marked where a lag outside is better."""
+    return quality.sync_lag(*delayed(spark, sf_dir), NEAR_LAG, B)
 
 
 @query(
@@ -411,13 +473,13 @@ pair_d AS (SELECT l.clip_id, a.v AS x, b.v AS y FROM lag_d l JOIN mono_a a ON a.
 q_d AS (SELECT clip_id, count(*) AS n, coalesce(CASE WHEN count(*) < 2 OR min(x) = max(x) OR min(y) = max(y) THEN 0 ELSE corr(x, y) END, 0) AS r,
    CASE WHEN sum(y * y) = 0 THEN 0 ELSE sqrt(sum(x * x) / sum(y * y)) END AS ratio FROM pair_d GROUP BY 1)
 SELECT n_d.clip_id, lag, {v.micro_sql('coalesce(r, 0)', 'pearson_micro')}, {v.micro_sql('coalesce(ratio, 0)', 'ratio_micro')},
-  na - nb AS length_difference, abs(lag) <= 1 AND abs(lag) < {MAX_LAG} AND coalesce(r, 0) > 0.99 AND abs(coalesce(ratio, 0) - 1) <= 0.05 AS passed
+  na - nb AS length_difference, abs(lag) <= 1 AND coalesce(r, 0) > 0.99 AND abs(coalesce(ratio, 0) - 1) <= 0.05 AS passed
 FROM n_d JOIN lag_d USING (clip_id) LEFT JOIN q_d USING (clip_id)""",
     )
 )
 def sync_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = delayed(spark, sf_dir)
-    checked = quality.sync_quality(a, b, quality.sync_lag(a, b, MAX_LAG, B), B)
+    checked = quality.sync_quality(a, b, quality.sync_lag(a, b, block=B), B)
     return checked.select(
         "clip_id",
         "lag",

@@ -10,7 +10,7 @@ from stemtable.plans import views as v
 from stemtable.plans.catalog import _with
 from stemtable.streaming import job_state as state_streams
 from stemtable.streaming import progress as progress_streams
-from stemtable.streaming.sinks import latest_rows, run_available
+from stemtable.streaming.sinks import latest_rows, run_available, shared_folder
 
 QUERIES: dict = {}
 
@@ -31,9 +31,30 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def job_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = v.JOB_EVENTS_SELECT.replace("FROM events", "FROM {events}")
-    return spark.sql(source, events=event_stream(spark, sf_dir))
+# Events come in batches of a few days each, up to nine minutes out of order; some stay away until the last batch.
+BATCHES, FILES = 5, 4
+SLOT_US, FIRST_US = 30 * 86400 * 1_000_000 // BATCHES, 1_704_067_200_000_000
+BATCH_SQL = f"""CASE WHEN event_id % 97 = 5 THEN {BATCHES - 1} ELSE least({BATCHES - 1}, greatest(0,
+  CAST(floor(({{us}} + event_id % 10 * 60000000 - {FIRST_US}) / {SLOT_US}E0) AS INT))) END"""
+DELAY_US = 600_000_000
+# The watermark of a batch comes from the batches before it, in whole milliseconds.
+ARRIVED_SQL = f"""arrived_d AS (SELECT *, {BATCH_SQL.format(us='epoch_us(ts)')} AS batch_no
+  FROM (SELECT *, seq AS event_id FROM ordered_d) t),
+seen_d AS (SELECT b.n AS batch_no, max(epoch_us(ts)) // 1000 * 1000 - {DELAY_US} AS mark
+  FROM generate_series(0, {BATCHES}) b(n) LEFT JOIN arrived_d a ON a.batch_no < b.n GROUP BY 1),
+marked_d AS (SELECT a.*, coalesce(epoch_us(ts) < mark, false) AS dropped FROM arrived_d a JOIN seen_d s USING (batch_no)),
+job_events_d AS (SELECT * FROM marked_d WHERE NOT dropped)"""
+
+
+def shuffled_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job events as files that arrive batch by batch, within a batch in any order."""
+    events = v.job_events(spark, sf_dir).withColumn("event_id", F.col("seq"))
+    number = F.expr(BATCH_SQL.format(us="unix_micros(cast(ts as timestamp))"))
+    folder = shared_folder(spark, "events")
+    for batch in range(BATCHES):
+        part = events.filter(number == batch).drop("event_id")
+        part.repartition(FILES).write.mode("append").parquet(folder)
+    return spark.readStream.schema(events.drop("event_id").schema).option("maxFilesPerTrigger", FILES).parquet(folder)
 
 
 MARKS_SQL = """marks_d AS (
@@ -66,10 +87,21 @@ def job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _state_columns(jobs.job_state(v.job_events(spark, sf_dir)))
 
 
-@query(STATE_SQL)
+def _late_sql(query: str) -> str:
+    """A query over job events, for those that a stream of shuffled files does not drop."""
+    return query.replace(v.JOB_EVENTS_SQL, v.JOB_EVENTS_SQL.replace("job_events_d", "ordered_d") + "," + ARRIVED_SQL)
+
+
+@query(
+    f"""SELECT s.*, coalesce(n, 0) AS n_dropped FROM ({_late_sql(STATE_SQL)}) s LEFT JOIN (
+  SELECT job_id, count(*) AS n FROM ({_with(v.JOB_EVENTS_SQL.replace("job_events_d", "ordered_d") + "," + ARRIVED_SQL, "SELECT * FROM marked_d WHERE dropped")}) m
+  GROUP BY job_id) d USING (job_id)"""
+)
 def job_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = state_streams.job_state_stream(job_event_stream(spark, sf_dir))
-    return _state_columns(latest_rows(run_available(stream, "update", empty_batches=False), ["job_id"]))
+    """Over several micro-batches of shuffled files, some of whose events come too late."""
+    stream = state_streams.job_state_stream(shuffled_event_stream(spark, sf_dir))
+    rows = latest_rows(run_available(stream, "update"), ["job_id"])
+    return _state_columns(rows).join(rows.select("job_id", "n_dropped"), "job_id")
 
 
 @query(
@@ -212,10 +244,11 @@ def eta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _eta_columns(jobs.eta(events))
 
 
-@query(ETA_SQL)
+# Append mode holds back what the last watermark has not passed.
+@query(_late_sql(ETA_SQL) + f" AND epoch_us(ts) < (SELECT mark FROM seen_d WHERE batch_no = {BATCHES})")
 def eta_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = job_event_stream(spark, sf_dir).withColumn("audio_dur_s", F.col("value") * 1e6)
-    return _eta_columns(run_available(state_streams.eta_stream(events), empty_batches=False))
+    events = shuffled_event_stream(spark, sf_dir).withColumn("audio_dur_s", F.col("value") * 1e6)
+    return _eta_columns(run_available(state_streams.eta_stream(events)))
 
 
 def _sessions_sql(closed_only: str) -> str:

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemtable.functions import identity, vectors
-from stemtable.operators import cache, integrity, linking, placement, speakers
+from stemtable.operators import cache, cache_store, integrity, linking, placement, speakers
 from stemtable.plans import views as v
 from stemtable.plans.catalog import _half_up, _with
+from stemtable.streaming.sinks import shared_folder
 
 QUERIES: dict = {}
 
@@ -107,6 +108,63 @@ def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+HASHED_SQL = "hashed_d AS (SELECT * REPLACE (sha256(input_hash) AS input_hash) FROM latest_d)"
+STEPS = 4
+
+
+def hashed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.cache_entries(spark, sf_dir).withColumn("input_hash", F.sha2("input_hash", 256))
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> str:
+    """A stored index, made of a quarter of the entries and three upserts."""
+    rows, path = hashed_entries(spark, sf_dir), shared_folder(spark, "index")
+    step = F.col("mtime_ns") % STEPS
+    cache_store.store_entries(cache.latest_entries(rows.filter(step == 0), tie_break=TIES), path)
+    for k in range(1, STEPS):
+        new = rows.filter(step == k).withColumn("input_hash", F.upper("input_hash"))
+        cache_store.stored_upsert(spark, path, new, TIES)
+    return path
+
+
+@query(
+    _with(
+        v.CACHE_SQL + "," + LATEST_SQL + "," + HASHED_SQL,
+        "SELECT substr(input_hash, 1, 2) AS prefix, input_hash, path, mtime_ns, size FROM hashed_d",
+    )
+)
+def stored_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three upserts into an index stored by hash prefix."""
+    entries = cache_store.stored_entries(spark, stored_index(spark, sf_dir))
+    return entries.select("prefix", "input_hash", "path", "mtime_ns", "size")
+
+
+@query(
+    _with(
+        v.CLIPS_SQL + "," + v.CACHE_SQL + "," + LATEST_SQL + "," + HASHED_SQL,
+        """SELECT clip_id, CASE WHEN c.input_hash IS NULL THEN 'miss' WHEN c.mtime_ns % 7 = 0 THEN 'stale' ELSE 'hit' END AS cache_status,
+  c.size AS cached_output_samples
+FROM (SELECT *, sha256(concat('k', l_partkey, '-', l_suppkey + (CASE WHEN l_linenumber = 4 THEN 1 ELSE 0 END))) AS h FROM clips_d) q
+LEFT JOIN hashed_d c ON c.input_hash = q.h""",
+    )
+)
+def stored_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits, misses and stale entries, the misses told by the filters of the stored index."""
+    path = stored_index(spark, sf_dir)
+    entries = cache.latest_entries(hashed_entries(spark, sf_dir), tie_break=TIES)
+    key = F.concat(F.lit("k"), "l_partkey", F.lit("-"), F.col("l_suppkey") + F.when(F.col("l_linenumber") == 4, 1).otherwise(0))
+    clips = v.clips(spark, sf_dir).select("clip_id", F.sha2(key, 256).alias("input_hash"))
+    files = entries.filter("mtime_ns % 7 != 0").select("path", "mtime_ns", "size")
+    meta = entries.select(
+        "path",
+        "input_hash",
+        *[F.lit(x).alias(n) for n, x in (("handles_left_actual", 0.5), ("handles_right_actual", 0.5), ("wet_dry_sample_rate", 44100))],
+        F.col("size").alias("output_samples"),
+        F.lit(0.9).alias("peak"),
+    )
+    return cache_store.stored_split(spark, path, clips, files, meta).select("clip_id", "cache_status", "cached_output_samples")
+
+
 @query(
     _with(
         v.CLIPS_SQL + "," + v.CACHE_SQL + "," + LATEST_SQL,

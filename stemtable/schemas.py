@@ -41,7 +41,7 @@ params {struct_type(PARAMS_TYPE)}, clips array<{struct_type(CLIP_RESULT_TYPE)}>
 
 SIGNAL_TYPE = (
     "clip_id string, ch int, block_no bigint, start_sample bigint, "
-    "sample_rate int, samples array<float>"
+    "n int, channels int, sample_rate int, samples array<float>"
 )
 
 EVENT_TYPE = """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stemtable import schemas
-from stemtable.operators.signals import BLOCK, split_layout
+from stemtable.operators.signals import by_block, split_layout
 from stemtable.operators.spread import skew_join
 
 
@@ -58,20 +58,28 @@ def read_nested_results(spark: SparkSession, path: str, multi_line: bool = False
     )
 
 
+def _double(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return split_layout(table.withColumn("samples", F.col("samples").cast("array<double>")))
+
+
 def read_signal(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``(blocks, refused)`` of a Parquet signal table in block form, samples as
     double; clips with more than two channels are refused."""
-    table = spark.read.parquet(path)
-    blocks = table.withColumn("samples", F.col("samples").cast("array<double>"))
-    return split_layout(blocks)
+    return _double(spark.read.parquet(path))
+
 
+def stored_form(blocks: DataFrame, sample_rate: int) -> DataFrame:
+    """Blocks as they are stored: float32 samples, the length of each block, the channels of its clip."""
+    plain = blocks.drop("n", "channels").withColumn("n", F.size("samples"))
+    shaped = by_block(plain, blocks.groupBy("clip_id").agg((F.max("ch") + 1).alias("channels")))
+    return shaped.withColumn("sample_rate", F.lit(sample_rate)).withColumn("samples", F.col("samples").cast("array<float>"))
 
-def write_signal(blocks: DataFrame, path: str, sample_rate: int, block: int = BLOCK) -> None:
+
+def write_signal(blocks: DataFrame, path: str, sample_rate: int) -> None:
     """Block form to Parquet as float32, ranged by clip and block so that a scan
     of one clip touches few files and no file depends on the size of a clip."""
     (
-        blocks.withColumn("sample_rate", F.lit(sample_rate))
-        .withColumn("samples", F.col("samples").cast("array<float>"))
+        stored_form(blocks, sample_rate)
         .repartitionByRange("clip_id", "block_no", "ch")
         .sortWithinPartitions("clip_id", "block_no", "ch")
         .write.mode("overwrite")
@@ -79,6 +87,23 @@ def write_signal(blocks: DataFrame, path: str, sample_rate: int, block: int = BL
     )
 
 
+def save_signal(blocks: DataFrame, name: str, sample_rate: int, buckets: int, path: str | None = None) -> None:
+    """Block form to a table stored by (clip, block): bucketed and sorted by it.
+
+    Tables of one number of buckets join by block without moving a sample.  It
+    should be a multiple of the session's shuffle partitions, or Spark may
+    prefer to shuffle both sides to more partitions.
+    """
+    rows = stored_form(blocks, sample_rate).repartition(buckets, "clip_id", "block_no")
+    writer = rows.write.mode("overwrite").bucketBy(buckets, "clip_id", "block_no").sortBy("clip_id", "block_no")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+
+
+def open_signal(spark: SparkSession, name: str) -> tuple[DataFrame, DataFrame]:
+    """``(blocks, refused)`` of a table that ``save_signal`` wrote."""
+    return _double(spark.table(name))
+
+
 def read_job_events(
     spark: SparkSession, path: str, format: str = "json", max_files: int | None = None
 ) -> DataFrame:

@@ -1,4 +1,16 @@
-"""Job life cycle and time estimates as stateful streams."""
+"""Job life cycle and time estimates as stateful streams in event time.
+
+Events of a job are ordered by ``seq``, which follows their time ``ts``, but may
+arrive in any order within ``DELAY`` of each other.  An event that is younger than
+the watermark stays open: it is kept in the job's list of open events.  Once the
+watermark has passed it, nothing before it can come any more, and it is settled:
+folded, in order of ``seq``, into a state of fixed size.  Events that arrive behind
+the watermark are left out and counted (``n_dropped``).  So a stream gives what its
+batch twin gives for the events it did not drop, however batches cut them.
+
+A job holds the open events of one delay and those of the micro-batch; the
+source's file limit bounds the latter.
+"""
 
 from __future__ import annotations
 
@@ -10,136 +22,219 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from stemtable.operators.jobs import TERMINAL_EVENTS
 
-# How long the state of a job is kept after its end.
+DELAY = "10 minutes"
+# How long, in event time, the state of a job is kept after its end.
 ENDED_MS = 24 * 3600 * 1000
 
 STATE_TYPE = (
     "status string, last_pct double, n_progress bigint, n_ignored bigint, "
     "n_conflicts bigint, n_late bigint"
 )
-OUTPUT_TYPE = "job_id {id}, " + STATE_TYPE
+OUTPUT_TYPE = "job_id {id}, " + STATE_TYPE + ", n_dropped bigint"
+QUEUED = ("queued", None, 0, 0, 0, 0)
+
+
+def fold(state: tuple, events: pd.DataFrame) -> tuple:
+    """The state of a job after ``events`` (seq, event, pct) in order of seq."""
+    status, last_pct, accepted, ignored, conflicts, late = state
+    live = events
+    if status in TERMINAL_EVENTS.values():
+        live, after = events.iloc[:0], events
+    else:
+        ends = events.index[events["event"].isin(list(TERMINAL_EVENTS))]
+        stop = ends[0] + 1 if len(ends) else len(events)
+        live, after = events.iloc[:stop], events.iloc[stop:]
+    progress = live["event"] == "progress"
+    if status == "running":
+        running = progress
+    else:
+        running = progress & (live["event"] == "running").cummax()
+    taken = live[running]
+    accepted += len(taken)
+    ignored += int(progress.sum()) - len(taken)
+    if len(taken) and taken["pct"].notna().any():
+        last_pct = float(taken["pct"].dropna().iloc[-1])
+    if len(live):
+        final = live["event"].iloc[-1]
+        if final in TERMINAL_EVENTS:
+            status = TERMINAL_EVENTS[final]
+        elif (live["event"] == "running").any():
+            status = "running"
+    cancels = int((after["event"] == "cancel").sum())
+    return status, last_pct, accepted, ignored, conflicts + cancels, late + len(after) - cancels
+
+
+class OpenEvents:
+    """The events of a job that the watermark has not passed, and how many came too late."""
+
+    def __init__(self, handle: StatefulProcessorHandle, columns: str):
+        self._handle = handle
+        self.names = [field.split()[0] for field in columns.split(", ")]
+        self._open = handle.getListState("open", columns)
+        self._dropped = handle.getValueState("dropped", "n bigint")
+
+    def dropped(self) -> int:
+        known = self._dropped.get()
+        return known[0] if known else 0
+
+    def add(self, rows: Iterator[pd.DataFrame], watermark_us: int) -> None:
+        late = 0
+        for chunk in rows:
+            behind = chunk["ts_us"] < watermark_us
+            late += int(behind.sum())
+            kept = chunk.loc[~behind, self.names].astype(object)
+            if len(kept):
+                self._open.appendList([tuple(r) for r in kept.where(kept.notna(), None).itertuples(index=False)])
+        if late:
+            self._dropped.update((self.dropped() + late,))
+
+    def settled(self, watermark_us: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """(events that the watermark has passed, open ones), each in order of seq; the former are forgotten."""
+        rows = pd.DataFrame(list(self._open.get()), columns=self.names).sort_values("seq", ignore_index=True)
+        passed = rows["ts_us"] < watermark_us
+        done, still = rows[passed].reset_index(drop=True), rows[~passed].reset_index(drop=True)
+        if len(done):
+            if len(still):
+                left = still.astype(object)
+                self._open.put([tuple(r) for r in left.where(left.notna(), None).itertuples(index=False)])
+            else:
+                self._open.clear()
+        if len(still):
+            self._handle.registerTimer(int(still["ts_us"].min()) // 1000 + 1)
+        return done, still
+
+    def clear(self) -> None:
+        self._open.clear()
+        self._dropped.clear()
 
 
 class JobStateProcessor(StatefulProcessor):
-    """One state row per job, kept while the job runs and for a day after it ended."""
+    """One settled state and the open events per job, kept while the job runs and for a day after it ended."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._state = handle.getValueState("job", STATE_TYPE)
+        self._state = handle.getValueState("job", STATE_TYPE + ", until_ms bigint")
+        self._events = OpenEvents(handle, "ts_us bigint, seq bigint, event string, pct double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def _settle(self, watermark_us: int) -> tuple[tuple, pd.DataFrame]:
         known = self._state.get()
-        status, last_pct, accepted, ignored, conflicts, late = known or ("queued", None, 0, 0, 0, 0)
-        # The events of one job in one micro-batch; the trigger bounds them.
-        batch = pd.concat(list(rows)).sort_values("seq", ignore_index=True)
-        live = batch
-        if status in TERMINAL_EVENTS.values():
-            live, after = batch.iloc[:0], batch
-        else:
-            ends = batch.index[batch["event"].isin(list(TERMINAL_EVENTS))]
-            stop = ends[0] + 1 if len(ends) else len(batch)
-            live, after = batch.iloc[:stop], batch.iloc[stop:]
-        progress = live["event"] == "progress"
-        if status == "running":
-            running = progress
-        else:
-            running = progress & (live["event"] == "running").cummax()
-        taken = live[running]
-        accepted += len(taken)
-        ignored += int(progress.sum()) - len(taken)
-        if len(taken) and taken["pct"].notna().any():
-            last_pct = float(taken["pct"].dropna().iloc[-1])
-        if len(live):
-            final = live["event"].iloc[-1]
-            if final in TERMINAL_EVENTS:
-                status = TERMINAL_EVENTS[final]
-            elif (live["event"] == "running").any():
-                status = "running"
-        cancels = int((after["event"] == "cancel").sum())
-        conflicts += cancels
-        late += len(after) - cancels
-        row = (status, last_pct, accepted, ignored, conflicts, late)
-        self._state.update(row)
-        if known is None or known[0] not in TERMINAL_EVENTS.values():
-            if status in TERMINAL_EVENTS.values():
-                now = timerValues.getCurrentProcessingTimeInMs()
-                self._handle.registerTimer(now + ENDED_MS)
+        state, until = (tuple(known[:-1]), known[-1]) if known else (QUEUED, None)
+        done, still = self._events.settled(watermark_us)
+        if len(done):
+            state = fold(state, done)
+            if state[0] in TERMINAL_EVENTS.values():
+                until = int(done["ts_us"].max()) // 1000 + ENDED_MS
+                self._handle.registerTimer(until)
+            self._state.update((*state, until))
+        return state, still
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        watermark_us = timerValues.getCurrentWatermarkInMs() * 1000
+        self._events.add(rows, watermark_us)
+        state, still = self._settle(watermark_us)
         names = [f.split()[0] for f in STATE_TYPE.split(", ")]
-        yield pd.DataFrame([(key[0], *row)], columns=["job_id", *names])
+        row = (key[0], *fold(state, still), self._events.dropped())
+        yield pd.DataFrame([row], columns=["job_id", *names, "n_dropped"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._state.clear()
+        watermark_ms = timerValues.getCurrentWatermarkInMs()
+        _, still = self._settle(watermark_ms * 1000)
+        known = self._state.get()
+        if known and known[-1] is not None and known[-1] <= watermark_ms and not len(still):
+            self._state.clear()
+            self._events.clear()
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def job_state_stream(events: DataFrame) -> DataFrame:
+def _timed(events: DataFrame, delay: str, *columns: str) -> DataFrame:
+    """Events by their time in microseconds.
+
+    The watermark stays known to the stream, but not its column to the grouping:
+    Spark would drop late rows there before they are counted.
+    """
+    stamped = events.selectExpr("cast(ts as timestamp) as ts", "job_id", "seq", "event", *columns)
+    micros = "unix_micros(ts) as ts_us"
+    return stamped.withWatermark("ts", delay).selectExpr("job_id", micros, "seq", "event", *columns)
+
+
+def job_state_stream(events: DataFrame, delay: str = DELAY) -> DataFrame:
     """Current state of every job touched in a micro-batch (update mode).
 
-    Needs the RocksDB state store provider; events: job_id, seq, event, pct.
+    Needs the RocksDB state store provider; events: job_id, ts, seq, event, pct.
     """
     id_type = dict(events.dtypes)["job_id"]
     return (
-        events.select("job_id", "seq", "event", "pct")
+        _timed(events, delay, "pct")
         .groupBy("job_id")
         .transformWithStateInPandas(
             statefulProcessor=JobStateProcessor(),
             outputStructType=OUTPUT_TYPE.format(id=id_type),
             outputMode="Update",
-            timeMode="ProcessingTime",
+            timeMode="EventTime",
         )
     )
 
 
 class EtaProcessor(StatefulProcessor):
-    """Keeps the first event time of a job until a day after its end and emits its progress rows."""
+    """Keeps the first event time of a job until a day after its end; progress rows are emitted once settled."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._start = handle.getValueState("start", "start_us bigint")
+        self._start = handle.getValueState("start", "start_us bigint, until_ms bigint")
+        self._events = OpenEvents(handle, "ts_us bigint, seq bigint, event string, pct double, audio_dur_s double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def _settle(self, job, watermark_us: int) -> tuple[pd.DataFrame, bool]:
         known = self._start.get()
-        batch = pd.concat(list(rows)).sort_values("seq", ignore_index=True)
-        start = known[0] if known else int(batch["ts_us"].min())
-        self._start.update((start,))
-        if batch["event"].isin(list(TERMINAL_EVENTS)).any():
-            self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + ENDED_MS)
-        progress = batch[batch["event"] == "progress"]
-        elapsed = (progress["ts_us"] - start) / 1e6
-        share = progress["pct"] / 100.0
-        ready = (progress["pct"] > 0) & (elapsed >= 1.0)
+        done, still = self._events.settled(watermark_us)
+        start, until = known if known else (None, None)
+        if len(done):
+            # Nothing older can come: the first settled event is the first of the job.
+            start = int(done["ts_us"].min()) if start is None else start
+            if done["event"].isin(list(TERMINAL_EVENTS)).any():
+                until = int(done["ts_us"].max()) // 1000 + ENDED_MS
+                self._handle.registerTimer(until)
+            self._start.update((start, until))
+        progress = done[done["event"] == "progress"]
+        elapsed = (progress["ts_us"] - (start or 0)).astype("float64") / 1e6
+        pct, audio = progress["pct"].astype("float64"), progress["audio_dur_s"].astype("float64")
+        share = pct / 100.0
+        ready = (pct > 0) & (elapsed >= 1.0)
         eta = (elapsed / share - elapsed).clip(lower=0.0).where(ready)
-        speed = (progress["audio_dur_s"] * share / elapsed).where(
-            ready & (progress["audio_dur_s"] > 0)
-        )
-        yield pd.DataFrame(
-            {
-                "job_id": key[0],
-                "seq": progress["seq"],
-                "pct": progress["pct"],
-                "elapsed_s": elapsed,
-                "eta_s": eta,
-                "speed": speed,
-            }
+        speed = (audio * share / elapsed).where(ready & (audio > 0))
+        out = pd.DataFrame(
+            {"job_id": job, "seq": progress["seq"], "pct": pct, "elapsed_s": elapsed, "eta_s": eta, "speed": speed}
         )
+        over = until is not None and until * 1000 <= watermark_us and not len(still)
+        return out, over
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        watermark_us = timerValues.getCurrentWatermarkInMs() * 1000
+        self._events.add(rows, watermark_us)
+        yield self._settle(key[0], watermark_us)[0]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._start.clear()
-        return iter(())
+        out, over = self._settle(key[0], timerValues.getCurrentWatermarkInMs() * 1000)
+        if over:
+            self._start.clear()
+            self._events.clear()
+        yield out
 
     def close(self) -> None:
         pass
 
 
-def eta_stream(events: DataFrame) -> DataFrame:
-    """Progress rows with elapsed time, estimate and speed (append-only)."""
+def eta_stream(events: DataFrame, delay: str = DELAY) -> DataFrame:
+    """Progress rows with elapsed time, estimate and speed (append-only).
+
+    A row comes out when the watermark has passed it, so its job's first event is
+    known.  Late events are left out.
+    """
     id_type = dict(events.dtypes)["job_id"]
-    micros = "unix_micros(cast(ts as timestamp)) as ts_us"
     return (
-        events.selectExpr("job_id", "seq", "event", "pct", "audio_dur_s", micros)
+        _timed(events, delay, "pct", "audio_dur_s")
         .groupBy("job_id")
         .transformWithStateInPandas(
             statefulProcessor=EtaProcessor(),
@@ -148,6 +243,6 @@ def eta_stream(events: DataFrame) -> DataFrame:
                 "eta_s double, speed double"
             ),
             outputMode="Append",
-            timeMode="ProcessingTime",
+            timeMode="EventTime",
         )
     )

@@ -77,26 +77,42 @@ def test_job_state(spark):
 
 
 def test_streams_equal_their_batch_twins(spark):
+    """Files out of order by up to 20 s, a delay of 30 s, and some events that come with the last file."""
     rng = random.Random(8)
     names = ["running", "progress", "progress", "progress", "cancel", "done", "error", "queued"]
-    rows = [(f"j{rng.randrange(12)}", i, rng.choice(names if i % 5 == 0 else names[:4]), rng.random() * 100, i * 700_000, 60.0) for i in range(400)]
     schema = "job_id string, seq bigint, event string, pct double, us bigint, audio_dur_s double"
+    files, rows = [[] for _ in range(5)], []
+    for i in range(500):
+        row = (f"j{rng.randrange(12)}", i, rng.choice(names if i % 5 == 0 else names[:4]), rng.random() * 100, i * 700_000, 60.0)
+        rows.append(row)
+        place = 4 if i % 41 == 7 else min(4, (row[4] + rng.randrange(20_000_000)) // 70_000_000)
+        files[place].append(row)
     folder = tempfile.mkdtemp(prefix="stemtable-test-")
-    for part in range(4):
-        chunk = spark.createDataFrame(rows[part * 100 : part * 100 + 100], schema).withColumn("ts", F.timestamp_micros("us"))
+    for part in files:
+        rng.shuffle(part)
+        chunk = spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_micros("us"))
         chunk.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    batch = spark.read.parquet(f"{folder}/in")
+    mark = max(r[4] for part in files[:4] for r in part) // 1000 * 1000 - 30_000_000
+    dropped = [r for r in files[4] if r[4] < mark]
+    assert len(dropped) > 5
+    kept = [r for r in rows if r not in dropped]
+    batch = spark.createDataFrame(kept, schema).withColumn("ts", F.timestamp_micros("us"))
 
     def stream():
         return spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
 
-    streamed = latest_rows(run_available(job_state_stream(stream()), "update", empty_batches=False), ["job_id"])
+    streamed = latest_rows(run_available(job_state_stream(stream(), "30 seconds"), "update"), ["job_id"])
     assert state_of(streamed) == state_of(jobs.job_state(batch))
+    late = {r.job_id: r.n_dropped for r in streamed.collect()}
+    assert sum(late.values()) == len(dropped) and all(late[k] == sum(r[0] == k for r in dropped) for k in late)
 
     def etas(df):
         return sorted((r.job_id, r.seq, round(r.elapsed_s, 6), None if r.eta_s is None else round(r.eta_s, 6)) for r in df.collect())
 
-    assert etas(run_available(eta_stream(stream()), empty_batches=False)) == etas(jobs.eta(batch))
+    end = 499 * 700_000 - 30_000_000
+    passed = {r[1] for r in kept if r[4] < end}
+    want = [row for row in etas(jobs.eta(batch)) if row[1] in passed]
+    assert etas(run_available(eta_stream(stream(), "30 seconds"))) == want
 
 
 def test_milestones(spark):
