@@ -4,11 +4,10 @@ Finds bytes that a string of ``window`` bytes covers which also starts elsewhere
 in the corpus; matches never cross documents.  ``keep_first=True`` leaves the
 first occurrence of each string; ``False`` removes all of them.
 
-``anchored`` routes the passages that can repeat to shards.  In a shard a suffix
-array over the window starts, sorted as far as the window, gives the longest
-previous factor of each start from the previous and next smaller places in suffix
-order, and from the larger places the longest factor that follows.  A window
-repeats if one of them reaches ``window``.
+``anchored`` routes the passages that can repeat to shards.  In a shard the suffix
+array of its passages gives each place's longest previous factor, from the previous
+and next smaller places in suffix order, and from the larger places the longest
+factor that follows.  A window repeats if one of them reaches ``window``.
 
 Nulls and empty texts have no bytes.  Repeated rows are copies of each other
 (``keep_first=True``: rows of equal id and text count as one document given
@@ -27,65 +26,121 @@ from pyspark.sql import DataFrame
 
 from stemtable.llm.anchored import Scheme, covered, repeated_spans, symboliser, with_spans
 from stemtable.llm.frames import packed, texts
-from stemtable.llm.symbols import Hasher, byte_values, chunks
+from stemtable.llm.symbols import chunks
 
 WINDOW = 400
 SHARD_BYTES = 1 << 20
-PIECE_BASE = 0xD6E8FEB86659FD93
+#: Bytes by which suffixes are first sorted; the sorted length doubles from there.
+SEED = 8
 
 
-def longest_factors(data: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Longest previous and longest following factor of each of ``starts``, truncated at ``window``.
+class SuffixArray:
+    """The suffixes of some passages in order, and how much two of them share.
 
-    ``starts`` are places in ascending order at which a whole window fits.  The
-    suffixes there are sorted as far as the window, by pieces of half a window;
-    pieces are compared by a 64-bit hash, since any fixed order makes equal
-    beginnings neighbours.  Equal ones stay in order of place, so within a run of
-    them the previous smaller place is the left neighbour and the next smaller
-    place lies outside the run, where nothing shares the window; likewise the
-    next larger place is the right neighbour.  Shorter factors count as 0.
+    ``data`` holds the passages in a row, ``ends`` for each place the end of its
+    passage: a suffix ends there, and an ended one comes before those that go on.
+    Sorted by prefix doubling, until ``depth`` bytes are compared; suffixes that
+    agree so far stay in order of place.  The ranks of every doubling are kept:
+    two suffixes share a piece if its ranks agree.
     """
-    previous, following = np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
-    if len(starts) < 2:
-        return previous, following
-    width = window // 2 if window % 2 == 0 else window
-    hasher = Hasher(PIECE_BASE)
-    pieces = hasher.windows(hasher.prefix(byte_values()[data]), width)
-    keys = [pieces[starts + offset] for offset in range(0, window, width)]
-    order = np.lexsort(keys[::-1])
-    shared = np.zeros(len(order) - 1, dtype=np.int64)
-    equal = np.ones(len(shared), dtype=bool)
-    for key in keys:
-        equal &= key[order[1:]] == key[order[:-1]]
-        shared += np.where(equal, width, 0)
-    shared[shared < window] = 0
-    previous[order[1:]] = shared
-    following[order[:-1]] = shared
-    return previous, following
-
-
-def _windows(passages: list[np.ndarray], window: int):
-    """All bytes in a row, the places of all windows, and how many each passage has."""
+
+    def __init__(self, data: np.ndarray, ends: np.ndarray, depth: int):
+        n = len(data)
+        self.data, self.left = data, ends - np.arange(n)
+        padded = np.concatenate([data.astype(np.uint64) + np.uint64(1), np.zeros(SEED, dtype=np.uint64)])
+        key = np.zeros(n, dtype=np.uint64)
+        for i in range(SEED):
+            # Seven bytes and an end fit into 63 bits of nine each; the eighth byte is left to the next round.
+            if i < SEED - 1:
+                key = (key << np.uint64(9)) | np.where(self.left > i, padded[i : n + i], 0).astype(np.uint64)
+        self.sizes, self.ranks = [SEED - 1], [self._ranked(key)]
+        while self.sizes[-1] < depth and self.ranks[-1].max(initial=0) < n - 1:
+            size, rank = self.sizes[-1], self.ranks[-1].astype(np.int64)
+            after = np.zeros(n, dtype=np.int64)
+            inside = np.flatnonzero(self.left > size)
+            after[inside] = rank[inside + size] + 1
+            self.sizes.append(2 * size)
+            self.ranks.append(self._ranked(rank * (n + 1) + after))
+        self.order = np.argsort(self.ranks[-1], kind="stable")
+
+    @staticmethod
+    def _ranked(key: np.ndarray) -> np.ndarray:
+        order = np.argsort(key, kind="stable")
+        steps = np.ones(len(key), dtype=np.int32)
+        steps[:1] = 0
+        steps[1:] = key[order[1:]] != key[order[:-1]]
+        rank = np.empty(len(key), dtype=np.int32)
+        rank[order] = np.cumsum(steps, dtype=np.int32)
+        return rank
+
+    def shared(self) -> np.ndarray:
+        """Length of the common beginning of each suffix and the one before it in order, as far as was sorted."""
+        a, b = self.order[:-1], self.order[1:]
+        out, most = np.zeros(len(a), dtype=np.int64), np.minimum(self.left[a], self.left[b])
+        for size, rank in zip(self.sizes[::-1], self.ranks[::-1], strict=True):
+            on = np.flatnonzero(out + size <= most)
+            out[on[rank[a[on] + out[on]] == rank[b[on] + out[on]]]] += size
+        for _ in range(SEED - 1):
+            on = np.flatnonzero(out < most)
+            out[on[self.data[a[on] + out[on]] == self.data[b[on] + out[on]]]] += 1
+        return np.concatenate([[0], out])
+
+
+def _nearest(places: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """What each suffix, by place in the data, shares with the nearest one before it in order whose place is smaller.
+
+    ``places`` are the suffixes in order, ``shared`` is what each has in common with the one before it.
+    """
+    n = len(places)
+    # Before the first one stands one that is smaller than all and shares nothing.
+    places = np.append(places, -1)
+    nearest, least = np.arange(-1, n - 1), shared.copy()
+    nearest[:1] = n
+    open_ = np.arange(n)
+    while len(open_):
+        # What is larger points at the next that can be smaller: pointers double.
+        open_ = open_[places[nearest[open_]] > places[open_]]
+        over = nearest[open_]
+        least[open_] = np.minimum(least[open_], least[over])
+        nearest[open_] = nearest[over]
+    out = np.empty(n, dtype=np.int64)
+    out[places[:-1]] = least
+    return out
+
+
+def longest_factors(data: np.ndarray, ends: np.ndarray, depth: int, later: bool = True) -> list[np.ndarray]:
+    """For each place the longest factor that also starts earlier, and the longest that also starts later.
+
+    The longest previous factor is the longer of what a suffix shares with the
+    previous and with the next smaller place in suffix order; with the larger
+    places it is the longest following one.  Factors are exact up to ``depth``.
+    """
+    array, out = SuffixArray(data, ends, depth), []
+    order, shared, n = array.order, array.shared(), len(data)
+    back = np.concatenate([[0], shared[:0:-1]])
+    out.append(np.maximum(_nearest(order, shared), _nearest(order[::-1], back)))
+    if later:
+        out.append(np.maximum(_nearest(n - 1 - order, shared), _nearest(n - 1 - order[::-1], back))[::-1])
+    return out
+
+
+def _factors(passages: list[np.ndarray], window: int, later: bool) -> Iterator[np.ndarray]:
+    """The longest factor that occurs elsewhere (earlier, or ``later`` as well) of each place at which a window fits."""
     sizes = np.array([len(p) for p in passages])
-    counts = sizes - window + 1
-    begin = np.cumsum(sizes) - sizes
-    first = np.cumsum(counts) - counts
-    starts = np.arange(counts.sum()) + np.repeat(begin - first, counts)
-    return np.concatenate(passages), starts, np.append(first, counts.sum())
+    ends = np.cumsum(sizes)
+    factors = np.maximum.reduce(longest_factors(np.concatenate(passages), np.repeat(ends, sizes), window, later))
+    for size, end in zip(sizes.tolist(), ends.tolist(), strict=True):
+        yield factors[end - size : end - window + 1]
 
 
 def earlier_windows(passages: list[np.ndarray], window: int) -> Iterator[np.ndarray]:
-    data, starts, first = _windows(passages, window)
-    previous, _ = longest_factors(data, starts, window)
-    for a, b in zip(first[:-1], first[1:], strict=True):
-        yield previous[a:b] >= window
+    for factors in _factors(passages, window, False):
+        yield factors >= window
 
 
 def repeated_windows(passages: list[np.ndarray], window: int) -> Iterator[np.ndarray]:
-    data, starts, first = _windows(passages, window)
-    previous, following = longest_factors(data, starts, window)
-    for a, b in zip(first[:-1], first[1:], strict=True):
-        yield np.maximum(previous, following)[a:b] >= window
+    for factors in _factors(passages, window, True):
+        yield factors >= window
 
 
 def suffix_array_dedup(docs: DataFrame, window: int = WINDOW, keep_first: bool = True) -> DataFrame:

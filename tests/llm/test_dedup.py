@@ -223,21 +223,26 @@ def test_automaton_matches_brute_force():
         held |= {tuple(text[a:b]) for a in range(len(text)) for b in range(a + 1, len(text) + 1)}
 
 
-def test_longest_factors_against_brute_force():
-    rng = np.random.default_rng(8)
-    data = rng.integers(0, 2, 400).astype(np.uint8)
-    data[200:260] = data[20:80]
-    data[300:330] = data[30:60]
-    ends = [150, 290, 400]
-    for window in (16, 15):
-        texts = np.split(data, ends[:-1])
-        got, starts, first = suffix_array_dedup._windows(texts, window)
-        assert (got == data).all() and len(first) == 4
-        previous, following = suffix_array_dedup.longest_factors(data, starts, window)
-        own = [data[i : i + window].tobytes() for i in starts]
-        for k, piece in enumerate(own):
-            assert (previous[k] >= window) == (piece in own[:k])
-            assert (following[k] >= window) == (piece in own[k + 1 :])
+@pytest.mark.parametrize("depth", [3, 7, 16, 40])
+def test_longest_factors_against_brute_force(depth):
+    rng = np.random.default_rng(depth)
+    for trial in range(15):
+        parts = [rng.integers(97, 98 + trial % 3, rng.integers(1, 60)).astype(np.uint8) for _ in range(rng.integers(1, 5))]
+        parts += [parts[0], parts[-1][: len(parts[-1]) // 2]]
+        data, sizes = np.concatenate(parts), [len(p) for p in parts]
+        ends = np.repeat(np.cumsum(sizes), sizes)
+
+        def common(i, j):
+            most = min(ends[i] - i, ends[j] - j)
+            differ = np.flatnonzero(data[i : i + most] != data[j : j + most])
+            return differ[0] if len(differ) else most
+
+        previous, following = suffix_array_dedup.longest_factors(data, ends, depth)
+        for i in range(len(data)):
+            for got, others in ((previous[i], range(i)), (following[i], range(i + 1, len(data)))):
+                want = max((common(i, j) for j in others), default=0)
+                # Exact up to the depth, at least the depth beyond it.
+                assert got == want if want < depth else depth <= got <= want
 
 
 @pytest.mark.parametrize(("hot", "pairs"), [(32, 2000), (2, 0)])
