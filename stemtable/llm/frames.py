@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import pickle
+from collections.abc import Callable, Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,17 @@ from stemtable.streaming.sinks import shared_folder
 LAST_ID = 2**63 - 1
 
 
+def shipped(spark: SparkSession, content) -> Callable:
+    """Broadcast an object; the result opens it in a task.
+
+    Broadcasts name the classes of their objects, and a worker that was started
+    elsewhere does not find them.  Here they travel with the object, like the
+    functions of this package.
+    """
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(content))
+    return lambda: pickle.loads(data.value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

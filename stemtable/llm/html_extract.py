@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemtable.llm.frames import unpacked
+from stemtable.llm.frames import shipped, unpacked
 
 SAMPLE = 300
 COMPOSED = 900
@@ -426,15 +426,16 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
 
 def html_extract(pages: DataFrame, labeller: Labeller) -> DataFrame:
     """The columns of ``pages`` except ``html``, then ``text`` and ``n_chars`` of the main text."""
-    shared = pages.sparkSession.sparkContext.broadcast(labeller)
+    shared = shipped(pages.sparkSession, labeller)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = shared()
         for batch in batches:
             texts = []
             column = batch.column("html")
             for low in range(0, len(column), 256):
                 found = [blocks(h) for h in column.slice(low, 256).to_pylist()]
-                for page, main in zip(found, shared.value.main_blocks(found), strict=True):
+                for page, main in zip(found, labeller.main_blocks(found), strict=True):
                     texts.append("\n".join(b[1] for b, kept in zip(page, main, strict=True) if kept))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],

@@ -5,10 +5,12 @@ back to its character n-grams, the longest size of which any is known, with a
 penalty per step.  The scores of all words of the whole text are summed; the
 language with the largest posterior wins.
 
-Learned from text and label alone, on at most ``SAMPLE`` rows of each language
-(least hash of the id first; 64 languages at most, the most frequent).  Tables
-hold the most frequent words and n-grams up to ``ENTRIES`` in all, which bounds
-what goes to the executors.
+Learned from text and label alone, on about ``SAMPLE`` rows of each language at
+most (by the hash of the id).  Every language that labels a lettered text is
+learned, and each has its own budget of words and of n-grams of every size, the
+most frequent first: ``ENTRIES`` are shared among the languages, but none has less
+than ``LEAST_ENTRIES``.  So a rare language keeps its words beside large ones, and
+what goes to the executors depends on the number of languages alone.
 
 A null text, or one without a letter, is ``und`` with score 0; so is every text
 if nothing was learned.  A text of unknown letters gets the most frequent
@@ -24,19 +26,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemtable.llm.frames import packed, unpacked
+from stemtable.llm.frames import packed, shipped, unpacked, written
+from stemtable.operators.spread import skew_join
 
 SAMPLE = 6_000
-LANGUAGES = 64
 ENTRIES = 400_000
+LEAST_ENTRIES = 3_000
 LONGEST = 5
+# Shares of a language's budget: words, then n-grams of 1 to LONGEST characters.
+SHARES = (0.4, 0.04, 0.08, 0.12, 0.16, 0.2)
 # Longer runs of letters are no words; they are scored by n-grams and not remembered.
 WORD_LIMIT = 40
 BACKOFF = 0.4
-MEMO = 200_000
+# Scores that are remembered for unseen words: words times languages.
+MEMO = 800_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -50,10 +56,9 @@ def sampled(docs: DataFrame, sample: int) -> DataFrame:
     """``lang, text``: about ``sample`` rows of each language at most, by the hash of the id."""
     known = docs.filter("text is not null and lang is not null")
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    # At most LANGUAGES rows: the share of each language that is taken.
+    # The share of each language that is taken.
     share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n"))
-    joined = known.join(F.broadcast(sizes.withColumn("share", share)), "lang")
+    joined = skew_join(known, sizes.select("lang", share.alias("share")), ["lang"], "inner")
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     return joined.filter(unit < F.col("share")).select("lang", "text")
 
@@ -71,7 +76,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
                 if len(word) <= WORD_LIMIT:
                     counts[0, word] += n
                 for size in range(1, LONGEST + 1):
-                    for gram in grams(word[: 10 * WORD_LIMIT], size):
+                    for gram in grams(word, size):
                         counts[size, gram] += n
             keys = list(counts)
             yield pa.RecordBatch.from_arrays(
@@ -86,11 +91,15 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
 
     rows = sampled(docs, sample).mapInArrow(count, "lang string, size int, item string, n long")
     totals = rows.groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))
-    top = totals.filter("n > 1").orderBy(F.desc("n"), "size", "lang", "item").limit(ENTRIES).toArrow()
-    if not top.num_rows:
-        top = totals.orderBy(F.desc("n"), "size", "lang", "item").limit(ENTRIES).toArrow()
-    if not top.num_rows:
+    totals = written(totals, "languages")
+    languages = totals.select("lang").distinct().count()
+    if not languages:
         return None
+    own = max(LEAST_ENTRIES, ENTRIES // languages)
+    budget = F.element_at(F.array(*[F.lit(int(own * share)) for share in SHARES]), F.col("size") + 1)
+    # The items of one language and size in the sample, which is bounded.
+    place = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "item"))
+    top = totals.withColumn("place", place).filter(F.col("place") <= budget).toArrow()
     return LanguageModel(*[top[c].to_pylist() for c in ("lang", "size", "item", "n")])
 
 
@@ -114,13 +123,13 @@ class LanguageModel:
                 # The prior only decides between languages that the words do not tell apart.
                 self.prior = np.log(total / total.sum()) * 1e-3
             self.rows.append(rows)
-            self.scores.append(np.log((table + 0.1) / (total + 0.1 * len(rows))))
+            self.scores.append(np.log((table + 0.1) / (total + 0.1 * len(rows))).astype(np.float32))
         self._forget()
 
     def _forget(self) -> None:
-        """Start with the known words; unseen ones are added as they come, up to MEMO."""
+        """Start with the known words; unseen ones are added as they come, up to MEMO scores."""
         self.index: dict[str, int] = dict(self.rows[0])
-        self.table = np.concatenate([self.scores[0], np.zeros((1024, len(self.languages)))])
+        self.table = np.concatenate([self.scores[0], np.zeros((1024, len(self.languages)), dtype=np.float32)])
         self.used = len(self.index)
 
     def __getstate__(self):
@@ -155,7 +164,7 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = Counter(LETTERS.findall(text.lower())) if text else {}
-        if self.used - len(self.rows[0]) > MEMO:
+        if (self.used - len(self.rows[0])) * len(self.languages) > MEMO:
             self._forget()
         get = self.index.get
         rows = [get(w) for w in words]
@@ -173,10 +182,10 @@ class LanguageModel:
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """The columns of ``docs``, then ``lang_pred`` and ``score``; they replace columns of these names."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = shared()
         for batch in batches:
             found = [own.predict(t) if own else ("und", 0.0) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(

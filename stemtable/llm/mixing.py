@@ -84,7 +84,7 @@ def _rank(p: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """The columns of ``docs``, then ``size, source_size, target, copies, taken``.
+    """The columns of ``docs``, then ``size, source_size, target, taken, copies``.
 
     ``taken`` is ``copies * size``.  The new columns replace columns of these names.
     """
@@ -119,8 +119,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) ->
         F.col("_mix_size").alias("size"),
         "source_size",
         "target",
-        copies.alias("copies"),
         (copies * F.col("_mix_size")).alias("taken"),
+        copies.alias("copies"),
     )
 
 

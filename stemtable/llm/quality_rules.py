@@ -8,8 +8,8 @@ true shares, and scored in Arrow batches against a fixed threshold.
 
 Null and empty texts have no words; the base rules reject them.  Labels that are
 null are left out; a document with several labels counts as bad if one says so.
-With fewer than ``LEAST`` sampled rows of a class there is no verdict to learn and
-only the base rules reject.  Repeated rows get equal results; further columns are
+Where a class has no labelled document there is nothing to learn and only the base
+rules reject.  Repeated rows get equal results; further columns are
 carried along whatever their names.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemtable.llm.frames import LAST_ID, packed, texts, unpacked
+from stemtable.llm.frames import LAST_ID, packed, shipped, texts, unpacked
 from stemtable.llm.symbols import Hasher, WordHasher, chunks, mask_of, mix, not_space
 
 # Fixed values of the base rules.
@@ -31,7 +31,6 @@ REPEAT_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
 
 SAMPLE = 2_000
-LEAST = 20
 BITS = 17
 GRAM = 4
 THRESHOLD = 0.5
@@ -157,9 +156,9 @@ def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list, dic
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fit on at most ``2 * sample`` labelled documents; None if there are too few."""
+    """Fit on at most ``2 * sample`` labelled documents; None if a class has none."""
     rows, sizes = _sampled(docs, labels, sample)
-    if min(sum(1 for _, g in rows if g == c) for c in (0, 1)) < LEAST:
+    if len({good for _, good in rows}) < 2:
         return None
     spark = docs.sparkSession
     chosen = spark.createDataFrame(rows, "id long, good int")
@@ -209,15 +208,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
 
 
 def fit(table: pa.Table, sizes: dict) -> Model | None:
-    """Full-batch Adam with a small ridge, then Platt scaling on every fourth row; None if there is too little."""
+    """Full-batch Adam with a small ridge, then Platt scaling on every fourth row of each class; None if one has none."""
     table = table.take(pa.array(np.argsort(table["id"].to_numpy(), kind="stable"))).combine_chunks()
     good = table["good"].to_numpy().astype(np.float32)
-    if min((good == 0).sum(), (good == 1).sum()) < LEAST:
+    if good.min(initial=1) == good.max(initial=0):
         return None
     places, shares = (pa.concat_arrays(table[c].chunks) for c in ("places", "shares"))
     offsets = places.offsets.to_numpy()
     place, share = places.flatten().to_numpy(), shares.flatten().to_numpy()
-    held = np.arange(len(good)) % 4 == 3
+    # The place of a row in its class: few rows of one still leave some to learn from.
+    place_in = np.where(good > 0, np.cumsum(good), np.cumsum(1 - good)) - 1
+    held = place_in % 4 == 3
     weights, bias = np.zeros(2 << BITS, dtype=np.float32), 0.0
     first, second = np.zeros_like(weights), np.zeros_like(weights)
     n = (~held).sum()
@@ -246,7 +247,7 @@ def fit(table: pa.Table, sizes: dict) -> Model | None:
         weights = (weights - rate).astype(np.float32)
         bias -= 0.1 * error.sum() / n
     logit = logits()
-    slope, shift = _platt(logit[held], good[held])
+    slope, shift = _platt(logit[held], good[held]) if held.any() else (1.0, 0.0)
     # The sample has the classes in other shares than the labels do.
     true = np.log(sizes.get(1, 1) / sizes.get(0, 1))
     shift += true - np.log(max(good.sum(), 1) / max((1 - good).sum(), 1))
@@ -267,13 +268,13 @@ def _platt(logit: np.ndarray, good: np.ndarray) -> tuple[float, float]:
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """The columns of ``docs``, then the five counts, ``probability`` of good quality (1 without a
-    model), ``base_failed`` and ``kept``."""
+    """The columns of ``docs``, then the five counts, ``base_failed``, ``kept`` and the ``probability``
+    of good quality (1 without a model)."""
     model = train(docs, labels, sample)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, model = Counter(), shared.value
+        counter, model = Counter(), shared()
         for batch in batches:
             counts, chances = [np.zeros((5, 0), dtype=np.int64)], [np.zeros(0)]
             for part in chunks(batch.column("text")):
@@ -300,5 +301,5 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     scored = rows.mapInArrow(
         score, f"text string, row {kind}, {fields}, probability double, base_failed boolean, kept boolean"
     )
-    new = [*COUNTS, "probability", "base_failed", "kept"]
+    new = [*COUNTS, "base_failed", "kept", "probability"]
     return unpacked(scored, docs.columns, **{c: F.col(c) for c in new})

@@ -63,7 +63,7 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(
-        "doc_id", "size", "source_size", "target", "copies", "taken"
+        "doc_id", "size", "source_size", "target", "taken", "copies"
     )
 
 

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stemtable.llm import (
@@ -74,6 +75,29 @@ def test_language_id_held_out_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows)
 
 
+def test_two_hundred_languages(spark):
+    """Every language is learned, a rare one beside a large one, and unspaced text as a whole."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rng = random.Random(4)
+
+    def word(k):
+        return "".join(rng.choice(letters) for _ in range(4)) + letters[k % 26] + letters[k // 26]
+
+    own = {f"l{k:03}": [word(k) for _ in range(6)] for k in range(200)}
+    rows = [(i, " ".join(rng.choices(own["l000"], k=200)), "l000") for i in range(300)]
+    rows += [(1000 + 3 * k + j, " ".join(own[f"l{k:03}"]), f"l{k:03}") for k in range(1, 200) for j in range(2)]
+    long = "".join(rng.choice("xyz") for _ in range(1000)) + "".join(rng.choice("uvw") for _ in range(1000))
+    rows += [(5000, long, "run"), (5001, "xzxy " * 20, "ends")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert len(model.languages) == 202
+    named = language_id.identify(docs.select("doc_id", "text", F.col("lang").alias("want")), model).collect()
+    assert [r for r in named if r.lang_pred != r.want] == []
+    # The end of an unspaced run is learned as well as its beginning.
+    tail = spark.createDataFrame([(1, long[1500:1900])], "doc_id long, text string")
+    assert language_id.identify(tail, model).first().lang_pred == "run"
+
+
 # Quality rules
 
 
@@ -101,7 +125,7 @@ def test_quality_counts(spark):
     docs = docs_of(spark, [(i, t, "", "") for i, t in enumerate(texts)])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = quality_rules.quality_rules(docs, labels)
-    assert out.columns == [*[c for c in docs.columns if c != "n_words"], *quality_rules.COUNTS, "probability", "base_failed", "kept"]
+    assert out.columns == [*[c for c in docs.columns if c != "n_words"], *quality_rules.COUNTS, "base_failed", "kept", "probability"]
     for r in out.collect():
         want = brute_counts(texts[r.doc_id])
         assert tuple(r[c] for c in quality_rules.COUNTS) == want, texts[r.doc_id]
@@ -124,6 +148,19 @@ def test_quality_classifier_learns_labels(spark):
     assert min(out[i] for i in range(80)) > 0.5 > max(out[i] for i in range(80, 160))
 
 
+@pytest.mark.parametrize("n_bad", [1, 3])
+def test_few_bad_labels_are_learned(spark, n_bad):
+    good = [" ".join(random.Random(i).choices(["calm", "river", "stone", "light"], k=60)) for i in range(30)]
+    bad = [" ".join(random.Random(99 + i).choices(["BUY!!", "CLICK$$", "WIN##"], k=60)) for i in range(n_bad)]
+    rows = docs_of(spark, [(i, t, "", "") for i, t in enumerate(good + bad)])
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(30 + n_bad)], "doc_id long, quality int")
+    model = quality_rules.train(rows, labels)
+    assert model is not None
+    out = {r.doc_id: r.probability for r in quality_rules.quality_rules(rows, labels).collect()}
+    assert min(out[i] for i in range(30)) > max(out[i] for i in range(30, 30 + n_bad))
+    assert quality_rules.train(rows, labels.filter("quality = 1")) is None
+
+
 # Decontamination
 
 
