@@ -7,10 +7,15 @@ sequence of the page, so that every block is classified with the context of the
 document, and the blocks labelled as main text are joined in page order.
 
 Training needs no labels from outside: the blocks of a bounded sample of pages
-(``SAMPLE``, least hash of the page id first) are labelled where the markup itself
-tells (inside article or main, or inside an element made for something else), and
-their texts are set into pages composed from a list of usual containers, so that
-the labeller also knows structures that the sample does not show.
+(``SAMPLE``, least hash of the page id first, of at most ``SAMPLE_CHARS`` characters
+each) are labelled where the markup itself tells (inside article or main, or inside
+an element made for something else), and their texts are set into pages composed
+from a list of usual containers, so that the labeller also knows structures that the
+sample does not show.  One task trains; only its weights come to the driver.
+
+Work grows with the length of a page, also of one nested without end: a path is a
+number that knows its parent, and what it adds to the gates is worked out once.  Long
+pages run through the network in stretches of ``STRETCH`` blocks with carried states.
 
 Null and empty pages have an empty text.  Character references are decoded, white
 space in a block becomes one space, nothing else is dropped or capped.  Broken
@@ -24,6 +29,7 @@ columns replace columns of their names.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from zlib import crc32
@@ -33,17 +39,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemtable.llm.frames import shipped, unpacked
+from stemtable.llm.frames import boxed, shipped, unboxed
 
 SAMPLE = 300
 COMPOSED = 900
-PATH_BITS, WORD_BITS = 8, 6
+SAMPLE_CHARS = 1_000_000
+PATH_BITS, WORD_BITS = 10, 6
 PATH, WORDS, SIZES = 1 << PATH_BITS, 1 << WORD_BITS, 6
 HIDDEN = 16
-EPOCHS = 8
+EPOCHS = 10
 BATCH = 24
 # Blocks that are scored together, padding included.
 BATCH_BLOCKS = 8_192
+STRETCH = 1_024
+# Paths that are remembered from page to page.
+REMEMBERED = 50_000
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure"
@@ -70,42 +80,109 @@ OTHER_WORDS = (
 )
 
 
+class Paths:
+    """Tag paths as numbers; 0 is the empty one.
+
+    For each: its parent, the places it adds to those of its parent, all places as
+    a bit mask, its own tag, its depth, and what the markup tells of it.
+    """
+
+    def __init__(self):
+        self.other = {w for words in OTHER_WORDS for w in name_words(words)} - {"top", "side", "list"}
+        self.numbers: dict = {}
+        self.parent, self.added, self.mask, self.tag, self.depth = [0], [()], [0], [""], [0]
+        #: 1 main text, 0 something else, None nothing
+        self.label: list[float | None] = [None]
+
+    def child(self, parent: int, tag: str, names: tuple) -> int:
+        key = (parent, tag, names)
+        found = self.numbers.get(key)
+        if found is None:
+            words = [w for name in names for w in name_words(name)]
+            places = {crc32(token.encode("utf-8", "replace")) & (PATH - 1) for token in (f"<{tag}", *words)}
+            new = tuple(sorted(p for p in places if not self.mask[parent] >> p & 1))
+            found = self.numbers[key] = len(self.parent)
+            self.parent.append(parent)
+            self.added.append(new)
+            self.mask.append(self.mask[parent] | sum(1 << p for p in new))
+            self.tag.append(tag)
+            self.depth.append(self.depth[parent] + 1)
+            label = self.label[parent]
+            if label != 0.0 and tag in CONTENT_TAGS:
+                label = 1.0
+            elif tag in OTHER_TAGS or not self.other.isdisjoint(words):
+                label = 0.0
+            self.label.append(label)
+        return found
+
+    def leaf(self, path: int) -> int | None:
+        """The place of a leaf's own tag, if the path does not have it already."""
+        if not path:
+            return None
+        place = crc32(f"leaf {self.tag[path]}".encode()) & (PATH - 1)
+        return None if self.mask[path] >> place & 1 else place
+
+    def places(self, path: int) -> list[int]:
+        leaf, out = self.leaf(path), []
+        while path:
+            out += self.added[path]
+            path = self.parent[path]
+        return out if leaf is None else [*out, leaf]
+
+
 class BlockParser(HTMLParser):
     """Collects ``(path, text, characters in links)`` of each leaf block."""
 
-    def __init__(self):
+    def __init__(self, paths: Paths):
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[tuple, str, int]] = []
-        self.stack: list[tuple[str, tuple]] = []
+        self.paths = paths
+        self.blocks: list[tuple[int, str, int]] = []
+        #: open elements: tag, class, id and role, path
+        self.stack: list[tuple[str, tuple, int]] = []
+        self.open: Counter = Counter()
         self.parts: list[str] = []
-        self.linked = self.links = self.hidden = 0
+        self.linked = self.links = 0
+
+    @property
+    def hidden(self) -> int:
+        return sum(self.open[tag] for tag in HIDDEN_TAGS)
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append((tuple(self.stack), text, min(self.linked, len(text))))
+                path = self.stack[-1][2] if self.stack else 0
+                self.blocks.append((path, text, min(self.linked, len(text))))
             self.parts.clear()
         self.linked = 0
 
+    def push(self, tag: str, names: tuple = ()) -> None:
+        self.stack.append((tag, names, self.paths.child(self.stack[-1][2] if self.stack else 0, tag, names)))
+        self.open[tag] += 1
+
+    def pop(self, upto: int) -> None:
+        for tag, _, _ in self.stack[upto:]:
+            self.open[tag] -= 1
+        del self.stack[upto:]
+
     def leave_head(self) -> None:
         """End an open head, unless a template or title in it is open; its end tag is optional."""
-        if self.hidden and all(t == "head" for t, _ in self.stack if t in HIDDEN_TAGS):
-            self.stack = [x for x in self.stack if x[0] != "head"]
-            self.hidden = 0
+        if self.open["head"] and self.hidden == self.open["head"]:
+            others = [(tag, names) for tag, names, _ in self.stack if tag != "head"]
+            self.pop(0)
+            for tag, names in others:
+                self.push(tag, names)
 
     def handle_starttag(self, tag, attrs):
         if tag not in HEAD_TAGS:
             self.leave_head()
         if tag in HIDDEN_TAGS:
             self.flush()
-            self.stack.append((tag, ()))
-            self.hidden += 1
+            self.push(tag)
         elif tag == "body":
             # A body ends whatever was left open in the head.
             self.flush()
-            self.stack.clear()
-            self.hidden = 0
+            self.pop(0)
             self._open(tag, attrs)
         elif tag == "br":
             self.parts.append(" ")
@@ -115,16 +192,15 @@ class BlockParser(HTMLParser):
             self.flush()
             self.links = 0
             if self.stack and self.stack[-1][0] == "p":
-                self.stack.pop()
+                self.pop(len(self.stack) - 1)
             for other in CLOSES.get(tag, ()):
                 if self.stack and self.stack[-1][0] == other:
-                    self.stack.pop()
+                    self.pop(len(self.stack) - 1)
             if tag not in VOID_TAGS:
                 self._open(tag, attrs)
 
     def _open(self, tag, attrs) -> None:
-        names = tuple(v for k, v in attrs if v and k in ("class", "id", "role"))
-        self.stack.append((tag, names))
+        self.push(tag, tuple(v for k, v in attrs if v and k in ("class", "id", "role")))
 
     def handle_startendtag(self, tag, attrs):
         if tag == "br" or tag in VOID_TAGS:
@@ -138,11 +214,11 @@ class BlockParser(HTMLParser):
             self.links = max(0, self.links - 1)
         elif tag in BLOCK_TAGS or tag in HIDDEN_TAGS:
             self.flush()
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] == tag:
-                    del self.stack[i:]
-                    break
-            self.hidden = sum(1 for t, _ in self.stack if t in HIDDEN_TAGS)
+            if self.open[tag]:
+                upto = len(self.stack) - 1
+                while self.stack[upto][0] != tag:
+                    upto -= 1
+                self.pop(upto)
 
     def handle_data(self, data):
         if self.hidden and data.strip(" \t\n\f\r"):
@@ -153,10 +229,10 @@ class BlockParser(HTMLParser):
                 self.linked += len(data)
 
 
-def blocks(html: str | None) -> list[tuple[tuple, str, int]]:
+def blocks(html: str | None, paths: Paths) -> list[tuple[int, str, int]]:
     if not html:
         return []
-    parser = BlockParser()
+    parser = BlockParser(paths)
     parser.feed(html)
     parser.close()
     parser.flush()
@@ -169,43 +245,22 @@ def name_words(name: str) -> list[str]:
     return [p.lower()[:-1] if len(p) > 3 and p.lower().endswith("s") else p.lower() for p in parts]
 
 
-class Features:
-    """Vectors of blocks; what a path or a word adds is remembered."""
-
-    def __init__(self):
-        self.paths: dict = {}
-        self.words: dict[str, int] = {}
-
-    def path(self, path: tuple) -> np.ndarray:
-        found = self.paths.get(path)
-        if found is None:
-            found = np.zeros(PATH, dtype=np.float32)
-            for tag, names in path:
-                for token in [f"<{tag}", *[w for name in names for w in name_words(name)]]:
-                    found[crc32(token.encode()) & (PATH - 1)] = 1
-            if path:
-                found[crc32(f"leaf {path[-1][0]}".encode()) & (PATH - 1)] = 1
-            if len(self.paths) > 50_000:
-                self.paths.clear()
-            self.paths[path] = found
-        return found
-
-    def page(self, page: list[tuple[tuple, str, int]]) -> np.ndarray:
-        out = np.zeros((len(page), PATH + WORDS + SIZES), dtype=np.float32)
-        for i, (path, text, linked) in enumerate(page):
-            words = text.split()
-            out[i, :PATH] = self.path(path)
-            places = [crc32(w.encode("utf-8", "replace")) & (WORDS - 1) for w in words]
-            out[i, PATH : PATH + WORDS] = np.bincount(places, minlength=WORDS) / len(places)
-            out[i, PATH + WORDS :] = (
-                np.log1p(len(words)) / 6,
-                linked / len(text),
-                text.count(".") / len(words),
-                len(path) / 8,
-                i / len(page),
-                1,
-            )
-        return out
+def features(page: list[tuple[int, str, int]], paths: Paths) -> np.ndarray:
+    """What the labeller reads of each block besides its path: hashed words and sizes."""
+    out = np.zeros((len(page), WORDS + SIZES), dtype=np.float32)
+    for i, (path, text, linked) in enumerate(page):
+        words = text.split()
+        places = [crc32(w.encode("utf-8", "replace")) & (WORDS - 1) for w in words]
+        out[i, :WORDS] = np.bincount(places, minlength=WORDS) / len(places)
+        out[i, WORDS:] = (
+            np.log1p(len(words)) / 6,
+            linked / len(text),
+            text.count(".") / len(words),
+            paths.depth[path] / 8,
+            i / len(page),
+            1,
+        )
+    return out
 
 
 class Labeller:
@@ -213,12 +268,12 @@ class Labeller:
 
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
-        size = PATH + WORDS + SIZES
         self.weights = {
             f"{name}{side}": (rng.normal(0, scale, shape)).astype(np.float32)
             for side in (0, 1)
             for name, shape, scale in (
-                ("x", (size, 4 * HIDDEN), 0.1),
+                ("p", (PATH, 4 * HIDDEN), 0.1),
+                ("x", (WORDS + SIZES, 4 * HIDDEN), 0.1),
                 ("h", (HIDDEN, 4 * HIDDEN), 0.2),
                 ("b", (4 * HIDDEN,), 0.01),
             )
@@ -226,17 +281,14 @@ class Labeller:
         self.weights["out"] = rng.normal(0, 0.3, 2 * HIDDEN).astype(np.float32)
         self.weights["bias"] = np.zeros(1, dtype=np.float32)
 
-    def _run(self, x, mask, side, keep):
-        """States of one direction: (pages, blocks, hidden), and what the backward pass needs."""
-        w = self.weights
-        n, steps, _ = x.shape
-        gates_in = x @ w[f"x{side}"] + w[f"b{side}"]
-        h = np.zeros((n, HIDDEN), dtype=np.float32)
-        c = np.zeros_like(h)
-        out = np.zeros((n, steps, HIDDEN), dtype=np.float32)
+    def _run(self, gates_in, mask, side, h, c, keep=False):
+        """Some steps of one direction, the first one first: states (pages, steps, hidden), what the
+        backward pass needs, and the last states."""
+        w = self.weights[f"h{side}"]
+        out = np.zeros((*mask.shape, HIDDEN), dtype=gates_in.dtype)
         trace = []
-        for t in range(steps) if side == 0 else range(steps - 1, -1, -1):
-            z = gates_in[:, t] + h @ w[f"h{side}"]
+        for t in range(mask.shape[1]) if side == 0 else range(mask.shape[1] - 1, -1, -1):
+            z = gates_in[:, t] + h @ w
             gate = 1 / (1 + np.exp(-np.clip(z[:, : 3 * HIDDEN], -30, 30)))
             i, f, o = gate[:, :HIDDEN], gate[:, HIDDEN : 2 * HIDDEN], gate[:, 2 * HIDDEN :]
             g = np.tanh(z[:, 3 * HIDDEN :])
@@ -248,25 +300,33 @@ class Labeller:
                 trace.append((t, h, c, i, f, o, g, tc, m))
             h, c = h_new, c_new
             out[:, t] = h
-        return out, trace
-
-    def scores(self, x, mask, keep=False):
-        ahead, trace0 = self._run(x, mask, 0, keep)
-        back, trace1 = self._run(x, mask, 1, keep)
-        states = np.concatenate([ahead, back], axis=2)
-        return states @ self.weights["out"] + self.weights["bias"], states, (trace0, trace1)
-
-    def gradients(self, x, mask, target, weight):
-        """Gradients of the weighted logistic loss by back-propagation through the pages."""
-        logits, states, traces = self.scores(x, mask, keep=True)
-        error = (1 / (1 + np.exp(-np.clip(logits, -30, 30))) - target) * weight / max(weight.sum(), 1)
-        w = self.weights
+        return out, trace, h, c
+
+    def gradients(self, x, places, paths, mask, target, weight, seen=None):
+        """(loss, gradients) of the weighted logistic loss by back-propagation through the pages.
+
+        ``places`` are the paths of the batch (rows of 0 and 1), ``paths`` the row of
+        each block; blocks where ``seen`` is 0 go without their path.
+        """
+        w, n = self.weights, x.shape[0]
+        seen = np.ones(mask.shape, dtype=x.dtype) if seen is None else seen
+        zero = np.zeros((n, HIDDEN), dtype=x.dtype)
+        states, traces = [], []
+        for side in (0, 1):
+            gates = x @ w[f"x{side}"] + w[f"b{side}"] + (places @ w[f"p{side}"])[paths] * seen[:, :, None]
+            out, trace, _, _ = self._run(gates, mask, side, zero, zero, True)
+            states.append(out)
+            traces.append(trace)
+        states = np.concatenate(states, axis=2)
+        logits = states @ w["out"] + w["bias"]
+        total = max(weight.sum(), 1)
+        loss = float((weight * (np.logaddexp(0, logits) - target * logits)).sum() / total)
+        error = (1 / (1 + np.exp(-np.clip(logits, -30, 30))) - target) * weight / total
         grads = {"out": np.einsum("bt,bth->h", error, states), "bias": np.array([error.sum()])}
         for side in (0, 1):
             d_out = error[:, :, None] * w["out"][side * HIDDEN : (side + 1) * HIDDEN]
-            d_gates = np.zeros((*x.shape[:2], 4 * HIDDEN), dtype=np.float32)
-            d_h = np.zeros((x.shape[0], HIDDEN), dtype=np.float32)
-            d_c = np.zeros_like(d_h)
+            d_gates = np.zeros((*mask.shape, 4 * HIDDEN), dtype=x.dtype)
+            d_h, d_c = zero, zero
             grad_h = np.zeros_like(w[f"h{side}"])
             for t, h, c, i, f, o, g, tc, m in reversed(traces[side]):
                 d_h = (d_h + d_out[:, t]) * m
@@ -278,58 +338,118 @@ class Labeller:
                 grad_h += h.T @ d_z
                 d_c = d_c * f
                 d_h = d_z @ w[f"h{side}"].T
+            by_path = np.zeros((len(places), 4 * HIDDEN))
+            np.add.at(by_path, paths, d_gates * seen[:, :, None])
             flat = d_gates.reshape(-1, 4 * HIDDEN)
+            grads[f"p{side}"] = places.T @ by_path
             grads[f"x{side}"] = x.reshape(-1, x.shape[2]).T @ flat
             grads[f"b{side}"] = flat.sum(axis=0)
             grads[f"h{side}"] = grad_h
-        return grads
+        return loss, grads
 
-    def train(self, pages: list[tuple[np.ndarray, np.ndarray, np.ndarray]], epochs: int = EPOCHS) -> None:
-        """Adam over batches of pages of like length; each page is (vectors, labels, weights)."""
+    def train(self, pages: list[tuple], paths: Paths, epochs: int = EPOCHS) -> None:
+        """Adam over batches of pages of like length; each page is (vectors, paths, labels, weights)."""
         rng = np.random.default_rng(11)
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        order = sorted(range(len(pages)), key=lambda i: len(pages[i][1]))
+        order = sorted(range(len(pages)), key=lambda i: len(pages[i][2]))
         batches = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
-        step = 0
+        step, steps = 0, epochs * len(batches)
         for _ in range(epochs):
             for k in rng.permutation(len(batches)):
-                x, mask = padded([pages[i][0] for i in batches[k]])
+                chosen = [pages[i] for i in batches[k]]
+                x, mask = padded([p[0] for p in chosen])
+                numbers, where = np.unique(np.concatenate([p[1] for p in chosen]), return_inverse=True)
+                places = np.zeros((len(numbers), PATH), dtype=np.float32)
+                for row, number in enumerate(numbers.tolist()):
+                    places[row, paths.places(number)] = 1
+                rows = np.zeros(mask.shape, dtype=np.int64)
                 target, weight = np.zeros(mask.shape, np.float32), np.zeros(mask.shape, np.float32)
-                for row, i in enumerate(batches[k]):
-                    target[row, : len(pages[i][1])] = pages[i][1]
-                    weight[row, : len(pages[i][2])] = pages[i][2]
+                inside = mask > 0
+                rows[inside] = where
+                target[inside] = np.concatenate([p[2] for p in chosen])
+                weight[inside] = np.concatenate([p[3] for p in chosen])
                 # Now and then a block goes without its path, so that its neighbours have to tell.
-                x[:, :, :PATH] *= rng.random(mask.shape)[:, :, None] > 0.05
+                seen = (rng.random(mask.shape) > 0.05).astype(np.float32)
                 step += 1
-                for name, grad in self.gradients(x, mask, target, weight).items():
+                # The rate falls towards the end, which settles the weights whatever the last batches are.
+                rate = 0.02 * min(1.0, 2 * (1 - step / (steps + 1)))
+                for name, grad in self.gradients(x, places, rows, mask, target, weight, seen)[1].items():
                     first[name] = 0.9 * first[name] + 0.1 * grad
                     second[name] = 0.99 * second[name] + 0.01 * grad**2
-                    rate = 0.02 * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
-                    self.weights[name] = (self.weights[name] - rate).astype(np.float32)
+                    change = (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
+                    self.weights[name] = (self.weights[name] - rate * change).astype(np.float32)
+
+
+class Reader:
+    """Applies a labeller to pages; remembers paths and what they add to the gates."""
+
+    def __init__(self, labeller: Labeller):
+        self.labeller = labeller
+        self._forget()
+
+    def _forget(self) -> None:
+        self.paths = Paths()
+        self.gates = np.zeros((1024, 2, 4 * HIDDEN), dtype=np.float32)
+        #: the same of a leaf, which also has its own tag
+        self.leaves = np.zeros_like(self.gates)
+        self.known = 1
+
+    def _add(self) -> None:
+        """Work out what paths add that have come up since."""
+        w, paths = self.labeller.weights, self.paths
+        while len(self.gates) < len(paths.parent):
+            self.gates = np.concatenate([self.gates, np.zeros_like(self.gates)])
+            self.leaves = np.concatenate([self.leaves, np.zeros_like(self.leaves)])
+        for path in range(self.known, len(paths.parent)):
+            own, leaf = list(paths.added[path]), paths.leaf(path)
+            for side in (0, 1):
+                self.gates[path, side] = self.gates[paths.parent[path], side] + w[f"p{side}"][own].sum(axis=0)
+                self.leaves[path, side] = self.gates[path, side] + (0 if leaf is None else w[f"p{side}"][leaf])
+        self.known = len(paths.parent)
+
+    def scores(self, pages: list[list]) -> np.ndarray:
+        """The score of each block of some pages, padded to the longest; above 0 is main text."""
+        w, n = self.labeller.weights, len(pages)
+        self._add()
+        x, mask = padded([features(page, self.paths) for page in pages])
+        numbers = np.zeros(mask.shape, dtype=np.int64)
+        numbers[mask > 0] = [path for page in pages for path, _, _ in page]
+        out = np.full(mask.shape, w["bias"][0], dtype=np.float32)
+        starts = range(0, mask.shape[1], STRETCH)
+        for side in (0, 1):
+            h = c = np.zeros((n, HIDDEN), dtype=np.float32)
+            for low in starts if side == 0 else reversed(starts):
+                part = slice(low, low + STRETCH)
+                gates = x[:, part] @ w[f"x{side}"] + w[f"b{side}"] + self.leaves[numbers[:, part], side]
+                states, _, h, c = self.labeller._run(gates, mask[:, part], side, h, c)
+                out[:, part] += states @ w["out"][side * HIDDEN : (side + 1) * HIDDEN]
+        return out
 
-    def main_blocks(self, pages: list[list]) -> list[np.ndarray]:
-        """Which blocks of each page are main text."""
-        features, out = Features(), [np.zeros(0, dtype=bool)] * len(pages)
-        order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
+    def main_texts(self, pages: list[str | None]) -> list[str]:
+        """The main text of each page."""
+        if self.known > REMEMBERED:
+            self._forget()
+        found = [blocks(html, self.paths) for html in pages]
+        out = [""] * len(pages)
+        order = sorted((i for i in range(len(found)) if found[i]), key=lambda i: len(found[i]))
         at = 0
         while at < len(order):
             # Pages of like length together; the longest of a group pads the others.
             end = at + 1
-            while end < len(order) and (end + 1 - at) * len(pages[order[end]]) <= BATCH_BLOCKS:
+            while end < len(order) and (end + 1 - at) * len(found[order[end]]) <= BATCH_BLOCKS:
                 end += 1
             chosen = order[at:end]
-            x, mask = padded([features.page(pages[i]) for i in chosen])
-            scores, _, _ = self.scores(x, mask)
+            scores = self.scores([found[i] for i in chosen])
             for row, i in enumerate(chosen):
-                out[i] = scores[row, : len(pages[i])] > 0
+                out[i] = "\n".join(text for (_, text, _), score in zip(found[i], scores[row]) if score > 0)
             at = end
         return out
 
 
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     steps = max(len(p) for p in pages)
-    x = np.zeros((len(pages), steps, PATH + WORDS + SIZES), dtype=np.float32)
+    x = np.zeros((len(pages), steps, WORDS + SIZES), dtype=np.float32)
     mask = np.zeros((len(pages), steps), dtype=np.float32)
     for i, p in enumerate(pages):
         x[i, : len(p)] = p
@@ -337,21 +457,15 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def markup_label(path: tuple) -> float | None:
-    """What the markup tells of a block: 1 main text, 0 something else, None nothing."""
-    other = {w for words in OTHER_WORDS for w in name_words(words)} - {"top", "side", "list"}
-    inside = None
-    for tag, names in path:
-        if tag in CONTENT_TAGS:
-            inside = 1.0
-        elif tag in OTHER_TAGS or any(w in other for name in names for w in name_words(name)):
-            return 0.0
-    return inside
-
-
-def composed(rng: np.random.Generator, texts: list[str]) -> tuple[list, np.ndarray]:
+def composed(rng: np.random.Generator, texts: list[str], paths: Paths) -> tuple[list, np.ndarray]:
     """A page made of usual containers, filled with texts of the sample."""
 
+    def number(path: list[tuple]) -> int:
+        at = 0
+        for tag, names in path:
+            at = paths.child(at, tag, names)
+        return at
+
     def text(long: bool) -> str:
         words = texts[rng.integers(len(texts))].split()
         return " ".join(words if long else words[: rng.integers(1, 12)])
@@ -378,7 +492,7 @@ def composed(rng: np.random.Generator, texts: list[str]) -> tuple[list, np.ndarr
             body = text(rng.random() < (0.8 if content else 0.4))
             links = rng.random()
             linked = len(body) if not content and links < 0.5 else int(links * 0.2 * len(body))
-            page.append((tuple(own), body, linked))
+            page.append((number(own), body, linked))
             labels.append(float(content))
 
     body = [("body", ())]
@@ -400,27 +514,50 @@ def composed(rng: np.random.Generator, texts: list[str]) -> tuple[list, np.ndarr
     return page, np.array(labels, dtype=np.float32)
 
 
-def train(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
-    """Train on at most ``sample`` pages and the pages composed from their texts."""
-    known = pages.filter("html is not null").select("page_id", F.xxhash64("html").alias("mark"), "html")
-    order = [F.xxhash64("page_id"), "page_id", "mark"]
-    # Only ids travel to pick the sample: at most `sample` rows of two numbers.
-    chosen = known.select("page_id", "mark").distinct().orderBy(*order).limit(sample)
-    rows = known.join(F.broadcast(chosen), ["page_id", "mark"], "left_semi").orderBy(*order).limit(sample).collect()
-    features, examples, texts = Features(), [], []
-    for row in rows:
-        page = blocks(row.html)
+def fit(htmls: list[str]) -> Labeller:
+    """Train on some pages and on the pages composed from their texts."""
+    paths, examples, texts = Paths(), [], []
+
+    def example(page: list, labels: list) -> None:
+        numbers = np.array([path for path, _, _ in page])
+        known = np.array([x is not None for x in labels], dtype=np.float32)
+        examples.append((features(page, paths), numbers, np.array([x or 0.0 for x in labels], dtype=np.float32), known))
+
+    for html in htmls:
+        page = blocks(html, paths)
         if page:
-            labels = [markup_label(path) for path, _, _ in page]
-            known = np.array([x is not None for x in labels], dtype=np.float32)
-            examples.append((features.page(page), np.array([x or 0.0 for x in labels], dtype=np.float32), known))
+            example(page, [paths.label[path] for path, _, _ in page])
             texts += [text for _, text, _ in page]
     rng = np.random.default_rng(3)
     for _ in range(COMPOSED):
-        page, labels = composed(rng, texts or ["word"])
-        examples.append((features.page(page), labels, np.ones_like(labels)))
+        example(*composed(rng, texts or ["word"], paths))
     labeller = Labeller()
-    labeller.train(examples)
+    labeller.train(examples, paths)
+    return labeller
+
+
+def train(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
+    """Train on at most ``sample`` pages of at most SAMPLE_CHARS characters."""
+    known = pages.filter(F.length("html") <= SAMPLE_CHARS).select("page_id", F.xxhash64("html").alias("mark"), "html")
+    order = [F.xxhash64("page_id"), "page_id", "mark"]
+    # Only ids travel to pick the sample: at most `sample` rows of two numbers.
+    chosen = known.select("page_id", "mark").distinct().orderBy(*order).limit(sample)
+    rows = known.join(F.broadcast(chosen), ["page_id", "mark"], "left_semi").dropDuplicates(["page_id", "mark"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = fit([html for batch in batches for html in batch.column("html").to_pylist()]).weights
+        arrays = [
+            pa.array(list(weights), pa.string()),
+            pa.array([list(w.shape) for w in weights.values()], pa.list_(pa.int32())),
+            pa.array([w.tobytes() for w in weights.values()], pa.binary()),
+        ]
+        yield pa.RecordBatch.from_arrays(arrays, names=["name", "shape", "data"])
+
+    # One task sees the bounded sample; only the weights come to the driver.
+    learned = rows.repartition(1).sortWithinPartitions(*order).select("html").mapInArrow(learn, "name string, shape array<int>, data binary")
+    found = {r.name: np.frombuffer(bytes(r.data), np.float32).reshape(r.shape) for r in learned.collect()}
+    labeller = Labeller() if found else fit([])
+    labeller.weights.update(found)
     return labeller
 
 
@@ -429,21 +566,19 @@ def html_extract(pages: DataFrame, labeller: Labeller) -> DataFrame:
     shared = shipped(pages.sparkSession, labeller)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = shared()
+        reader = Reader(shared())
         for batch in batches:
             texts = []
             column = batch.column("html")
             for low in range(0, len(column), 256):
-                found = [blocks(h) for h in column.slice(low, 256).to_pylist()]
-                for page, main in zip(found, labeller.main_blocks(found), strict=True):
-                    texts.append("\n".join(b[1] for b, kept in zip(page, main, strict=True) if kept))
+                texts += reader.main_texts(column.slice(low, 256).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["row", "text", "n_chars"],
             )
 
     others = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
-    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in others], F.lit(True).alias("_packed")).alias("row"), "html")
+    rows = pages.select(boxed(others).alias("row"), "html")
     kind = rows.schema["row"].dataType.simpleString()
     done = rows.mapInArrow(extract, f"row {kind}, text string, n_chars long")
-    return unpacked(done, others, text=F.col("text"), n_chars=F.col("n_chars"))
+    return done.select(*unboxed("row", others), "text", "n_chars")
