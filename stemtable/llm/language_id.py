@@ -41,6 +41,7 @@ SHARES = (0.4, 0.04, 0.08, 0.12, 0.16, 0.2)
 # Longer runs of letters are no words; they are scored by n-grams and not remembered.
 WORD_LIMIT = 40
 BACKOFF = 0.4
+BROADCAST_ROWS = 10_000
 # Scores that are remembered for unseen words: words times languages.
 MEMO = 800_000
 
@@ -58,7 +59,12 @@ def sampled(docs: DataFrame, sample: int) -> DataFrame:
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     # The share of each language that is taken.
     share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n"))
-    joined = skew_join(known, sizes.select("lang", share.alias("share")), ["lang"], "inner")
+    shares = written(sizes.select("lang", share.alias("share")), "shares")
+    # A row per language; a column that holds something else may have too many for a broadcast.
+    if shares.count() <= BROADCAST_ROWS:
+        joined = known.join(F.broadcast(shares), "lang")
+    else:
+        joined = skew_join(known, shares, ["lang"], "inner")
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     return joined.filter(unit < F.col("share")).select("lang", "text")
 
