@@ -8,9 +8,9 @@ double big endian, S + uint32 length + UTF-8, T + uint32 count + uint64 each.
 from __future__ import annotations
 
 import struct as pystruct
-from hashlib import sha256
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,34 +86,82 @@ def clip_hash12(value) -> Column:
     )
 
 
-def _hex_u32(value: Column) -> Column:
-    return F.lpad(F.hex(value.cast("bigint")), 8, "0")
+# Type in which the encoder gets a field of each tag.
+ENCODED_TYPES = {"B": "boolean", "I": "decimal(20,0)", "F": "double", "S": "string", "T": "array<decimal(20,0)>"}
 
 
-def _hex_u64(value: Column) -> Column:
-    return F.lpad(F.conv(value.cast("decimal(20,0)").cast("string"), 10, 16), 16, "0")
+def _uint64(column: pa.Array) -> np.ndarray:
+    """Values of a decimal column below 2**64 as big-endian numbers; null is 0."""
+    column = column.fill_null(0) if column.null_count else column
+    low = np.frombuffer(column.buffers()[1], dtype="<u8").reshape(-1, 2)[:, 0]
+    return low[column.offset : column.offset + len(column)].astype(">u8")
 
 
-def _hex_double(value: Column) -> Column:
-    bits = F.java_method(
-        F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), value.cast("double")
-    )
-    return F.lpad(F.conv(bits, 10, 16), 16, "0")
+def _fixed(tag: str, column: pa.Array) -> np.ndarray:
+    """Tag and value of fixed-width fields, a row of bytes each."""
+    n = len(column)
+    if tag == "B":
+        values = column.fill_null(False).to_numpy(zero_copy_only=False).astype(np.uint8)
+    elif tag == "I":
+        values = _uint64(column)
+    else:
+        values = column.fill_null(0.0).to_numpy(zero_copy_only=False).astype(">f8")
+    mark = np.full((n, 1), ord(tag), dtype=np.uint8)
+    return np.concatenate([mark, np.ascontiguousarray(values).view(np.uint8).reshape(n, -1)], axis=1)
 
 
-def _hex_value(tag: str, value: Column) -> Column:
-    if tag == "B":
-        return F.concat(F.lit("42"), F.when(value, "01").otherwise("00"))
-    if tag == "I":
-        return F.concat(F.lit("49"), _hex_u64(value))
-    if tag == "F":
-        return F.concat(F.lit("46"), _hex_double(value))
-    if tag == "S":
-        return F.concat(F.lit("53"), _hex_u32(F.octet_length(value)), F.hex(F.encode(value, "UTF-8")))
-    if tag == "T":
-        items = F.array_join(F.transform(value, _hex_u64), "")
-        return F.concat(F.lit("54"), _hex_u32(F.size(value)), items)
-    raise ValueError(f"unknown tag {tag!r}")
+def _texts(column: pa.Array) -> list[bytes]:
+    """Tag, length and UTF-8 of texts; each distinct text is encoded once."""
+    codes = column.fill_null("").dictionary_encode()
+    known = [b"S" + pystruct.pack(">I", len(t)) + t for t in (x.encode() for x in codes.dictionary.to_pylist())]
+    return [known[i] for i in codes.indices.to_pylist()]
+
+
+def _lists(column: pa.Array) -> list[bytes]:
+    """Tag, count and numbers of lists."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).tolist()
+    data, out, at = _uint64(column.flatten()).tobytes(), [], 0
+    for size in sizes:
+        out.append(b"T" + pystruct.pack(">I", size) + data[at : at + 8 * size])
+        at += 8 * size
+    return out
+
+
+def _encoder(fields: dict[str, str], domain: str):
+    """The bytes of identity records, column by column.
+
+    Names, tags and fixed-width values that follow each other form one table of
+    bytes with a row per record; only texts and lists are pieces of their own.
+    """
+
+    @F.arrow_udf("binary")
+    def encode(*columns: pa.Array) -> pa.Array:
+        n = len(columns[0])
+        pieces: list[list[bytes]] = []
+        tables: list[np.ndarray] = []
+
+        def add(data: bytes) -> None:
+            tables.append(np.broadcast_to(np.frombuffer(data, dtype=np.uint8), (n, len(data))))
+
+        def close() -> None:
+            table = np.concatenate(tables, axis=1)
+            width, data = table.shape[1], table.tobytes()
+            pieces.append([data[i : i + width] for i in range(0, n * width, width)])
+            tables.clear()
+
+        add(domain.encode() + b"\0")
+        for (name, tag), column in zip(fields.items(), columns, strict=True):
+            add(name.encode() + b"\0")
+            if tag in "BIF":
+                tables.append(_fixed(tag, column))
+            else:
+                close()
+                pieces.append(_texts(column) if tag == "S" else _lists(column))
+        if tables:
+            close()
+        return pa.array([b"".join(row) for row in zip(*pieces, strict=True)], pa.binary())
+
+    return encode
 
 
 def _fields(version: str) -> dict[str, str]:
@@ -182,43 +230,8 @@ def identity_hash(
 ) -> DataFrame:
     """Add ``input_hash`` (null where ``identity_error`` is set)."""
     canon = canonical_identity(df, version)
-    pieces = [F.lit(domain.encode().hex() + "00")]
-    for name, tag in _fields(version).items():
-        pieces.append(F.lit(name.encode().hex() + "00"))
-        pieces.append(_hex_value(tag, F.col(name)))
-    digest = F.sha2(F.unhex(F.concat(*pieces)), 256)
-    return canon.withColumn(alias, F.when(F.col("identity_error").isNull(), digest))
-
-
-def identity_hash_arrow(
-    df: DataFrame, version: str = "v2", domain: str = DOMAIN, alias: str = "input_hash"
-) -> DataFrame:
-    """Same keys through a pandas UDF, for Spark Connect (no ``java_method``)."""
     fields = _fields(version)
-
-    def encode(tag, value):
-        if tag == "B":
-            return b"B" + (b"\x01" if value else b"\x00")
-        if tag == "I":
-            return b"I" + pystruct.pack(">Q", int(value))
-        if tag == "F":
-            return b"F" + pystruct.pack(">d", float(value))
-        if tag == "S":
-            text = value.encode()
-            return b"S" + pystruct.pack(">I", len(text)) + text
-        return b"T" + pystruct.pack(f">I{len(value)}Q", len(value), *[int(v) for v in value])
-
-    @F.pandas_udf("string")
-    def digest(rows: pd.DataFrame) -> pd.Series:
-        def one(row):
-            if row["identity_error"] is not None:
-                return None
-            body = domain.encode() + b"\0"
-            for name, tag in fields.items():
-                body += name.encode() + b"\0" + encode(tag, row[name])
-            return sha256(body).hexdigest()
-
-        return rows.apply(one, axis=1)
-
-    canon = canonical_identity(df, version)
-    return canon.withColumn(alias, digest(F.struct("identity_error", *fields)))
+    # A record with an error may hold values that fit no type.
+    values = [F.col(name).try_cast(ENCODED_TYPES[tag]) for name, tag in fields.items()]
+    digest = F.sha2(_encoder(fields, domain)(*values), 256)
+    return canon.withColumn(alias, F.when(F.col("identity_error").isNull(), digest))

@@ -61,9 +61,18 @@ CLIPS_SQL = f"clips_d AS ({CLIPS_SELECT})"
 FPS_SQL = "(fps_num / CAST(fps_den AS DOUBLE))"
 
 
+def spread_scan(spark: SparkSession, sf_dir: str, name: str, columns: list[str], keys: list[str]) -> DataFrame:
+    """Some columns of a table, dealt out by key: a file of one row group would be one task's work."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, sf_dir, name).select(*columns).repartition(tasks, *keys)
+
+
+CLIP_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "l_returnflag", "l_quantity"]
+
+
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = CLIPS_SELECT.replace("FROM lineitem", "FROM {lineitem}")
-    rows = spark.sql(source, lineitem=table(spark, sf_dir, "lineitem"))
+    rows = spark.sql(source, lineitem=spread_scan(spark, sf_dir, "lineitem", CLIP_COLUMNS, ["l_orderkey", "l_linenumber"]))
     return rows.withColumn("output_media_fps", fps_struct())
 
 

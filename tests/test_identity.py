@@ -84,11 +84,24 @@ def test_v2_adds_fields(spark):
         assert (len(got) == 1) is same
 
 
-def test_arrow_twin(spark):
-    df = frame(spark, BASE, {**BASE, "weights_sha256": "zz"})
-    want = [r.input_hash for r in identity.identity_hash(df).collect()]
-    assert [r.input_hash for r in identity.identity_hash_arrow(df).collect()] == want
-    assert want[1] is None
+def test_batches_with_errors_between(spark):
+    """Records of different widths in small batches; errors leave the others as they are."""
+    rows = []
+    for i in range(25):
+        row = {**BASE, "gain": -0.0 if i % 2 else 1e300, "channel_map": [i, 2**30][: 1 + i % 2], "model_name": "mé" * (i % 3 + 1)}
+        row["src_in"] = Decimal(2**63 + i)
+        rows.append({**row, "weights_sha256": "zz"} if i % 7 == 3 else row)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    got = hashes(spark, *rows, version="v1")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == [None if i % 7 == 3 else reference_hash(r) for i, r in enumerate(rows)]
+
+
+def test_filters_go_below_the_encoder(spark):
+    df = frame(spark, BASE, BASE).withColumn("timeline", F.lit(1))
+    plan = identity.identity_hash(df.repartition(2)).filter("src_out = 5")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("src_out#", plan.index("Filter"))
 
 
 @pytest.mark.parametrize(
