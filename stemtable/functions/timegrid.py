@@ -43,16 +43,21 @@ def _rational(num, den) -> Column:
 def reduce_fps(fps) -> Column:
     """``struct<num,den>`` in lowest terms; null unless both are positive."""
     f = _col(fps)
-    # Euclid over a fixed number of steps: bigint needs fewer than 100.
-    pair = F.aggregate(
-        F.sequence(F.lit(1), F.lit(92)),
+    valid = (f["num"] > 0) & (f["den"] > 0)
+    # Euclid takes at most five steps for each digit of the smaller number, and one to swap.
+    smaller = F.when(valid, F.least(f["num"].cast("bigint"), f["den"].cast("bigint")))
+    steps = 5 * F.length(smaller.cast("string")) + 1
+    divisor = F.aggregate(
+        F.sequence(F.lit(1), steps),
         F.struct(f["num"].cast("bigint").alias("a"), f["den"].cast("bigint").alias("b")),
         lambda acc, _: F.when(
             acc.b != 0, F.struct(acc.b.alias("a"), (acc.a % acc.b).alias("b"))
         ).otherwise(acc),
+        lambda acc: acc.a,
     )
-    reduced = _rational(f["num"] / pair.a, f["den"] / pair.a)
-    return F.when((f["num"] > 0) & (f["den"] > 0), reduced)
+    # One pass over one element, so that the walk is not repeated per field.
+    reduced = F.get(F.transform(F.array(divisor), lambda d: _rational(f["num"] / d, f["den"] / d)), F.lit(0))
+    return F.when(valid, reduced)
 
 
 def best_rational(value) -> Column:

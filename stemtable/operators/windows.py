@@ -41,7 +41,8 @@ def plan_windows(df: DataFrame, window, overlap, n_samples: str = "n_samples") -
 
     ``window`` and ``overlap`` are sample counts (number, column name or
     Column).  An overlap above half a window would break the linear fades: such
-    a clip gives one row with ``error_code`` and no window.
+    a clip gives one row with ``error_code`` and no window.  So does a clip
+    without samples.
     """
     w = window if isinstance(window, Column) else _value(window)
     o = overlap if isinstance(overlap, Column) else _value(overlap)
@@ -49,16 +50,16 @@ def plan_windows(df: DataFrame, window, overlap, n_samples: str = "n_samples") -
     o = F.least(F.greatest(o.cast("bigint"), F.lit(0)), w - 1)
     n = F.col(n_samples)
     hop = w - o
-    count = F.when(n <= w, F.lit(1)).otherwise(F.ceil((n - w) / hop) + 1).cast("bigint")
+    empty = F.coalesce(n <= 0, F.lit(True))
+    count = F.when(empty, 0).when(n <= w, 1).otherwise(F.ceil((n - w) / hop) + 1).cast("bigint")
     rows = (
-        df.filter(n > 0)
-        .withColumn("overlap", o)
+        df.withColumn("overlap", o)
         .withColumn("_w", w)
         .withColumn("_hop", hop)
         .withColumn("n_windows", count)
         .withColumn(
             "error_code",
-            F.when((F.col("n_windows") > 1) & (o * 2 > w), "overlap_exceeds_half_window"),
+            F.when(empty, "no_samples").when((F.col("n_windows") > 1) & (o * 2 > w), "overlap_exceeds_half_window"),
         )
     )
     numbers = F.when(
@@ -197,6 +198,132 @@ def map_windows(
     )
 
 
+class ChunkedWindow:
+    """A window whose samples come piece by piece, worked on in overlapping chunks.
+
+    Holds the input from the current chunk on and the weighted sums of the output
+    that later chunks still reach; what is final goes out at once.
+    """
+
+    def __init__(self, fn: Callable[[np.ndarray], np.ndarray], n: int, chunk: int, hop: int):
+        self.fn, self.n, self.chunk, self.hop = fn, n, chunk, hop
+        self.n_chunks = 1 if n <= chunk else -(-(n - chunk) // hop) + 1
+        self.at = 0
+        self.input = np.zeros((1, 0))
+        self.sums: np.ndarray | None = None
+
+    def add(self, ch: int, offset: int, samples: np.ndarray) -> None:
+        start = self.at * self.hop
+        end = offset + len(samples) - start
+        if ch >= len(self.input) or end > self.input.shape[1]:
+            grown = np.zeros((max(ch + 1, len(self.input)), max(end, self.input.shape[1])))
+            grown[: len(self.input), : self.input.shape[1]] = self.input
+            self.input = grown
+        low = max(0, offset - start)
+        self.input[ch, low:end] = samples[low - (offset - start) :]
+
+    def done(self, upto: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(offset, samples of all channels) that are final when all input before ``upto`` is there."""
+        while self.at < self.n_chunks:
+            start = self.at * self.hop
+            end = min(start + self.chunk, self.n)
+            if end > upto:
+                return
+            size = end - start
+            part = np.zeros((len(self.input), size))
+            usable = min(size, self.input.shape[1])
+            part[:, :usable] = self.input[:, :usable]
+            made = np.asarray(self.fn(part), dtype=np.float64)
+            if self.sums is None:
+                self.sums, self.plain = np.zeros((2, len(made), 0))
+                self.weights = np.zeros(0)
+            self._overlap(made, size)
+            self.at += 1
+            last = self.at == self.n_chunks
+            final = size if last else min(self.hop, size)
+            weights = self.weights[:final]
+            enough = weights >= MIN_WEIGHT
+            out = np.where(enough, self.sums[:, :final] / np.where(enough, weights, 1.0), self.plain[:, :final])
+            self.sums, self.plain, self.weights = self.sums[:, final:], self.plain[:, final:], self.weights[final:]
+            self.input = self.input[:, self.hop :]
+            yield start, out
+
+    def _overlap(self, made: np.ndarray, size: int) -> None:
+        known = len(self.weights)
+        more = max(0, size - known)
+        usable = min(size, made.shape[1])
+        fitted = np.zeros((len(made), size))
+        fitted[:, :usable] = made[:, :usable]
+        self.sums = np.pad(self.sums, ((0, 0), (0, more)))
+        self.weights = np.pad(self.weights, (0, more))
+        # Where no chunk has weight, the first one counts as it is.
+        self.plain = np.concatenate([self.plain, fitted[:, known:]], axis=1)
+        weight = np.ones(size)
+        if self.n_chunks > 1:
+            weight = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / self.chunk)
+        self.sums[:, :size] += fitted * weight
+        self.weights[:size] += weight
+
+
+def map_chunks(
+    blocks: DataFrame,
+    windows: DataFrame,
+    fn: Callable[[np.ndarray], np.ndarray],
+    chunk: int = CHUNK_SAMPLES,
+    hop: int = CHUNK_HOP,
+    block: int = BLOCK,
+) -> DataFrame:
+    """Apply ``fn`` to overlapping chunks of each window; pieces for :func:`overlap_add`.
+
+    The two levels of a separator in one pass: ``fn`` sees ``float64[channels,
+    samples]`` of a chunk, chunks are averaged with a periodic Hann inside their
+    window, and the windows' pieces are what :func:`map_windows` would return.  A
+    window's pieces come sorted and in batches, so a task holds a batch and two
+    chunks, however long the window is.
+    """
+    id_type = dict(blocks.dtypes)["clip_id"]
+    pieces = slice_windows(blocks, windows, block, carry=("n_windows", "overlap")).select(*PIECE_COLUMNS)
+    ordered = pieces.repartition("clip_id", "win_no").sortWithinPartitions("clip_id", "win_no", "offset", "ch")
+    return ordered.mapInArrow(chunked_batches(fn, chunk, hop, block), PIECE_TYPE.format(id=id_type))
+
+
+def chunked_batches(fn: Callable[[np.ndarray], np.ndarray], chunk: int, hop: int, block: int):
+    """Batches of pieces in order of window, offset and channel to batches of results."""
+    repeated = ("clip_id", "win_no", "start", "end", "n_windows", "overlap")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, window, schema = None, None, None
+
+        def rows(done: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            for offset, out in done:
+                cuts = np.arange(0, out.shape[1], block)
+                columns = {c: pa.array([head[c]] * (len(out) * len(cuts)), schema.field(c).type) for c in repeated}
+                columns["ch"] = pa.array(np.repeat(np.arange(len(out)), len(cuts)), pa.int32())
+                columns["offset"] = pa.array(np.tile(offset + cuts, len(out)), pa.int64())
+                parts = [row[i : i + block] for row in out for i in cuts]
+                ends = np.cumsum([0, *[len(p) for p in parts]])
+                columns["samples"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
+                yield pa.RecordBatch.from_arrays([columns[c] for c in PIECE_COLUMNS], PIECE_COLUMNS)
+
+        for batch in batches:
+            schema = batch.schema
+            keys = batch.select(list(repeated)).to_pylist()
+            channels, offsets = batch.column("ch").to_numpy(), batch.column("offset").to_numpy()
+            lists = batch.column("samples")
+            for i, key in enumerate(keys):
+                if head is None or (key["clip_id"], key["win_no"]) != (head["clip_id"], head["win_no"]):
+                    if window is not None:
+                        yield from rows(window.done(window.n))
+                    head, window = key, ChunkedWindow(fn, key["end"] - key["start"], chunk, hop)
+                # Pieces of all channels begin at the same offsets, so all before this one is there.
+                yield from rows(window.done(int(offsets[i])))
+                window.add(int(channels[i]), int(offsets[i]), lists[i].values.to_numpy(zero_copy_only=False))
+        if window is not None:
+            yield from rows(window.done(window.n))
+
+    return run
+
+
 def linear_gain(position: Column) -> Column:
     """Fade weight at a position of a window: ramps 0..1 and 1..0 with the end
     point left out, none at the outer ends of the clip."""

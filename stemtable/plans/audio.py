@@ -293,6 +293,41 @@ def map_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.samples(windows.overlap_add(pieces, block=B))
 
 
+# No fraction, so that no result lies between two millionths.
+CHUNK_GAIN = math.pi / 4
+
+
+# Chunks inside windows: each loses its mean, a periodic Hann averages them, linear fades join the windows.
+@query(
+    _with(
+        v.SIGNAL_SQL + "," + PLAN_SQL,
+        f""", count_d AS (SELECT *, CASE WHEN w_end - w_start <= {v.CHUNK} THEN 1
+   ELSE CAST(ceil((w_end - w_start - {v.CHUNK}) / {v.CHUNK_HOP}E0) AS BIGINT) + 1 END AS n_chunks FROM plan_d),
+chunks_d AS (SELECT *, w_start + k * {v.CHUNK_HOP} AS c_start, least(w_start + k * {v.CHUNK_HOP} + {v.CHUNK}, w_end) AS c_end
+  FROM (SELECT *, unnest(generate_series(0, n_chunks - 1)) AS k FROM count_d) t),
+made_d AS (SELECT c.*, ch, idx, {CHUNK_GAIN!r} * (v - avg(v) OVER (PARTITION BY c.clip_id, ch, win_no, k)) AS y,
+  CASE WHEN n_chunks > 1 THEN 0.5E0 - 0.5E0 * cos(2 * pi() * (idx - c_start) / {v.CHUNK}E0) ELSE 1 END AS w
+  FROM chunks_d c JOIN signal_d s ON s.clip_id = c.clip_id AND idx >= c_start AND idx < c_end),
+window_d AS (SELECT clip_id, ch, idx, win_no, n_windows, w_start, w_end,
+  CASE WHEN sum(w) >= 1e-6 THEN sum(w * y) / sum(w) ELSE arg_min(y, k) END AS y FROM made_d GROUP BY ALL)
+SELECT clip_id, ch, idx, {v.micro_sql(f"""sum(y * (CASE WHEN win_no > 0 AND idx - w_start < {O} THEN (idx - w_start) / {O}E0 ELSE 1 END)
+    * (CASE WHEN win_no < n_windows - 1 AND idx - (w_end - {O}) >= 0 THEN 1 - (idx - (w_end - {O})) / {O}E0 ELSE 1 END))""", 'v_micro')}
+FROM window_d GROUP BY 1, 2, 3""",
+    )
+)
+def map_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function of chunks inside windows, both levels overlapping."""
+    pieces = windows.map_chunks(
+        v.signal(spark, sf_dir),
+        plan(spark, sf_dir),
+        lambda a: CHUNK_GAIN * (a - a.mean(axis=1, keepdims=True)),
+        v.CHUNK,
+        v.CHUNK_HOP,
+        B,
+    )
+    return v.samples(windows.overlap_add(pieces, block=B))
+
+
 def odd_windows_raised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Window pieces whose odd windows carry an offset of 0.02."""
     pieces = windows.slice_windows(
