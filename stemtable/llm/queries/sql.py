@@ -10,9 +10,9 @@ from stemtable.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
 # The sample is a running sum over the whole source here; the operator reaches it by bins.
 MIXING = f"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+  SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), '') AS id, md5(coalesce(text, '')) AS mark,
     CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END AS size,
-    (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 10) AS BIGINT) + 0.5) / {float(1 << 40)!r} AS u
+    (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 10) AS BIGINT) + 0.5) / {float(1 << 40)!r} AS u
   FROM documents
 ), sizes AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -30,20 +30,28 @@ WITH sized AS (
     (SELECT arg_min(l.level, l.k) FROM levels l WHERE l.level * l.weight < l.cap) * weight, CAST(cap AS DOUBLE))) AS target
   FROM levels
 ), goals AS (
-  SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS p, target - floor(ratio) * source_size AS rest
+  SELECT *, floor(ratio) AS whole, target - floor(ratio) * source_size AS rest
   FROM (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE target / source_size END AS ratio FROM targets)
+), heights AS (
+  SELECT g.source, d.size, count(*) AS n, any_value(g.rest) AS rest FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source
+  WHERE d.size > 0 AND g.rest > 0 GROUP BY g.source, d.size
+), scaled AS (
+  SELECT *, (rest - coalesce(sum(n * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(CAST(n * size * size AS DOUBLE)) OVER (PARTITION BY source ORDER BY size ROWS UNBOUNDED PRECEDING) AS c FROM heights
+), scales AS (
+  SELECT source, arg_max(c, size) AS c FROM scaled WHERE c * size < 1 GROUP BY source
+), drawn AS (
+  SELECT d.*, g.source_size, g.target, g.whole, g.rest, s.c, least(1E0, s.c * d.size) AS p
+  FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN scales s ON d.source IS NOT DISTINCT FROM s.source
 ), ranked AS (
-  SELECT d.*, g.source_size, g.target, g.whole, g.p, g.rest, d.u * (1 - p) / (d.u * (1 - p) + p * (1 - d.u)) AS rank
-  FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source
+  SELECT *, u * (1 - p) / (u * (1 - p) + p * (1 - u)) AS rank FROM drawn
 ), summed AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, id, size ROWS UNBOUNDED PRECEDING) AS total FROM ranked
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, id, mark, size ROWS UNBOUNDED PRECEDING) AS total FROM ranked
+), copied AS (
+  SELECT *, CAST(whole AS BIGINT) + CASE WHEN size > 0 AND rest > 0 AND c IS NOT NULL AND total - size / 2.0 <= rest THEN 1 ELSE 0 END AS copies FROM summed
 )
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-  CAST(whole AS BIGINT) + CASE WHEN p > 0 AND rest > 0 AND total - size / 2.0 <= rest THEN 1 ELSE 0 END AS copies,
-  (CAST(whole AS BIGINT) + CASE WHEN p > 0 AND rest > 0 AND total - size / 2.0 <= rest THEN 1 ELSE 0 END) * CAST(size AS BIGINT) AS taken
-FROM summed"""
-
-
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, copies, copies * CAST(size AS BIGINT) AS taken
+FROM copied"""
 def vector_codes() -> str:
     """Every distance of every round, from dot products of whole numbers in doubles."""
 

@@ -288,6 +288,31 @@ def test_mix_comes_near_targets(spark):
     assert mixing.mix(docs_of(spark, [])).count() == 0
 
 
+def test_documents_have_inclusion_odds_of_their_own(spark, monkeypatch):
+    """Probabilities follow the sizes, and rows without id or of one id are drawn one by one."""
+    rng = random.Random(7)
+
+    def text(size):
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(size))
+
+    rows = [(None, text(4), "", "a") for _ in range(800)] + [(5, text(12), "", "a") for _ in range(800)]
+    rows += [(i, text(3000), "", "a") for i in range(2)]
+    # Another source of four times the words and equal weight pulls the target of the first below its size.
+    rows += [(i, "x " * 100, "", "b") for i in range(500)]
+    monkeypatch.setattr(mixing, "BIN_ROWS", 5)
+    monkeypatch.setattr(mixing, "LEAST_BINS", 8)
+    out = mixing.mix(docs_of(spark, rows), weights=(1, 6)).collect()
+    own = [r for r in out if r.source == "a"]
+    assert abs(sum(r.taken for r in own) - own[0].target) <= 3000 and own[0].target < own[0].source_size
+    taken = {size: [r.copies for r in own if r.size == size] for size in (4, 12, 3000)}
+    # The largest are certain; the others are drawn in proportion to their sizes.
+    assert taken[3000] == [1, 1]
+    small, large = sum(taken[4]) / 800, sum(taken[12]) / 800
+    left = own[0].target - 6000
+    scale = left / (800 * 16 + 800 * 144)
+    assert abs(large - 12 * scale) < 0.06 and abs(small - 4 * scale) < 0.05 and 0 < small < large < 1
+
+
 # License scan
 
 
