@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stemtable.functions.timegrid import parse_frame_rate, parse_timecode_seconds
+
 DUMP_TYPE = "array<struct<key:string,value:string>>"
 FILE_PATH_KEY = "File Path"
 
@@ -52,6 +54,19 @@ def first_parsed(dump, pattern: str, parse, exclude: str | None = None) -> Colum
     return F.get(F.filter(parsed, lambda e: e["parsed"].isNotNull()), F.lit(0))
 
 
+def probe_frame_rate(dump) -> Column:
+    """``struct<key,parsed struct<num,den>>`` of the first frame rate entry that can be read; null if none."""
+    return first_parsed(dump, FPS_KEYS, parse_frame_rate)
+
+
+def probe_start_seconds(dump, fps=None) -> Column:
+    """``struct<key,parsed>``: the first start timecode that can be read, in seconds.
+
+    ``fps`` (a number or column) gives frames behind ``:`` or ``;`` their length.
+    """
+    return first_parsed(dump, START_TC_KEYS, lambda value: parse_timecode_seconds(value, fps))
+
+
 def property_value(dump, key: str) -> Column:
     """Value of an exact key; a repeated key has its last value."""
     hits = F.filter(_col(dump), lambda e: e["key"] == key)

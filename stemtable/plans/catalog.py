@@ -491,6 +491,49 @@ def probe_property(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Some dumps hold an unreadable rate or timecode before a good one, some timecodes count frames.
+@query(
+    _with(
+        v.CLIPS_SQL,
+        """SELECT clip_id, CASE WHEN l_suppkey % 2 = 0 THEN 30000 WHEN l_linenumber <> 2 THEN 25 END AS num,
+  CASE WHEN l_suppkey % 2 = 0 THEN 1001 WHEN l_linenumber <> 2 THEN 1 END AS den,
+  CASE WHEN l_suppkey % 2 = 0 OR l_linenumber <> 2 THEN CASE WHEN l_partkey % 4 = 1 THEN 'Video Frame Rate' ELSE 'FPS' END END AS rate_key,
+  CASE WHEN l_linenumber = 6 THEN 3600000 WHEN l_linenumber = 5 THEN 10500
+    WHEN l_linenumber = 4 THEN 75904000 + CAST(round((l_partkey % 24) * 1000 / 25E0) AS BIGINT) END AS start_ms
+FROM clips_d""",
+    )
+)
+def probe_rate_and_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frame rate and start timecode of the media, as its dump tells them."""
+    c = F.col
+    entry = lambda key, value: F.struct(F.lit(key).alias("key"), value.alias("value"))
+    odd = F.when(c("l_partkey") % 4 == 1, F.array(entry("fps", F.lit("n/a"))))
+    timecode = F.format_string("21:05:04:%02d", c("l_partkey") % 24)
+    late = F.when(
+        c("l_linenumber") == 4,
+        F.array(entry("Start TC", F.lit("none")), entry("Media start timecode", timecode)),
+    )
+    none = F.array().cast(properties.DUMP_TYPE)
+    renamed = F.transform(
+        "clip_dump",
+        lambda e: F.struct(
+            F.when((e["key"] == "FPS") & (c("l_partkey") % 4 == 1), "Video Frame Rate").otherwise(e["key"]).alias("key"),
+            e["value"].alias("value"),
+        ),
+    )
+    rows = v.inspected(spark, sf_dir).withColumn(
+        "dump", F.concat(F.coalesce(odd.cast(properties.DUMP_TYPE), none), renamed, F.coalesce(late.cast(properties.DUMP_TYPE), none))
+    )
+    rate, start = properties.probe_frame_rate("dump"), properties.probe_start_seconds("dump", F.lit(25.0))
+    return rows.select(
+        "clip_id",
+        rate["parsed"]["num"].alias("num"),
+        rate["parsed"]["den"].alias("den"),
+        rate["key"].alias("rate_key"),
+        F.round(start["parsed"] * 1000).cast("bigint").alias("start_ms"),
+    )
+
+
 @query(
     _with(
         v.CLIPS_SQL,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stemtable import schemas
 from stemtable.operators import contracts, signals, timing
-from stemtable.plans import audio, catalog, isolation, selection, views as v
+from stemtable.plans import audio, catalog, isolation, selection, tables, views as v
 from stemtable.plans.catalog import _half_up, _with
 from stemtable.sources import readers
 from stemtable.streaming.sinks import run_available, shared_folder
@@ -165,8 +165,28 @@ def isolate_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("clip_id", "n_samples", v.micro("peak", "peak_micro"), v.micro("rms", "rms_micro"))
 
 
-# Gate, envelope and smoothing are each checked against SQL on their own.
-@query()
+FRAMES = audio.FRAMES_SQL.replace("frames_s AS", "framed_d AS")
+GATE_SQL = f"""{FRAMES},
+mono_d AS (SELECT clip_id, idx, avg(v) AS v FROM signal_d GROUP BY 1, 2),
+level_d AS (SELECT f.clip_id, frame_no, sqrt(avg(m.v * m.v) + 1e-12) AS rms FROM framed_d f
+  JOIN mono_d m ON m.clip_id = f.clip_id AND idx >= f_start AND idx < f_end GROUP BY 1, 2),
+vector_d AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding, (SELECT count(*) FROM embeddings) AS n_vectors FROM embeddings),
+match_d AS (SELECT r.clip_id, r.frame_no, {tables.COSINE_SQL} AS s FROM framed_d r
+  JOIN vector_d f ON f.vec_id = (r.clip_id * 31 + r.frame_no) % f.n_vectors
+  JOIN profiles_d p ON p.speaker_id = concat('spk_', r.clip_id % 10)),
+frames_s AS (SELECT r.*, CASE WHEN rms < 1e-4 THEN 0.001E0
+    ELSE 0.001E0 + (1 - 0.001E0) * pow(greatest(0E0, least(1E0, (s - 0.20E0) / (0.45E0 - 0.20E0))), 1.5E0) END AS gain
+  FROM (SELECT * EXCLUDE (gain) FROM framed_d) r JOIN match_d USING (clip_id, frame_no) JOIN level_d USING (clip_id, frame_no))"""
+
+
+@query(
+    _with(
+        v.SIGNAL_SQL + "," + v.PROFILES_SQL + "," + GATE_SQL + "," + audio.ENVELOPE_SQL + "," + audio.SMOOTH_SQL,
+        f"""SELECT clip_id, max(idx) + 1 AS n_samples, {v.micro_sql('max(abs(y))', 'peak_micro')}, {v.micro_sql('sqrt(avg(y * y) + 1e-12)', 'rms_micro')}
+FROM (SELECT d.clip_id, d.idx, v * greatest(0.001E0, least(1E0, s / total)) AS y FROM signal_d d JOIN smooth_d USING (clip_id, idx)) t
+GROUP BY clip_id""",
+    )
+)
 def gate_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gate every clip to one enrolled speaker by its frames' embeddings."""
     c = F.col
@@ -183,7 +203,7 @@ def gate_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = frames.join(vectors.select("vec_id", "embedding"), "vec_id").join(
         book.select("speaker_id", c("embedding").alias("target")), "speaker_id"
     )
-    gated = isolation.gate_speaker(blocks, frames, 9, v.BLOCK)
+    gated = isolation.gate_speaker(blocks, frames, audio.TAPS, v.BLOCK)
     stats = signals.signal_stats(gated)
     return stats.select("clip_id", "n_samples", v.micro("peak", "peak_micro"), v.micro("rms", "rms_micro"))
 
