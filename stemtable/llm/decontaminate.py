@@ -8,7 +8,9 @@ words are hit.
 
 The items go to every executor.  Their size is checked: they are split into
 shards of at most about ``SHARD_WORDS`` words, one automaton each, and the
-documents pass through all shards one after the other without a shuffle.
+documents pass through all shards one after the other without a shuffle.  With
+several shards the documents are written in between, so that the driver and a task
+hold one shard whatever the size of the benchmark.
 
 Null and empty texts have no words: such documents are clean, such items match
 nothing.  Repeated items count once by their id; an item without id can be hit
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemtable.llm.frames import packed, unpacked
+from stemtable.llm.frames import packed, unpacked, written
 from stemtable.llm.substring_dedup import SuffixAutomaton
 from stemtable.llm.symbols import WordHasher, alphanumeric, chunks, cut_words, lower_table, mask_of, rebuilt, union_length
 
@@ -153,6 +155,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         "row",
     )
     for shard in range(n):
+        # One shard at a time is in the driver and in a task: the passes over the documents are cut from each other.
+        if shard:
+            found = written(found, "hits")
+            shared.destroy()
         own = items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == shard).collect()
         shared = spark.sparkContext.broadcast([(r.name, r.text) for r in own])
         found = _through(found, shared, window)
