@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemtable.functions import vectors
 from stemtable.operators.signals import RMS_FLOOR, SILENCE_RMS, fold_mono_mid
-from stemtable.operators.spread import skew_join
+from stemtable.operators.spread import settle, skew_join
 from stemtable.operators.windows import slice_windows
 
 # Gate thresholds.
@@ -22,6 +23,8 @@ MIN_GAIN_DB = -60.0
 
 # Speakers of one slab (25 MB at 192 dimensions).
 SLAB_ROWS = 16_384
+PIVOTS, PIVOT_SAMPLE = 64, 16
+DISTANCE_SLACK, SIMILARITY_SLACK = 1e-6, 1e-9
 FRAMES_PER_GROUP = 65_536
 # Similarities held at once by one task.
 SCORES_AT_ONCE = 4_000_000
@@ -183,55 +186,190 @@ def _book(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return pdf["speaker_id"].to_numpy(), matrix / np.where(norms > vectors.MIN_NORM, norms, 1.0)
 
 
+class SpeakerIndex:
+    """Speakers dealt to the nearest of some pivots, and how far each pivot is from each cluster.
+
+    ``low`` and ``high`` (clusters, pivots) are the least and the largest distance of
+    a cluster's speakers to each pivot; by the triangle inequality a frame at
+    distance d of a pivot is at least ``max(d - high, low - d)`` away from all of
+    them.  Speakers without length have a cluster of their own, the last.
+    """
+
+    def __init__(self, pivots: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.pivots, self.sizes, self.low, self.high = pivots, sizes, low, high
+
+    def bounds(self, unit: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the cluster of each frame's nearest pivot, upper bounds of its similarity with the speakers
+        of each cluster); -2 where a cluster is empty."""
+        least, home = np.zeros((len(unit), len(self.sizes))), np.full(len(unit), len(self.pivots))
+        if len(self.pivots):
+            far = distances(unit, self.pivots)
+            home = far.argmin(axis=1)
+            for pivot in range(len(self.pivots)):
+                d = far[:, pivot, None]
+                least = np.maximum(least, np.maximum(d - self.high[:, pivot], self.low[:, pivot] - d))
+        # A distance between unit vectors is good for about half of a double's digits.
+        least = np.where(long, np.maximum(least - DISTANCE_SLACK, 0.0), 0.0)
+        bounds = np.where(self.sizes > 0, 1 - least * least / 2 + SIMILARITY_SLACK, -2.0)
+        # A vector that counts as one without length is no longer than this.
+        bounds[:, -1] = np.minimum(bounds[:, -1], vectors.MIN_NORM + SIMILARITY_SLACK)
+        return home, bounds
+
+
+def distances(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of unit vectors."""
+    return np.sqrt(np.maximum(2 - 2 * (unit @ pivots.T), 0.0))
+
+
+def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors divided by their length, unless they have none, and which have one."""
+    matrix, norms = _unit(column.to_pylist())
+    long = norms > vectors.MIN_NORM
+    return matrix / np.where(long, norms, 1.0), long
+
+
+def spread_out(unit: np.ndarray, n: int) -> np.ndarray:
+    """At most ``n`` of some unit vectors: the first, and then the farthest from those chosen."""
+    chosen, nearest = [0], distances(unit, unit[:1])[:, 0]
+    while len(chosen) < min(n, len(unit)) and nearest.max() > 0:
+        chosen.append(int(nearest.argmax()))
+        nearest = np.minimum(nearest, distances(unit, unit[chosen[-1:]])[:, 0])
+    return unit[chosen]
+
+
+def index_speakers(speakers: DataFrame, n_pivots: int = PIVOTS) -> tuple[DataFrame, SpeakerIndex]:
+    """``speaker_id, embedding, cluster`` and the index.
+
+    The pivots are chosen among a sample of ``PIVOT_SAMPLE`` speakers for each (least
+    hash first), every next one the farthest from those before it.  That sample and
+    two distances for each pair of pivots come to the driver.
+    """
+    book = speakers.select("speaker_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    id_type = dict(book.dtypes)["speaker_id"]
+    length = vectors.norm(F.col("embedding"))
+    rows = book.filter(length > vectors.MIN_NORM).orderBy(F.xxhash64("speaker_id"), "speaker_id").limit(n_pivots * PIVOT_SAMPLE).collect()
+    sample = np.array([r.embedding for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    pivots = spread_out(sample / np.linalg.norm(sample, axis=1, keepdims=True), n_pivots) if len(rows) else sample
+    n = len(pivots)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            unit, long = _units(batch.column("embedding"))
+            far = distances(unit, pivots) if len(pivots) else np.zeros((batch.num_rows, 0))
+            nearest = far.argmin(axis=1) if len(pivots) else np.zeros(batch.num_rows, dtype=int)
+            cluster = np.where(long[:, 0], nearest, len(pivots)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("speaker_id"), batch.column("embedding"), pa.array(cluster), pa.array(list(far), pa.list_(pa.float64()))],
+                ["speaker_id", "embedding", "cluster", "far"],
+            )
+
+    dealt = settle(book.mapInArrow(deal, f"speaker_id {id_type}, embedding array<double>, cluster int, far array<double>"))
+    sizes, low, high = np.zeros(n + 1, dtype=np.int64), np.zeros((n + 1, n)), np.full((n + 1, n), np.inf)
+    for r in dealt.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[r.cluster] = r.n
+    spread = dealt.filter(F.col("cluster") < n).select("cluster", F.posexplode("far").alias("pivot", "d"))
+    for r in spread.groupBy("cluster", "pivot").agg(F.min("d").alias("low"), F.max("d").alias("high")).collect():
+        low[r.cluster, r.pivot], high[r.cluster, r.pivot] = r.low, r.high
+    return dealt.drop("far"), SpeakerIndex(pivots, sizes, low, high)
+
+
+def _bounded(frames: DataFrame, index: SpeakerIndex, keys: list[str]) -> DataFrame:
+    """Frames with their ``home`` cluster and the upper ``bounds`` of their similarities by cluster."""
+    fields = (index.pivots, index.sizes, index.low, index.high)
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = SpeakerIndex(*fields)
+        for batch in batches:
+            if batch.num_rows:
+                home, found = own.bounds(*_units(batch.column("embedding")))
+                batch = batch.append_column("home", pa.array(home, pa.int32()))
+                yield batch.append_column("bounds", pa.array(list(found), pa.list_(pa.float64())))
+
+    types = ", ".join(f"{c} {t}" for c, t in frames.dtypes)
+    return frames.mapInArrow(bound, f"{types}, home int, bounds array<double>")
+
+
+def _visited(
+    visits: DataFrame, book: DataFrame, index: SpeakerIndex, k: int, keys: list[str], slab_rows: int
+) -> DataFrame:
+    """The ``k`` best of each visit (a frame and a ``cluster``): keys, speaker_id, similarity.
+
+    Clusters are cut into slabs of about ``slab_rows`` speakers, and the frames that
+    visit one into groups, by the number of its visits.
+    """
+    types, id_type = dict(visits.dtypes), dict(book.dtypes)["speaker_id"]
+    counts = {r.cluster: r.n for r in visits.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
+    many = range(len(index.sizes))
+    slabs = F.array(*[F.lit(max(1, -(-int(index.sizes[c]) // slab_rows))) for c in many])
+    groups = F.array(*[F.lit(max(1, -(-counts.get(c, 0) // FRAMES_PER_GROUP))) for c in many])
+
+    def own(array):
+        return F.element_at(array, F.col("cluster") + 1)
+
+    def upto(count):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), count.cast("bigint") - 1))
+
+    left = visits.withColumn("_group", F.pmod(F.xxhash64(*keys), own(groups))).withColumn("_slab", upto(own(slabs)))
+    right = book.withColumn("_slab", F.pmod(F.xxhash64("speaker_id"), own(slabs))).withColumn("_group", upto(own(groups)))
+
+    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame(columns=[*keys, "speaker_id", "similarity"])
+        return _best(a, *_book(b), k, keys)
+
+    schema = ", ".join(f"{c} {types[c]}" for c in keys) + f", speaker_id {id_type}, similarity double"
+    part = ["cluster", "_slab", "_group"]
+    return (
+        left.select(*keys, "embedding", *part)
+        .groupBy(*part)
+        .cogroup(right.select("speaker_id", "embedding", *part).groupBy(*part))
+        .applyInPandas(score, schema)
+    )
+
+
+def _merged_best(found: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """``_top``: the k best (negative similarity, speaker_id) of each frame; at most k rows per visit are merged."""
+    hit = F.struct((-F.col("similarity")).alias("s"), "speaker_id")
+    return found.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(hit)), 1, k).alias("_top"))
+
+
+def further_visits(bounded: DataFrame, first: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """The other clusters that may hold one of a frame's ``k`` best, given the best ``first`` found."""
+    worst = F.when(F.size("_top") >= k, -F.element_at("_top", k)["s"]).otherwise(-2.0)
+    met = bounded.join(first.select(*keys, worst.alias("_least")), keys, "left")
+    places = F.transform("bounds", lambda bound, i: F.struct(i.alias("cluster"), bound.alias("bound")))
+    open_ = F.filter(
+        places,
+        lambda p: (p["bound"] > -2.0) & (p["bound"] >= F.coalesce(F.col("_least"), F.lit(-2.0))) & (p["cluster"] != F.col("home")),
+    )
+    rows = met.withColumn("cluster", F.explode(F.transform(open_, lambda p: p["cluster"].cast("int"))))
+    return rows.drop("_least")
+
+
 def top_speakers(
     frames: DataFrame,
     speakers: DataFrame,
     k: int = 1,
     keys: tuple[str, ...] = ("clip_id", "frame_no"),
     slab_rows: int = SLAB_ROWS,
+    n_pivots: int = PIVOTS,
 ) -> DataFrame:
     """The ``k`` best cosine matches per frame: keys, speaker_id, similarity, rank.
 
-    Exact.  The speaker table is cut into slabs of about ``slab_rows``; a group
-    holds a slice of the frames and one slab, and only k rows per frame and slab
-    leave it to be merged.
+    Exact.  Speakers are clustered around pivots.  A frame first visits the cluster
+    of its nearest pivot, then only those whose bound reaches the k-th
+    similarity it found there.  What a frame does not visit is neither sent nor scored.
     """
     keys = list(keys)
-    types = dict(frames.dtypes)
-    id_type = dict(speakers.dtypes)["speaker_id"]
-    schema = ", ".join(f"{c} {types[c]}" for c in keys)
-    schema += f", speaker_id {id_type}, similarity double"
-    wanted = frames.select(*keys, "embedding")
-    book = speakers.select("speaker_id", "embedding")
-    slabs = max(1, -(-speakers.count() // slab_rows))
-    groups = max(1, -(-frames.count() // FRAMES_PER_GROUP))
-    slab = F.pmod(F.xxhash64("speaker_id"), F.lit(slabs)).alias("_slab")
-    left = wanted.withColumn(
-        "_group", F.pmod(F.xxhash64(*keys), F.lit(groups))
-    ).withColumn("_slab", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1)).cast("array<bigint>")))
-    right = book.select("*", slab).withColumn(
-        "_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>"))
-    )
-
-    def score_slab(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame(columns=[*keys, "speaker_id", "similarity"])
-        return _best(a, *_book(b), k, keys)
-
-    best = (
-        left.groupBy("_slab", "_group")
-        .cogroup(right.groupBy("_slab", "_group"))
-        .applyInPandas(score_slab, schema)
-    )
-    # At most k rows per frame and slab reach the merge.
-    ranked = F.slice(
-        F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "speaker_id"))),
-        1,
-        k,
-    )
-    return best.groupBy(*keys).agg(ranked.alias("_top")).select(
-        *keys, F.posexplode("_top").alias("_i", "_hit")
-    ).select(
+    book, index = index_speakers(speakers, n_pivots)
+    wanted = frames.select(*keys, F.col("embedding").cast("array<double>").alias("embedding"))
+    bounded = settle(_bounded(wanted, index, keys))
+    found = settle(_visited(bounded.withColumn("cluster", F.col("home")), book, index, k, keys, slab_rows))
+    more = settle(further_visits(bounded, _merged_best(found, k, keys), k, keys))
+    found = found.unionByName(_visited(more, book, index, k, keys, slab_rows))
+    return _merged_best(found, k, keys).select(*keys, F.posexplode("_top").alias("_i", "_hit")).select(
         *keys,
         F.col("_hit.speaker_id").alias("speaker_id"),
         (-F.col("_hit.s")).alias("similarity"),

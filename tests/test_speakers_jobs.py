@@ -3,6 +3,7 @@ import random
 import tempfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from stemtable.operators import cache, contracts, integrity, jobs, speakers
@@ -26,6 +27,45 @@ def test_top_speakers_both_ways(spark):
     assert [w[2] for w in ways[0] if w[0] == 40] == ["s00", "s01", "s02"]
 
 
+@pytest.mark.parametrize(("n_pivots", "slab_rows", "k"), [(12, 16_384, 2), (5, 7, 3), (1, 50, 1), (64, 9, 400)])
+def test_top_speakers_by_bounds(spark, n_pivots, slab_rows, k):
+    """Equal to the full search, with copies, a speaker without length and a frame without length."""
+    rng = np.random.default_rng(n_pivots)
+    centres = rng.normal(size=(12, 16))
+    voices = centres[rng.integers(0, 12, 200)] + rng.normal(size=(200, 16)) * 0.1
+    voices[7], voices[11] = voices[6], 0.0
+    heard = centres[rng.integers(0, 12, 90)] + rng.normal(size=(90, 16)) * 0.1
+    heard[5], heard[9] = 0.0, voices[6]
+    frames = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(heard)], "frame_no int, embedding array<double>")
+    book = spark.createDataFrame([(f"s{i:03}", x.tolist()) for i, x in enumerate(voices)], "speaker_id string, embedding array<double>")
+    best = speakers.top_speakers(frames, book, k, ("frame_no",), slab_rows, n_pivots).collect()
+
+    def unit(x):
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        return x / np.where(size > 1e-6, size, 1.0)
+
+    scores = unit(heard) @ unit(voices).T
+    got = {}
+    for r in best:
+        got.setdefault(r.frame_no, {})[r["rank"]] = (r.speaker_id, r.similarity)
+    assert len(got) == 90
+    for i, row in enumerate(scores):
+        assert sorted(got[i]) == list(range(1, min(k, 200) + 1))
+        order = sorted(range(200), key=lambda j: (-round(row[j], 9), j))[: min(k, 200)]
+        assert np.allclose([got[i][r + 1][1] for r in range(len(order))], [row[j] for j in order], atol=1e-9)
+        assert len({s for s, _ in got[i].values()}) == len(order)
+    assert got[9][1][0] == "s006" and got[5][1][0] == "s000"
+    if n_pivots == 12:
+        dealt, index = speakers.index_speakers(book, n_pivots)
+        bounded = speakers._bounded(frames, index, ["frame_no"])
+        first = bounded.withColumn("cluster", F.col("home"))
+        found = speakers._merged_best(speakers._visited(first, dealt, index, k, ["frame_no"], slab_rows), k, ["frame_no"])
+        more = speakers.further_visits(bounded, found, k, ["frame_no"])
+        visits = first.select("cluster").unionByName(more.select("cluster")).collect()
+        share = sum(int(index.sizes[v.cluster]) for v in visits) / (200 * 90)
+        assert share < 0.25, share
+
+
 def test_gate(spark):
     target = [1.0, 0.0]
     rows = [(0, [1.0, 0.0], 0.1), (1, [0.0, 1.0], 0.1), (2, [0.0, 0.0], 0.1), (3, [1.0, 0.0], 1e-6), (4, [0.325, (1 - 0.325**2) ** 0.5], 0.1)]
