@@ -64,6 +64,63 @@ def extractable_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+INSPECT_SQL = """raw_d AS (SELECT *, CASE WHEN l_suppkey % 2 = 0 THEN 30000 / 1001E0 WHEN l_linenumber <> 2 THEN 25E0 END AS rate,
+  CASE l_linenumber WHEN 6 THEN 3600E0 WHEN 5 THEN 10.5E0 END AS tc FROM clips_d),
+times_d AS (SELECT *, CASE WHEN l_linenumber = 3 THEN floor(t0 * 25 + 0.5) / rate ELSE t0 + coalesce(tc, 0) END AS a,
+  CASE WHEN l_linenumber = 3 THEN floor(t1 * 25 + 0.5) / rate ELSE t1 + coalesce(tc, 0) END AS b, 1 / coalesce(rate, 30E0) AS fr FROM raw_d),
+length_d AS (SELECT *, CASE WHEN l_linenumber % 3 <> 0 THEN file_dur WHEN l_linenumber = 3 THEN floor(file_dur * 25) / rate
+    WHEN l_partkey % 2 = 0 AND rate IS NOT NULL THEN b + 30 / rate ELSE b + 1e6 END AS dur FROM times_d),
+branch_d AS (SELECT *, CASE WHEN NOT (dur > 0 AND b > a) THEN 'none' WHEN abs((b - a) - dur) <= fr + 1e-3 THEN 'whole'
+    WHEN a >= -1e-3 AND b <= dur + 1 THEN 'inside'
+    WHEN tc IS NOT NULL AND b - tc > (CASE WHEN abs(a - tc) < fr THEN 0 ELSE a - tc END)
+         AND (CASE WHEN abs(a - tc) < fr THEN 0 ELSE a - tc END) < dur AND b - tc > 0 THEN 'tc'
+    WHEN a >= dur - 1e-3 THEN 'beyond' ELSE 'none' END AS br FROM length_d),
+relative_d AS (SELECT *,
+  CASE br WHEN 'whole' THEN 0 WHEN 'inside' THEN greatest(0E0, a) WHEN 'tc' THEN greatest(0E0, CASE WHEN abs(a - tc) < fr THEN 0 ELSE a - tc END)
+    WHEN 'beyond' THEN 0 ELSE a END AS r0,
+  CASE br WHEN 'whole' THEN dur WHEN 'inside' THEN least(b, dur) WHEN 'tc' THEN least(b - tc, dur) WHEN 'beyond' THEN least(b - a, dur) ELSE b END AS r1,
+  CASE br WHEN 'whole' THEN NOT (a >= -1e-3 AND b <= dur + 1) OR a > fr WHEN 'inside' THEN false WHEN 'none' THEN false ELSE true END AS shifted
+  FROM branch_d)"""
+
+
+@query(
+    _with(
+        v.CLIPS_SQL + "," + INSPECT_SQL,
+        f"""SELECT clip_id, {v.micro_sql('r0', 't0_micro')}, {v.micro_sql('r1', 't1_micro')}, {v.micro_sql('dur', 'dur_micro')}, shifted,
+  {v.micro_sql('least(handle_s, greatest(0E0, r0))', 'left_micro')}, {v.micro_sql('least(handle_s, greatest(0E0, dur - r1))', 'right_micro')},
+  CASE WHEN l_linenumber <> 2 THEN source_sample_rate END AS sample_rate,
+  CASE WHEN l_suppkey % 2 = 0 THEN 30000 WHEN l_linenumber <> 2 THEN 25 END AS fps_num
+FROM relative_d""",
+    )
+)
+def inspect_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with reel timecodes, times in frames, and dumps that tell rate, start and length."""
+    c = F.col
+    by_frames, reel = c("l_linenumber") == 3, F.when(c("l_linenumber") == 6, 3600.0).when(c("l_linenumber") == 5, 10.5).otherwise(0.0)
+    raw = v.inspected(spark, sf_dir).withColumns(
+        {
+            "source_t0": F.when(~by_frames, c("t0") + reel),
+            "source_t1": F.when(~by_frames, c("t1") + reel),
+            "source_start_frame": F.when(by_frames, F.floor(c("t0") * 25 + 0.5)),
+            "source_end_frame": F.when(by_frames, F.floor(c("t1") * 25 + 0.5)),
+            "left_offset": F.lit(None).cast("double"),
+            "right_offset": F.when(c("l_partkey") % 2 == 0, 30),
+        }
+    )
+    found = selection.inspect_items(raw.drop("t0", "t1", "file_dur", "source_fps", "sample_rate"))
+    return found.select(
+        "clip_id",
+        v.micro("t0", "t0_micro"),
+        v.micro("t1", "t1_micro"),
+        v.micro("file_dur", "dur_micro"),
+        "shifted",
+        v.micro("h_left", "left_micro"),
+        v.micro("h_right", "right_micro"),
+        "sample_rate",
+        c("source_fps.num").alias("fps_num"),
+    )
+
+
 @query(
     _with(
         v.ITEMS_SQL,
