@@ -8,7 +8,8 @@ and only those run their expression.  A rule without tokens is fetched by all.
 Of the fitting rules the highest priority wins, then the longest, then the last
 by code point.  Without one the verdict is ``allow``.  Nulls and URLs without
 ``://`` have an empty host and path.  Equal URLs are judged once; repeated rows
-get equal results.  An empty rule list allows everything.
+get equal results.  An empty rule list allows everything.  Further columns are
+carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stemtable.llm.frames import literal_table
+from stemtable.llm.frames import boxed, literal_table, unboxed
 from stemtable.operators.spread import skew_join
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -111,11 +112,10 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule] | None = None, url: str =
     )
     new = ("host", "path", "rule", "verdict")
     names = [c for c in pages.columns if c not in new]
-    joined = skew_join(
-        pages.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{url}`").alias("_url")), best, ["_url"], "left"
-    )
+    rows = pages.select(boxed(names).alias("row"), F.col(f"`{url}`").alias("_url"))
+    joined = skew_join(rows, best, ["_url"], "left")
     return joined.select(
-        *[F.col(f"`{c}`") for c in names],
+        *unboxed("row", names),
         host.alias("host"),
         path.alias("path"),
         F.when(F.col("best.priority") > 0, F.col("best.rule")).alias("rule"),

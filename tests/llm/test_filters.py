@@ -260,6 +260,11 @@ def test_url_filter_rules(spark):
     untokened = url_filter.Rule("any", "^a", (), "block", 0, 1)
     assert url_filter.url_filter(pages, [untokened]).first().verdict == "block"
     assert url_filter.url_filter(pages.filter("page_id > 1")).count() == 0
+    names = ["url", "best", "_url", "row", "subject", "token", "pattern", "_zero"]
+    clashing = spark.createDataFrame([("http://casino.net/", *"abcdefg")], names)
+    out = url_filter.url_filter(clashing)
+    assert out.columns == [*names, "host", "path", "rule", "verdict"]
+    assert tuple(out.first()) == ("http://casino.net/", *"abcdefg", "casino.net", "/", None, "block")
 
 
 # Mixing
