@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemtable.llm.frames import packed, unpacked, written
+from stemtable.llm.frames import packed, released, unpacked, written
 from stemtable.llm.substring_dedup import SuffixAutomaton
 from stemtable.llm.symbols import WordHasher, alphanumeric, chunks, cut_words, lower_table, mask_of, rebuilt, union_length
 
@@ -196,7 +196,7 @@ def _through(found: DataFrame, shared, window: int) -> DataFrame:
             yield batch
 
     kind = found.schema["row"].dataType.simpleString()
-    return found.mapInArrow(stream, f"{FOUND}, row {kind}")
+    return found.mapInArrow(released(stream), f"{FOUND}, row {kind}")
 
 
 def _merged(batch: pa.RecordBatch, new: dict) -> pa.RecordBatch:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,24 @@ from stemtable.streaming.sinks import shared_folder
 LAST_ID = 2**63 - 1
 
 
+def released(run: Callable) -> Callable:
+    """A function over Arrow batches that gives freed memory back to the system when its task ends.
+
+    Workers are reused by later tasks and stages, and allocators keep what arrays have left behind.
+    """
+
+    def with_release(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return with_release
+
+
 def shipped(spark: SparkSession, content) -> Callable:
     """Broadcast an object; the result opens it in a task.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemtable.llm.frames import LAST_ID, packed, shipped, texts, unpacked
+from stemtable.llm.frames import LAST_ID, packed, released, shipped, texts, unpacked
 from stemtable.llm.symbols import Hasher, WordHasher, chunks, mask_of, mix, not_space
 
 # Fixed values of the base rules.
@@ -299,7 +299,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     kind = rows.schema["row"].dataType.simpleString()
     fields = ", ".join(f"{c} long" for c in COUNTS)
     scored = rows.mapInArrow(
-        score, f"text string, row {kind}, {fields}, probability double, base_failed boolean, kept boolean"
+        released(score), f"text string, row {kind}, {fields}, probability double, base_failed boolean, kept boolean"
     )
     new = [*COUNTS, "base_failed", "kept", "probability"]
     return unpacked(scored, docs.columns, **{c: F.col(c) for c in new})
