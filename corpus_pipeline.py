@@ -49,8 +49,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of benchmark items are cut out, documents that consist of them are dropped."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), window=10)
-    return _sized(decontaminate.cleaned(found, docs.columns), docs.columns)
+    return _sized(decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"), window=10), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

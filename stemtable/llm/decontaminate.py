@@ -143,6 +143,30 @@ def _hash_all(texts: list[str]):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``id, text, row, hits, items``: ``row`` holds the columns of ``docs``, ``hits`` the hit word
     ranges in order, ``items`` the ids of items with an occurring window, sorted as strings."""
+    found, last = _up_to_last(docs, benchmark, window)
+    return found.mapInArrow(released(last), _schema(found))
+
+
+def decontaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE
+) -> DataFrame:
+    """The documents with hit words cut out of ``text``; those with a larger share hit are left out.
+
+    Finding and cutting are one pass in the same Python worker.
+    """
+    found, last = _up_to_last(docs, benchmark, window)
+    clean = _clean(max_coverage)
+    kind = found.schema["row"].dataType.simpleString()
+    cut = found.mapInArrow(released(lambda batches: clean(last(batches))), f"text string, row {kind}")
+    return unpacked(cut, docs.columns)
+
+
+def _schema(found: DataFrame) -> str:
+    return f"{FOUND}, row {found.schema['row'].dataType.simpleString()}"
+
+
+def _up_to_last(docs: DataFrame, benchmark: DataFrame, window: int):
+    """The documents with the hits of all shards of items but the last, and the function that adds those of the last."""
     items = benchmark.select(F.col("item_id").cast("string").alias("name"), "text").filter("text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // (SHARD_WORDS * BYTES_PER_WORD)))
@@ -161,11 +185,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
             shared.destroy()
         own = items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == shard).collect()
         shared = spark.sparkContext.broadcast([(r.name, r.text) for r in own])
-        found = _through(found, shared, window)
-    return found
+        if shard < n - 1:
+            found = found.mapInArrow(released(_hits(shared, window)), _schema(found))
+    return found, _hits(shared, window)
 
 
-def _through(found: DataFrame, shared, window: int) -> DataFrame:
+def _hits(shared, window: int):
     """Add the hits of one shard of items."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,8 +220,7 @@ def _through(found: DataFrame, shared, window: int) -> DataFrame:
                 batch = _merged(batch, new)
             yield batch
 
-    kind = found.schema["row"].dataType.simpleString()
-    return found.mapInArrow(released(stream), f"{FOUND}, row {kind}")
+    return stream
 
 
 def _merged(batch: pa.RecordBatch, new: dict) -> pa.RecordBatch:
@@ -228,7 +252,11 @@ def _counted(batch: pa.RecordBatch) -> Iterator:
 
 def cleaned(found: DataFrame, columns: Sequence[str], max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """``columns`` of the documents: hit words cut out of ``text``, documents with a larger share hit left out."""
+    kind = found.schema["row"].dataType.simpleString()
+    return unpacked(found.mapInArrow(_clean(max_coverage), f"text string, row {kind}"), columns)
+
 
+def _clean(max_coverage: float):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, keep = [], []
@@ -243,8 +271,7 @@ def cleaned(found: DataFrame, columns: Sequence[str], max_coverage: float = MAX_
                 [text, batch.column("row")], names=["text", "row"]
             ).filter(pa.array(keep, pa.bool_()))
 
-    kind = found.schema["row"].dataType.simpleString()
-    return unpacked(found.mapInArrow(clean, f"text string, row {kind}"), columns)
+    return clean
 
 
 def digested(found: DataFrame) -> DataFrame:
