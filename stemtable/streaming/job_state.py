@@ -14,10 +14,10 @@ source's file limit bounds the latter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from stemtable.operators.jobs import TERMINAL_EVENTS
@@ -31,81 +31,81 @@ STATE_TYPE = (
     "n_conflicts bigint, n_late bigint"
 )
 OUTPUT_TYPE = "job_id {id}, " + STATE_TYPE + ", n_dropped bigint"
+ETA_TYPE = "job_id {id}, seq bigint, pct double, elapsed_s double, eta_s double, speed double"
 QUEUED = ("queued", None, 0, 0, 0, 0)
+JOB_ROW, ETA_ROW = (Row(*[field.split()[0] for field in kind.split(", ")]) for kind in (OUTPUT_TYPE, ETA_TYPE))
 
 
-def fold(state: tuple, events: pd.DataFrame) -> tuple:
-    """The state of a job after ``events`` (seq, event, pct) in order of seq."""
+def _null(value) -> bool:
+    return value is None or value != value
+
+
+def fold(state: tuple, events: list[tuple]) -> tuple:
+    """The state of a job after ``events`` (ts_us, seq, event, pct) in order of seq."""
     status, last_pct, accepted, ignored, conflicts, late = state
-    live = events
-    if status in TERMINAL_EVENTS.values():
-        live, after = events.iloc[:0], events
-    else:
-        ends = events.index[events["event"].isin(list(TERMINAL_EVENTS))]
-        stop = ends[0] + 1 if len(ends) else len(events)
-        live, after = events.iloc[:stop], events.iloc[stop:]
-    progress = live["event"] == "progress"
-    if status == "running":
-        running = progress
-    else:
-        running = progress & (live["event"] == "running").cummax()
-    taken = live[running]
-    accepted += len(taken)
-    ignored += int(progress.sum()) - len(taken)
-    if len(taken) and taken["pct"].notna().any():
-        last_pct = float(taken["pct"].dropna().iloc[-1])
-    if len(live):
-        final = live["event"].iloc[-1]
-        if final in TERMINAL_EVENTS:
-            status = TERMINAL_EVENTS[final]
-        elif (live["event"] == "running").any():
+    ended = status in TERMINAL_EVENTS.values()
+    for _, _, event, pct, *_ in events:
+        if ended:
+            if event == "cancel":
+                conflicts += 1
+            else:
+                late += 1
+        elif event == "progress":
+            if status == "running":
+                accepted += 1
+                last_pct = last_pct if _null(pct) else pct
+            else:
+                ignored += 1
+        elif event == "running":
             status = "running"
-    cancels = int((after["event"] == "cancel").sum())
-    return status, last_pct, accepted, ignored, conflicts + cancels, late + len(after) - cancels
+        elif event in TERMINAL_EVENTS:
+            status, ended = TERMINAL_EVENTS[event], True
+    return status, last_pct, accepted, ignored, conflicts, late
+
+
+def _by_seq(event: tuple) -> tuple:
+    return event[1] is None, event[1]
 
 
 class OpenEvents:
-    """The events of a job that the watermark has not passed, and how many came too late."""
+    """The events of a job that the watermark has not passed: tuples that begin with ts_us, seq and event.
+
+    A job brings few events at a time, so plain tuples are far cheaper than a data frame per job, and the state
+    is read and written once per call.
+    """
 
     def __init__(self, handle: StatefulProcessorHandle, columns: str):
         self._handle = handle
         self.names = [field.split()[0] for field in columns.split(", ")]
         self._open = handle.getListState("open", columns)
-        self._dropped = handle.getValueState("dropped", "n bigint")
-
-    def dropped(self) -> int:
-        known = self._dropped.get()
-        return known[0] if known else 0
-
-    def add(self, rows: Iterator[pd.DataFrame], watermark_us: int) -> None:
-        late = 0
-        for chunk in rows:
-            behind = chunk["ts_us"] < watermark_us
-            late += int(behind.sum())
-            kept = chunk.loc[~behind, self.names].astype(object)
-            if len(kept):
-                self._open.appendList([tuple(r) for r in kept.where(kept.notna(), None).itertuples(index=False)])
-        if late:
-            self._dropped.update((self.dropped() + late,))
-
-    def settled(self, watermark_us: int) -> tuple[pd.DataFrame, pd.DataFrame]:
-        """(events that the watermark has passed, open ones), each in order of seq; the former are forgotten."""
-        rows = pd.DataFrame(list(self._open.get()), columns=self.names).sort_values("seq", ignore_index=True)
-        passed = rows["ts_us"] < watermark_us
-        done, still = rows[passed].reset_index(drop=True), rows[~passed].reset_index(drop=True)
-        if len(done):
-            if len(still):
-                left = still.astype(object)
-                self._open.put([tuple(r) for r in left.where(left.notna(), None).itertuples(index=False)])
+
+    def settled(self, rows: Iterator[Row], watermark_us: int) -> tuple[list[tuple], list[tuple], int]:
+        """(events that the watermark has passed, open ones, how many of ``rows`` came too late), each in order
+        of seq; the former are forgotten."""
+        done, still, late = [], [], 0
+        for event in self._open.get():
+            passed = event[0] is not None and event[0] < watermark_us
+            (done if passed else still).append(tuple(event))
+        fresh = len(still)
+        for row in rows:
+            if row["ts_us"] is not None and row["ts_us"] < watermark_us:
+                late += 1
             else:
+                still.append(tuple(row[name] for name in self.names))
+        if done or len(still) > fresh:
+            if not still:
                 self._open.clear()
-        if len(still):
-            self._handle.registerTimer(int(still["ts_us"].min()) // 1000 + 1)
-        return done, still
+            elif done:
+                self._open.put(still)
+            else:
+                self._open.appendList(still[fresh:])
+        times = [event[0] for event in still if event[0] is not None]
+        if times:
+            self._handle.registerTimer(min(times) // 1000 + 1)
+        return sorted(done, key=_by_seq), sorted(still, key=_by_seq), late
 
     def clear(self) -> None:
         self._open.clear()
-        self._dropped.clear()
 
 
 class JobStateProcessor(StatefulProcessor):
@@ -113,34 +113,30 @@ class JobStateProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._state = handle.getValueState("job", STATE_TYPE + ", until_ms bigint")
+        self._state = handle.getValueState("job", STATE_TYPE + ", until_ms bigint, n_dropped bigint")
         self._events = OpenEvents(handle, "ts_us bigint, seq bigint, event string, pct double")
 
-    def _settle(self, watermark_us: int) -> tuple[tuple, pd.DataFrame]:
+    def _settle(self, rows: Iterator[Row], watermark_us: int) -> tuple[tuple, int | None, int, list[tuple]]:
+        """(settled state, end of its keeping, dropped events, open events)"""
         known = self._state.get()
-        state, until = (tuple(known[:-1]), known[-1]) if known else (QUEUED, None)
-        done, still = self._events.settled(watermark_us)
-        if len(done):
-            state = fold(state, done)
-            if state[0] in TERMINAL_EVENTS.values():
-                until = int(done["ts_us"].max()) // 1000 + ENDED_MS
-                self._handle.registerTimer(until)
-            self._state.update((*state, until))
-        return state, still
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        watermark_us = timerValues.getCurrentWatermarkInMs() * 1000
-        self._events.add(rows, watermark_us)
-        state, still = self._settle(watermark_us)
-        names = [f.split()[0] for f in STATE_TYPE.split(", ")]
-        row = (key[0], *fold(state, still), self._events.dropped())
-        yield pd.DataFrame([row], columns=["job_id", *names, "n_dropped"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        *state, until, dropped = known if known else (*QUEUED, None, 0)
+        done, still, late = self._events.settled(rows, watermark_us)
+        state = fold(tuple(state), done)
+        if done and state[0] in TERMINAL_EVENTS.values():
+            until = max(event[0] for event in done) // 1000 + ENDED_MS
+            self._handle.registerTimer(until)
+        if done or late:
+            self._state.update((*state, until, dropped + late))
+        return state, until, dropped + late, still
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        state, _, dropped, still = self._settle(rows, timerValues.getCurrentWatermarkInMs() * 1000)
+        yield JOB_ROW(key[0], *fold(state, still), dropped)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         watermark_ms = timerValues.getCurrentWatermarkInMs()
-        _, still = self._settle(watermark_ms * 1000)
-        known = self._state.get()
-        if known and known[-1] is not None and known[-1] <= watermark_ms and not len(still):
+        _, until, _, still = self._settle(iter(()), watermark_ms * 1000)
+        if until is not None and until <= watermark_ms and not still:
             self._state.clear()
             self._events.clear()
         return iter(())
@@ -169,7 +165,7 @@ def job_state_stream(events: DataFrame, delay: str = DELAY) -> DataFrame:
     return (
         _timed(events, delay, "pct")
         .groupBy("job_id")
-        .transformWithStateInPandas(
+        .transformWithState(
             statefulProcessor=JobStateProcessor(),
             outputStructType=OUTPUT_TYPE.format(id=id_type),
             outputMode="Update",
@@ -186,46 +182,50 @@ class EtaProcessor(StatefulProcessor):
         self._start = handle.getValueState("start", "start_us bigint, until_ms bigint")
         self._events = OpenEvents(handle, "ts_us bigint, seq bigint, event string, pct double, audio_dur_s double")
 
-    def _settle(self, job, watermark_us: int) -> tuple[pd.DataFrame, bool]:
+    def _settle(self, job, rows: Iterator[Row], watermark_us: int) -> tuple[list[Row], bool]:
         known = self._start.get()
-        done, still = self._events.settled(watermark_us)
+        done, still, _ = self._events.settled(rows, watermark_us)
         start, until = known if known else (None, None)
-        if len(done):
+        if done:
+            before = (start, until)
             # Nothing older can come: the first settled event is the first of the job.
-            start = int(done["ts_us"].min()) if start is None else start
-            if done["event"].isin(list(TERMINAL_EVENTS)).any():
-                until = int(done["ts_us"].max()) // 1000 + ENDED_MS
+            start = min(event[0] for event in done) if start is None else start
+            if any(event[2] in TERMINAL_EVENTS for event in done):
+                until = max(event[0] for event in done) // 1000 + ENDED_MS
                 self._handle.registerTimer(until)
-            self._start.update((start, until))
-        progress = done[done["event"] == "progress"]
-        elapsed = (progress["ts_us"] - (start or 0)).astype("float64") / 1e6
-        pct, audio = progress["pct"].astype("float64"), progress["audio_dur_s"].astype("float64")
-        share = pct / 100.0
-        ready = (pct > 0) & (elapsed >= 1.0)
-        eta = (elapsed / share - elapsed).clip(lower=0.0).where(ready)
-        speed = (audio * share / elapsed).where(ready & (audio > 0))
-        out = pd.DataFrame(
-            {"job_id": job, "seq": progress["seq"], "pct": pct, "elapsed_s": elapsed, "eta_s": eta, "speed": speed}
-        )
-        over = until is not None and until * 1000 <= watermark_us and not len(still)
-        return out, over
+            if (start, until) != before:
+                self._start.update((start, until))
+        out = [_estimate(job, start, event) for event in done if event[2] == "progress"]
+        return out, until is not None and until * 1000 <= watermark_us and not still
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        watermark_us = timerValues.getCurrentWatermarkInMs() * 1000
-        self._events.add(rows, watermark_us)
-        yield self._settle(key[0], watermark_us)[0]
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        yield from self._settle(key[0], rows, timerValues.getCurrentWatermarkInMs() * 1000)[0]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out, over = self._settle(key[0], timerValues.getCurrentWatermarkInMs() * 1000)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        out, over = self._settle(key[0], iter(()), timerValues.getCurrentWatermarkInMs() * 1000)
         if over:
             self._start.clear()
             self._events.clear()
-        yield out
+        yield from out
 
     def close(self) -> None:
         pass
 
 
+def _estimate(job, start_us: int, event: tuple) -> Row:
+    """A progress event with elapsed time, estimate and speed."""
+    ts_us, seq, _, pct, audio = event
+    pct = None if _null(pct) else pct
+    elapsed, eta, speed = float(ts_us - start_us) / 1e6, None, None
+    if pct is not None and pct > 0 and elapsed >= 1.0:
+        share = pct / 100.0
+        eta = max(elapsed / share - elapsed, 0.0) if share else math.inf
+        if not _null(audio) and audio > 0:
+            speed = audio * share / elapsed
+            speed = None if _null(speed) else speed
+    return ETA_ROW(job, seq, pct, elapsed, eta, speed)
+
+
 def eta_stream(events: DataFrame, delay: str = DELAY) -> DataFrame:
     """Progress rows with elapsed time, estimate and speed (append-only).
 
@@ -236,12 +236,9 @@ def eta_stream(events: DataFrame, delay: str = DELAY) -> DataFrame:
     return (
         _timed(events, delay, "pct", "audio_dur_s")
         .groupBy("job_id")
-        .transformWithStateInPandas(
+        .transformWithState(
             statefulProcessor=EtaProcessor(),
-            outputStructType=(
-                f"job_id {id_type}, seq bigint, pct double, elapsed_s double, "
-                "eta_s double, speed double"
-            ),
+            outputStructType=ETA_TYPE.format(id=id_type),
             outputMode="Append",
             timeMode="EventTime",
         )

@@ -4,11 +4,13 @@ import tempfile
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from stemtable.operators import cache, contracts, integrity, jobs, speakers
 from stemtable.plans import events as event_queries, records
 from stemtable.sources import readers, writers
+from stemtable.streaming import job_state
 from stemtable.streaming.job_state import eta_stream, job_state_stream
 from stemtable.streaming.sinks import latest_rows, run_available
 
@@ -238,3 +240,43 @@ def test_nested_results_must_be_complete(spark):
     assert job(mono=F.lit(None).cast("boolean")) == ["params"]
     assert job(handles_left_actual=F.lit(None).cast("double")) == ["clips"]
     assert job(text_query=F.lit(None).cast("string")) == []
+
+
+class CountedState:
+    """List state and handle that count the calls, each of which goes to the JVM."""
+
+    def __init__(self):
+        self.rows, self.calls, self.timers = [], 0, []
+
+    def getListState(self, name, columns):
+        return self
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.calls, self.rows = self.calls + 1, list(rows)
+
+    def appendList(self, rows):
+        self.calls, self.rows = self.calls + 1, self.rows + list(rows)
+
+    def clear(self):
+        self.calls, self.rows = self.calls + 1, []
+
+
+def test_open_events_are_read_and_written_once_a_call():
+    state = CountedState()
+    events = job_state.OpenEvents(state, "ts_us bigint, seq bigint, event string, pct double")
+    row = Row("ts_us", "seq", "event", "pct")
+    given = [row(t, t // 1000, "progress", p) for t, p in ((5000, 1.0), (3000, None), (1000, 0.5), (9000, 2.0))]
+    assert events.settled(iter(given), 2000) == ([], sorted(map(tuple, (given[0], given[1], given[3]))), 1)
+    assert state.calls == 2 and state.timers == [4]
+    assert events.settled(iter([row(7000, 7, "done", None)]), 6000) == ([(3000, 3, "progress", None), (5000, 5, "progress", 1.0)], [(7000, 7, "done", None), (9000, 9, "progress", 2.0)], 0)
+    assert state.calls == 4 and len(state.rows) == 2
+    done, still, late = events.settled(iter(()), 6000)
+    assert (done, len(still), late) == ([], 2, 0) and state.calls == 5
+    assert job_state.fold(("running", 1.0, 1, 0, 0, 0), still) == ("done", 1.0, 1, 0, 0, 1)
