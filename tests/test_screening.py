@@ -116,3 +116,15 @@ def test_allow_list_forms_agree(spark):
         allowed, refused = contracts.url_allowlist(rows, prefixes)
         assert sorted(r.i for r in allowed.collect()) == [0, 2]
         assert refused.count() + allowed.count() >= 5
+
+
+def test_once_computes_in_a_projection(spark):
+    """A generator with a lambda is interpreted: it must get a finished row."""
+    from pyspark.sql import functions as F
+
+    from stemtable.functions.once import once
+
+    rows = once(spark.range(3), {"x": F.filter(F.array("id", F.col("id") + 1), lambda v: v > 1)})
+    generators = [line for line in rows._jdf.queryExecution().executedPlan().toString().split("\n") if "Generate inline" in line]
+    assert generators and not any("lambda" in line for line in generators)
+    assert [r.x for r in rows.orderBy("id").collect()] == [[], [2], [2, 3]]
