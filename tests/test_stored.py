@@ -160,3 +160,30 @@ def test_filters_keep_misses_from_the_index(spark, tmp_path):
     none = spark.createDataFrame([], meta.schema)
     again = cache_store.stored_split(spark, path, few, spark.createDataFrame([], files.schema), none)
     assert again.count() == len(passed)
+
+
+def test_an_upsert_keeps_no_second_copy(spark, tmp_path, monkeypatch):
+    def refused(df):
+        raise AssertionError("a checkpoint of the whole index")
+
+    monkeypatch.setattr(cache_store, "settle", refused)
+    path, keys = f"{tmp_path}/index", keys_of(spark, 0, 3)
+    cache_store.store_entries(index_of(spark, entry_rows(keys)), path, 1)
+    cache_store.stored_upsert(spark, path, index_of(spark, entry_rows([keys[1].upper()], 5) + entry_rows(keys[1:2], 3)), digits=1)
+    rows = {r.input_hash: r.size for r in cache_store.stored_entries(spark, path).collect()}
+    assert rows == {keys[0]: 100, keys[1]: 105, keys[2]: 100}
+
+
+def test_a_hash_asks_its_filter_as_one_row(spark, tmp_path):
+    path, keys = f"{tmp_path}/index", keys_of(spark, 0, 3)
+    cache_store.store_entries(index_of(spark, entry_rows(keys)), path, 1)
+    asked = cache_store.may_be_stored(spark, path, spark.createDataFrame([(k,) for k in keys], "input_hash string"), 1)
+    assert "explode" not in physical(asked)
+    assert {r.input_hash for r in asked.collect()} == set(keys)
+
+
+def test_latest_entries_move_their_order_once(spark):
+    rows = index_of(spark, entry_rows(["a", "b"]) + entry_rows(["a"], 4))
+    latest = cache.latest_entries(rows, tie_break=("mtime_ns", "size"))
+    assert "max_by" not in physical(latest) and latest.columns == rows.columns
+    assert sorted((r.input_hash, r.size) for r in latest.collect()) == [("a", 104), ("b", 100)]
