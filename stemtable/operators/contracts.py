@@ -337,19 +337,27 @@ def keep_under_roots(
 
 
 def _split_by_prefix(df: DataFrame, allowed: DataFrame, text: Column, usable: Column):
-    keyed = df.withColumn("_text", text).withColumn("_ok", F.coalesce(usable, F.lit(False)))
-    distinct = keyed.filter("_ok").select("_text").distinct()
-    prefixes = distinct.select("_text", F.explode(paths.ancestors("_text")).alias("_prefix"))
-    inside = (
+    """A text is inside if it is a prefix itself or if its folder is inside: the prefixes of a
+    folder are looked up once for all that is in it, and only the row's own columns and its
+    text or folder move.  The verdict is one generated column, so both halves read one join."""
+    keyed = df.withColumn("_text", F.when(usable, text))
+    folder = F.nullif(F.regexp_extract("_text", r"(?s)^(.*/)[^/]*$", 1), F.lit(""))
+    folder = F.substring(folder, F.lit(1), F.length(folder) - 1)
+    folders = keyed.select(folder.alias("_folder")).filter("_folder is not null").distinct()
+    prefixes = folders.select("_folder", F.explode(paths.ancestors("_folder")).alias("_prefix"))
+    below = (
         skew_join(prefixes, allowed, ["_prefix"], "left_semi")
-        .select("_text")
+        .select("_folder")
         .distinct()
-        .withColumn("_inside", F.lit(True))
+        .withColumn("_below", F.lit(True))
     )
-    flagged = skew_join(keyed, inside, ["_text"], "left")
-    good = F.col("_ok") & F.coalesce(F.col("_inside"), F.lit(False))
-    drop = ["_text", "_ok", "_inside"]
-    return flagged.filter(good).drop(*drop), flagged.filter(~good).drop(*drop)
+    exact = allowed.select(F.col("_prefix").alias("_text"), F.lit(True).alias("_exact"))
+    found = skew_join(keyed, exact, ["_text"], "left").withColumn("_folder", folder).drop("_text")
+    found = skew_join(found, below, ["_folder"], "left")
+    inside = F.coalesce("_exact", "_below", F.lit(False))
+    # As in once(): a filter on a generated column stays above the joins.
+    flagged = found.select("*", F.inline(F.array(F.struct(inside.alias("_inside"))))).drop("_folder", "_exact", "_below")
+    return flagged.filter("_inside").drop("_inside"), flagged.filter("not _inside").drop("_inside")
 
 
 def url_allowlist(

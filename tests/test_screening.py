@@ -128,3 +128,27 @@ def test_once_computes_in_a_projection(spark):
     generators = [line for line in rows._jdf.queryExecution().executedPlan().toString().split("\n") if "Generate inline" in line]
     assert generators and not any("lambda" in line for line in generators)
     assert [r.x for r in rows.orderBy("id").collect()] == [[], [2], [2, 3]]
+
+
+def test_roots_of_all_kinds_split_paths_with_one_join(spark):
+    """Whole paths, folders and odd spellings; both halves read the same shuffles."""
+    given = ["/a/b/c.wav", "/a/b/d.wav", "/a//b/./e.wav", "/a/bc/f.wav", "/a/b", "/x", "/", "rel", "rel/y.wav", "/n/l\n", "/a/b/../b/g.wav", "", None, "/x/y.wav", "/one/z.wav", "/one/z.wav"]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(given)], "id int, path string")
+    roots = spark.createDataFrame([("/a/b/",), ("/a/b",), ("/x",), ("rel",), ("/one/z.wav",), ("/n/l\n",), (None,)], "root string")
+    inside, outside = contracts.keep_under_roots(rows, roots, "path")
+    assert inside.columns == outside.columns == ["id", "path"]
+    assert sorted(r.id for r in inside.collect()) == [0, 1, 2, 4, 5, 7, 8, 9, 13, 14, 15]
+    assert sorted(r.id for r in outside.collect()) == [3, 6, 10, 11, 12]
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        spark.conf.set(names[0], "false")
+        spark.conf.set(names[1], "-1")
+        inside, outside = contracts.keep_under_roots(rows, roots, "path")
+        plan = inside.unionByName(outside)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+    moved = [line for line in plan.splitlines() if " Exchange hashpartitioning(" in line]
+    again = [line for line in plan.splitlines() if "ReusedExchange" in line]
+    assert len([line for line in moved if "(_text" in line]) == 2 and len(again) >= 3, plan
