@@ -1,9 +1,12 @@
+import glob
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from stemtable.operators import contracts, screening
+from stemtable.plans import catalog
 from stemtable.sources import readers
 from stemtable import schemas
 
@@ -152,3 +155,16 @@ def test_roots_of_all_kinds_split_paths_with_one_join(spark):
     moved = [line for line in plan.splitlines() if " Exchange hashpartitioning(" in line]
     again = [line for line in plan.splitlines() if "ReusedExchange" in line]
     assert len([line for line in moved if "(_text" in line]) == 2 and len(again) >= 3, plan
+
+
+def test_manifest_texts_are_stored_compressed(spark, tmp_path):
+    lines = spark.range(2000).selectExpr(
+        "id as l_orderkey", "1L as l_linenumber", "id * 7 as l_partkey", "id % 99 as l_suppkey", "'O' as l_linestatus", "'N' as l_returnflag", "5D as l_quantity"
+    )
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = catalog.read_clips(spark, str(tmp_path)).collect()
+    assert {r.path for r in found} >= {"(root)", "clip_id", "source_sample_rate"}
+    folders = glob.glob(spark.sparkContext.getCheckpointDir().removeprefix("file:") + "/manifests-*")
+    files = glob.glob(max(folders, key=os.path.getmtime) + "/part-*")
+    raw = catalog.manifest_texts(spark, str(tmp_path)).selectExpr("sum(length(value) + 1)").first()[0]
+    assert files and sum(map(os.path.getsize, files)) < raw / 3
