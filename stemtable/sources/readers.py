@@ -38,10 +38,13 @@ def read_job_documents(spark: SparkSession, path: str, multi_line: bool = False)
 
 def read_job_results(spark: SparkSession, path: str, pos_type: str = "bigint") -> DataFrame:
     """What ``write_job_results`` wrote: one row per clip result with the job's id, time, version and
-    params, and the place ``pos`` of the clip in its job."""
+    params, and the place ``pos`` of the clip in its job.
+
+    A job has one header, and Spark is told so: where nothing of it is asked for, it need not be joined.
+    """
     params = schemas.struct_type(schemas.PARAMS_TYPE)
     header_type = f"id string, created_at string, engine_version string, params {params}"
-    headers = spark.read.schema(header_type).json(f"{path}/jobs").withColumnRenamed("id", "job_id")
+    headers = spark.read.schema(header_type).json(f"{path}/jobs").withColumnRenamed("id", "job_id").dropDuplicates(["job_id"])
     clip_type = f"job_id string, pos {pos_type}, {schemas.CLIP_RESULT_TYPE}"
     clips = spark.read.schema(clip_type).json(f"{path}/clips")
     joined = skew_join(clips, headers, ["job_id"], "left")

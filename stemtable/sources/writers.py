@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemtable import schemas
+from stemtable.functions.compact import packed, texts_of, unpacked
 from stemtable.operators.spread import running_total, skew_join
 
 RESULT_FIELDS = tuple(field.split()[0] for field in schemas.CLIP_RESULT_TYPE.split(","))
 HEADER_FIELDS = ("created_at", "engine_version", "params")
+#: What holds uuids and digests as a rule; they are most of a row's bytes.
+IDS = ["job_id", "clip_id", "input_hash"]
 
 
 def job_headers(results: DataFrame, tag: str = schemas.JOB_TAG) -> DataFrame:
@@ -18,22 +21,26 @@ def job_headers(results: DataFrame, tag: str = schemas.JOB_TAG) -> DataFrame:
     If the rows of a job disagree on the header, the least one is taken as a whole.
     """
     header = F.min(F.struct(*HEADER_FIELDS)).alias("_header")
-    return results.groupBy("job_id").agg(header, F.count(F.lit(1)).alias("n_clips")).select(
-        F.lit(tag).alias("schema"), F.col("job_id").alias("id"), "_header.*", "n_clips"
-    )
+    texts = texts_of(results, ["job_id"])
+    rows = results.withColumns({c: packed(c) for c in texts})
+    grouped = rows.groupBy("job_id").agg(header, F.count(F.lit(1)).alias("n_clips"))
+    job = unpacked("job_id") if texts else F.col("job_id")
+    return grouped.select(F.lit(tag).alias("schema"), job.alias("id"), "_header.*", "n_clips")
 
 
 def write_job_results(results: DataFrame, path: str, tag: str = schemas.JOB_TAG) -> None:
     """Jobs of any size as lines: ``jobs/`` holds a header per job, ``clips/`` a line per clip result
-    with its job and its ``pos``, near each other and in order."""
-    job_headers(results, tag).write.mode("overwrite").json(f"{path}/jobs")
-    (
-        results.select("job_id", "pos", *RESULT_FIELDS)
-        .repartitionByRange("job_id", "pos")
-        .sortWithinPartitions("job_id", "pos")
-        .write.mode("overwrite")
-        .json(f"{path}/clips")
-    )
+    with its job and its ``pos``, near each other and in order.  Files are gzipped; ids move packed."""
+    _write_lines(job_headers(results, tag), f"{path}/jobs")
+    rows = results.select("job_id", "pos", *RESULT_FIELDS)
+    texts = texts_of(rows, IDS)
+    narrow = rows.withColumns({c: packed(c) for c in texts})
+    dealt = narrow.repartitionByRange("job_id", "pos").sortWithinPartitions("job_id", "pos")
+    _write_lines(dealt.withColumns({c: unpacked(c) for c in texts}), f"{path}/clips")
+
+
+def _write_lines(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("zlib.compress.level", "BEST_SPEED").json(path, compression="gzip")
 
 
 def job_documents(results: DataFrame, clips_per_document: int, tag: str = schemas.JOB_TAG) -> DataFrame:

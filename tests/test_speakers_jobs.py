@@ -1,3 +1,5 @@
+import glob
+import gzip
 import json
 import random
 import tempfile
@@ -7,6 +9,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from stemtable.functions.compact import packed
 from stemtable.operators import cache, contracts, integrity, jobs, speakers
 from stemtable.plans import events as event_queries, records
 from stemtable.sources import readers, writers
@@ -280,3 +283,31 @@ def test_open_events_are_read_and_written_once_a_call():
     done, still, late = events.settled(iter(()), 6000)
     assert (done, len(still), late) == ([], 2, 0) and state.calls == 5
     assert job_state.fold(("running", 1.0, 1, 0, 0, 0), still) == ("done", 1.0, 1, 0, 0, 1)
+
+
+def test_result_lines_are_small_in_order_and_read_without_their_headers(spark, tmp_path):
+    """Ids of any form come back as they were; nothing of the headers is read unless asked for."""
+    rows = spark.range(4000).selectExpr(
+        "case id % 5 when 0 then 'job' when 1 then upper(sha2('a', 256)) when 2 then sha2('b', 256) when 3 then null else '00112233-4455-6677-8899-aabbccddeeff' end as job_id",
+        "'t' as created_at", "'1.0.0' as engine_version", "struct('htdemucs' as model) as params", "id as pos",
+        "case id % 7 when 0 then '' when 1 then null when 2 then '00112233-4455-6677-8899-AABBCCDDEEFF' else concat(substr(md5(string(id)), 1, 8), '-', substr(md5(string(id)), 9, 4), '-0000-1111-', substr(md5(string(id)), 13, 12)) end as clip_id",
+        "case id % 3 when 0 then concat('\\u0000', id) else sha2(cast(id as string), 256) end as input_hash",
+        "'/o' as output_path", "id as output_samples", "0D as handles_left_actual", "0D as handles_right_actual", "44100L as wet_dry_sample_rate", "0.5D as peak", "false as cache_hit",
+    )
+    folder = str(tmp_path / "jobs")
+    writers.write_job_results(rows, folder)
+    back = readers.read_job_results(spark, folder)
+    asked = ["job_id", "pos", "clip_id", "input_hash"]
+    assert sorted(map(repr, back.select(asked).collect())) == sorted(map(repr, rows.select(asked).collect()))
+    heads = {(r.job_id, r.created_at, r.params and r.params.model) for r in back.select("job_id", "created_at", "params").distinct().collect()}
+    assert len(heads) == 5 and (None, None, None) in heads and ("job", "t", "htdemucs") in heads
+    assert "Join" not in back.select(asked)._jdf.queryExecution().optimizedPlan().toString()
+    for name in glob.glob(f"{folder}/clips/part-*"):
+        assert name.endswith(".gz")
+        lines = [json.loads(line) for line in gzip.open(name, "rt")]
+        jobs = [line.get("job_id") for line in lines]
+        assert sum(a != b for a, b in zip(jobs, jobs[1:])) == len(set(jobs)) - 1
+        assert all(a["pos"] < b["pos"] for a, b in zip(lines, lines[1:]) if a.get("job_id") == b.get("job_id"))
+    narrow = rows.withColumns({c: packed(c) for c in ("job_id", "clip_id", "input_hash")})
+    sizes = narrow.selectExpr("max(length(input_hash))", "min(length(input_hash))").first()
+    assert tuple(sizes)[0] == 33
