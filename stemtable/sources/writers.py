@@ -31,16 +31,13 @@ def job_headers(results: DataFrame, tag: str = schemas.JOB_TAG) -> DataFrame:
 def write_job_results(results: DataFrame, path: str, tag: str = schemas.JOB_TAG) -> None:
     """Jobs of any size as lines: ``jobs/`` holds a header per job, ``clips/`` a line per clip result
     with its job and its ``pos``, near each other and in order.  Files are gzipped; ids move packed."""
-    _write_lines(job_headers(results, tag), f"{path}/jobs")
+    job_headers(results, tag).write.mode("overwrite").json(f"{path}/jobs", compression="gzip")
     rows = results.select("job_id", "pos", *RESULT_FIELDS)
     texts = texts_of(rows, IDS)
     narrow = rows.withColumns({c: packed(c) for c in texts})
     dealt = narrow.repartitionByRange("job_id", "pos").sortWithinPartitions("job_id", "pos")
-    _write_lines(dealt.withColumns({c: unpacked(c) for c in texts}), f"{path}/clips")
-
-
-def _write_lines(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("zlib.compress.level", "BEST_SPEED").json(path, compression="gzip")
+    lines = dealt.withColumns({c: unpacked(c) for c in texts})
+    lines.write.mode("overwrite").json(f"{path}/clips", compression="gzip")
 
 
 def job_documents(results: DataFrame, clips_per_document: int, tag: str = schemas.JOB_TAG) -> DataFrame:
