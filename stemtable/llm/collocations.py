@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemtable.llm.frames import removed, stored, written
+from stemtable.llm.frames import released, removed, stored, written
 from stemtable.llm.symbols import Hasher, Texts, byte_values, chunks, lower_table, words
 from stemtable.llm.tries import DoubleArray
 from stemtable.operators.spread import skew_join
@@ -57,6 +57,8 @@ SHARD = 500_000
 #: Bytes of text whose words are numbered at a time, and numbers whose phrases are counted at a time.
 TEXT_BYTES = 1 << 19
 NUMBERS = 1 << 18
+#: Numbers of a row of texts: Spark reads thousands of rows at a time, whatever their size.
+ROW_NUMBERS = 1 << 9
 #: Phrases that are handed to Spark at a time.
 ROWS = 1 << 15
 #: Phrases of a language that are ranked in one task before the last ranking.
@@ -227,7 +229,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = np.where(alone, 0, text)
         keep = text > 0
         keep[1:] |= text[:-1] > 0
-        return pa.RecordBatch.from_arrays([pa.array([text[keep].astype("<i4").tobytes()], pa.binary())], ["text"])
+        return pa.RecordBatch.from_arrays(_rows(np.append(text[keep], 0).astype("<i4")), ["text"])
 
     parts, size = [], 0
     for batch in batches:
@@ -241,6 +243,22 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(parts)
 
 
+def _rows(text: np.ndarray, *more: np.ndarray) -> list[pa.Array]:
+    """Rows of about ROW_NUMBERS numbers, cut at a 0, and ``more`` at the same places; ``text`` ends with a 0.
+
+    The 0 of a cut goes: ``_stretches`` puts it back.
+    """
+    zeros = np.flatnonzero(text == 0)
+    _, first = np.unique(zeros // ROW_NUMBERS, return_index=True)
+    cuts = np.union1d(zeros[first], zeros[-1:])
+    ends = np.append(0, cuts - np.arange(len(cuts)))
+    out = []
+    for numbers in (text, *more):
+        buffers = [None, pa.py_buffer(ends * numbers.itemsize), pa.py_buffer(np.delete(numbers, cuts))]
+        out.append(pa.Array.from_buffers(pa.large_binary(), len(cuts), buffers).cast(pa.binary()))
+    return out
+
+
 def _stretches(batches: Iterator[pa.RecordBatch], more: str | None = None):
     """About NUMBERS numbers at a time, with a 0 behind each row; and the places of ``more``."""
     texts, others, size = [], [], 0
@@ -299,10 +317,7 @@ def _longer(trie, m: int, top: int, j: int, n_shards: int, last: bool):
             if last:
                 yield from _phrases(text, known, m, top)
             else:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([text.tobytes()], pa.binary()), pa.array([known.astype("<i8").tobytes()], pa.binary())],
-                    ["text", "known"],
-                )
+                yield pa.RecordBatch.from_arrays(_rows(text, known), ["text", "known"])
 
     return run
 
@@ -328,7 +343,7 @@ def _count(trie, longest: int):
 def word_counts(docs: DataFrame) -> DataFrame:
     """``lang, word, n``."""
     texts = _texts(docs)
-    found = texts.mapInArrow(_count_words, "lang string, word string, n long")
+    found = texts.mapInArrow(released(_count_words), "lang string, word string, n long")
     return found.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
@@ -352,28 +367,35 @@ def vocabulary(counts: DataFrame, least: int, shard: int = SHARD) -> tuple[DataF
 def numbered(docs: DataFrame, listed: DataFrame) -> DataFrame:
     """``text``: the texts as rows of word numbers, many texts to a row."""
     rows, folders = _texts(docs), []
-    for j, (shipped, _) in enumerate(_shards(listed.select("shard", "lang", "word", "id"), _word_list)):
+    for j, (shipped, last) in enumerate(_shards(listed.select("shard", "lang", "word", "id"), _word_list)):
         if j:
             rows, folder = stored(rows, "marks")
             folders.append(folder)
-        rows = rows.mapInArrow(_numbered(shipped, j == 0), "lang string, text string, marks binary")
-    out = written(rows.select("marks").mapInArrow(_joined, "text binary"), "numbers")
+        rows = rows.mapInArrow(*_number_step(_numbered(shipped, j == 0), last))
+    out = written(rows, "numbers")
     for folder in folders:
         removed(docs.sparkSession, folder)
     return out
 
 
+def _number_step(step: Callable, last: bool) -> tuple[Callable, str]:
+    """A function over Arrow batches and its schema; the last one joins in the same Python worker."""
+    if last:
+        return released(lambda batches: _joined(step(batches))), "text binary"
+    return released(step), "lang string, text string, marks binary"
+
+
 def candidates(texts: DataFrame, top: int, longest: int, least: int, shard: int = SHARD) -> list[tuple[DataFrame, int]]:
     """For each number of words from 2 on the phrases (``words``) that can occur ``least`` times, and how many."""
     levels, folders = [], []
-    found = texts.mapInArrow(_pairs(top), "words binary, n long")
+    found = texts.mapInArrow(released(_pairs(top)), "words binary, n long")
     for m in range(2, longest + 1):
         if m > 2:
             found, folders = texts, []
             n_shards = _n_shards(levels[-1][1], shard)
             shards = _shards(levels[-1][0].select("words", _shard_of(n_shards, "words")), _trie)
             for j, (shipped, last) in enumerate(shards):
-                step = _longer(shipped, m, top, j, n_shards, last)
+                step = released(_longer(shipped, m, top, j, n_shards, last))
                 found = found.mapInArrow(step, "words binary, n long" if last else "text binary, known binary")
                 if not last:
                     found, folder = stored(found, "known")
@@ -397,7 +419,7 @@ def counted(texts: DataFrame, levels: list[tuple[DataFrame, int]], least: int, s
         every = every.unionByName(more)
     parts = None
     for shipped, _ in _shards(every.select("words", _shard_of(_n_shards(size, shard), "words")), _trie):
-        found = texts.mapInArrow(_count(shipped, len(levels) + 1), "words binary, n long")
+        found = texts.mapInArrow(released(_count(shipped, len(levels) + 1)), "words binary, n long")
         found = written(found.groupBy("words").agg(F.sum("n").alias("n")), "counts")
         parts = found if parts is None else parts.unionByName(found)
     return parts.filter(F.col("n") >= least)

@@ -7,11 +7,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from stemtable.llm import chat_format, collocations, vector_codes
+from stemtable.llm.frames import stored
 from stemtable.llm.tries import DoubleArray
 
 # --- tries
@@ -104,6 +106,39 @@ def test_phrases_of_little(spark):
     assert collocations.collocations(alone).collect() == []
 
 
+def test_rows_of_numbers_are_short():
+    """Spark holds thousands of rows of texts at a time; only a phrase without end makes a longer row."""
+    rng = random.Random(5)
+    texts = [[-1] + [rng.choice([0, 1, 2, 3]) for _ in range(rng.randrange(4000))] for _ in range(100)] + [[-1] + [7] * 3000, [-1, 9]]
+    marks = [np.array(t, dtype="<i4").tobytes() for t in texts]
+    rows = list(collocations._joined(iter([pa.RecordBatch.from_arrays([pa.array(marks, pa.binary())], ["marks"])])))
+    sizes = sorted(len(x) // 4 for batch in rows for x in batch.column("text").to_pylist())
+    assert 3000 <= sizes[-1] < 3000 + 2 * collocations.ROW_NUMBERS and sizes[-2] < 2 * collocations.ROW_NUMBERS + 100
+    want = collections.Counter(w for t in texts for w in zip(t, t[1:]) if min(w) > 0)
+    for again in range(3):
+        got = collections.Counter()
+        stretches = list(collocations._stretches(iter(rows), "known" if again else None))
+        for text, known in stretches:
+            got.update(w for w in zip(text.tolist(), text[1:].tolist()) if min(w) > 0)
+            # Numbers of phrases stay at the places of their first words.
+            assert not again or (known == np.where(text > 0, text * 10, 0)).all()
+        assert got == want
+        cut = [collocations._rows(text, np.where(text > 0, text * 10, 0).astype("<i8")) for text, _ in stretches]
+        rows = [pa.RecordBatch.from_arrays(columns, ["text", "known"]) for columns in cut]
+        assert sum(len(text) for text, _ in stretches) == sum(len(text) for text, _ in collocations._stretches(iter(rows)))
+
+
+def test_numbers_are_joined_where_they_are_looked_up(spark, monkeypatch):
+    """A second Python step after the first one doubles the workers of an executor."""
+    docs = spark.createDataFrame(phrase_rows(), "lang string, text string")
+    listed, _ = collocations.vocabulary(collocations.word_counts(docs), 12)
+    plans = []
+    monkeypatch.setattr(collocations, "written", lambda df, name: plans.append((name, df)) or stored(df, name)[0])
+    collocations.numbered(docs, listed)
+    plan = {name: df._jdf.queryExecution().analyzed().toString() for name, df in plans}["numbers"]
+    assert plan.count("MapInArrow") == 1, plan
+
+
 def test_scores_beyond_64_bits(spark):
     phrase = (1).to_bytes(4, "big") + (2).to_bytes(4, "big")
     a, l, r, n = 10**12 + 7, 10**12 + 9, 10**12 + 39, 10**13 + 37
