@@ -2,16 +2,20 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from stemtable.llm import anchored, ngram_join, substring_dedup, suffix_array_dedup
+from stemtable.llm.frames import removed, stored
 from stemtable.llm.symbols import Hasher, chunks
 from stemtable.operators.spread import skew_join
+from stemtable.session import FREED_CONF
 
 SCHEMA = "doc_id long, text string, source string, id long, row string, spans string"
 
@@ -199,6 +203,54 @@ def test_each_text_is_compared_once(spark, monkeypatch):
     assert brought == [len(rows)]
 
 
+def test_only_texts_of_like_sets_move(spark, monkeypatch):
+    """Sets that share a common passage, but little else, are no candidates; their texts stay where they are."""
+    rng = random.Random(8)
+    line = "one common line that many of the texts have"
+    texts = []
+    for i in range(120):
+        words = [f"u{i}_{k}" for k in range(rng.randrange(4, 90))]
+        words.insert(rng.randrange(len(words) + 1), line)
+        texts.append(" ".join(words))
+    texts.append(" ".join(f"n{k}" for k in range(100)))
+    texts.append(texts[-1].replace("n50", "other"))
+    rows = list(enumerate(texts))
+    moved, brought = [], []
+
+    def counted(left, right, on, how="left"):
+        out = skew_join(left, right, on, how)
+        if "text" in left.columns:
+            moved.append(left.count())
+            brought.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "skew_join", counted)
+    monkeypatch.setattr(ngram_join, "HOT", 2)
+    found = ngram_join.ngram_join(frame(spark, rows), 3, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in found} == brute_components(rows, 3, 80)
+    assert brought == [2] and moved[0] < 30
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90, 100])
+def test_size_classes_of_linked_sets_are_neighbours(spark, percent):
+    sizes = spark.range(1, 1500).select(F.col("id").alias("n"), ngram_join._size_class(F.col("id"), percent).alias("c"))
+    place = {r.n: r.c for r in sizes.collect()}
+    assert all(place[n * 100 // percent] - place[n] <= 1 for n in place if n * 100 // percent in place)
+
+
+def test_steps_leave_neither_tables_nor_shuffles(spark, tmp_path):
+    df = spark.range(1000).repartition(4, "id")
+    before = spark.conf.get(FREED_CONF, None)
+    folder = stored(df, "steps")[1]
+    assert spark.conf.get(FREED_CONF, None) == before
+    assert df.count() == spark.read.parquet(folder).count() == 1000
+    removed(spark, folder)
+    found = ngram_join.ngram_join(frame(spark, [(1, "a b c d e f g h"), (2, "a b c d e f g h")])).collect()
+    assert [r.component_id for r in found] == [1, 1]
+    kept = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    assert not [name for name in os.listdir(kept) if name.startswith("sketches")]
+
+
 def test_empty_tables(spark):
     docs = frame(spark, [])
     assert substring_dedup.digested(substring_dedup.substring_dedup(docs, 20)).count() == 0
