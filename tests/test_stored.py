@@ -174,6 +174,31 @@ def test_an_upsert_keeps_no_second_copy(spark, tmp_path, monkeypatch):
     assert rows == {keys[0]: 100, keys[1]: 105, keys[2]: 100}
 
 
+def test_hashes_move_as_bytes_and_steps_are_gone(spark, tmp_path):
+    path, keys = f"{tmp_path}/index", keys_of(spark, 0, 40)
+    odd = ["no digest", None]
+    cache_store.store_entries(index_of(spark, entry_rows(keys[:20])), path)
+    cache_store.stored_upsert(spark, path, index_of(spark, entry_rows([keys[0].upper(), "NO digest"], 9)))
+    clips = spark.createDataFrame([(i, k) for i, k in enumerate([*keys, keys[1].upper(), *odd])], "clip_id long, input_hash string")
+    entries = cache_store.stored_entries(spark, path).drop("prefix")
+    files = entries.select("path", "mtime_ns", "size")
+    meta = entries.select("path", "input_hash", *[F.lit(1.0).alias(n) for n in cache.META_FIELDS[1:]])
+    got = cache_store.stored_split(spark, path, clips, files, meta)
+    assert got.columns == cache.cache_split(clips, entries, files, meta).columns
+    assert {r.clip_id for r in got.collect() if r.cache_status == "hit"} == {*range(20), 40, 41}
+    assert {r.clip_id: r.input_hash for r in got.collect()} == dict(enumerate([*keys, keys[1], *odd]))
+    kept = os.listdir(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    assert not [name for name in kept if name.startswith(("possible", "asked"))]
+
+
+def test_split_moves_no_text_of_a_hash(spark, no_broadcast):
+    entries = index_of(spark, entry_rows(["a", "b"]))
+    clips = spark.createDataFrame([(1, "a")], "clip_id long, input_hash string")
+    meta = entries.select("path", "input_hash", *[F.lit(1.0).alias(n) for n in cache.META_FIELDS[1:]])
+    plan = physical(cache.cache_split(clips, entries, entries.select("path", "mtime_ns", "size"), meta))
+    assert "hashpartitioning(_packed" in plan and "hashpartitioning(input_hash" not in plan
+
+
 def test_a_hash_asks_its_filter_as_one_row(spark, tmp_path):
     path, keys = f"{tmp_path}/index", keys_of(spark, 0, 3)
     cache_store.store_entries(index_of(spark, entry_rows(keys)), path, 1)
